@@ -327,7 +327,8 @@ def usage_events(t: Tables) -> DataFrame:
 
 
 def prices(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([PRICES], "input double, cached_input double, output double")
+    a, b, c = PRICES
+    return t.spark.sql(f"SELECT {a}D AS input, {b}D AS cached_input, {c}D AS output")
 
 
 @query(

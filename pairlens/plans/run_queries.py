@@ -109,8 +109,8 @@ def pending_jobs(t: Tables) -> DataFrame:
       count(*) AS jobs FROM canon WHERE status = 'completed' AND benchmark IN ('1-URGENT', '2-HIGH') GROUP BY ALL""",
 )
 def plan_native_jobs(t: Tables) -> DataFrame:
-    config = t.spark.createDataFrame(
-        [("1-urgent", "native-pointwise"), ("2-high", "native-checklist")], "target string, task string"
+    config = t.spark.sql(
+        "SELECT * FROM VALUES ('1-urgent', 'native-pointwise'), ('2-high', 'native-checklist') AS c(target, task)"
     )
     return C.plan_native_jobs(canonical(t), config).groupBy("benchmark", "task").agg(
         F.count(F.lit(1)).alias("jobs")

@@ -17,8 +17,8 @@ CONTRASTS = (("A4", "A1"), ("A4", "A2"), ("A4", "A3"))
 
 
 def contrast_table(t: Tables, contrasts=CONTRASTS) -> DataFrame:
-    rows = [(i, left, right) for i, (left, right) in enumerate(contrasts)]
-    return t.spark.createDataFrame(rows, "ordinal int, left_condition string, right_condition string")
+    rows = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(contrasts))
+    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS c(ordinal, left_condition, right_condition)")
 
 
 def contrast_sql(contrasts=CONTRASTS) -> str:
@@ -111,6 +111,24 @@ def verdicts(t: Tables, extra: list[str] | None = None) -> DataFrame:
     return P.pair_verdicts(P.sides(judgments(t, extra), keys))
 
 
+def measured(t: Tables, extra: list[str] | None = None) -> DataFrame:
+    """Complete pairs with verdict, lengths and tokens of both sides, in one aggregate."""
+    keys = [*P.PAIR, *(extra or [])]
+    shown = F.col("presentation")
+    ab = lambda c: F.max(F.when(shown == "A|B", c))
+    ba = lambda c: F.max(F.when(shown == "B|A", c))
+    pairs = judgments(t, extra).groupBy(*keys).agg(
+        ab(F.col("outcome")).alias("outcome_ab"),
+        ba(F.col("outcome")).alias("outcome_ba"),
+        ab(F.col("units").cast("bigint")).alias("left_length"),
+        ba(F.col("units").cast("bigint")).alias("right_length"),
+        ab(F.floor("o4").cast("bigint")).alias("left_tokens"),
+        ba(F.floor("o4").cast("bigint")).alias("right_tokens"),
+    )
+    complete = F.col("outcome_ab").isNotNull() & F.col("outcome_ba").isNotNull()
+    return P.pair_verdicts(pairs.filter(complete))
+
+
 def _judgment_sql(extra: str = "") -> str:
     return (
         "records AS (SELECT "
@@ -127,8 +145,8 @@ pairs AS (SELECT benchmark, platform, prompt, left_condition, right_condition, j
   max(CASE WHEN presentation = 'B|A' THEN outcome END) AS outcome_ba,
   CAST(sum(CASE WHEN presentation = 'A|B' THEN units ELSE 0 END) AS BIGINT) AS left_length,
   CAST(sum(CASE WHEN presentation = 'B|A' THEN units ELSE 0 END) AS BIGINT) AS right_length,
-  sum(CASE WHEN presentation = 'A|B' THEN floor(o4) ELSE 0 END) AS left_tokens,
-  sum(CASE WHEN presentation = 'B|A' THEN floor(o4) ELSE 0 END) AS right_tokens
+  CAST(sum(CASE WHEN presentation = 'A|B' THEN floor(o4) ELSE 0 END) AS BIGINT) AS left_tokens,
+  CAST(sum(CASE WHEN presentation = 'B|A' THEN floor(o4) ELSE 0 END) AS BIGINT) AS right_tokens
   FROM outcomes GROUP BY ALL HAVING count(DISTINCT presentation) = 2),
 verdicts AS (SELECT *, CASE WHEN outcome_ab = outcome_ba AND outcome_ab = left_condition THEN 'left'
   WHEN outcome_ab = outcome_ba AND outcome_ab = right_condition THEN 'right' ELSE 'tie' END AS verdict,
