@@ -12,7 +12,9 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 HAN = r"\x{4E00}-\x{9FFF}"
-REQUESTED_LENGTH = r"(?i)(\d[\d,]{2,})\s*(?:-|\s)?(?:words?|字|tokens?)"
+REQUESTED_LENGTH = rf"(?i)(\d[\d,]{{2,}})[{SPACE}]*(?:-|[{SPACE}])?(?:words?|字|tokens?)"
+# constraints are searched in their JSON form, where other scripts are escaped
+REQUESTED_IN_JSON = r"(?i)(\d[\d,]{2,}) *(?:-| )?(?:words?|tokens?)"
 
 
 def output_units(text: Column) -> Column:
@@ -26,9 +28,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
 
 
-def requested_length(text: Column) -> Column:
-    """Largest length asked for in the text, 0 when none is."""
+def requested_length(text: Column, constraints_json: Column | None = None) -> Column:
+    """Largest length asked for in a prompt and its constraints, 0 when none is."""
     found = F.regexp_extract_all(text, F.lit(REQUESTED_LENGTH), F.lit(1))
+    if constraints_json is not None:
+        listed = F.regexp_extract_all(constraints_json, F.lit(REQUESTED_IN_JSON), F.lit(1))
+        found = F.concat(found, F.coalesce(listed, F.array().cast("array<string>")))
     numbers = F.transform(found, lambda m: F.regexp_replace(m, ",", "").cast("bigint"))
     return F.coalesce(F.array_max(numbers), F.lit(0).cast("bigint"))
 
