@@ -139,22 +139,18 @@ def binomial_cdf(k: Column, n: Column, rate: Column) -> Column:
     )
 
 
-def sign_test_critical(n: Column, alpha: float) -> Column:
-    """Largest k whose two-sided sign test p-value is at most alpha, or -1.
+def critical_candidates(n: Column, alpha: float) -> Column:
+    """Counts next to the normal approximation of the critical count.
 
-    A normal start is corrected by testing the neighbouring counts exactly.
+    The exact critical count, the largest k whose two-sided p-value is at most
+    alpha, lies among them; the caller tests each one.
     """
     from statistics import NormalDist
 
     z = NormalDist().inv_cdf(1 - alpha / 2)
     n = _double(n)
     start = F.floor(n / 2 - z * F.sqrt(n) / 2)
-    best = F.lit(-1.0)
-    for shift in range(-4, 5):
-        k = (start + shift).cast("double")
-        fits = (k >= 0) & (k <= n) & (sign_test_p(k, n - k) <= alpha)
-        best = F.when(fits, k).otherwise(best)
-    return best
+    return F.sequence(start - 4, start + 4)
 
 
 def sign_test_power(n: Column, rate: Column, critical: Column) -> Column:

@@ -12,7 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.ordering import first_by
-from pairlens.functions.stats import record_columns, sign_test_p, win_rate, wilson_bounds
+from pairlens.functions.stats import (
+    critical_candidates,
+    record_columns,
+    sign_test_p,
+    sign_test_power,
+    win_rate,
+    wilson_bounds,
+)
 
 # The domains of a pairwise record
 PRESENTATIONS = ("A|B", "B|A")
@@ -330,3 +337,37 @@ def clustered_sign(outcomes: DataFrame, keys: Sequence[str], unit: Sequence[str]
     return counted.withColumn(
         "prompt_sign_test_p", sign_test_p(F.col("prompt_wins"), F.col("prompt_losses"))
     )
+
+
+def critical_counts(cells: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    """Largest losing count that the sign test still rejects, -1 when there is none.
+
+    ``cells(keys, n)``; a handful of candidates per cell is tested exactly.
+    """
+    tested = cells.withColumn("_k", F.explode(critical_candidates(F.col("n"), alpha)))
+    fits = (
+        (F.col("_k") >= 0)
+        & (F.col("_k") <= F.col("n"))
+        & (sign_test_p(F.col("_k"), F.col("n") - F.col("_k")) <= alpha)
+    )
+    return tested.groupBy(*keys, "n").agg(
+        F.coalesce(F.max(F.when(fits, F.col("_k"))), F.lit(-1)).alias("critical")
+    )
+
+
+def power_table(cells: DataFrame, keys: Sequence[str], rates: Column, alpha: float) -> DataFrame:
+    """Exact sign test power of each cell at each rate of a grid."""
+    rows = critical_counts(cells, keys, alpha).withColumn("rate", F.explode(rates))
+    power = sign_test_power(F.col("n"), F.col("rate"), F.col("critical"))
+    return rows.repartition(*keys, "rate").withColumn("power", power).drop("critical")
+
+
+def detectable_rate(
+    cells: DataFrame, keys: Sequence[str], alpha: float, target: float, step: float = 0.001
+) -> DataFrame:
+    """Smallest rate of a grid from one half upwards with enough power."""
+    count = round(0.5 / step)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(0.5) + i / float(2 * count))
+    table = power_table(cells, keys, grid, alpha)
+    smallest = F.min(F.when(F.col("power") >= target, F.col("rate")))
+    return table.groupBy(*keys, "n").agg(smallest.alias("detectable_rate"))

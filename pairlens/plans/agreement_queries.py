@@ -268,8 +268,7 @@ POWER_RATES = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 def power_cells(t: Tables) -> DataFrame:
     cells = P.prompt_verdicts(V.verdicts(t)).groupBy(*P.CELL).agg(*P.tally())
-    sized = cells.select(*P.CELL, (F.col("wins") + F.col("losses")).alias("n"))
-    return sized.withColumn("critical", S.sign_test_critical(F.col("n"), ALPHA))
+    return cells.select(*P.CELL, (F.col("wins") + F.col("losses")).alias("n"))
 
 
 # the largest k with a p-value of at most alpha, then both tails at the rate
@@ -289,10 +288,8 @@ def cdf_sql(rate: str) -> str:
     SELECT benchmark, platform, left_condition, right_condition, n, rate, {r6(f"{cdf_sql('rate')} + {cdf_sql('(1 - rate)')}")} AS power FROM crit, g""",
 )
 def power_by_cell(t: Tables) -> DataFrame:
-    rates = F.explode(F.array(*[F.lit(r) for r in POWER_RATES]))
-    rows = power_cells(t).withColumn("rate", rates)
-    power = S.sign_test_power(F.col("n"), F.col("rate"), F.col("critical"))
-    return rows.withColumn("power", S.round6(power)).drop("critical")
+    rates = F.array(*[F.lit(r) for r in POWER_RATES])
+    return rounded(P.power_table(power_cells(t), P.CELL, rates, ALPHA), "power")
 
 
 @query(
@@ -303,11 +300,8 @@ def power_by_cell(t: Tables) -> DataFrame:
 )
 def detectable_rate(t: Tables) -> DataFrame:
     """Smallest rate on a grid of step 0.001 with enough power."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.lit(0.5) + i / 1000.0)
-    rows = power_cells(t).withColumn("rate", F.explode(grid))
-    power = S.sign_test_power(F.col("n"), F.col("rate"), F.col("critical"))
-    smallest = F.min(F.when(power >= POWER_TARGET, F.col("rate")))
-    return rows.groupBy(*P.CELL, "n").agg(S.round6(smallest).alias("detectable_rate"))
+    report = P.detectable_rate(power_cells(t), P.CELL, ALPHA, POWER_TARGET)
+    return rounded(report, "detectable_rate")
 
 
 # --- selection of comparisons --------------------------------------------------------
