@@ -41,6 +41,16 @@ def reasons(*checks: Reason) -> Column:
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed a single time per row.
+
+    Filters and projections above a plain column are rewritten in terms of its
+    expression, which would parse the same text again for every use. A one-row
+    generator keeps the value.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows and rejected rows."""
     bad = F.size("reject_reasons") > 0
@@ -104,7 +114,7 @@ def validate_pointwise(records: DataFrame) -> DataFrame:
         f"scores STRUCT<{scores}>, evidence_quotes ARRAY<STRUCT<dimension: STRING, quote: STRING>>, "
         "judge_level_composite DOUBLE, uncertainties ARRAY<STRING>"
     )
-    parsed = records.withColumn("_r", F.from_json(value, schema))
+    parsed = once(records, "_r", F.from_json(value, schema))
     score = lambda d: F.col(f"_r.scores.{d}")
     out = F.lit(False)
     for name in DIMENSIONS:
@@ -114,7 +124,8 @@ def validate_pointwise(records: DataFrame) -> DataFrame:
     wanted = F.array(*[F.lit(d) for d in sorted(DIMENSIONS)])
     composite = F.col("_r.judge_level_composite")
     score_keys = exact_keys(F.get_json_object(value, "$.scores"), DIMENSIONS)[0]
-    return parsed.withColumn(
+    return once(
+        parsed,
         "reject_reasons",
         reasons(
             exact_keys(value, POINTWISE_KEYS),
@@ -146,38 +157,50 @@ def validate_native_score(records: DataFrame) -> DataFrame:
 def parse_checklist(records: DataFrame) -> DataFrame:
     """Raw checklist answers to items: a list, or an object with one list value.
 
-    Digit-string ids and numeric-string scores become numbers. Adds ``items``
-    and ``reject_reasons``; text that is not JSON goes to the rejects.
+    Digit-string ids and numeric-string scores become numbers. Lists written as
+    Python literals parse too where they differ from JSON only in their quotes;
+    other literals go to the rejects. Adds ``items`` and ``reject_reasons``.
     """
     value = F.trim(F.col("value"))
-    wrapped = F.json_object_keys(value)
-    inner = F.map_values(F.from_json(value, "map<string,string>"))[0]
-    body = F.when(value.startswith("["), value).when(F.size(wrapped) == 1, inner)
-    raw = F.from_json(body, "array<string>")
+    inner = F.from_json(value, "map<string,string>")
+    body = F.when(value.startswith("["), value).when(
+        F.size(inner) == 1, F.map_values(inner)[0]
+    )
+    read = lambda schema: F.from_json("_body", schema)
+    views = F.struct(
+        read("array<map<string,string>>").alias("maps"),
+        read("array<string>").alias("texts"),
+    )
+    fields = once(once(records, "_body", body), "_p", views)
     keys = F.array(*[F.lit(k) for k in sorted(CHECKLIST_KEYS)])
 
-    def item(text: Column) -> Column:
-        number = lambda field: F.get_json_object(text, f"$.{field}")
-        is_bool = lambda field: number(field).isin("true", "false")
+    def item(entry: Column, i: Column) -> Column:
+        number = entry["checklist_id"]
+        score = entry["evaluation_score"]
+        # a typed read for each JSON type would raise on almost every row
+        quoted = F.get("_p.texts", i).rlike(r"[\"']reason[\"']\s*:\s*[\"']")
         return F.struct(
-            F.when(number("checklist_id").rlike(r"^-?\d+$"), number("checklist_id").try_cast("bigint")).alias("checklist_id"),
-            F.when(is_text(text, "$.reason"), number("reason")).alias("reason"),
-            F.when(~is_bool("evaluation_score"), number("evaluation_score").try_cast("double")).alias("evaluation_score"),
-            F.coalesce(F.array_sort(F.json_object_keys(text)) == keys, F.lit(False)).alias("exact"),
+            F.when(number.rlike(r"^-?\d+$"), number.try_cast("bigint")).alias("checklist_id"),
+            F.when(quoted, entry["reason"]).alias("reason"),
+            F.when(~score.isin("true", "false"), score.try_cast("double")).alias("evaluation_score"),
+            F.coalesce(F.array_sort(F.map_keys(entry)) == keys, F.lit(False)).alias("exact"),
         )
 
-    parsed = records.withColumn("items", F.transform(raw, item))
+    parsed = once(fields, "items", F.transform("_p.maps", item)).drop("_p", "_body")
     items = F.col("items")
-    every = lambda rule: F.forall(items, lambda x: F.coalesce(rule(x), F.lit(False)))
-    return parsed.withColumn(
+    fails = lambda rule: ~F.coalesce(
+        F.forall(items, lambda x: F.coalesce(rule(x), F.lit(False))), F.lit(True)
+    )
+    return once(
+        parsed,
         "reject_reasons",
         reasons(
             (F.length("value") > MAX_CHECKLIST_TEXT, "too_long"),
-            (F.coalesce(items.isNull(), F.lit(True)), "not_a_list"),
-            (~F.coalesce(every(lambda x: x["exact"]), F.lit(True)), "item_fields"),
-            (~F.coalesce(every(lambda x: x["checklist_id"].isNotNull()), F.lit(True)), "checklist_id"),
-            (~F.coalesce(every(lambda x: strip(x["reason"]) != ""), F.lit(True)), "reason"),
-            (~F.coalesce(every(lambda x: x["evaluation_score"].isNotNull()), F.lit(True)), "evaluation_score"),
+            (items.isNull(), "not_a_list"),
+            (fails(lambda x: x["exact"]), "item_fields"),
+            (fails(lambda x: x["checklist_id"].isNotNull()), "checklist_id"),
+            (fails(lambda x: strip(x["reason"]) != ""), "reason"),
+            (fails(lambda x: x["evaluation_score"].isNotNull()), "evaluation_score"),
         ),
     )
 
@@ -201,7 +224,7 @@ def validate_pairwise(records: DataFrame) -> DataFrame:
     """``records(value, output_a, output_b, context, expected_*)`` against the pair contract."""
     value = F.col("value")
     schema = "evidence_quotes STRUCT<A: ARRAY<STRING>, B: ARRAY<STRING>>"
-    parsed = records.withColumn("_r", F.from_json(value, schema))
+    parsed = once(records, "_r", F.from_json(value, schema))
     field = lambda name: F.get_json_object(value, f"$.{name}")
     texts = lambda side: F.when(
         F.coalesce(F.col("context"), F.lit("")) != "", F.array(F.col(side), F.col("context"))
@@ -210,7 +233,8 @@ def validate_pairwise(records: DataFrame) -> DataFrame:
     for side, output in (("A", "output_a"), ("B", "output_b")):
         quotes = F.col(f"_r.evidence_quotes.{side}")
         checks += [(bad, f"{name}_{side}") for bad, name in check_quotes(quotes, texts(output))]
-    return parsed.withColumn(
+    return once(
+        parsed,
         "reject_reasons",
         reasons(
             exact_keys(value, PAIRWISE_KEYS),

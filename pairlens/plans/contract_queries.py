@@ -207,7 +207,7 @@ CHECKLIST_TEXTS = {
     7: '[{"checklist_id": 0, "reason": "", "evaluation_score": 1}]',
     8: '[{"checklist_id": 0, "reason": "r", "evaluation_score": 0.3}, {"checklist_id": 1, "reason": "r", "evaluation_score": 1}]',
     9: '[{"checklist_id": 0, "reason": "r", "evaluation_score": 1}, {"checklist_id": 2, "reason": "r", "evaluation_score": 1}]',
-    10: '[{"checklist_id": 0, "reason": "r", "evaluation_score": 1}]',
+    10: "[{'checklist_id': 0, 'reason': 'r', 'evaluation_score': 1}]",
 }
 
 
@@ -224,7 +224,7 @@ def checklist_answers(t: Tables) -> DataFrame:
     f"WITH {LINE_KIND_SQL} "
     + reason_sql(
         "l",
-        {"not_a_list": "kind IN (2, 3)", "item_fields": "kind = 4", "checklist_id": "kind = 5", "evaluation_score": "kind = 6", "reason": "kind = 7"},
+        {"not_a_list": "kind = 3", "item_fields": "kind IN (2, 4)", "checklist_id": "kind = 5", "evaluation_score": "kind IN (2, 6)", "reason": "kind IN (2, 7)"},
     ),
 )
 def parse_checklist(t: Tables) -> DataFrame:
