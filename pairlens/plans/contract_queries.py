@@ -442,8 +442,12 @@ TRACE_COLUMNS = [
 
 
 def contract_events(t: Tables) -> DataFrame:
+    return contract_columns(t.events.selectExpr(*TRACE_COLUMNS, "hour(ts) AS bucket"))
+
+
+def contract_columns(rows: DataFrame) -> DataFrame:
     n = F.col("event_id")
-    return t.events.selectExpr(*TRACE_COLUMNS, "hour(ts) AS bucket").select(
+    return rows.select(
         "run_id", "condition", "ts", "event_id", "bucket",
         F.col("kind").alias("event_type"),
         F.when(n % 11 != 0, "2024-01-01T00:00:00Z").alias("timestamp"),
