@@ -255,3 +255,27 @@ def seeded_draw(*parts: Column | str | int) -> Column:
     columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     text = F.concat_ws(":", *[c.cast("string") for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+# Modulus and multipliers of the counter-based draws
+DRAW_MODULUS = 2147483647
+DRAW_MULTIPLIERS = (1103515245, 1664525, 22695477)
+
+
+def _mix(x: Column, multiplier: int) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, 15)) * multiplier % DRAW_MODULUS
+
+
+def replicate_key(seed: int, replicate: Column) -> Column:
+    """Start of the draws of one replicate."""
+    x = (F.lit(seed).cast("bigint") + replicate.cast("bigint") * 40503) % DRAW_MODULUS
+    return _mix(_mix(x, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
+
+
+def counter_draw(key: Column, slot: Column) -> Column:
+    """Reproducible draw below 2^31 for a slot; integer steps only, so it is cheap
+    enough to run once per resampled unit and easy to repeat in another engine."""
+    x = (key + slot.cast("bigint") * 69069) % DRAW_MODULUS
+    for multiplier in DRAW_MULTIPLIERS:
+        x = _mix(x, multiplier)
+    return x

@@ -17,15 +17,31 @@ REQUESTED_LENGTH = rf"(?i)(\d[\d,]{{2,}})[{SPACE}]*(?:-|[{SPACE}])?(?:words?|字
 REQUESTED_IN_JSON = r"(?i)(\d[\d,]{2,}) *(?:-| )?(?:words?|tokens?)"
 
 
+SPACE_CHARACTERS = "".join(
+    chr(c)
+    for low, high in (
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+        (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    )
+    for c in range(low, high + 1)
+)
+
+
+def plain_spaces(text: Column) -> Column:
+    """Every white-space character as a blank; a lookup per character, so the
+    patterns that follow need only a small class."""
+    return F.translate(text, SPACE_CHARACTERS, " " * len(SPACE_CHARACTERS))
+
+
 def output_units(text: Column) -> Column:
     """CJK code points plus white-space separated runs of other text."""
     return F.regexp_count(text, F.lit(f"[{CJK}]")) + F.regexp_count(
-        text, F.lit(f"[^{CJK}{SPACE}]+")
+        plain_spaces(text), F.lit(f"[^ {CJK}]+")
     )
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(plain_spaces(text), F.lit("[^ ]+"))
 
 
 def requested_length(text: Column, constraints_json: Column | None = None) -> Column:

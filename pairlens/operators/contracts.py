@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.rows import once
 from pairlens.functions.text import strip
 from pairlens.operators.pairs import PRESENTATIONS, WINNERS
 from pairlens.operators.quality import DIMENSIONS
@@ -41,16 +42,6 @@ def reasons(*checks: Reason) -> Column:
     )
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed a single time per row.
-
-    Filters and projections above a plain column are rewritten in terms of its
-    expression, which would parse the same text again for every use. A one-row
-    generator keeps the value.
-    """
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows and rejected rows."""
     bad = F.size("reject_reasons") > 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import text as X
 from pairlens.functions.ordering import first_by, row_index
+from pairlens.functions.rows import once
 
 # Limits and texts of the prompt sets
 MAX_LENGTH = 6000
@@ -104,12 +105,11 @@ def sample_k(df: DataFrame, id_column: str, k: int, seed: int, keys: Sequence[st
 
 def difficulty(prompts: DataFrame) -> DataFrame:
     """Words, requested length and their sum; prompts beyond the limits are out."""
-    scored = prompts.withColumns(
-        {
-            "words": X.word_count(F.col("prompt_text")).cast("bigint"),
-            "requested": X.requested_length(F.col("prompt_text"), F.col("constraints_json")),
-        }
+    measures = F.struct(
+        X.word_count(F.col("prompt_text")).cast("bigint").alias("words"),
+        X.requested_length(F.col("prompt_text"), F.col("constraints_json")).alias("requested"),
     )
+    scored = once(prompts, "_m", measures).select("*", "_m.*").drop("_m")
     return scored.filter(
         (F.col("words") <= MAX_LENGTH) & (F.col("requested") <= MAX_LENGTH)
     ).withColumn("score", F.col("words") + F.col("requested"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import seeded_draw
+from pairlens.functions.stats import counter_draw, replicate_key, seeded_draw
 
 EXACT_LIMIT = 20_000
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events
@@ -40,9 +40,10 @@ def _split_by_size(units: DataFrame, cell: Sequence[str], limit: int) -> tuple[D
     return sized.filter(F.col("_n") <= limit), sized.filter(F.col("_n") > limit)
 
 
-def _replicates(df: DataFrame, resamples: int) -> DataFrame:
-    """One row per replicate, spread over the cluster."""
-    return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("b")
+def _replicates(df: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """One row per replicate with its draw key, spread over the cluster."""
+    rows = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    return rows.withColumn("_key", replicate_key(seed, F.col("b"))).repartition("b")
 
 
 def bootstrap_means(
@@ -67,10 +68,10 @@ def bootstrap_means(
         F.lit(0.0),
         lambda acc, slot: acc
         + F.element_at(
-            "_values", (seeded_draw(seed, F.col("b"), slot) % n).cast("int") + 1
+            "_values", (counter_draw(F.col("_key"), slot) % n).cast("int") + 1
         ),
     )
-    exact = _replicates(arrays, resamples).select(*cell, "b", (picked / n).alias("mean"))
+    exact = _replicates(arrays, resamples, seed).select(*cell, "b", (picked / n).alias("mean"))
     weighted = large.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
         "_w", poisson_weight(seeded_draw(seed, F.col("b"), *[F.col(u) for u in unit]))
     )
@@ -96,10 +97,10 @@ def resample_weights(
     n = F.size("_units")
     drawn = F.transform(
         F.sequence(F.lit(0), n - 1),
-        lambda slot: F.element_at("_units", (seeded_draw(seed, F.col("b"), slot) % n).cast("int") + 1),
+        lambda slot: F.element_at("_units", (counter_draw(F.col("_key"), slot) % n).cast("int") + 1),
     )
     exact = (
-        _replicates(arrays, resamples)
+        _replicates(arrays, resamples, seed)
         .select(*cell, "b", F.explode(drawn).alias("_u"))
         .groupBy(*cell, "b", *[F.col(f"_u.{u}").alias(u) for u in unit])
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))

@@ -645,6 +645,27 @@ def scan_parquet_checked(t: Tables) -> DataFrame:
     return table.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query(
+    "scan_prices",
+    """SELECT p_type, count(*) AS documents, count(*) FILTER (p_partkey % 5 > 2) AS valid, CAST(sum(CASE WHEN p_partkey % 5 > 2 THEN p_size ELSE 0 END) AS BIGINT) AS input
+    FROM part GROUP BY ALL""",
+)
+def scan_prices(t: Tables) -> DataFrame:
+    """Price documents made from the parts; some lack a price or hold no number."""
+    kind = F.col("p_partkey") % 5
+    text = F.concat(
+        F.lit('{"input": '), F.col("p_size").cast("string"),
+        F.when(kind == 0, "").when(kind == 1, ', "cached_input": true').otherwise(', "cached_input": 0.5'),
+        F.lit(', "output": '), F.when(kind == 2, "-1").otherwise("10"), F.lit("}"),
+    )
+    prices = S.parse_prices(t.part.select("p_type", text.alias("value")))
+    return prices.groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if("valid").alias("valid"),
+        F.sum(F.when(F.col("valid"), F.col("input")).otherwise(0)).cast("bigint").alias("input"),
+    )
+
+
 @query(
     "verify_source_hashes",
     "SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'mismatched' WHEN doc_id % 9 = 1 THEN 'unpinned' ELSE 'matched' END AS status, count(*) AS n FROM documents GROUP BY ALL",

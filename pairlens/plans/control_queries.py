@@ -270,8 +270,7 @@ UNIT_SQL = f"""{V.VERDICT_RUN_SQL}, unit_means AS (SELECT left_condition, right_
   avg(CASE verdict WHEN 'left' THEN 1.0 WHEN 'right' THEN 0.0 ELSE 0.5 END) AS value, count(*) AS pairs FROM verdicts GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
   FROM unit_means WINDOW w AS (PARTITION BY benchmark, left_condition, right_condition ORDER BY prompt)),
-draws AS (SELECT benchmark, left_condition, right_condition, b,
-  ('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8))::BIGINT % n AS pick FROM placed, range({RESAMPLES}) t(b)),
+{V.draw_ctes(SEED, RESAMPLES, 'benchmark, left_condition, right_condition')},
 means AS (SELECT benchmark, left_condition, right_condition, b, avg(value) AS mean FROM draws d
   JOIN placed p USING (benchmark, left_condition, right_condition) WHERE p.i = d.pick GROUP BY ALL)"""
 CELL = ["benchmark", *P.CONTRAST]

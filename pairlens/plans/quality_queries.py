@@ -207,8 +207,7 @@ BOOT_SQL = f"""{SCORES_SQL}, {V.contrast_sql(BOOT_CONTRASTS)}, diffs AS (SELECT
   JOIN prompt_scores r ON r.condition = c.right_condition AND r.benchmark = l.benchmark AND r.prompt = l.prompt),
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
   FROM diffs WINDOW w AS (PARTITION BY benchmark, left_condition, right_condition ORDER BY prompt)),
-draws AS (SELECT benchmark, left_condition, right_condition, b,
-  ('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8))::BIGINT % n AS pick FROM placed, range({RESAMPLES}) t(b)),
+{V.draw_ctes(SEED, RESAMPLES, 'benchmark, left_condition, right_condition')},
 means AS (SELECT benchmark, left_condition, right_condition, b, avg(diff) AS mean FROM draws d
   JOIN placed p USING (benchmark, left_condition, right_condition) WHERE p.i = d.pick GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark, left_condition, right_condition ORDER BY mean) AS rk FROM means),

@@ -152,6 +152,21 @@ def parse_offset_ts(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "parse_utc_ts",
+    """SELECT event_type, CAST(sum(CASE event_id % 3 WHEN 0 THEN epoch_us(ts) // 1000000 % 86400 WHEN 1 THEN epoch_us(ts) // 1000000 % 86400 ELSE epoch_us(ts - INTERVAL 2 HOUR) // 1000000 % 86400 END) AS BIGINT) AS seconds
+    FROM events GROUP BY ALL""",
+)
+def parse_utc_ts(t: Tables) -> DataFrame:
+    shown = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, shown).when(kind == 1, F.concat(shown, F.lit("Z"))).otherwise(
+        F.concat(shown, F.lit("+02:00"))
+    )
+    seconds = F.floor(F.unix_micros(X.parse_utc_timestamp(text)) / 1e6) % 86400
+    return t.events.groupBy("event_type").agg(F.sum(seconds.cast("bigint")).alias("seconds"))
+
+
 @query("event_name", "SELECT trim(regexp_replace(lower(c_name || '--' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS name, c_custkey FROM customer")
 def event_name(t: Tables) -> DataFrame:
     name = X.event_name(F.concat_ws("--", "c_name", "c_mktsegment"))

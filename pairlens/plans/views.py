@@ -192,3 +192,17 @@ def wilson_sql(w: str, l: str, side: str, z: str = "1.959963984540054", clamp: b
 
 def rate_sql(w: str, l: str) -> str:
     return f"(CASE WHEN {w} + {l} > 0 THEN {w} / CAST({w} + {l} AS DOUBLE) END)"
+
+
+def mix_sql(x: str, multiplier: int) -> str:
+    return f"(xor({x}, {x} >> 15) * {multiplier} % 2147483647)"
+
+
+def draw_ctes(seed: int, resamples: int, keys: str) -> str:
+    """SQL twin of the resampling draws: (keys, b, pick) for units placed at i of n."""
+    m = (1103515245, 1664525, 22695477)
+    return f"""reps AS (SELECT b, {mix_sql('x1', m[1])} AS rkey FROM (SELECT b, {mix_sql('x0', m[0])} AS x1
+  FROM (SELECT b, ({seed}::BIGINT + b * 40503) % 2147483647 AS x0 FROM range({resamples}) t(b)))),
+slots AS (SELECT {keys}, b, n, (rkey + i * 69069) % 2147483647 AS y0 FROM placed, reps),
+draws AS (SELECT {keys}, b, {mix_sql('y2', m[2])} % n AS pick FROM (SELECT *, {mix_sql('y1', m[1])} AS y2
+  FROM (SELECT *, {mix_sql('y0', m[0])} AS y1 FROM slots)))"""
