@@ -34,8 +34,8 @@ def join_two_judges(
 def cross_judge_metrics(joined: DataFrame, cuts: Sequence[Sequence[str]]) -> DataFrame:
     """Counts, commit and win rates, agreements and conflicts for several cuts at once."""
     cross, ref = F.col("cross_verdict"), F.col("reference_verdict")
-    agree = (F.col("cross_outcome_ab") == F.col("reference_outcome_ab")).cast("int") + (
-        F.col("cross_outcome_ba") == F.col("reference_outcome_ba")
+    agree = (F.col("cross_code_ab") == F.col("reference_code_ab")).cast("int") + (
+        F.col("cross_code_ba") == F.col("reference_code_ba")
     ).cast("int")
     columns = list(dict.fromkeys(c for cut in cuts for c in cut))
     cells = joined.groupingSets([list(c) for c in cuts], *columns).agg(

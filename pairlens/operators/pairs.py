@@ -127,45 +127,103 @@ def valid_records(records: DataFrame) -> DataFrame:
     )
 
 
-def first_records(records: DataFrame, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """First record of each (pair, presentation) in the given order."""
-    return first_by(valid_records(records), [*PAIR, "presentation"], list(order), list(keep))
+# Verdicts travel as small integers, so aggregates stay hash aggregates
+TIE, LEFT, RIGHT = 0, 1, 2
+
+
+def side_code(outcome: Column) -> Column:
+    """1 for the left condition, 2 for the right one, 0 for a tie."""
+    return (
+        F.when(outcome == F.col("left_condition"), LEFT)
+        .when(outcome == F.col("right_condition"), RIGHT)
+        .otherwise(TIE)
+    )
+
+
+def code_name(code: Column) -> Column:
+    return F.when(code == LEFT, "left").when(code == RIGHT, "right").otherwise("tie")
+
+
+def _shown(presentation: str, value: Column) -> Column:
+    return F.when(F.col("presentation") == presentation, value)
 
 
 def sides(records: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """One row per pair with both semantic outcomes.
+    """One row per pair with the codes of both presentations.
 
     ``records`` carries ``outcome`` (a condition or tie). A pair stays only when
     each presentation has exactly one valid record.
     """
+    code = side_code(F.col("outcome"))
     one = valid_records(records).groupBy(*keys).agg(
         F.count_if(F.col("presentation") == "A|B").alias("_n_ab"),
         F.count_if(F.col("presentation") == "B|A").alias("_n_ba"),
-        F.max(F.when(F.col("presentation") == "A|B", F.col("outcome"))).alias("outcome_ab"),
-        F.max(F.when(F.col("presentation") == "B|A", F.col("outcome"))).alias("outcome_ba"),
+        F.max(_shown("A|B", code)).alias("code_ab"),
+        F.max(_shown("B|A", code)).alias("code_ba"),
     )
     return one.filter((F.col("_n_ab") == 1) & (F.col("_n_ba") == 1)).drop("_n_ab", "_n_ba")
 
 
+def first_sides(
+    records: DataFrame, place: Column, keys: Sequence[str] = PAIR, values: Sequence[str] = ()
+) -> DataFrame:
+    """The same where a presentation may have several records: the first counts.
+
+    ``place`` is one fixed-width value that orders the records. Codes, place and
+    ``values`` (numbers) fit a hash aggregate, so records are combined before
+    the shuffle without a sort.
+    """
+    code = side_code(F.col("outcome"))
+    columns = []
+    for name, source in (("code", code), *((v, F.col(v)) for v in values)):
+        for suffix, shown in (("ab", "A|B"), ("ba", "B|A")):
+            columns.append(
+                F.min_by(_shown(shown, source), _shown(shown, place)).alias(f"{name}_{suffix}")
+            )
+    found = valid_records(records).groupBy(*keys).agg(*columns)
+    return found.filter(F.col("code_ab").isNotNull() & F.col("code_ba").isNotNull())
+
+
 def pair_verdicts(pairs: DataFrame) -> DataFrame:
     """Collapsed verdict and agreement flag of each complete pair and judge."""
-    ab, ba = F.col("outcome_ab"), F.col("outcome_ba")
-    return pairs.withColumn(
-        "verdict", collapse(ab, ba, F.col("left_condition"), F.col("right_condition"))
-    ).withColumn("consistent", ab == ba)
+    same = F.col("code_ab") == F.col("code_ba")
+    code = F.when(same, F.col("code_ab")).otherwise(TIE)
+    return (
+        pairs.withColumn("code", code)
+        .withColumn("verdict", code_name(F.col("code")))
+        .withColumn("consistent", same)
+    )
 
 
-def prompt_verdicts(verdicts: DataFrame) -> DataFrame:
-    """Verdict across judges: unanimous, else tie."""
-    same = F.min("verdict") == F.max("verdict")
-    return verdicts.groupBy(*PROMPT, *CONTRAST).agg(
-        F.when(same, F.min("verdict")).otherwise(F.lit("tie")).alias("verdict"),
+def prompt_rows(verdicts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Per prompt: the code across judges (unanimous, else tie) and its counts."""
+    same = F.min("code") == F.max("code")
+    named = lambda c: (F.col("code_ab") == c).cast("int") + (F.col("code_ba") == c).cast("int")
+    return verdicts.groupBy(*extra, *PROMPT, *CONTRAST).agg(
+        F.when(same, F.min("code")).otherwise(TIE).alias("code"),
         (~same).cast("int").alias("judges_disagree"),
         F.count(F.lit(1)).alias("observations"),
         F.count_if(~F.col("consistent")).alias("presentation_disagreements"),
+        F.sum(named(LEFT)).alias("record_wins"),
+        F.sum(named(RIGHT)).alias("record_losses"),
     )
 
 
+def prompt_verdicts(verdicts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Verdict across judges, by name."""
+    rows = prompt_rows(verdicts, extra)
+    return rows.withColumn("verdict", code_name(F.col("code"))).drop("record_wins", "record_losses")
+
+
+def code_tally() -> list[Column]:
+    code = F.col("code")
+    return [
+        F.count_if(code == LEFT).alias("wins"),
+        F.count_if(code == RIGHT).alias("losses"),
+        F.count_if(code == TIE).alias("ties"),
+    ]
+
+
 def tally(verdict: str = "verdict") -> list[Column]:
     column = F.col(verdict)
     return [
@@ -177,8 +235,8 @@ def tally(verdict: str = "verdict") -> list[Column]:
 
 def prompt_collapsed(verdicts: DataFrame) -> DataFrame:
     """Confirmatory cell counts: one verdict per prompt."""
-    return prompt_verdicts(verdicts).groupBy(*CELL).agg(
-        *tally(),
+    return prompt_rows(verdicts).groupBy(*CELL).agg(
+        *code_tally(),
         F.sum("presentation_disagreements").alias("presentation_disagreements"),
         F.sum("judges_disagree").alias("judge_disagreements"),
         F.sum("observations").alias("judge_prompt_observations"),
@@ -188,15 +246,7 @@ def prompt_collapsed(verdicts: DataFrame) -> DataFrame:
 
 def games(verdicts: DataFrame) -> DataFrame:
     """Both presentations as separate games."""
-    left, right = F.col("left_condition"), F.col("right_condition")
-    outcome = F.explode(F.array("outcome_ab", "outcome_ba"))
-    named = verdicts.withColumn("_outcome", outcome)
-    return named.withColumn(
-        "result",
-        F.when(F.col("_outcome") == left, F.lit("left"))
-        .when(F.col("_outcome") == right, F.lit("right"))
-        .otherwise(F.lit("tie")),
-    ).drop("_outcome")
+    return verdicts.withColumn("result", code_name(F.explode(F.array("code_ab", "code_ba"))))
 
 
 def record_pooled(verdicts: DataFrame) -> DataFrame:
@@ -204,14 +254,10 @@ def record_pooled(verdicts: DataFrame) -> DataFrame:
 
     Counts are taken on the pair row, so the games are never materialised.
     """
-    def named(side: str) -> Column:
-        return (F.col("outcome_ab") == F.col(side)).cast("int") + (
-            F.col("outcome_ba") == F.col(side)
-        ).cast("int")
-
+    named = lambda c: (F.col("code_ab") == c).cast("int") + (F.col("code_ba") == c).cast("int")
     counted = verdicts.groupBy(*CELL).agg(
-        F.sum(named("left_condition")).alias("wins"),
-        F.sum(named("right_condition")).alias("losses"),
+        F.sum(named(LEFT)).alias("wins"),
+        F.sum(named(RIGHT)).alias("losses"),
         F.count(F.lit(1)).alias("_pairs"),
     )
     return counted.withColumn(
@@ -219,6 +265,28 @@ def record_pooled(verdicts: DataFrame) -> DataFrame:
     ).drop("_pairs")
 
 
+def both_estimands(verdicts: DataFrame) -> DataFrame:
+    """Prompt-collapsed and record-pooled counts from one pass over the prompts."""
+    records = 2 * F.sum("observations")
+    cells = prompt_rows(verdicts).groupBy(*CELL).agg(
+        *code_tally(),
+        F.sum("record_wins").alias("_w"),
+        F.sum("record_losses").alias("_l"),
+        records.alias("_n"),
+    )
+    row = lambda name, w, l, t: F.struct(
+        F.lit(name).alias("estimand"), w.alias("wins"), l.alias("losses"), t.alias("ties")
+    )
+    w, l = F.col("_w"), F.col("_l")
+    stacked = F.explode(
+        F.array(
+            row("prompt_collapsed", F.col("wins"), F.col("losses"), F.col("ties")),
+            row("record_pooled", w, l, F.col("_n") - w - l),
+        )
+    )
+    return cells.select(*CELL, stacked.alias("_r")).select(*CELL, "_r.*")
+
+
 def holm(
     cells: DataFrame,
     family: Sequence[str],
@@ -236,13 +304,7 @@ def holm(
 
 def pairwise_report(verdicts: DataFrame) -> DataFrame:
     """Both estimands with statistics and family-wise adjusted p-values."""
-    stacked = (
-        prompt_collapsed(verdicts)
-        .select(*CELL, "wins", "losses", "ties")
-        .withColumn("estimand", F.lit("prompt_collapsed"))
-        .unionByName(record_pooled(verdicts).withColumn("estimand", F.lit("record_pooled")))
-    )
-    cells = stacked.select("*", *record_columns())
+    cells = both_estimands(verdicts).select("*", *record_columns())
     return holm(cells, ["benchmark", "platform", "estimand"])
 
 

@@ -24,7 +24,7 @@ PAIR_KEY = [*P.PROMPT, *P.CONTRAST]
 
 def two_judges(t: Tables) -> DataFrame:
     pairs = V.verdicts(t).withColumn("artifact", F.col("prompt"))
-    return A.join_two_judges(pairs, PAIR_KEY, JUDGES, ["outcome_ab", "outcome_ba", "verdict"])
+    return A.join_two_judges(pairs, PAIR_KEY, JUDGES, ["code_ab", "code_ba", "verdict"])
 
 
 JOINED_SQL = f"""{V.VERDICT_SQL}, joined AS (SELECT c.benchmark, c.platform, c.prompt, c.left_condition, c.right_condition, c.outcome_ab AS cross_ab,
@@ -321,12 +321,10 @@ def candidates(t: Tables) -> DataFrame:
         first("right_length").alias("right_length"),
         first("verdict").alias("same_family_decision"),
         F.max(F.when(~own, F.col("verdict"))).alias("cross_family_decision"),
-        first("outcome_ab").alias("_ab"),
-        first("outcome_ba").alias("_ba"),
+        first("code_ab").alias("_ab"),
+        first("code_ba").alias("_ba"),
     ).filter(F.col("same_family_decision").isNotNull())
-    side = lambda o: F.when(F.col(o) == F.col("left_condition"), "left").when(
-        F.col(o) == F.col("right_condition"), "right"
-    ).otherwise("tie")
+    side = lambda o: P.code_name(F.col(o))
     votes = F.array_compact(F.array(side("_ab"), side("_ba"), F.col("cross_family_decision")))
     count = lambda v: F.size(F.filter(votes, lambda x: x == v))
     ranked = F.sort_array(F.array(count("left"), count("right"), count("tie")), asc=False)

@@ -348,13 +348,11 @@ cells AS (SELECT run_set, {CELL}, {V.WLT_SQL}, CAST(sum(disagreements) AS BIGINT
 
 def run_cells(t: Tables) -> DataFrame:
     """Prompt-collapsed cells of each replication."""
-    same = F.min("verdict") == F.max("verdict")
-    prompts = V.verdicts(t, ["run_set"]).groupBy("run_set", *P.PROMPT, *P.CONTRAST).agg(
-        F.when(same, F.min("verdict")).otherwise(F.lit("tie")).alias("verdict"),
-        F.count_if(~F.col("consistent")).alias("disagreements"),
-    )
+    prompts = P.prompt_rows(V.verdicts(t, ["run_set"]), ["run_set"])
     return prompts.groupBy("run_set", *P.CELL).agg(
-        *P.tally(), F.sum("disagreements").alias("disagreements"), F.count(F.lit(1)).alias("prompts")
+        *P.code_tally(),
+        F.sum("presentation_disagreements").alias("disagreements"),
+        F.count(F.lit(1)).alias("prompts"),
     )
 
 

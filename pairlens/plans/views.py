@@ -94,39 +94,40 @@ def outcome(winner: Column, presentation: Column) -> Column:
     )
 
 
-def judgments(t: Tables, extra: list[str] | None = None) -> DataFrame:
-    """First record of each presentation, with its semantic outcome.
+def judgments(t: Tables) -> DataFrame:
+    return records(t).withColumn("outcome", outcome(F.col("winner"), F.col("presentation")))
 
-    ``extra`` adds key columns, for instance the run set of a replication.
-    """
-    keys = [*P.PAIR, *(extra or [])]
-    first = P.first_by(
-        P.valid_records(records(t)), [*keys, "presentation"], RECORD_ORDER, ["winner", "units", "o4"]
-    )
-    return first.withColumn("outcome", outcome(F.col("winner"), F.col("presentation")))
+
+def record_place() -> Column:
+    """The record order (order, line, supplier, price) as one decimal."""
+    line = (F.col("o1") * 10 + F.col("o2")).cast("decimal(16,0)")
+    supplier = F.lit(10**11).cast("decimal(12,0)") * line + F.col("o3")
+    return (supplier.cast("decimal(28,0)") * F.lit(10**10).cast("decimal(11,0)")).cast(
+        "decimal(38,0)"
+    ) + F.round(F.col("o4") * 100).cast("decimal(10,0)")
 
 
 def verdicts(t: Tables, extra: list[str] | None = None) -> DataFrame:
+    """``extra`` adds key columns, for instance the run set of a replication."""
     keys = [*P.PAIR, *(extra or [])]
-    return P.pair_verdicts(P.sides(judgments(t, extra), keys))
+    return P.pair_verdicts(P.first_sides(judgments(t), record_place(), keys))
 
 
 def measured(t: Tables, extra: list[str] | None = None) -> DataFrame:
     """Complete pairs with verdict, lengths and tokens of both sides, in one aggregate."""
     keys = [*P.PAIR, *(extra or [])]
-    shown = F.col("presentation")
-    ab = lambda c: F.max(F.when(shown == "A|B", c))
-    ba = lambda c: F.max(F.when(shown == "B|A", c))
-    pairs = judgments(t, extra).groupBy(*keys).agg(
-        ab(F.col("outcome")).alias("outcome_ab"),
-        ba(F.col("outcome")).alias("outcome_ba"),
-        ab(F.col("units").cast("bigint")).alias("left_length"),
-        ba(F.col("units").cast("bigint")).alias("right_length"),
-        ab(F.floor("o4").cast("bigint")).alias("left_tokens"),
-        ba(F.floor("o4").cast("bigint")).alias("right_tokens"),
+    rows = judgments(t).withColumns(
+        {"length": F.col("units").cast("bigint"), "tokens": F.floor("o4").cast("bigint")}
+    )
+    pairs = P.first_sides(rows, record_place(), keys, ["length", "tokens"])
+    return P.pair_verdicts(pairs).withColumnsRenamed(
+        {
+            "length_ab": "left_length",
+            "length_ba": "right_length",
+            "tokens_ab": "left_tokens",
+            "tokens_ba": "right_tokens",
+        }
     )
-    complete = F.col("outcome_ab").isNotNull() & F.col("outcome_ba").isNotNull()
-    return P.pair_verdicts(pairs.filter(complete))
 
 
 def _judgment_sql(extra: str = "") -> str:
