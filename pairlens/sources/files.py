@@ -54,20 +54,19 @@ BLOCK_LINES = 4096
 def scan_text(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
     """Whole files of one name below the roots, as (root, path, value).
 
-    A file that two roots reach is read once, under the first root.
+    A root inside another root is not scanned again, so a file that two roots
+    reach is read once and no text has to be shuffled to find copies. The file
+    belongs to the first listed root that holds it.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(list(roots))
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    plain = list(dict.fromkeys(r.rstrip("/") for r in roots))
+    outer = [r for r in plain if not any(r != o and r.startswith(o + "/") for o in plain)]
+    files = spark.read.text(
+        outer, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name
+    ).select(F.col("_metadata.file_path").alias("path"), "value")
     root = F.lit(None).cast("string")
-    for r in reversed(list(roots)):
-        plain = r.rstrip("/")
-        root = F.when(F.contains("path", F.lit(plain + "/")), F.lit(plain)).otherwise(root)
-    return files.select(root.alias("root"), "path", "value").dropDuplicates(["path"])
+    for r in reversed(plain):
+        root = F.when(F.contains("path", F.lit(r + "/")), F.lit(r)).otherwise(root)
+    return files.select(root.alias("root"), "path", "value")
 
 
 def folder(path: Column) -> Column:
