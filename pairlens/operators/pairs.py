@@ -246,7 +246,8 @@ def prompt_collapsed(verdicts: DataFrame) -> DataFrame:
 
 def games(verdicts: DataFrame) -> DataFrame:
     """Both presentations as separate games."""
-    return verdicts.withColumn("result", code_name(F.explode(F.array("code_ab", "code_ba"))))
+    shown = verdicts.withColumn("_code", F.explode(F.array("code_ab", "code_ba")))
+    return shown.withColumn("result", code_name(F.col("_code"))).drop("_code")
 
 
 def record_pooled(verdicts: DataFrame) -> DataFrame:

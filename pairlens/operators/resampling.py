@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.stats import counter_draw, replicate_key, seeded_draw
+from pairlens.session import written
 
 EXACT_LIMIT = 20_000
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events
@@ -35,6 +36,8 @@ def poisson_weight(draw: Column) -> Column:
 
 
 def _split_by_size(units: DataFrame, cell: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Units of small and of large cells; both branches read one written table."""
+    units = written(units, "units")
     sizes = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     sized = units.join(sizes, list(cell))
     return sized.filter(F.col("_n") <= limit), sized.filter(F.col("_n") > limit)
@@ -56,7 +59,7 @@ def bootstrap_means(
     exact_limit: int = EXACT_LIMIT,
 ) -> DataFrame:
     """Mean of each resample: one row per cell and replicate ``b``."""
-    small, large = _split_by_size(units, cell, exact_limit)
+    small, large = _split_by_size(units.select(*cell, *unit, value), cell, exact_limit)
     arrays = small.groupBy(*cell).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(*unit, F.col(value).alias("_v")))), lambda x: x["_v"]

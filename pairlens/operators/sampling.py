@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.stats import seeded_draw
-from pairlens.session import reliable_checkpoint
+from pairlens.session import written
 
 
 def quotas(strata: DataFrame, cell: Sequence[str], stratum: Sequence[str], count: int) -> DataFrame:
@@ -71,9 +71,9 @@ def balanced_packet(
     Contrasts are handled in order. Where the prompts that earlier contrasts did
     not take are fewer than ``count``, the whole pool of the group is used. The
     prompts taken so far are at most ``count`` per group and contrast. Every
-    step reads the candidates, so they and each small pick are checkpointed.
+    step reads the candidates, so they and each small pick are written once.
     """
-    candidates = reliable_checkpoint(candidates)
+    candidates = written(candidates, "candidates")
     picked = None
     for contrast in contrasts:
         pool = candidates.filter(F.col("contrast") == contrast)
@@ -86,8 +86,8 @@ def balanced_packet(
             pool = fresh.join(enough, list(group), "left_semi").unionByName(
                 pool.join(enough, list(group), "left_anti")
             )
-        chosen = reliable_checkpoint(
-            stratified_pick(pool, list(group), stratum, unit, count, seed)
+        chosen = written(
+            stratified_pick(pool, list(group), stratum, unit, count, seed), "picked"
         )
         picked = chosen if picked is None else picked.unionByName(chosen)
     return picked

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.rows import once
 from pairlens.functions.text import event_name, strip
+from pairlens.session import written
 
 EVENT_SCHEMA = (
     "type STRING, event STRING, event_type STRING, usage STRING, result STRING, text STRING, "
@@ -97,23 +99,32 @@ def _text_of(name: str) -> Column:
     return F.col(f"_node.{name}")
 
 
+NAMED_FIELDS = ("type", "event", "event_type", "tool", "tool_name", "name", "method")
+
+
+def _names() -> Column:
+    """Normalised names of a node's fields."""
+    return F.struct(*[event_name(_text_of(n)).alias(n) for n in NAMED_FIELDS])
+
+
 def _marker() -> Column:
     """Retrieval marker of one node, looking at no nested value."""
-    def listed(name: str) -> Column:
-        return F.when(event_name(_text_of(name)).isin(*RETRIEVAL_EVENTS), _text_of(name))
+    name = lambda n: F.col(f"_names.{n}")
 
-    def network(name: str) -> Column:
-        hit = F.regexp_extract(_text_of(name), NETWORK_COMMAND, 0)
+    def listed(field: str) -> Column:
+        return F.when(name(field).isin(*RETRIEVAL_EVENTS), _text_of(field))
+
+    def network(field: str) -> Column:
+        hit = F.regexp_extract(_text_of(field), NETWORK_COMMAND, 0)
         return F.when(hit != "", hit)
 
-    kind = event_name(_text_of("type"))
     direct = F.coalesce(*[listed(n) for n in ("type", "event", "event_type")])
     command = F.coalesce(*[network(n) for n in ("command", "cmd", "shell_command")])
     tool = F.coalesce(*[listed(n) for n in ("tool", "tool_name", "name", "method")])
     return (
         F.when(direct.isNotNull(), direct)
-        .when(kind.isin(*COMMAND_EVENTS), command)
-        .when(kind.isin(*TOOL_EVENTS), tool)
+        .when(name("type").isin(*COMMAND_EVENTS), command)
+        .when(name("type").isin(*TOOL_EVENTS), tool)
     )
 
 
@@ -129,9 +140,9 @@ def _children(items: Column, container: int) -> Column:
 def retrieval_flags(lines: DataFrame, key: list[str], column: str = "value") -> DataFrame:
     """First retrieval marker of each line, following nested item, data and payload.
 
-    Each level parses the nested texts of the level above; the loop ends when no
-    line has a deeper container, so any depth is followed. Error envelopes and
-    command nodes are not searched further.
+    Each level writes the nested texts the next one parses; the loop ends when
+    no line has a deeper container, so any depth is followed and no level is
+    parsed again. Error envelopes and command nodes are not searched further.
     """
     schema = ", ".join(f"{n} STRING" for n in NODE_FIELDS)
     level = lines.select(
@@ -139,21 +150,19 @@ def retrieval_flags(lines: DataFrame, key: list[str], column: str = "value") ->
     )
     found = None
     while True:
-        nodes = level.withColumn("_node", F.from_json("_text", schema)).filter(
-            F.col("_text").startswith("{") & F.col("_node").isNotNull()
-        )
+        objects = level.filter(F.col("_text").startswith("{"))
+        nodes = once(objects, "_node", F.from_json("_text", schema)).filter("_node IS NOT NULL")
+        nodes = once(nodes, "_names", _names())
         is_error = F.lit(False)
         for name in ("type", "event", "event_type"):
-            is_error = is_error | F.coalesce(
-                event_name(_text_of(name)).isin(*ERROR_EVENTS), F.lit(False)
-            )
-        nodes = nodes.filter(~is_error).withColumn("_marker", _marker())
+            is_error = is_error | F.coalesce(F.col(f"_names.{name}").isin(*ERROR_EVENTS), F.lit(False))
+        nodes = once(nodes.filter(~is_error), "_marker", _marker())
         hits = nodes.filter(F.col("_marker").isNotNull()).select(
             *key, F.col("_place").alias("place"), F.col("_marker").alias("marker")
         )
         found = hits if found is None else found.unionByName(hits)
         open_node = F.col("_marker").isNull() & ~F.coalesce(
-            event_name(_text_of("type")).isin(*COMMAND_EVENTS), F.lit(False)
+            F.col("_names.type").isin(*COMMAND_EVENTS), F.lit(False)
         )
         inner = []
         for i, name in enumerate(CONTAINERS):
@@ -163,11 +172,10 @@ def retrieval_flags(lines: DataFrame, key: list[str], column: str = "value") ->
             )
             inner.append(_children(items, i))
         empty = F.array().cast("array<struct<_text:string,_place:array<int>>>")
-        level = (
-            nodes.filter(open_node)
-            .select(*key, F.explode(F.concat(*[F.coalesce(x, empty) for x in inner])).alias("_n"))
-            .select(*key, "_n._text", "_n._place")
+        nested = nodes.filter(open_node).select(
+            *key, F.explode(F.concat(*[F.coalesce(x, empty) for x in inner])).alias("_n")
         )
+        level = written(nested.select(*key, "_n._text", "_n._place"), "nested")
         if level.isEmpty():
             break
     return found.groupBy(*key).agg(F.min_by("marker", "place").alias("marker"))
