@@ -123,18 +123,25 @@ def magnitude_bucket(value: Column) -> Column:
 
 
 def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, bucket: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str,
+    bucket: Column | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Tie-averaged rank of ``value`` within its key.
 
     Equal values are counted first, so ties collapse before any ordering. Only
-    distinct values are ordered, bucket by bucket.
+    distinct values are ordered, bucket by bucket. ``weight`` is the number of
+    rows a row stands for.
     """
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     spread = bucket if bucket is not None else magnitude_bucket(F.col(value))
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_ties"))
+        .agg(rows.alias("_ties"))
         .withColumn("_bucket", spread)
     )
     group = [*keys, "_bucket"]

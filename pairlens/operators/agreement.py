@@ -274,10 +274,11 @@ def human_auto_agreement(
 def decision_margin(votes: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
     """Top vote count minus the second one."""
     counts = votes.groupBy(*unit, value).agg(F.count(F.lit(1)).alias("c"))
-    # a unit has at most a handful of distinct votes
-    top = F.sort_array(F.collect_list("c"), asc=False)
-    return counts.groupBy(*unit).agg(top.alias("_c")).select(
-        *unit, (F.col("_c")[0] - F.coalesce(F.get("_c", F.lit(1)), F.lit(0))).alias("margin")
+    tops = counts.groupBy(*unit).agg(F.max("c").alias("_top"))
+    ranked = counts.join(tops, list(unit)).groupBy(*unit).agg(
+        F.any_value("_top").alias("_top"),
+        F.count_if(F.col("c") == F.col("_top")).alias("_n"),
+        F.max(F.when(F.col("c") < F.col("_top"), F.col("c"))).alias("_next"),
     )
-
-
+    second = F.when(F.col("_n") > 1, F.col("_top")).otherwise(F.coalesce("_next", F.lit(0)))
+    return ranked.select(*unit, (F.col("_top") - second).alias("margin"))

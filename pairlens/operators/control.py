@@ -174,28 +174,34 @@ def length_report(
 def spearman(pairs: DataFrame, keys: Sequence[str], value: str = "compute_ratio") -> DataFrame:
     """Rank correlation of the ratio with the outcome (win 1, tie 0.5, loss 0).
 
-    The outcome has three values, so its ranks follow from three counts; only
-    the ratio is ranked, bucket by bucket.
+    Pairs with equal ratio and outcome are counted first; ranks and sums then
+    run over those counts, so a very common ratio is one row. The outcome has
+    three values, and its ranks follow from three counts.
     """
-    score = F.when(F.col("verdict") == "left", 1.0).when(F.col("verdict") == "right", 0.0).otherwise(0.5)
-    scored = pairs.withColumn("_score", score)
-    ranked = average_rank(scored, keys, value, "_rank_x")
-    levels = scored.groupBy(*keys).agg(
-        F.count_if(F.col("_score") == 0).alias("_n0"),
-        F.count_if(F.col("_score") == 0.5).alias("_n1"),
-        F.count_if(F.col("_score") == 1).alias("_n2"),
-    )
+    score = F.when(F.col("verdict") == "left", 2).when(F.col("verdict") == "right", 0).otherwise(1)
+    counts = pairs.filter(F.col(value).isNotNull()).groupBy(*keys, value, score.alias("_score")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    level = lambda i: F.sum(F.when(F.col("_score") == i, F.col("_n")).otherwise(0))
+    levels = counts.groupBy(*keys).agg(*[level(i).alias(f"_n{i}") for i in range(3)])
+    ranked = average_rank(counts, keys, value, "_rank_x", weight=F.col("_n")).join(levels, list(keys))
+    total = F.col("_n0") + F.col("_n1") + F.col("_n2")
     rank_y = (
         F.when(F.col("_score") == 0, (F.col("_n0") + 1) / 2)
-        .when(F.col("_score") == 0.5, F.col("_n0") + (F.col("_n1") + 1) / 2)
+        .when(F.col("_score") == 1, F.col("_n0") + (F.col("_n1") + 1) / 2)
         .otherwise(F.col("_n0") + F.col("_n1") + (F.col("_n2") + 1) / 2)
     )
-    both = ranked.join(levels, list(keys)).withColumn("_rank_y", rank_y)
-    flat = (F.min("_rank_x") == F.max("_rank_x")) | (F.min("_rank_y") == F.max("_rank_y"))
-    return both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(~flat & (F.count(F.lit(1)) >= 2), F.corr("_rank_x", "_rank_y")).alias("rho"),
-    )
+    # both rankings have the mean (n + 1) / 2
+    dx, dy, w = F.col("_rank_x") - (total + 1) / 2, rank_y - (total + 1) / 2, F.col("_n")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(w).alias("n"),
+        F.sum(w * dx * dy).alias("_xy"),
+        F.sum(w * dx * dx).alias("_xx"),
+        F.sum(w * dy * dy).alias("_yy"),
+    )
+    varies = (F.col("n") >= 2) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    rho = F.when(varies, F.col("_xy") / (F.sqrt("_xx") * F.sqrt("_yy")))
+    return sums.select(*keys, "n", rho.alias("rho"))
 
 
 def compute_report(

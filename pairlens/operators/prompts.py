@@ -139,13 +139,17 @@ def language_count(prompts: DataFrame) -> DataFrame:
     )
 
 
-def tertiles(prompts: DataFrame, keys: Sequence[str], length: str, prompt_id: str) -> DataFrame:
+def tertiles(
+    prompts: DataFrame, keys: Sequence[str], length: str, prompt_id: str, prefix: int = 4
+) -> DataFrame:
     """Length tertile 0, 1 or 2 by position over (length, id).
 
-    The length itself coarsens the order, so positions come from counts per
-    length; a group is never sorted in one task.
+    The length and the first characters of the id coarsen the order, so
+    positions come from counts per bucket: neither a large group nor a length
+    that very many prompts share is sorted in one task.
     """
-    placed = row_index(prompts, keys, [length], [prompt_id], "_place")
+    cut = prompts.withColumn("_prefix", F.left(prompt_id, F.lit(prefix)))
+    placed = row_index(cut, keys, [length, "_prefix"], [prompt_id], "_place").drop("_prefix")
     sizes = prompts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     third = F.floor((F.col("_place") - 1) * 3 / F.col("_n"))
     return placed.join(sizes, list(keys)).withColumn(

@@ -29,18 +29,20 @@ def length_score(requested: Column, produced: Column) -> Column:
 def wilcoxon_signed_rank(diffs: DataFrame, keys: Sequence[str], value: str = "diff") -> DataFrame:
     """Signed-rank sums with a tie-corrected normal p-value; zeros are dropped.
 
-    Ranks come from counts of equal absolute differences, bucket by bucket, so
-    no contrast is ordered in one task.
+    Equal differences are counted first; ranks come from those counts, bucket by
+    bucket, so no contrast is ordered in one task.
     """
-    rows = diffs.filter(F.col(value) != 0).withColumn("_abs", F.abs(F.col(value)))
-    ranked = average_rank(rows, keys, "_abs", "_rank")
-    ties = F.col("_rank_ties").cast("double")
+    rows = diffs.filter(F.col(value) != 0).groupBy(
+        *keys, F.abs(F.col(value)).alias("_abs"), (F.col(value) > 0).alias("_up")
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = average_rank(rows, keys, "_abs", "_rank", weight=F.col("_n"))
+    ties, w = F.col("_rank_ties").cast("double"), F.col("_n")
     cells = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(value) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(value) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
+        F.sum(w).alias("n"),
+        F.sum(F.when(F.col("_up"), w * F.col("_rank")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(~F.col("_up"), w * F.col("_rank")).otherwise(0.0)).alias("w_minus"),
         # a group of t ties adds t^3 - t; each of its t rows adds t^2 - 1
-        F.sum(ties * ties - 1).alias("_ties"),
+        F.sum(w * (ties * ties - 1)).alias("_ties"),
     )
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4

@@ -1,20 +1,28 @@
 """Bootstrap over units (prompts) with reproducible draws.
 
 Cells up to ``exact_limit`` units are resampled exactly: the unit values of a
-cell are one bounded array, each replicate is one row, and the draws happen
-inside the row, so no draw is ever shuffled. Larger cells give each unit a
+cell are one bounded array, its replicates are spread over tasks, and the draws
+happen inside the task, so no draw is ever shuffled. Larger cells give each unit a
 Poisson(1) weight per replicate, the usual form of the bootstrap for data that
 is spread over many machines; it needs one pass with map-side sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import counter_draw, replicate_key, seeded_draw
+from pairlens.functions.stats import (
+    DRAW_MODULUS,
+    DRAW_MULTIPLIERS,
+    counter_draw,
+    replicate_key,
+    seeded_draw,
+)
 from pairlens.session import written
 
 EXACT_LIMIT = 20_000
@@ -49,6 +57,33 @@ def _replicates(df: DataFrame, resamples: int, seed: int) -> DataFrame:
     return rows.withColumn("_key", replicate_key(seed, F.col("b"))).repartition("b")
 
 
+REPLICATES_PER_ROW = 50
+
+
+def _chunk_means(
+    frames: Iterator[pd.DataFrame], cell: list[str], resamples: int, seed: int
+) -> Iterator[pd.DataFrame]:
+    """Replicate means of the bounded arrays, with the draws of ``counter_draw``."""
+
+    def mix(x: np.ndarray, multiplier: int) -> np.ndarray:
+        return (x ^ (x >> 15)) * multiplier % DRAW_MODULUS
+
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            values = np.asarray(row["_values"], dtype="float64")
+            first = row["_chunk"] * REPLICATES_PER_ROW
+            b = np.arange(first, min(first + REPLICATES_PER_ROW, resamples), dtype="int64")
+            key = (seed + b * 40503) % DRAW_MODULUS
+            key = mix(mix(key, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
+            draw = (key[:, None] + np.arange(len(values), dtype="int64") * 69069) % DRAW_MODULUS
+            for multiplier in DRAW_MULTIPLIERS:
+                draw = mix(draw, multiplier)
+            out = pd.DataFrame({"b": b.astype("int32"), "mean": values[draw % len(values)].mean(axis=1)})
+            for name in cell:
+                out[name] = row[name]
+            yield out[[*cell, "b", "mean"]]
+
+
 def bootstrap_means(
     units: DataFrame,
     cell: Sequence[str],
@@ -65,16 +100,17 @@ def bootstrap_means(
             F.array_sort(F.collect_list(F.struct(*unit, F.col(value).alias("_v")))), lambda x: x["_v"]
         ).alias("_values")
     )
-    n = F.size("_values")
-    picked = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.lit(0.0),
-        lambda acc, slot: acc
-        + F.element_at(
-            "_values", (counter_draw(F.col("_key"), slot) % n).cast("int") + 1
-        ),
+    kinds = dict(units.dtypes)
+    head = "".join(f"`{c}` {kinds[c]}, " for c in cell)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // REPLICATES_PER_ROW)))
+    exact = (
+        arrays.withColumn("_chunk", chunks)
+        .repartition(*cell, "_chunk")
+        .mapInPandas(
+            lambda frames: _chunk_means(frames, list(cell), resamples, seed),
+            f"{head}b int, mean double",
+        )
     )
-    exact = _replicates(arrays, resamples, seed).select(*cell, "b", (picked / n).alias("mean"))
     weighted = large.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
         "_w", poisson_weight(seeded_draw(seed, F.col("b"), *[F.col(u) for u in unit]))
     )

@@ -570,22 +570,24 @@ def scan_score_manifests(t: Tables) -> DataFrame:
 
 
 def score_files(t: Tables) -> DataFrame:
-    """One text file of score lines per order; some lines are broken, some no object."""
+    """Text files of at most twenty score lines; some lines are broken, some no object."""
     line = (
-        F.when(F.col("l_quantity") == 11, "{broken")
-        .when(F.col("l_quantity") == 12, "[1]")
-        .otherwise(F.to_json(F.struct(F.lit("A|B").alias("presentation"), F.lit("A").alias("winner"), F.col("l_quantity").alias("score"))))
+        F.when(F.col("event_id") % 211 == 11, "{broken")
+        .when(F.col("event_id") % 13 == 12, "[1]")
+        .otherwise(
+            F.to_json(F.struct(F.lit("A|B").alias("presentation"), F.lit("A").alias("winner"), (F.col("event_id") % 100).alias("score")))
+        )
     )
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("path")).agg(
+    return t.events.groupBy(F.floor(F.col("event_id") / 20).alias("path")).agg(
         F.concat_ws("\n", F.collect_list(line)).alias("value")
     )
 
 
 @query(
     "scan_score_records",
-    """WITH r AS (SELECT l_orderkey, l_quantity, count(*) FILTER (l_quantity = 11) OVER (PARTITION BY l_orderkey) AS broken FROM lineitem)
-    SELECT 'strict' AS mode, count(*) AS records, CAST(sum(l_quantity) AS BIGINT) AS score FROM r WHERE broken = 0 AND l_quantity <> 12
-    UNION ALL SELECT 'tolerant', count(*), CAST(sum(l_quantity) AS BIGINT) FROM r WHERE l_quantity NOT IN (11, 12)""",
+    """WITH r AS (SELECT event_id, count(*) FILTER (event_id % 211 = 11) OVER (PARTITION BY event_id // 20) AS broken FROM events)
+    SELECT 'strict' AS mode, count(*) AS records, CAST(sum(event_id % 100) AS BIGINT) AS score FROM r WHERE broken = 0 AND event_id % 13 <> 12
+    UNION ALL SELECT 'tolerant', count(*), CAST(sum(event_id % 100) AS BIGINT) FROM r WHERE event_id % 211 <> 11 AND event_id % 13 <> 12""",
 )
 def scan_score_records(t: Tables) -> DataFrame:
     def total(mode: str) -> DataFrame:
@@ -599,15 +601,15 @@ def scan_score_records(t: Tables) -> DataFrame:
 
 @query(
     "scan_trace",
-    """WITH e AS (SELECT user_id, event_type, event_id, count(*) FILTER (event_id % 1999 = 1) OVER (PARTITION BY user_id) AS bad,
-      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
-    SELECT user_id AS path, event_type, count(*) AS n, CAST(sum(2 * rn) AS BIGINT) AS places FROM e WHERE bad = 0 GROUP BY ALL""",
+    """WITH e AS (SELECT event_id // 50 AS path, event_type, event_id, count(*) FILTER (event_id % 1999 = 1) OVER (PARTITION BY event_id // 50) AS bad,
+      row_number() OVER (PARTITION BY event_id // 50 ORDER BY ts, event_id) AS rn FROM events)
+    SELECT path, event_type, count(*) AS n, CAST(sum(2 * rn) AS BIGINT) AS places FROM e WHERE bad = 0 GROUP BY ALL""",
 )
 def scan_trace(t: Tables) -> DataFrame:
-    """Trace files with a blank line before each event; one bad line refuses a file."""
+    """Trace files of fifty events, a blank line before each; a bad line refuses its file."""
     line = F.when(F.col("event_id") % 1999 == 1, "oops").otherwise(F.to_json(F.struct("event_type")))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
-    files = t.events.groupBy(F.col("user_id").alias("path")).agg(
+    files = t.events.groupBy(F.floor(F.col("event_id") / 50).alias("path")).agg(
         F.concat_ws("", F.transform(ordered, lambda e: F.concat(F.lit(" \n"), e["line"], F.lit("\n")))).alias("value")
     )
     events, _ = S.parse_trace(files)
@@ -618,18 +620,18 @@ def scan_trace(t: Tables) -> DataFrame:
 
 @query(
     "scan_prompt_manifest",
-    """SELECT source AS path, count(*) FILTER (doc_id % 97 = 5) AS bad_lines, count(*) FILTER (doc_id % 97 <> 5) AS rows, count(DISTINCT lang) FILTER (doc_id % 97 <> 5) AS benchmarks,
-      count(DISTINCT doc_id % 500) FILTER (doc_id % 97 <> 5) AS ids FROM documents GROUP BY ALL""",
+    """SELECT doc_id // 30 AS path, count(*) FILTER (doc_id % 97 = 5) AS bad_lines, count(*) FILTER (doc_id % 97 <> 5) AS rows, count(DISTINCT lang) FILTER (doc_id % 97 <> 5) AS benchmarks,
+      count(DISTINCT doc_id % 25) FILTER (doc_id % 97 <> 5) AS ids FROM documents GROUP BY ALL""",
 )
 def scan_prompt_manifest(t: Tables) -> DataFrame:
     row = F.to_json(
         F.struct(
-            (F.col("doc_id") % 500).cast("string").alias("prompt_id"), F.col("lang").alias("benchmark_name"),
+            (F.col("doc_id") % 25).cast("string").alias("prompt_id"), F.col("lang").alias("benchmark_name"),
             F.lit("v1").alias("source_version"), F.col("text").alias("prompt_text"),
         )
     )
     line = F.when(F.col("doc_id") % 97 == 5, "42").otherwise(row)
-    files = t.documents.groupBy(F.col("source").alias("path")).agg(
+    files = t.documents.groupBy(F.floor(F.col("doc_id") / 30).alias("path")).agg(
         F.concat_ws("\n\n", F.collect_list(line)).alias("value")
     )
     _, checks = S.parse_prompt_manifest(files)

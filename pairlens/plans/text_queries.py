@@ -175,14 +175,13 @@ def event_name(t: Tables) -> DataFrame:
 
 @query(
     "numbered_list",
-    """SELECT conv_id, string_agg((rn)::VARCHAR || '. ' || replace(text, chr(10), chr(10) || '   '), chr(10) ORDER BY rn) AS listed
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id""",
+    """SELECT doc_id, md5(list_aggregate(list_transform(string_split(text, '. '), lambda x, i: i || '. ' || replace(x, chr(10), chr(10) || '   ')), 'string_agg', chr(10))) AS listed
+    FROM documents""",
 )
 def numbered_list(t: Tables) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return t.conversations.groupBy("conv_id").agg(
-        X.numbered_list(F.transform(turns, lambda x: x["text"])).alias("listed")
-    )
+    """The sentences of a text as a numbered list."""
+    listed = X.numbered_list(F.split("text", r"\. "))
+    return t.documents.select("doc_id", F.md5(listed).alias("listed"))
 
 
 # Identity strings replaced and searched by the redaction queries
@@ -279,7 +278,7 @@ def union_sources(t: Tables) -> DataFrame:
 )
 def tertiles(t: Tables) -> DataFrame:
     sized = prompts(t).select("benchmark", "prompt_id", X.word_count(F.col("prompt_text")).alias("words"))
-    return T.tertiles(sized, ["benchmark"], "words", "prompt_id").select("benchmark", "prompt_id", "tertile")
+    return T.tertiles(sized, ["benchmark"], "words", "prompt_id", prefix=8).select("benchmark", "prompt_id", "tertile")
 
 
 @query(
