@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 
 def _attach(df: DataFrame, small: DataFrame, on: Sequence[str], take: Sequence[str]) -> DataFrame:
-    """Left equi-join on the keys, which are never null in these tables.
+    """Bring the columns of one small row per key to the rows of that key.
 
-    Plain equality keeps the partitioning of the window below it, so the large
-    side is not shuffled a second time.
+    Keys are never null here and every key has its small row, so this is an
+    inner equi-join. Both sides then carry the same filters down to their
+    common input, and Spark reads that input once; plain equality also keeps
+    the partitioning of the window below, so the rows are not shuffled again.
     """
-    return df.join(small.select(*on, *take), list(on), "left")
+    return df.join(small.select(*on, *take), list(on))
 
 
 def row_index(
@@ -50,12 +52,6 @@ def row_index(
     )
 
 
-def key_size(df: DataFrame, keys: Sequence[str], out: str = "key_size") -> DataFrame:
-    """Rows per key, attached to every row; partial counts make the shuffle small."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return _attach(df, sizes, keys, [out])
-
-
 def previous_value(
     df: DataFrame,
     keys: Sequence[str],
@@ -134,13 +130,13 @@ def average_rank(
 
     Equal values are counted first, so ties collapse before any ordering. Only
     distinct values are ordered, bucket by bucket. ``weight`` is the number of
-    rows a row stands for.
+    rows a row stands for. Rows without a value drop out.
     """
+    df = df.filter(F.col(value).isNotNull())
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     spread = bucket if bucket is not None else magnitude_bucket(F.col(value))
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        df.groupBy(*keys, value)
         .agg(rows.alias("_ties"))
         .withColumn("_bucket", spread)
     )

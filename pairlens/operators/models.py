@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.stats import logistic
 from pairlens.operators.resampling import resample_weights
-from pairlens.session import reliable_checkpoint
+from pairlens.session import reliable_checkpoint, written
 
 
 def bradley_terry(games: DataFrame, keys: Sequence[str], max_iterations: int = 10_000) -> DataFrame:
@@ -93,6 +93,10 @@ def fit_logistic(
     ``points(keys, x, y, weight)``. A group whose information matrix is singular
     gets the status ``singular`` in place of an error.
     """
+    # equal points are merged, and every step reads the merged table
+    points = written(
+        points.groupBy(*keys, "x", "y").agg(F.sum("weight").alias("weight")), "newton"
+    )
     params = points.select(*keys).distinct().select(
         *keys,
         F.lit(0.0).alias("intercept"),
@@ -165,8 +169,11 @@ def logistic_cluster_bootstrap(points: DataFrame, resamples: int, seed: int) ->
     Points with equal x and y of a prompt are merged first; all replicates of
     all contrasts take each Newton step together.
     """
-    merged = points.groupBy(*CONTRAST, "benchmark", "prompt", "x", "y").agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
+    merged = written(
+        points.groupBy(*CONTRAST, "benchmark", "prompt", "x", "y").agg(
+            F.count(F.lit(1)).cast("double").alias("weight")
+        ),
+        "points",
     )
     whole = fit_logistic(merged.select(*CONTRAST, "x", "y", "weight"), CONTRAST)
     clusters = merged.select(*CONTRAST, "benchmark", "prompt").distinct()
@@ -176,7 +183,7 @@ def logistic_cluster_bootstrap(points: DataFrame, resamples: int, seed: int) ->
         .groupBy(*CONTRAST, "b", "x", "y")
         .agg(F.sum(F.col("weight") * F.col("_times")).alias("weight"))
     )
-    fits = fit_logistic(reliable_checkpoint(sampled), [*CONTRAST, "b"]).filter("status = 'ok'")
+    fits = fit_logistic(sampled, [*CONTRAST, "b"]).filter("status = 'ok'")
     ends = F.array(F.lit(0.025), F.lit(0.975))
     spread = fits.groupBy(*CONTRAST).agg(
         F.count(F.lit(1)).alias("replicates"),

@@ -23,7 +23,6 @@ from pairlens.functions.stats import (
     replicate_key,
     seeded_draw,
 )
-from pairlens.session import written
 
 EXACT_LIMIT = 20_000
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events
@@ -44,8 +43,6 @@ def poisson_weight(draw: Column) -> Column:
 
 
 def _split_by_size(units: DataFrame, cell: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Units of small and of large cells; both branches read one written table."""
-    units = written(units, "units")
     sizes = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     sized = units.join(sizes, list(cell))
     return sized.filter(F.col("_n") <= limit), sized.filter(F.col("_n") > limit)
@@ -93,7 +90,10 @@ def bootstrap_means(
     seed: int,
     exact_limit: int = EXACT_LIMIT,
 ) -> DataFrame:
-    """Mean of each resample: one row per cell and replicate ``b``."""
+    """Mean of each resample: one row per cell and replicate ``b``.
+
+    The units are read by several branches; pass a stored table.
+    """
     small, large = _split_by_size(units.select(*cell, *unit, value), cell, exact_limit)
     arrays = small.groupBy(*cell).agg(
         F.transform(

@@ -43,13 +43,51 @@ def ordered_switches(trace: DataFrame) -> DataFrame:
     """Targets with their position, the target before and the collapsed position.
 
     ``previous`` is the last observed target; ``from_process`` is ignored.
-    ``step`` counts targets after immediate repeats are dropped.
+    ``step`` counts targets after immediate repeats are dropped. Rows are
+    ordered inside (run, bucket); one summary row per bucket carries the number
+    of targets, the number of steps and the last target on to later buckets.
     """
-    rows = row_index(switches(trace), ["run_id"], ["bucket"], ORDER, "place")
-    rows = previous_value(rows, ["run_id"], ["bucket"], ORDER, F.col("to_process"), "previous")
-    changed = F.col("previous").isNull() | (F.col("previous") != F.col("to_process"))
-    rows = rows.withColumn("changed", changed)
-    return running_count(rows, ["run_id"], ["bucket"], ORDER, F.col("changed"), "step")
+    group = ["run_id", "bucket"]
+    local = Window.partitionBy(*group).orderBy(*ORDER)
+    rows = switches(trace).withColumns(
+        {"_place": F.row_number().over(local), "_near": F.lag("to_process").over(local)}
+    )
+    inner = F.when(F.col("_near") != F.col("to_process"), 1).otherwise(0)
+    rows = rows.withColumn("_inner", F.sum(inner).over(local))
+    place = F.col("_place")
+    summary = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("_inner").alias("_changes"),
+        F.max(F.when(place == 1, F.col("to_process"))).alias("_first"),
+        F.max_by("to_process", place).alias("_last"),
+    )
+    by_bucket = Window.partitionBy("run_id").orderBy("bucket")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(F.col("_carried").isNull() | (F.col("_carried") != F.col("_first")), 1).otherwise(0)
+    carried = (
+        summary.withColumn("_carried", F.lag("_last").over(by_bucket))
+        .withColumn("_opens", opens)
+        .select(
+            *group,
+            "_carried",
+            "_opens",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+            F.coalesce(F.sum(F.col("_changes") + F.col("_opens")).over(before), F.lit(0)).alias("_steps"),
+        )
+    )
+    previous = F.coalesce("_near", "_carried")
+    return (
+        rows.join(carried, group)
+        .withColumns(
+            {
+                "place": (place + F.col("_offset")).cast("bigint"),
+                "previous": previous,
+                "changed": previous.isNull() | (previous != F.col("to_process")),
+                "step": (F.col("_steps") + F.col("_opens") + F.col("_inner")).cast("bigint"),
+            }
+        )
+        .drop("_place", "_near", "_inner", "_carried", "_opens", "_offset", "_steps")
+    )
 
 
 def run_ends(trace: DataFrame, attrs: Sequence[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from pairlens.operators import resampling as B
 from pairlens.plans import views as V
 from pairlens.plans.pairwise_queries import replace_sql, rounded
 from pairlens.plans.registry import Tables, query, r6
+from pairlens.session import written
 
 SHORTER = ("A4", "A1")
 
@@ -288,7 +289,7 @@ def unit_means(t: Tables) -> DataFrame:
     f"WITH {UNIT_SQL} SELECT benchmark, left_condition, right_condition, CAST(b AS INTEGER) AS b, {r6('mean')} AS mean FROM means",
 )
 def bootstrap_mean(t: Tables) -> DataFrame:
-    return rounded(B.bootstrap_means(unit_means(t), CELL, ["prompt"], "value", RESAMPLES, SEED), "mean")
+    return rounded(B.bootstrap_means(written(unit_means(t), "units"), CELL, ["prompt"], "value", RESAMPLES, SEED), "mean")
 
 
 @query(
@@ -315,7 +316,7 @@ def order_statistics(t: Tables) -> DataFrame:
     FROM cells JOIN ends USING (benchmark, left_condition, right_condition)""",
 )
 def prompt_level_rate(t: Tables) -> DataFrame:
-    units = unit_means(t)
+    units = written(unit_means(t), "units")
     ends = B.interpolated_interval(
         B.bootstrap_means(units, CELL, ["prompt"], "value", RESAMPLES, SEED), CELL
     )

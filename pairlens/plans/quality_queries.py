@@ -14,6 +14,7 @@ from pairlens.operators import resampling as B
 from pairlens.plans import views as V
 from pairlens.plans.pairwise_queries import replace_sql, rounded
 from pairlens.plans.registry import Tables, query, r6
+from pairlens.session import written
 
 POINT_COLUMNS = [
     "p_type AS benchmark",
@@ -217,7 +218,7 @@ cells AS (SELECT benchmark, left_condition, right_condition, count(*) AS prompts
 
 
 def paired_bootstrap_report(t: Tables) -> DataFrame:
-    units = diffs(t, BOOT_CONTRASTS)
+    units = written(diffs(t, BOOT_CONTRASTS), "diffs")
     means = B.bootstrap_means(units, PAIR_CELL, ["prompt"], "diff", RESAMPLES, SEED)
     cells = units.groupBy(*PAIR_CELL).agg(
         F.count(F.lit(1)).alias("prompts"), F.avg("diff").alias("mean_difference")
