@@ -83,17 +83,17 @@ def previous_value(
     )
 
 
-def running_count(
+def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     bucket: Sequence[str],
     order: Sequence[str],
-    flag: Column,
+    amount: Column,
     out: str,
 ) -> DataFrame:
-    """How many rows up to and including this one satisfy the flag."""
+    """Sum of an integer amount up to and including each row."""
     group = [*keys, *bucket]
-    marked = df.withColumn("_flag", F.when(flag, 1).otherwise(0))
+    marked = df.withColumn("_amount", amount)
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -102,17 +102,29 @@ def running_count(
     )
     offsets = (
         marked.groupBy(*group)
-        .agg(F.sum("_flag").alias("_flags"))
-        .select(*group, F.coalesce(F.sum("_flags").over(before), F.lit(0)).alias("_offset"))
+        .agg(F.sum("_amount").alias("_sums"))
+        .select(*group, F.coalesce(F.sum("_sums").over(before), F.lit(0)).alias("_offset"))
     )
-    counted = marked.withColumn("_near", F.sum("_flag").over(local))
+    summed = marked.withColumn("_near", F.sum("_amount").over(local))
     return (
-        _attach(counted, offsets, group, ["_offset"])
+        _attach(summed, offsets, group, ["_offset"])
         .withColumn(out, (F.col("_near") + F.col("_offset")).cast("bigint"))
-        .drop("_flag", "_near", "_offset")
+        .drop("_amount", "_near", "_offset")
     )
 
 
+def running_count(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Sequence[str],
+    order: Sequence[str],
+    flag: Column,
+    out: str,
+) -> DataFrame:
+    """How many rows up to and including this one satisfy the flag."""
+    return running_sum(df, keys, bucket, order, F.when(flag, 1).otherwise(0), out)
+
+
 def magnitude_bucket(value: Column) -> Column:
     """Monotone bucket of a positive double, about 0.1 % wide."""
     return F.floor(F.log2(value) * 1024).cast("bigint")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.ordering import running_sum
+from pairlens.session import written
+
 PRICE_KEYS = ("input", "cached_input", "output")
 # The names under which a counter may be recorded, in order
 CACHED = ("cached_input_tokens", "cached_tokens", "cache_read_tokens")
@@ -143,27 +146,95 @@ def strict_token_usage(events: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def running_budget(stages: DataFrame, limit: int) -> DataFrame:
-    """Greedy output budget over the ordered stages of each run.
+FOLD_LIMIT = 10_000
+BLOCK = 4096
+
+
+def running_budget(stages: DataFrame, limit: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Greedy output budget over the ordered stages ``(path, pos, units)`` of each run.
 
-    A stage that would overflow is rejected and uses nothing. Stages larger
-    than the whole budget can never be taken and are counted before the fold,
-    so the folded array holds only stages that fit.
+    A stage that would overflow is rejected and uses nothing. Runs with up to
+    ``fold_limit`` stages are folded in one bounded array; longer runs go
+    through rounds of running sums that many tasks share.
     """
-    fits = F.col("units") <= limit
-    per_run = stages.groupBy("path").agg(
-        F.count(F.lit(1)).alias("stages"),
-        F.array_sort(F.collect_list(F.when(fits, F.struct("pos", "units")))).alias("_fit"),
+    sizes = stages.groupBy("path").agg(F.count(F.lit(1)).alias("stages"))
+    short, long = F.col("stages") <= fold_limit, F.col("stages") > fold_limit
+    folded = _fold_budget(stages.join(sizes.filter(short), "path"), limit)
+    large = sizes.filter(long)
+    if large.isEmpty():
+        return folded
+    return folded.unionByName(_budget_rounds(stages.join(large.select("path"), "path"), large, limit))
+
+
+def _result(used: Column, taken: Column) -> list[Column]:
+    return [
+        F.col("path"),
+        F.col("stages"),
+        used.alias("used"),
+        taken.alias("accepted"),
+        (F.col("stages") - taken).alias("rejected"),
+    ]
+
+
+def _fold_budget(stages: DataFrame, limit: int) -> DataFrame:
+    per_run = stages.groupBy("path", "stages").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "units"))).alias("_ordered")
     )
     step = lambda acc, s: F.when(
         acc["used"] + s["units"] <= limit,
         F.struct((acc["used"] + s["units"]).alias("used"), (acc["taken"] + 1).alias("taken")),
     ).otherwise(acc)
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("taken"))
-    return per_run.withColumn("_state", F.aggregate("_fit", start, step)).select(
-        "path",
+    state = per_run.withColumn("_state", F.aggregate("_ordered", start, step))
+    return state.select(*_result(F.col("_state.used"), F.col("_state.taken")))
+
+
+def _budget_rounds(stages: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """Each round accepts the stages up to the first overflow of every run.
+
+    Later stages that no longer fit the rest are dropped at once; the first one
+    left always fits, so a run needs far fewer rounds than it has stages.
+    Stages of zero units always fit and are only counted.
+    """
+    free = stages.groupBy("path").agg(F.count_if(F.col("units") == 0).alias("_free"))
+    state = written(
+        sizes.join(free, "path").select(
+            "path",
+            "stages",
+            F.lit(0).cast("bigint").alias("used"),
+            F.col("_free").alias("taken"),
+            F.lit(-1).cast("bigint").alias("cut"),
+        ),
+        "budget",
+    )
+    open_stages = written(
+        stages.filter((F.col("units") > 0) & (F.col("units") <= limit)).select(
+            "path", F.floor(F.col("pos") / BLOCK).alias("bucket"), "pos", "units"
+        ),
         "stages",
-        F.col("_state.used").alias("used"),
-        F.col("_state.taken").alias("accepted"),
-        (F.col("stages") - F.col("_state.taken")).alias("rejected"),
     )
+    while not open_stages.isEmpty():
+        summed = running_sum(open_stages, ["path"], ["bucket"], ["pos"], F.col("units"), "_sum")
+        left = F.lit(limit) - F.col("used")
+        fits = F.col("_sum") <= left
+        taken = summed.join(state.select("path", "used"), "path").groupBy("path").agg(
+            F.max(F.when(fits, F.col("_sum"))).alias("_used"),
+            F.count_if(fits).alias("_taken"),
+            F.min(F.when(~fits, F.col("pos"))).alias("_cut"),
+        )
+        # a run without an overflow is finished: nothing lies behind its end
+        state = written(
+            state.join(taken, "path", "left").select(
+                "path",
+                "stages",
+                (F.col("used") + F.coalesce("_used", F.lit(0))).alias("used"),
+                (F.col("taken") + F.coalesce("_taken", F.lit(0))).alias("taken"),
+                F.coalesce("_cut", F.lit((1 << 63) - 1)).alias("cut"),
+            ),
+            "budget",
+        )
+        rest = open_stages.join(state.select("path", "used", "cut"), "path").filter(
+            (F.col("pos") > F.col("cut")) & (F.col("units") <= F.lit(limit) - F.col("used"))
+        )
+        open_stages = written(rest.select("path", "bucket", "pos", "units"), "stages")
+    return state.select(*_result(F.col("used"), F.col("taken")))

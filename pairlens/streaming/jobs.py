@@ -22,7 +22,7 @@ LATENESS = "1 day"
 IDLE_MS = 24 * 3600 * 1000
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Event files as a stream; a batch takes a bounded number of files."""
     return (
         spark.readStream.schema(schema)

@@ -142,3 +142,19 @@ def test_length_score(spark):
     df = spark.createDataFrame(cases, "x double, y double, want double")
     for r in df.withColumn("got", X.length_score(F.col("x"), F.col("y"))).collect():
         assert r.got == pytest.approx(r.want)
+
+
+def test_running_budget_fold_and_rounds_agree_with_brute_force(spark):
+    from pairlens.operators import cost as K
+
+    rng = random.Random(9)
+    runs = {f"r{i}": [rng.choice([0, 1, 3, 7, 20, 60]) for _ in range(rng.randrange(1, 40))] for i in range(12)}
+    rows = [(k, i, u) for k, us in runs.items() for i, u in enumerate(us)]
+    df = spark.createDataFrame(rows, "path string, pos bigint, units bigint")
+    for limit_rows in (10_000, 5):
+        for r in K.running_budget(df, 50, limit_rows).collect():
+            used = taken = 0
+            for u in runs[r.path]:
+                if used + u <= 50:
+                    used, taken = used + u, taken + 1
+            assert (r.used, r.accepted, r.stages) == (used, taken, len(runs[r.path]))
