@@ -143,3 +143,38 @@ def test_logistic_recovers_known_coefficients(spark):
     fit = {r.g: r for r in M.fit_logistic(points, ["g"]).collect()}
     assert abs(fit["g"].intercept - 0.4) < 0.01 and abs(fit["g"].slope - 2) < 0.02
     assert fit["g"].status == "ok" and fit["s"].status == "singular"
+
+
+def test_mean_strengths_need_every_judge(spark):
+    fits = spark.createDataFrame(
+        [("x", "j1", "ok", "A4", 2.0), ("x", "j2", "ok", "A4", 4.0), ("y", "j1", "ok", "A4", 2.0), ("y", "j2", "complete separation", "A4", None)],
+        "cell string, judge_id string, status string, condition string, strength double",
+    )
+    assert {r.cell: r.strength for r in M.mean_strengths(fits, ["cell"]).collect()} == {"x": 3.0, "y": None}
+
+
+def test_cluster_bootstrap_brackets_the_fit(spark):
+    import math
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        x = rng.choice([-0.6, -0.2, 0.3, 0.7])
+        rows.append(("A4", "A1", "b", f"p{i // 2}", x, float(rng.random() < 1 / (1 + math.exp(-(0.5 + 1.5 * x))))))
+    points = spark.createDataFrame(
+        rows, "left_condition string, right_condition string, benchmark string, prompt string, x double, y double"
+    )
+    row = M.logistic_cluster_bootstrap(points, 20, 3).first()
+    assert (row.status, row.decided_pairs, row.prompts) == ("ok", 400, 200)
+    assert row.slope_low < row.slope < row.slope_high
+    assert row.equal_length_preference_low < row.equal_length_preference < row.equal_length_preference_high
+
+
+def test_covariate_fit_recovers_a_linear_rule(spark):
+    from pairlens.operators import protocol as X
+
+    rows = [(2.0 + (3.0 if c == "a" else 0.0) + 0.5 * x, c, float(x)) for c in "ab" for x in range(10)]
+    fit = X.covariate_adjusted_fit(spark.createDataFrame(rows, "y double, c string, x double"), "y", ["c"], ["x"])
+    got = {r.term: round(r.coefficient, 6) for r in fit.collect()}
+    assert got == {"intercept": 2.0, "c=a": 3.0, "x": 0.5}
