@@ -138,7 +138,7 @@ def memberships(docs: DataFrame, classifier: Classifier, carry: list[str]) -> Da
     """carry columns, n_tokens (words) and posteriors of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], "text")
-    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    fields = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)] + ["n_tokens long", "posterior array<double>"])
 
     def build():
         def work(batch):
@@ -149,7 +149,7 @@ def memberships(docs: DataFrame, classifier: Classifier, carry: list[str]) -> Da
 
         return work
 
-    out = map_batches(rows, build, f"{fields}, n_tokens long, posterior array<double>")
+    out = map_batches(rows, build, fields)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "posterior")
 
 
