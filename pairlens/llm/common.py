@@ -13,6 +13,15 @@ from pairlens.session import written
 
 #: A key with more than 1/HOT_KEYS of all rows is hot; there can be at most HOT_KEYS of them.
 HOT_KEYS = 1000
+BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS rows or about BATCH_BYTES, so that long texts do not fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -24,7 +33,7 @@ def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], It
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def table(names: list[str], columns: list, types: list[pa.DataType]) -> pa.RecordBatch:
@@ -116,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
     minima in a join that adaptive execution splits. Self-loops are ignored; nodes without edges are absent.
     """
     plain = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, before = written(plain.mapInArrow(_contract(), "a long, b long").distinct(), "edges"), None
+    now, before = written(arrow_map(plain, _contract(), "a long, b long").distinct(), "edges"), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -127,12 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        large = written(large.mapInArrow(_contract(), "a long, b long").distinct(), "large_star")
+        large = written(arrow_map(large, _contract(), "a long, b long").distinct(), "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = written(small.where("a != b").distinct(), "small_star")
-
-
-def counts_by_group(groups: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(groups, minlength=size)

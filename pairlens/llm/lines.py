@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import textops as X
-from pairlens.llm.common import join_hot, key_bitmap, map_batches, maybe_flag, table
+from pairlens.llm.common import arrow_map, join_hot, key_bitmap, map_batches, maybe_flag, table
 from pairlens.session import written
 
 MIN_CHARS = 20
@@ -93,7 +93,7 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             yield table(["chunk", "twice"], [[chunk], [np.packbits(twice).tobytes()]], [pa.int32(), pa.binary()])
 
     parts = map_batches(docs.select("text"), build, "chunk int, places binary")
-    merged = parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, twice binary")
+    merged = arrow_map(parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk"), merge, "chunk int, twice binary")
     out = np.zeros((CHUNKS, bits // CHUNKS // 8), np.uint8)
     for row in merged.collect():
         out[row.chunk] = np.frombuffer(row.twice, np.uint8)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import textops as X
-from pairlens.llm.common import map_batches, table
+from pairlens.llm.common import arrow_map, map_batches, table
 from pairlens.session import written
 
 MAX_LABELLED = 10_000
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], max_la
             weights, bias = _softmax_fit([f[2] for f in found], np.array([f[1] for f in found]), len(domains))
             yield table(["weights", "bias"], [[weights.astype(np.float32).tobytes()], [bias.tobytes()]], [pa.binary(), pa.binary()])
 
-    fitted = rows.repartition(1).mapInArrow(fit, "weights binary, bias binary").collect()
+    fitted = arrow_map(rows.repartition(1), fit, "weights binary, bias binary").collect()
     if not fitted:
         return Classifier(domains, np.zeros((SLOTS + SHAPES, len(domains)), np.float32), np.zeros(len(domains)))
     weights = np.frombuffer(fitted[0].weights, np.float32).reshape(-1, len(domains))

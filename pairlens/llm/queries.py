@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import decontam, lines, mixing, ngram_join, toxicity
+from pairlens.llm import chat, decontam, fingerprints, lines, mixing, ngram_join, pii, token_counts, toxicity, warc
 
 #: Domains of the labelled rows and their shares of the mixed corpus's tokens.
 TARGETS = {"good": 0.9, "low": 0.09, "toxic": 0.01}
@@ -41,15 +41,49 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_classes(read(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digest of the plain spans, all spans, and the number of added ones."""
+    rows = pii.personal_spans(read(spark, folder, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    plain = F.filter("spans", lambda s: ~s["added"])
+    kinds = F.transform(plain, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    added = (F.size("spans") - F.size(plain)).cast("long").alias("n_added")
+    return rows.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records read back from the bundles."""
+    return warc.round_trip(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(read(spark, folder, "conversations"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(read(spark, folder, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_report(read(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document and benchmark item that overlap."""
     return decontam.find_overlaps(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("row_key")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = token_counts.token_counts(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     scores = toxicity.score_documents(docs, toxicity.train(docs, toxic_labels(read(spark, folder, "labels"))))
@@ -59,8 +93,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -100,5 +139,38 @@ WITH lines AS (
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.k IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE s.k IS NULL), '')) AS kept_sha256
 FROM keyed l LEFT JOIN shared s ON s.k = l.k AND l.doc_id < s.keeper GROUP BY l.doc_id
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest,
+    max(page_id) OVER (PARTITION BY b) AS largest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM d
+""",
+    "op5_chat_formatting": """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '<' || chr(8203) || '|'), '[\r\n]+', ' ', 'g') AS role,
+    replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations
+), placed AS (
+  SELECT *, CAST(floor(turn / 256) AS BIGINT) AS block,
+    (row_number() OVER (PARTITION BY conv_id, floor(turn / 256) ORDER BY turn NULLS FIRST, role, text) - 1) // 256 AS part FROM turns
+), messages AS (
+  SELECT t.*, p.participant, t.role = p.participant AS own,
+    '<|im_start|>' || CASE WHEN t.role = p.participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
+    t.text || '<|im_end|>' || chr(10) AS body
+  FROM placed t JOIN (SELECT DISTINCT conv_id, role AS participant FROM turns WHERE role <> 'system') p ON p.conv_id IS NOT DISTINCT FROM t.conv_id
+), spans AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, block, part ORDER BY turn NULLS FIRST, role, text) AS e FROM messages
+)
+SELECT conv_id, participant, block, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked,
+  coalesce(string_agg(CAST(e - length(body) AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY e) FILTER (WHERE own), '') AS masks,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text
+FROM spans GROUP BY conv_id, participant, block, part
 """,
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import textops as X
-from pairlens.llm.common import map_batches, table
+from pairlens.llm.common import arrow_map, map_batches, table
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 10_000
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), m
         yield table(["feature", "weight"], [X.signed(model.features), model.weights], [pa.int64(), pa.float64()])
         yield table(["feature", "weight"], [[None], [model.bias]], [pa.int64(), pa.float64()])
 
-    fitted = rows.repartition(1).mapInArrow(fit, "feature long, weight double").collect()
+    fitted = arrow_map(rows.repartition(1), fit, "feature long, weight double").collect()
     weights = sorted((r.feature % (1 << 64), r.weight) for r in fitted if r.feature is not None)
     bias = next((r.weight for r in fitted if r.feature is None), math.log(1e-6))
     return Model(np.array([f for f, _ in weights], np.uint64), np.array([w for _, w in weights], float), bias)
