@@ -32,8 +32,8 @@ def perspectives(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("part", F.floor((F.row_number().over(order) - 1) / segment).cast("long"))
     segments = turns.groupBy("conv_id", "block", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    people = turns.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("participant")).distinct()
-    rows = segments.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    people = turns.where("role <> 'system'").select(F.col("conv_id").alias("pairlens_conv"), F.col("role").alias("participant")).distinct()
+    rows = segments.join(people, F.col("conv_id").eqNullSafe(F.col("pairlens_conv"))).drop("pairlens_conv")
 
     def head(t):
         speaker = F.when(t["role"] == F.col("participant"), "assistant").when(t["role"] == "system", "system").otherwise(F.concat(F.lit("user name="), t["role"]))

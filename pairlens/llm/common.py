@@ -49,12 +49,12 @@ def join_hot(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, how:
     """
     total = dim.agg(F.sum(weight)).first()[0] or 0
     limit = max(total // HOT_KEYS, 1)
-    hot = F.broadcast(dim.where(F.col(weight) > limit).drop(weight).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(dim.where(F.col(weight) > limit).drop(weight).withColumn("pairlens_hot", F.lit(True)))
     cold = dim.where(F.col(weight) <= limit).drop(weight)
     marked = rows.join(hot, keys, "left")
     extra = [c for c in cold.columns if c not in keys]
-    plain = marked.where(F.col("_hot").isNull()).drop("_hot", *extra)
-    return marked.where("_hot").drop("_hot").unionByName(plain.join(cold, keys, how))
+    plain = marked.where(F.col("pairlens_hot").isNull()).drop("pairlens_hot", *extra)
+    return marked.where("pairlens_hot").drop("pairlens_hot").unionByName(plain.join(cold, keys, how))
 
 
 def key_bitmap(keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
@@ -68,9 +68,9 @@ def maybe_flag(df: DataFrame, column: str, bitmap: DataFrame, bits: int = 1 << 2
     """df with `_maybe`: true for every row whose key is in the bitmap, and for few others while it is not full."""
     place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    words = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    found = df.withColumn("_word", F.floor(place / 64).cast("long")).join(words, "_word", "left")
-    return found.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(one) != 0, F.lit(False))).drop("_word", "_mask")
+    words = F.broadcast(bitmap.select(F.col("word").alias("pairlens_word"), F.col("mask").alias("pairlens_mask")))
+    found = df.withColumn("pairlens_word", F.floor(place / 64).cast("long")).join(words, "pairlens_word", "left")
+    return found.withColumn("pairlens_maybe", F.coalesce(F.col("pairlens_mask").bitwiseAND(one) != 0, F.lit(False))).drop("pairlens_word", "pairlens_mask")
 
 
 class Forest:

@@ -233,7 +233,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE) -> DataFrame:
     """Rows of docs that overlap with no item, all columns unchanged."""
-    bad = written(find_overlaps(docs, benchmark, min_words, share).select(F.col("row_key").alias("_bad")).distinct(), "overlapping")
-    flagged = maybe_flag(docs.withColumn("_key", F.xxhash64("doc_id", "text")), "_key", key_bitmap(bad.select(F.col("_bad").alias("key"))))
-    doubtful = flagged.where("_maybe").join(bad, F.col("_key") == F.col("_bad"), "left_anti")
-    return flagged.where("NOT _maybe").unionByName(doubtful).drop("_key", "_maybe")
+    bad = written(find_overlaps(docs, benchmark, min_words, share).select(F.col("row_key").alias("pairlens_bad")).distinct(), "overlapping")
+    flagged = maybe_flag(docs.withColumn("pairlens_key", F.xxhash64("doc_id", "text")), "pairlens_key", key_bitmap(bad.select(F.col("pairlens_bad").alias("key"))))
+    doubtful = flagged.where("pairlens_maybe").join(bad, F.col("pairlens_key") == F.col("pairlens_bad"), "left_anti")
+    return flagged.where("NOT pairlens_maybe").unionByName(doubtful).drop("pairlens_key", "pairlens_maybe")

@@ -139,7 +139,7 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     guests = docs.sparkSession.createDataFrame(before, "guest_of int, g_known boolean, g_id long, g_tie long")
     match = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie"))
     lent = keyed.join(F.broadcast(guests), match).select("doc_id", "text", "tie", F.col("guest_of").alias("part"), F.lit(1).alias("guest"))
-    return keyed.withColumn("guest", F.lit(0)).unionByName(lent), len(filled)
+    return keyed.withColumn("guest", F.lit(0)).unionByName(lent), max(len(filled), 1)
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

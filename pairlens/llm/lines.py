@@ -141,10 +141,10 @@ def with_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "shared_lines"
     )
     lost = join_hot(found, confirmed, ["digest"], "n", "inner").where("doc_id < keeper")
-    drops = written(lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("digest").alias("_drops")), "dropped_lines")
-    flagged = maybe_flag(docs, "doc_id", key_bitmap(drops.select(F.col("_id").alias("key"))))
-    touched = flagged.where("_maybe").drop("_maybe").join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return touched.unionByName(flagged.where("NOT _maybe").drop("_maybe").withColumn("_drops", F.lit(None).cast("array<binary>")))
+    drops = written(lost.groupBy(F.col("doc_id").alias("pairlens_id")).agg(F.collect_set("digest").alias("pairlens_drops")), "dropped_lines")
+    flagged = maybe_flag(docs, "doc_id", key_bitmap(drops.select(F.col("pairlens_id").alias("key"))))
+    touched = flagged.where("pairlens_maybe").drop("pairlens_maybe").join(drops, F.col("doc_id") == F.col("pairlens_id"), "left").drop("pairlens_id")
+    return touched.unionByName(flagged.where("NOT pairlens_maybe").drop("pairlens_maybe").withColumn("pairlens_drops", F.lit(None).cast("array<binary>")))
 
 
 def _kept(text: bytes, drops: list | None, min_chars: int) -> tuple[bytes, int, int]:

@@ -29,6 +29,8 @@ MAX_LABELLED = 10_000
 THRESHOLD = 0.7
 UNIGRAM, BIGRAM, SKIPGRAM = (np.uint64(k) for k in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
 SLOTS = 1 << 16
+#: Counters that stand for the features while they are counted.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -37,9 +39,9 @@ class Settings:
 
     alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 8.0
     l2: float = 0.01
-    passes: int = 6
+    passes: int = 4
 
 
 @dataclass(frozen=True)
@@ -119,10 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), m
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def fit(batches):
-        found = []
+        # counts by place first, so that features too rare to matter are not all held at once
+        batches, cells, found = [b for b in batches if b.num_rows], np.zeros(CELLS, np.int32), []
+        for batch in batches:
+            for row in text_features(batch.column(2)):
+                cells[(row & np.uint64(CELLS - 1)).astype(np.int64)] += 1
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found += zip(ids, marks, text_features(batch.column(2)), strict=True)
+            rows = [row[cells[(row & np.uint64(CELLS - 1)).astype(np.int64)] * settings.passes > settings.l1] for row in text_features(batch.column(2))]
+            found += zip(ids, marks, rows, strict=True)
         found.sort(key=lambda r: (hash_order(r[0]), r[0]))
         model = ftrl([r[2] for r in found], [r[1] for r in found], settings)
         yield table(["feature", "weight"], [X.signed(model.features), model.weights], [pa.int64(), pa.float64()])

@@ -147,11 +147,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     keys = written(keys, "payload_keys")
     shared = written(keys.groupBy("payload").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL"), "shared_payloads")
     again = join_hot(keys, shared, ["payload"], "n", "inner").where("page_id IS NULL OR page_id < refers_to").distinct()
-    again = written(again.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("_page"), F.col("payload").alias("_payload"), "refers_to"), "revisits")
-    flagged = maybe_flag(pages.withColumn("_key", F.coalesce("page_id", F.lit(-(1 << 63)))), "_key", key_bitmap(again.select(F.col("_page").alias("key"))))
-    doubtful = flagged.where("_maybe").join(again, (F.col("_key") == F.col("_page")) & (F.sha2("html", 256) == F.col("_payload")), "left")
+    again = written(again.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("pairlens_page"), F.col("payload").alias("pairlens_payload"), "refers_to"), "revisits")
+    flagged = maybe_flag(pages.withColumn("pairlens_key", F.coalesce("page_id", F.lit(-(1 << 63)))), "pairlens_key", key_bitmap(again.select(F.col("pairlens_page").alias("key"))))
+    doubtful = flagged.where("pairlens_maybe").join(again, (F.col("pairlens_key") == F.col("pairlens_page")) & (F.sha2("html", 256) == F.col("pairlens_payload")), "left")
     columns = ["page_id", "url", "html", "digest", "refers_to", F.col("refers_to").isNotNull().alias("is_revisit")]
-    return doubtful.select(*columns).unionByName(flagged.where("NOT _maybe").withColumn("refers_to", F.lit(None).cast("long")).select(*columns))
+    return doubtful.select(*columns).unionByName(flagged.where("NOT pairlens_maybe").withColumn("refers_to", F.lit(None).cast("long")).select(*columns))
 
 
 def write_bundles(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
