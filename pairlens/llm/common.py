@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +23,19 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows or about BATCH_BYTES, so that long texts do not fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Hand memory that this worker no longer uses back to the machine; an idle worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:

@@ -120,7 +120,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], max_la
             for first, place, value, cuts, _ in features(batch.column(2)):
                 for i in range(len(cuts) - 1):
                     cut = slice(cuts[i], cuts[i + 1])
-                    found.append((ids[first + i], domains.index(names[first + i]), (place[cut], value[cut])))
+                    found.append((ids[first + i], domains.index(names[first + i]), (place[cut].astype(np.int32), value[cut].astype(np.float32))))
         if found:
             order = X.mix(np.array([f[0] % (1 << 64) for f in found], np.uint64)).tolist()
             found = [f for _, f in sorted(zip(order, found, strict=True), key=lambda x: (x[0], x[1][0]))]

@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Multiplier of the positional hash; odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled together: the arrays below are about twenty times this.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
