@@ -146,7 +146,7 @@ def average_rank(
     """
     df = df.filter(F.col(value).isNotNull())
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    spread = bucket if bucket is not None else magnitude_bucket(F.col(value))
+    spread = bucket if bucket is not None else signed_bucket(F.col(value))
     counts = (
         df.groupBy(*keys, value)
         .agg(rows.alias("_ties"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.ordering import exact_quantiles, first_by
-from pairlens.functions.text import parse_utc_timestamp
+from pairlens.functions.text import LINE_BREAK, parse_utc_timestamp
 
 RUN_KEY = ["benchmark", "condition", "prompt", "platform"]
 GROUP = ["benchmark", "prompt", "platform"]
@@ -39,7 +39,7 @@ def completed_only(runs: DataFrame, scoring: Column | None = None) -> DataFrame:
 def failure_label(message: Column, error: Column) -> Column:
     """First line of the failure text, at most 120 characters."""
     text = F.coalesce(message, error, F.lit("unknown failure"))
-    return F.substring(F.split(text, r"\r\n|[\n\r]", 2)[0], 1, 120)
+    return F.substring(F.split(text, LINE_BREAK, 2)[0], 1, 120)
 
 
 def completion(runs: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def rank_agreement(scores: DataFrame, keys: Sequence[str], platforms: tuple[str,
 
 
 def covariate_adjusted_fit(rows: DataFrame, outcome: str, labels: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """Linear fit of an outcome on conditions and covariates, beside the raw means.
+    """Linear fit of an outcome on conditions and covariates.
 
     One-hot levels and the weighted least squares run in Spark ML; the result
     has one row per coefficient.
@@ -117,5 +117,4 @@ def covariate_adjusted_fit(rows: DataFrame, outcome: str, labels: Sequence[str],
     coefficients = [("intercept", float(fitted.intercept))] + [
         (n, float(c)) for n, c in zip(names, fitted.coefficients)
     ]
-    values = ", ".join(f"('{n}', {c!r}D)" for n, c in coefficients)
-    return rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS c(term, coefficient)")
+    return rows.sparkSession.createDataFrame(coefficients, "term string, coefficient double")

@@ -55,6 +55,8 @@ def _replicates(df: DataFrame, resamples: int, seed: int) -> DataFrame:
 
 
 REPLICATES_PER_ROW = 50
+# Values are summed as whole multiples of 1 / SCALE, so a mean does not depend on the order of its sum
+SCALE = 1e9
 
 
 def _chunk_means(
@@ -68,6 +70,7 @@ def _chunk_means(
     for frame in frames:
         for row in frame.to_dict("records"):
             values = np.asarray(row["_values"], dtype="float64")
+            exact = np.floor(values * SCALE + 0.5).astype("int64")
             first = row["_chunk"] * REPLICATES_PER_ROW
             b = np.arange(first, min(first + REPLICATES_PER_ROW, resamples), dtype="int64")
             key = (seed + b * 40503) % DRAW_MODULUS
@@ -75,7 +78,8 @@ def _chunk_means(
             draw = (key[:, None] + np.arange(len(values), dtype="int64") * 69069) % DRAW_MODULUS
             for multiplier in DRAW_MULTIPLIERS:
                 draw = mix(draw, multiplier)
-            out = pd.DataFrame({"b": b.astype("int32"), "mean": values[draw % len(values)].mean(axis=1)})
+            total = exact[draw % len(values)].sum(axis=1)
+            out = pd.DataFrame({"b": b.astype("int32"), "mean": total / (len(values) * SCALE)})
             for name in cell:
                 out[name] = row[name]
             yield out[[*cell, "b", "mean"]]

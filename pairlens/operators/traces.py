@@ -413,8 +413,10 @@ def event_reasons(events: DataFrame, contracts: DataFrame) -> DataFrame:
 
     ``contracts(condition, processes, allowed, goal_policy, ...)`` is a few rows.
     Columns that hold JSON arrays come as arrays, null when absent or malformed.
+    An event whose condition has no contract has that one reason.
     """
-    rows = events.join(F.broadcast(contracts), "condition")
+    known = contracts.withColumn("_known", F.lit(True))
+    rows = events.join(F.broadcast(known), "condition", "left")
     absent = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
     listed = lambda c: F.array_contains("processes", F.col(c))
     is_switch = F.col("event_type") == SWITCH
@@ -444,7 +446,8 @@ def event_reasons(events: DataFrame, contracts: DataFrame) -> DataFrame:
         (F.coalesce(goal_row, F.lit(False)) & absent("goal_id"), "goal_id"),
         (F.coalesce(goal_row, F.lit(False)) & ~F.col("has_parent_goal_id"), "parent_goal_id"),
     )
-    return rows.withColumn("reject_reasons", reasons)
+    reasons = F.when(F.col("_known"), reasons).otherwise(F.array(F.lit("unknown_condition")))
+    return rows.withColumn("reject_reasons", reasons).drop("_known")
 
 
 def trace_reasons(checked: DataFrame) -> DataFrame:
@@ -474,13 +477,13 @@ def trace_reasons(checked: DataFrame) -> DataFrame:
     ordered = F.col("_size") > 0
     reasons = _reasons(
         (F.col("bad_events") > 0, "bad_event"),
-        (F.col("events") < F.col("_min"), "too_few_events"),
+        (F.coalesce(F.col("events") < F.col("_min"), F.lit(False)), "too_few_events"),
         (F.coalesce(F.col("events") > F.col("_max"), F.lit(False)), "too_many_events"),
         (
             F.coalesce(ordered & ~(F.col("_fits") & (F.col("events") == F.col("_size"))), F.lit(False)),
             "process_order",
         ),
-        (F.col("_goal") & (F.col("goal_events") == 0), "goal_required"),
+        (F.coalesce(F.col("_goal") & (F.col("goal_events") == 0), F.lit(False)), "goal_required"),
     )
     return per_run.select(
         "run_id", "condition", "events", "bad_events", "goal_events", reasons.alias("reject_reasons")

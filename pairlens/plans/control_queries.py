@@ -272,7 +272,7 @@ UNIT_SQL = f"""{V.VERDICT_RUN_SQL}, unit_means AS (SELECT left_condition, right_
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
   FROM unit_means WINDOW w AS (PARTITION BY benchmark, left_condition, right_condition ORDER BY prompt)),
 {V.draw_ctes(SEED, RESAMPLES, 'benchmark, left_condition, right_condition')},
-means AS (SELECT benchmark, left_condition, right_condition, b, avg(value) AS mean FROM draws d
+means AS (SELECT benchmark, left_condition, right_condition, b, {V.exact_mean_sql('value')} AS mean FROM draws d
   JOIN placed p USING (benchmark, left_condition, right_condition) WHERE p.i = d.pick GROUP BY ALL)"""
 CELL = ["benchmark", *P.CONTRAST]
 

@@ -209,7 +209,7 @@ BOOT_SQL = f"""{SCORES_SQL}, {V.contrast_sql(BOOT_CONTRASTS)}, diffs AS (SELECT
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
   FROM diffs WINDOW w AS (PARTITION BY benchmark, left_condition, right_condition ORDER BY prompt)),
 {V.draw_ctes(SEED, RESAMPLES, 'benchmark, left_condition, right_condition')},
-means AS (SELECT benchmark, left_condition, right_condition, b, avg(diff) AS mean FROM draws d
+means AS (SELECT benchmark, left_condition, right_condition, b, {V.exact_mean_sql('diff')} AS mean FROM draws d
   JOIN placed p USING (benchmark, left_condition, right_condition) WHERE p.i = d.pick GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark, left_condition, right_condition ORDER BY mean) AS rk FROM means),
 boot AS (SELECT benchmark, left_condition, right_condition, max(CASE WHEN rk = {int(0.025 * RESAMPLES) + 1} THEN mean END) AS low,

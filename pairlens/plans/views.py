@@ -199,6 +199,11 @@ def mix_sql(x: str, multiplier: int) -> str:
     return f"(xor({x}, {x} >> 15) * {multiplier} % 2147483647)"
 
 
+def exact_mean_sql(value: str) -> str:
+    """Mean of whole billionths, summed as integers and divided once."""
+    return f"(CAST(sum(CAST(floor({value} * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / (count(*) * 1e9))"
+
+
 def draw_ctes(seed: int, resamples: int, keys: str) -> str:
     """SQL twin of the resampling draws: (keys, b, pick) for units placed at i of n."""
     m = (1103515245, 1664525, 22695477)

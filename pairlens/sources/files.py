@@ -7,12 +7,13 @@ that already hold the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.functions.text import sha256_hex
+from pairlens.functions.text import LINE_BREAK, sha256_hex
 
 RUN_SCHEMA = (
     "inputs STRUCT<benchmark_name: STRING, condition_id: STRING, prompt_id: STRING, platform: STRING, "
@@ -47,7 +48,6 @@ PROMPT_SCHEMA = (
     "requested_output_constraints ARRAY<STRING>, native_payload STRING, supplied_context STRING, hash STRING"
 )
 PRICE_KEYS = ("input", "cached_input", "output")
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 BLOCK_LINES = 4096
 
 
@@ -261,7 +261,15 @@ def scan_csv_checked(
     missing = [c for c in required if c not in header]
     if missing:
         raise ValueError("missing columns: " + ", ".join(missing))
-    everything = spark.read.option("header", True).option("multiLine", True).csv(list(paths))
+    # every file's header is held against these names; one with another order of columns is an error, not misread
+    named = ", ".join(f"`{c}` STRING" for c in header)
+    everything = (
+        spark.read.schema(named)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("multiLine", True)
+        .csv(list(paths))
+    )
     wanted = spark.createDataFrame([], schema).schema
     return everything.select(
         *[
@@ -296,11 +304,13 @@ def verify_hashes(contents: DataFrame, pinned: DataFrame, key: str = "path") ->
 
 
 def verify_source_hashes(spark: SparkSession, path: str, pinned: DataFrame) -> DataFrame:
-    """The same for files below a folder, by file name."""
+    """The same for files below a folder, by their path relative to it."""
+    below = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/"
+    relative = F.substring_index(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), below, -1)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+        .select(relative.alias("path"), "content")
     )
     return verify_hashes(files, pinned)

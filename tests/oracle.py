@@ -28,7 +28,7 @@ def _cell(value):
     if isinstance(value, bool) or value is None:
         return str(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.5f}"
+        return "nan" if math.isnan(value) else f"{value:.6f}"
     if isinstance(value, decimal.Decimal):
         return f"DECIMAL{value}"
     if isinstance(value, datetime.datetime):

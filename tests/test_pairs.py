@@ -130,19 +130,19 @@ def test_bradley_terry(spark):
     assert {r.status for r in only_wins} == {"complete separation"}
 
 
-def test_logistic_recovers_known_coefficients(spark):
+def test_logistic_meets_the_odds_of_two_groups(spark):
+    """With one point at x = 0 and one at x = 1 the fit has a closed form: log odds and their difference."""
     import math
 
-    rows = []
-    for x in (-1.0, -0.5, 0.0, 0.5, 1.0):
-        p = 1 / (1 + math.exp(-(0.4 + 2 * x)))
-        k = round(1000 * p)
-        rows += [("g", x, 1.0, float(k)), ("g", x, 0.0, float(1000 - k))]
-    rows += [("s", 1.0, 1.0, 1.0), ("s", 1.0, 0.0, 1.0)]
-    points = spark.createDataFrame(rows, "g string, x double, y double, weight double")
-    fit = {r.g: r for r in M.fit_logistic(points, ["g"]).collect()}
-    assert abs(fit["g"].intercept - 0.4) < 0.01 and abs(fit["g"].slope - 2) < 0.02
-    assert fit["g"].status == "ok" and fit["s"].status == "singular"
+    counts = {("g", 0.0): (30.0, 10.0), ("g", 1.0): (7.0, 21.0), ("h", 0.0): (5.0, 5.0), ("h", 1.0): (8.0, 2.0)}
+    rows = [(g, x, y, n) for (g, x), pair in counts.items() for y, n in zip((1.0, 0.0), pair)]
+    rows += [("flat", 2.0, 1.0, 3.0), ("flat", 2.0, 0.0, 1.0)]
+    fits = {r.g: r for r in M.fit_logistic(spark.createDataFrame(rows, "g string, x double, y double, weight double"), ["g"]).collect()}
+    for g in ("g", "h"):
+        at = [math.log(counts[g, x][0] / counts[g, x][1]) for x in (0.0, 1.0)]
+        assert fits[g].status == "ok"
+        assert abs(fits[g].intercept - at[0]) < 1e-6 and abs(fits[g].slope - (at[1] - at[0])) < 1e-6
+    assert fits["flat"].status == "singular"
 
 
 def test_mean_strengths_need_every_judge(spark):

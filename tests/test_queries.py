@@ -16,10 +16,15 @@ SAMPLE = (
     "length_report", "compute_report", "spearman", "cross_judge_metrics", "krippendorff_alpha", "trace_summary",
     "transition_matrix", "cycle_association", "tokens_cost_generation", "running_budget", "hard_prompts",
     "retrieval_flags", "validate_pairwise", "trace_contract_runs", "wilcoxon_signed_rank", "stratified_quota",
-    "sink_immutable", "stream_tokens",
+    "sink_immutable", "stream_tokens", "bootstrap_mean", "paired_bootstrap", "average_rank", "failure_label",
+    "trace_contract", "scan_csv_checked", "delegation_check",
 )
 
 
+#: Iterative fits that SQL does not express; test_pairs and test_control check them on known cases.
+NO_ORACLE = {"covariate_adjusted_fit", "logistic_length", "logistic_cluster_bootstrap", "bradley_terry", "bradley_terry_mean"}
+
+
 @pytest.fixture(scope="module")
 def con():
     if not os.path.isdir(FOLDER):
@@ -30,7 +35,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(REGISTRY) if os.environ.get("ORACLE_ALL") else SAMPLE)
 def test_query(spark, con, name):
     status, _, _ = oracle.compare(spark, con, REGISTRY[name], FOLDER)
-    assert status in ("ok", "rows-only")
+    assert status == ("rows-only" if name in NO_ORACLE else "ok")
+
+
+def test_all_others_have_an_oracle():
+    assert {name for name, q in REGISTRY.items() if not q.sql} <= NO_ORACLE
 
 
 def test_entry_contract():

@@ -116,6 +116,26 @@ def test_source_hashes(spark, tmp_path):
     assert got == {"one.txt": "matched", "two.txt": "mismatched", "three.txt": "absent"}
 
 
+def test_source_hashes_tell_folders_apart(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    write(tmp_path / "a" / "same.txt", "one")
+    write(tmp_path / "b" / "same.txt", "two")
+    pinned = spark.createDataFrame([(f"{d}/same.txt", hashlib.sha256(b"one").hexdigest()) for d in "ab"], "path string, expected string")
+    got = {r.path: r.status for r in S.verify_source_hashes(spark, str(tmp_path), pinned).collect()}
+    assert got == {"a/same.txt": "matched", "b/same.txt": "mismatched"}
+
+
+def test_csv_with_another_column_order_is_an_error(spark, tmp_path):
+    write(tmp_path / "1.csv", "comparison_id,preference\nc1,A\n")
+    write(tmp_path / "2.csv", "preference,comparison_id\nB,c9\n")
+    rows = S.scan_csv_checked(spark, [str(tmp_path)], "comparison_id STRING, preference STRING", ["comparison_id"])
+    with pytest.raises(Exception, match="(?i)header"):
+        rows.collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string")
     assert W.sink_immutable(df, str(tmp_path / "i")) == "written"
