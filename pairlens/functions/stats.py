@@ -260,15 +260,17 @@ def seeded_draw(*parts: Column | str | int) -> Column:
 # Modulus and multipliers of the counter-based draws
 DRAW_MODULUS = 2147483647
 DRAW_MULTIPLIERS = (1103515245, 1664525, 22695477)
+BLOCK_STEP = 15485863
 
 
 def _mix(x: Column, multiplier: int) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 15)) * multiplier % DRAW_MODULUS
 
 
-def replicate_key(seed: int, replicate: Column) -> Column:
-    """Start of the draws of one replicate."""
-    x = (F.lit(seed).cast("bigint") + replicate.cast("bigint") * 40503) % DRAW_MODULUS
+def replicate_key(seed: int, replicate: Column, block: Column) -> Column:
+    """Start of the draws of one replicate in one block."""
+    x = F.lit(seed).cast("bigint") + replicate.cast("bigint") * 40503 + block.cast("bigint") * BLOCK_STEP
+    x = x % DRAW_MODULUS
     return _mix(_mix(x, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
 
 

@@ -20,6 +20,7 @@ from pairlens.functions.stats import (
     win_rate,
     wilson_bounds,
 )
+from pairlens.session import spread
 
 # The domains of a pairwise record
 PRESENTATIONS = ("A|B", "B|A")
@@ -422,15 +423,24 @@ def power_table(cells: DataFrame, keys: Sequence[str], rates: Column, alpha: flo
     """Exact sign test power of each cell at each rate of a grid."""
     rows = critical_counts(cells, keys, alpha).withColumn("rate", F.explode(rates))
     power = sign_test_power(F.col("n"), F.col("rate"), F.col("critical"))
-    return rows.repartition(*keys, "rate").withColumn("power", power).drop("critical")
+    return spread(rows, *keys, "rate").withColumn("power", power).drop("critical")
 
 
-def detectable_rate(
-    cells: DataFrame, keys: Sequence[str], alpha: float, target: float, step: float = 0.001
-) -> DataFrame:
-    """Smallest rate of a grid from one half upwards with enough power."""
-    count = round(0.5 / step)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(0.5) + i / float(2 * count))
-    table = power_table(cells, keys, grid, alpha)
-    smallest = F.min(F.when(F.col("power") >= target, F.col("rate")))
-    return table.groupBy(*keys, "n").agg(smallest.alias("detectable_rate"))
+BISECTIONS = 80
+
+
+def detectable_rate(cells: DataFrame, keys: Sequence[str], alpha: float, target: float) -> DataFrame:
+    """Smallest rate from one half upwards with enough power, by bisection; 1 where no rate has it."""
+    rows = spread(critical_counts(cells, keys, alpha), *keys, "n")
+
+    def halve(ends: Column, _: Column) -> Column:
+        middle = (ends["low"] + ends["high"]) / 2
+        enough = sign_test_power(F.col("n"), middle, F.col("critical")) >= target
+        return F.struct(
+            F.when(enough, ends["low"]).otherwise(middle).alias("low"),
+            F.when(enough, middle).otherwise(ends["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0.5).alias("low"), F.lit(1.0).alias("high"))
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve)
+    return rows.select(*keys, "n", ends["high"].alias("detectable_rate"))

@@ -1,10 +1,11 @@
 """Bootstrap over units (prompts) with reproducible draws.
 
-Cells up to ``exact_limit`` units are resampled exactly: the unit values of a
-cell are one bounded array, its replicates are spread over tasks, and the draws
-happen inside the task, so no draw is ever shuffled. Larger cells give each unit a
-Poisson(1) weight per replicate, the usual form of the bootstrap for data that
-is spread over many machines; it needs one pass with map-side sums.
+One method for every cell size. The units of a cell are dealt over blocks of about
+``block`` units by a hash of their key; a replicate of n draws first splits n over the
+blocks (multinomial, by their sizes) and then draws with replacement inside each block,
+which is the same as n draws from the whole cell. A block is one bounded array, its
+replicates are spread over tasks, and the draws happen inside the task, so no draw is
+ever shuffled. A cell that fits one block is the case of a split into one part.
 """
 
 from __future__ import annotations
@@ -13,56 +14,77 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.stats import (
+    BLOCK_STEP,
     DRAW_MODULUS,
     DRAW_MULTIPLIERS,
     counter_draw,
     replicate_key,
-    seeded_draw,
 )
+from pairlens.session import spread
 
-EXACT_LIMIT = 20_000
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events
-POISSON_STEPS = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-)
-
-
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count from a 32-bit draw."""
-    u = (draw + 0.5) / 4294967296.0
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + F.when(u > step, 1).otherwise(0)
-    return weight
+BLOCK = 20_000
+REPLICATES_PER_ROW = 50
+# Copies of the one row per cell that its units are joined to, so a large cell is split over tasks
+SALTS = 32
+# Values are summed as whole multiples of 1 / SCALE, so a mean does not depend on the order of its sum
+SCALE = 1e9
 
 
-def _split_by_size(units: DataFrame, cell: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(
+    units: DataFrame, cell: Sequence[str], unit: Sequence[str], rest: Sequence[str], block: int
+) -> DataFrame:
+    """One row per cell and block: its units in order of their key, as ``_units``."""
+    hashed = F.xxhash64(*unit)
     sizes = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    sized = units.join(sizes, list(cell))
-    return sized.filter(F.col("_n") <= limit), sized.filter(F.col("_n") > limit)
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = (
+        units.select(*cell, *unit, *rest)
+        .withColumn("_salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
+        .join(salted, [*cell, "_salt"])
+        .withColumn("_block", F.pmod(F.xxhash64(hashed), F.ceil(F.col("_n") / block)))
+    )
+    return placed.groupBy(*cell, "_block").agg(
+        F.array_sort(F.collect_list(F.struct(*unit, *rest))).alias("_units")
+    )
 
 
-def _replicates(df: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """One row per replicate with its draw key, spread over the cluster."""
-    rows = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return rows.withColumn("_key", replicate_key(seed, F.col("b"))).repartition("b")
+def _split(frames: Iterator[pd.DataFrame], cell: list[str], resamples: int, seed: int) -> Iterator[pd.DataFrame]:
+    """Draws that each block of a cell gets in each replicate of a chunk."""
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            ids, sizes = (np.asarray(x, dtype="int64") for x in (row["_ids"], row["_sizes"]))
+            first = row["_chunk"] * REPLICATES_PER_ROW
+            count = min(REPLICATES_PER_ROW, resamples - first)
+            rng = np.random.default_rng([seed, first])
+            drawn = rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=count)
+            out = pd.DataFrame({"_block": ids, "_first": first, "_drawn": list(drawn.T)})
+            for name in cell:
+                out[name] = row[name]
+            yield out[[*cell, "_block", "_first", "_drawn"]]
 
 
-REPLICATES_PER_ROW = 50
-# Values are summed as whole multiples of 1 / SCALE, so a mean does not depend on the order of its sum
-SCALE = 1e9
+def _drawn_blocks(blocks: DataFrame, cell: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """One row per block and chunk of replicates, with the draws of each replicate."""
+    sizes = blocks.select(*cell, F.struct("_block", F.size("_units").alias("n")).alias("_s"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // REPLICATES_PER_ROW)))
+    listed = sizes.groupBy(*cell).agg(F.array_sort(F.collect_list("_s")).alias("_s")).select(
+        *cell, F.col("_s._block").alias("_ids"), F.col("_s.n").alias("_sizes"), chunk.alias("_chunk")
+    )
+    kinds = dict(blocks.dtypes)
+    head = "".join(f"`{c}` {kinds[c]}, " for c in cell)
+    names = list(cell)
+    return spread(listed, *cell, "_chunk").mapInPandas(
+        lambda frames: _split(frames, names, resamples, seed),
+        f"{head}_block long, _first int, _drawn array<long>",
+    )
 
 
-def _chunk_means(
-    frames: Iterator[pd.DataFrame], cell: list[str], resamples: int, seed: int
-) -> Iterator[pd.DataFrame]:
-    """Replicate means of the bounded arrays, with the draws of ``counter_draw``."""
+def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> Iterator[pd.DataFrame]:
+    """Sums of the units drawn from a block, with the draws of ``counter_draw``."""
 
     def mix(x: np.ndarray, multiplier: int) -> np.ndarray:
         return (x ^ (x >> 15)) * multiplier % DRAW_MODULUS
@@ -71,18 +93,20 @@ def _chunk_means(
         for row in frame.to_dict("records"):
             values = np.asarray(row["_values"], dtype="float64")
             exact = np.floor(values * SCALE + 0.5).astype("int64")
-            first = row["_chunk"] * REPLICATES_PER_ROW
-            b = np.arange(first, min(first + REPLICATES_PER_ROW, resamples), dtype="int64")
-            key = (seed + b * 40503) % DRAW_MODULUS
-            key = mix(mix(key, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
-            draw = (key[:, None] + np.arange(len(values), dtype="int64") * 69069) % DRAW_MODULUS
-            for multiplier in DRAW_MULTIPLIERS:
-                draw = mix(draw, multiplier)
-            total = exact[draw % len(values)].sum(axis=1)
-            out = pd.DataFrame({"b": b.astype("int32"), "mean": total / (len(values) * SCALE)})
+            drawn = np.asarray(row["_drawn"], dtype="int64")
+            totals = np.zeros(len(drawn), dtype="int64")
+            for i, count in enumerate(drawn.tolist()):
+                key = np.int64((seed + (row["_first"] + i) * 40503 + row["_block"] * BLOCK_STEP) % DRAW_MODULUS)
+                key = mix(mix(key, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
+                draw = (key + np.arange(count, dtype="int64") * 69069) % DRAW_MODULUS
+                for multiplier in DRAW_MULTIPLIERS:
+                    draw = mix(draw, multiplier)
+                totals[i] = exact[draw % len(values)].sum()
+            b = np.arange(row["_first"], row["_first"] + len(drawn), dtype="int32")
+            out = pd.DataFrame({"b": b, "total": totals, "drawn": drawn})
             for name in cell:
                 out[name] = row[name]
-            yield out[[*cell, "b", "mean"]]
+            yield out[[*cell, "b", "total", "drawn"]]
 
 
 def bootstrap_means(
@@ -92,36 +116,23 @@ def bootstrap_means(
     value: str,
     resamples: int,
     seed: int,
-    exact_limit: int = EXACT_LIMIT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Mean of each resample: one row per cell and replicate ``b``.
 
-    The units are read by several branches; pass a stored table.
+    The units are read by several branches; pass a stored table. Units need distinct keys.
     """
-    small, large = _split_by_size(units.select(*cell, *unit, value), cell, exact_limit)
-    arrays = small.groupBy(*cell).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(*unit, F.col(value).alias("_v")))), lambda x: x["_v"]
-        ).alias("_values")
-    )
+    blocks = _blocks(units, cell, unit, [value], block)
+    arrays = blocks.select(*cell, "_block", F.transform("_units", lambda x: x[value]).alias("_values"))
+    work = arrays.join(_drawn_blocks(blocks, cell, resamples, seed), [*cell, "_block"])
     kinds = dict(units.dtypes)
     head = "".join(f"`{c}` {kinds[c]}, " for c in cell)
-    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // REPLICATES_PER_ROW)))
-    exact = (
-        arrays.withColumn("_chunk", chunks)
-        .repartition(*cell, "_chunk")
-        .mapInPandas(
-            lambda frames: _chunk_means(frames, list(cell), resamples, seed),
-            f"{head}b int, mean double",
-        )
+    names = list(cell)
+    sums = spread(work, *cell, "_block", "_first").mapInPandas(
+        lambda frames: _block_sums(frames, names, seed), f"{head}b int, total long, drawn long"
     )
-    weighted = large.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
-        "_w", poisson_weight(seeded_draw(seed, F.col("b"), *[F.col(u) for u in unit]))
-    )
-    spread = weighted.groupBy(*cell, "b").agg(
-        (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("mean")
-    )
-    return exact.unionByName(spread)
+    total = F.sum(F.col("total").cast("decimal(38,0)")).cast("double")
+    return sums.groupBy(*cell, "b").agg((total / (F.sum("drawn") * SCALE)).alias("mean"))
 
 
 def resample_weights(
@@ -130,34 +141,27 @@ def resample_weights(
     unit: Sequence[str],
     resamples: int,
     seed: int,
-    exact_limit: int = EXACT_LIMIT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """How often each unit occurs in each replicate; zero weights are left out."""
-    small, large = _split_by_size(units.select(*cell, *unit), cell, exact_limit)
-    arrays = small.groupBy(*cell).agg(
-        F.array_sort(F.collect_list(F.struct(*unit))).alias("_units")
+    blocks = _blocks(units, cell, unit, [], block)
+    drawn = _drawn_blocks(blocks, cell, resamples, seed).select(
+        *cell, "_block", "_first", F.posexplode("_drawn").alias("_i", "_n")
     )
     n = F.size("_units")
-    drawn = F.transform(
-        F.sequence(F.lit(0), n - 1),
+    picks = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1),
         lambda slot: F.element_at("_units", (counter_draw(F.col("_key"), slot) % n).cast("int") + 1),
     )
-    exact = (
-        _replicates(arrays, resamples, seed)
-        .select(*cell, "b", F.explode(drawn).alias("_u"))
+    return (
+        blocks.join(drawn.filter("_n > 0"), [*cell, "_block"])
+        .withColumn("b", F.col("_first") + F.col("_i"))
+        .withColumn("_key", replicate_key(seed, F.col("b"), F.col("_block")))
+        .repartition(*cell, "_block", "b")
+        .select(*cell, "b", F.explode(picks).alias("_u"))
         .groupBy(*cell, "b", *[F.col(f"_u.{u}").alias(u) for u in unit])
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
-    spread = (
-        large.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn(
-            "weight",
-            poisson_weight(seeded_draw(seed, F.col("b"), *[F.col(u) for u in unit])).cast("double"),
-        )
-        .filter(F.col("weight") > 0)
-        .select(*cell, "b", *unit, "weight")
-    )
-    return exact.unionByName(spread)
 
 
 def interpolated_interval(means: DataFrame, cell: Sequence[str], value: str = "mean") -> DataFrame:

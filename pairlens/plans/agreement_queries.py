@@ -294,12 +294,14 @@ def power_by_cell(t: Tables) -> DataFrame:
 
 @query(
     "detectable_rate",
-    f"""WITH {POWER_CTE}, g AS (SELECT 0.5 + i / 1000.0::DOUBLE AS rate FROM range(0, 500) x(i)),
-    p AS (SELECT benchmark, platform, left_condition, right_condition, n, rate, {cdf_sql('rate')} + {cdf_sql('(1 - rate)')} AS power FROM crit, g)
-    SELECT benchmark, platform, left_condition, right_condition, n, {r6(f'min(rate) FILTER (power >= {POWER_TARGET})')} AS detectable_rate FROM p GROUP BY ALL""",
+    f"""WITH RECURSIVE {POWER_CTE}, halves AS (SELECT benchmark, platform, left_condition, right_condition, n, k, CAST(0.5 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, 0 AS step FROM crit
+      UNION ALL SELECT benchmark, platform, left_condition, right_condition, n, k, CASE WHEN power < {POWER_TARGET} THEN middle ELSE low END,
+        CASE WHEN power < {POWER_TARGET} THEN high ELSE middle END, step + 1
+      FROM (SELECT *, {cdf_sql('middle')} + {cdf_sql('(1 - middle)')} AS power FROM (SELECT *, (low + high) / 2 AS middle FROM halves WHERE step < 80)))
+    SELECT benchmark, platform, left_condition, right_condition, n, {r6('high')} AS detectable_rate FROM halves WHERE step = 80""",
 )
 def detectable_rate(t: Tables) -> DataFrame:
-    """Smallest rate on a grid of step 0.001 with enough power."""
+    """Smallest rate with enough power, by bisection."""
     report = P.detectable_rate(power_cells(t), P.CELL, ALPHA, POWER_TARGET)
     return rounded(report, "detectable_rate")
 

@@ -179,11 +179,11 @@ def outcome_summary_length(t: Tables) -> DataFrame:
 
 @query(
     "outcome_summary_compute",
-    f"""WITH {CMP_SQL}, src AS (SELECT left_condition, right_condition, benchmark, prompt, focal AS outcome FROM cp WHERE ratio <= 1.25),
+    f"""WITH {CMP_SQL}, src AS (SELECT left_condition, right_condition, benchmark, prompt, focal AS outcome FROM cp),
     {summary_sql('src', 'left_condition, right_condition', False)} SELECT * FROM summary""",
 )
 def outcome_summary_compute(t: Tables) -> DataFrame:
-    rows = compute_pairs(t).filter("ratio <= 1.25").select(
+    rows = compute_pairs(t).select(
         *P.CONTRAST, *L.UNIT, L.outcome_of(F.lit("left")).alias("outcome")
     )
     return rounded(L.summarize(rows, P.CONTRAST).drop("equal_length_pairs"), *STATS)
@@ -266,7 +266,7 @@ def average_ranks(t: Tables) -> DataFrame:
 
 # --- prompt-level robustness ---------------------------------------------------
 
-SEED, RESAMPLES = 20260908, 200
+SEED, RESAMPLES = 20260908, 10_000
 UNIT_SQL = f"""{V.VERDICT_RUN_SQL}, unit_means AS (SELECT left_condition, right_condition, benchmark, prompt,
   avg(CASE verdict WHEN 'left' THEN 1.0 WHEN 'right' THEN 0.0 ELSE 0.5 END) AS value, count(*) AS pairs FROM verdicts GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
@@ -286,10 +286,11 @@ def unit_means(t: Tables) -> DataFrame:
 
 @query(
     "bootstrap_mean",
-    f"WITH {UNIT_SQL} SELECT benchmark, left_condition, right_condition, CAST(b AS INTEGER) AS b, {r6('mean')} AS mean FROM means",
+    f"WITH {UNIT_SQL} SELECT benchmark, left_condition, right_condition, CAST(b AS INTEGER) AS b, floor(mean * 1e6 + 0.5) / 1e6 AS mean FROM means",
 )
 def bootstrap_mean(t: Tables) -> DataFrame:
-    return rounded(B.bootstrap_means(written(unit_means(t), "units"), CELL, ["prompt"], "value", RESAMPLES, SEED), "mean")
+    means = B.bootstrap_means(written(unit_means(t), "units"), CELL, ["prompt"], "value", RESAMPLES, SEED)
+    return means.withColumn("mean", F.floor(F.col("mean") * 1e6 + 0.5) / 1e6)
 
 
 @query(

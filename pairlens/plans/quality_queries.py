@@ -201,9 +201,8 @@ def intersect_prompts(t: Tables) -> DataFrame:
     return of("A4").intersect(of("A1")).groupBy("benchmark").agg(F.count(F.lit(1)).alias("prompts"))
 
 
-SEED, RESAMPLES = 20260908, 200
-BOOT_CONTRASTS = (("A4", "A1"), ("A4", "A2"), ("A4", "A3"), ("A5", "A1"), ("A6", "A1"))
-BOOT_SQL = f"""{SCORES_SQL}, {V.contrast_sql(BOOT_CONTRASTS)}, diffs AS (SELECT l.benchmark, l.prompt, c.left_condition, c.right_condition,
+SEED, RESAMPLES = 20260908, 10_000
+BOOT_SQL = f"""{SCORES_SQL}, {V.contrast_sql(PAIRED)}, diffs AS (SELECT l.benchmark, l.prompt, c.left_condition, c.right_condition,
   l.score - r.score AS diff FROM contrasts c JOIN prompt_scores l ON l.condition = c.left_condition
   JOIN prompt_scores r ON r.condition = c.right_condition AND r.benchmark = l.benchmark AND r.prompt = l.prompt),
 placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY benchmark, left_condition, right_condition) AS n
@@ -218,7 +217,7 @@ cells AS (SELECT benchmark, left_condition, right_condition, count(*) AS prompts
 
 
 def paired_bootstrap_report(t: Tables) -> DataFrame:
-    units = written(diffs(t, BOOT_CONTRASTS), "diffs")
+    units = written(diffs(t, PAIRED), "diffs")
     means = B.bootstrap_means(units, PAIR_CELL, ["prompt"], "diff", RESAMPLES, SEED)
     cells = units.groupBy(*PAIR_CELL).agg(
         F.count(F.lit(1)).alias("prompts"), F.avg("diff").alias("mean_difference")

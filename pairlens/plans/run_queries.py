@@ -219,10 +219,10 @@ def timing(t: Tables) -> DataFrame:
 @query(
     "expected_vs_observed_ids",
     """SELECT lang, count(*) AS expected, count(d2.doc_id) AS observed FROM documents d
-      LEFT JOIN (SELECT doc_id FROM labels) d2 USING (doc_id) WHERE n_chars > 500 GROUP BY lang""",
+      LEFT JOIN (SELECT doc_id FROM labels) d2 USING (doc_id) GROUP BY lang""",
 )
 def expected_vs_observed_ids(t: Tables) -> DataFrame:
-    wanted = t.documents.filter("n_chars > 500").select("doc_id", "lang")
+    wanted = t.documents.select("doc_id", "lang")
     found = t.labels.select("doc_id").distinct().withColumn("hit", F.lit(1))
     return wanted.join(found, "doc_id", "left").groupBy("lang").agg(
         F.count(F.lit(1)).alias("expected"), F.count("hit").alias("observed")

@@ -105,13 +105,13 @@ def test_average_rank_and_quantiles(spark):
         assert row.rank == first + (ordered.count(row.v) - 1) / 2
 
 
-def test_bootstrap_spread_matches_theory_on_both_paths(spark):
+def test_bootstrap_spread_matches_theory_in_one_block_and_many(spark):
     rng = random.Random(4)
     values = [rng.gauss(3, 2) for _ in range(400)]
     df = spark.createDataFrame([("k", f"u{i}", v) for i, v in enumerate(values)], "k string, u string, v double")
     want = statistics.pstdev(values) / math.sqrt(len(values))
-    for limit in (20_000, 10):
-        means = [r["mean"] for r in B.bootstrap_means(df, ["k"], ["u"], "v", 400, 7, limit).collect()]
+    for block in (20_000, 10):
+        means = [r["mean"] for r in B.bootstrap_means(df, ["k"], ["u"], "v", 400, 7, block).collect()]
         assert len(means) == 400
         assert statistics.fmean(means) == pytest.approx(statistics.fmean(values), abs=4 * want)
         assert statistics.stdev(means) == pytest.approx(want, rel=0.2)
@@ -119,8 +119,18 @@ def test_bootstrap_spread_matches_theory_on_both_paths(spark):
 
 def test_resample_weights_add_up(spark):
     df = spark.createDataFrame([("k", f"u{i}") for i in range(50)], "k string, u string")
-    sums = B.resample_weights(df, ["k"], ["u"], 20, 3).groupBy("b").agg(F.sum("weight").alias("w")).collect()
-    assert len(sums) == 20 and {r.w for r in sums} == {50.0}
+    for block in (20_000, 10):
+        sums = B.resample_weights(df, ["k"], ["u"], 60, 3, block).groupBy("b").agg(F.sum("weight").alias("w")).collect()
+        assert len(sums) == 60 and {r.w for r in sums} == {50.0}
+
+
+def test_means_and_weights_are_the_same_draws(spark):
+    df = spark.createDataFrame([("k", f"u{i}", float(i * i)) for i in range(50)], "k string, u string, v double")
+    for block in (20_000, 10):
+        means = {r.b: r["mean"] for r in B.bootstrap_means(df, ["k"], ["u"], "v", 60, 3, block).collect()}
+        drawn = B.resample_weights(df, ["k"], ["u"], 60, 3, block).join(df, ["k", "u"])
+        want = {r.b: r.m for r in drawn.groupBy("b").agg((F.sum(F.col("weight") * F.col("v")) / 50).alias("m")).collect()}
+        assert means == pytest.approx(want)
 
 
 def test_prompt_level_means(spark):

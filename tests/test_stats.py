@@ -86,8 +86,16 @@ def test_power_and_detectable_rate_by_brute_force(spark):
         )
         assert row.power == pytest.approx(want, rel=1e-8, abs=1e-12)
     found = {r.n: r.detectable_rate for r in P.detectable_rate(cells, ["cell"], alpha, 0.8).collect()}
-    assert found[3] is None
+    assert found[3] == 1
     assert 0.6 < found[121] < found[40] < 1
+    ends = spark.createDataFrame([(n, found[n] + d, d > 0) for n in (40, 121) for d in (-1e-9, 1e-9)], "cell bigint, rate double, enough boolean")
+    for row in ends.collect():
+        want = sum(
+            math.comb(row.cell, w) * row.rate**w * (1 - row.rate) ** (row.cell - w)
+            for w in range(row.cell + 1)
+            if exact_sign(w, row.cell - w) <= alpha
+        )
+        assert (want >= 0.8) == row.enough
 
 
 def test_holm_is_monotone_and_breaks_ties_by_order(spark):
