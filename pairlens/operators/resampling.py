@@ -27,7 +27,7 @@ from pairlens.functions.stats import (
 from pairlens.session import spread
 
 BLOCK = 20_000
-REPLICATES_PER_ROW = 50
+REPLICATES_PER_ROW = 500
 # Copies of the one row per cell that its units are joined to, so a large cell is split over tasks
 SALTS = 32
 # Values are summed as whole multiples of 1 / SCALE, so a mean does not depend on the order of its sum

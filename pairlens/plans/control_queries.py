@@ -328,7 +328,10 @@ def prompt_level_rate(t: Tables) -> DataFrame:
         F.count_if(F.col("value") > 0.5).alias("prompt_wins"),
         F.count_if(F.col("value") < 0.5).alias("prompt_losses"),
         F.count_if(F.col("value") == 0.5).alias("prompt_ties"),
-    ).withColumn("sign_test_p", sign_test_p(F.col("prompt_wins"), F.col("prompt_losses")))
+    ).withColumn(
+        # the last digits of a sum would decide a tie of the sixth decimal
+        "sign_test_p", F.round(sign_test_p(F.col("prompt_wins"), F.col("prompt_losses")), 12)
+    )
     report = cells.join(ends, CELL).withColumnsRenamed({"low": "bootstrap_low", "high": "bootstrap_high"})
     return rounded(report, "rate", "bootstrap_low", "bootstrap_high", "sign_test_p")
 
