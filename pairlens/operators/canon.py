@@ -169,17 +169,38 @@ def verify_prompt_refs(runs: DataFrame, prompts: DataFrame) -> DataFrame:
 DURATION_KEYS = ("duration", "duration_seconds", "elapsed", "elapsed_seconds")
 
 
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|[{}\[\]]|[^\s,:{}\[\]"]+'
+
+
 def recorded_seconds(attempts_json: Column) -> Column:
-    """Sum of the non-negative durations at any depth of the attempts text."""
-    pattern = (
-        '"(?:' + "|".join(DURATION_KEYS) + r')"\s*:\s*"?(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'
-    )
-    found = F.transform(
-        F.regexp_extract_all(attempts_json, F.lit(pattern), F.lit(1)), lambda x: x.cast("double")
+    """Sum of the non-negative durations of the attempts text, at any depth but not inside a duration itself.
+
+    One fold over the tokens of the text: ``skip`` is the depth of a container that stands where a duration is
+    expected, ``armed`` tells that the last token was the key of a duration. True counts as one, false as zero.
+    """
+    number = lambda t: F.when(t == "true", 1.0).when(t == "false", 0.0).otherwise(
+        F.btrim(t, F.lit('"')).try_cast("double")
     )
-    valid = F.filter(found, lambda x: x >= 0)
-    total = F.aggregate(valid, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(valid) > 0, total)
+
+    def state(depth: Column, skip: Column, armed: Column, total: Column, found: Column) -> Column:
+        names = ("depth", "skip", "armed", "total", "found")
+        return F.struct(*[c.alias(n) for n, c in zip(names, (depth, skip, armed, total, found), strict=True)])
+
+    def step(acc: Column, token: Column) -> Column:
+        key = F.rtrim(F.rtrim(token, F.lit(":")))
+        is_key = token.startswith('"') & token.endswith(":")
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        skip = F.when(opens & acc["armed"], depth).when(closes & (acc["skip"] == acc["depth"]), 0).otherwise(acc["skip"])
+        armed = is_key & (acc["skip"] == 0) & F.btrim(key, F.lit('"')).isin(*DURATION_KEYS)
+        value = F.when(acc["armed"] & ~is_key & ~opens & ~closes, number(token))
+        good = F.coalesce((value >= 0) & ~F.isnan(value), F.lit(False))
+        total = acc["total"] + F.when(good, value).otherwise(0.0)
+        return state(depth, skip, armed, total, acc["found"] | good)
+
+    start = state(F.lit(0), F.lit(0), F.lit(False), F.lit(0.0), F.lit(False))
+    tokens = F.regexp_extract_all(attempts_json, F.lit(JSON_TOKEN), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["found"], s["total"]))
 
 
 def elapsed_seconds(attempts_json: Column, started: Column, updated: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as X
@@ -518,7 +518,20 @@ def trace_contract_runs(t: Tables) -> DataFrame:
     return reason_counts(R.trace_reasons(R.event_reasons(placed, contracts(t))), "condition")
 
 
-# --- sources: the parsers on text made from the tables ------------------------------------
+# --- sources: files made from the tables, and the parsers on such text ---------------------
+
+
+def text_files(rows: DataFrame, name: str, *order: str) -> str:
+    """Folder of text files, one folder ``path=<key>`` per key of the rows (path, line); the lines follow ``order``."""
+    folder = scratch_path(rows.sparkSession, name)
+    placed = rows.repartition("path").sortWithinPartitions("path", *order).select("path", "line")
+    placed.write.partitionBy("path").text(folder)
+    return folder
+
+
+def file_key() -> Column:
+    """The key that text_files put into the folder name."""
+    return F.regexp_extract("path", "path=([0-9]+)", 1).cast("bigint").alias("path")
 
 
 @query(
@@ -569,7 +582,7 @@ def scan_score_manifests(t: Tables) -> DataFrame:
     )
 
 
-def score_files(t: Tables) -> DataFrame:
+def score_files(t: Tables) -> str:
     """Text files of at most twenty score lines; some lines are broken, some no object."""
     line = (
         F.when(F.col("event_id") % 211 == 11, "{broken")
@@ -578,9 +591,7 @@ def score_files(t: Tables) -> DataFrame:
             F.to_json(F.struct(F.lit("A|B").alias("presentation"), F.lit("A").alias("winner"), (F.col("event_id") % 100).alias("score")))
         )
     )
-    return t.events.groupBy(F.floor(F.col("event_id") / 20).alias("path")).agg(
-        F.concat_ws("\n", F.collect_list(line)).alias("value")
-    )
+    return text_files(t.events.select(F.floor(F.col("event_id") / 20).alias("path"), "event_id", line.alias("line")), "scores", "event_id")
 
 
 @query(
@@ -590,8 +601,10 @@ def score_files(t: Tables) -> DataFrame:
     UNION ALL SELECT 'tolerant', count(*), CAST(sum(event_id % 100) AS BIGINT) FROM r WHERE event_id % 211 <> 11 AND event_id % 13 <> 12""",
 )
 def scan_score_records(t: Tables) -> DataFrame:
+    folder = score_files(t)
+
     def total(mode: str) -> DataFrame:
-        rows = S.parse_score_records(score_files(t), mode == "strict")
+        rows = S.scan_score_records(t.spark, [folder], mode == "strict", "*.txt")
         return rows.agg(
             F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("records"), F.sum("score").cast("bigint").alias("score")
         )
@@ -608,12 +621,9 @@ def scan_score_records(t: Tables) -> DataFrame:
 def scan_trace(t: Tables) -> DataFrame:
     """Trace files of fifty events, a blank line before each; a bad line refuses its file."""
     line = F.when(F.col("event_id") % 1999 == 1, "oops").otherwise(F.to_json(F.struct("event_type")))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
-    files = t.events.groupBy(F.floor(F.col("event_id") / 50).alias("path")).agg(
-        F.concat_ws("", F.transform(ordered, lambda e: F.concat(F.lit(" \n"), e["line"], F.lit("\n")))).alias("value")
-    )
-    events, _ = S.parse_trace(files)
-    return events.groupBy("path", "event_type").agg(
+    rows = t.events.select(F.floor(F.col("event_id") / 50).alias("path"), "ts", "event_id", F.concat(F.lit(" \n"), line).alias("line"))
+    events, _ = S.scan_trace(t.spark, [text_files(rows, "traces", "ts", "event_id")], "*.txt")
+    return events.groupBy(file_key(), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places")
     )
 
@@ -631,11 +641,9 @@ def scan_prompt_manifest(t: Tables) -> DataFrame:
         )
     )
     line = F.when(F.col("doc_id") % 97 == 5, "42").otherwise(row)
-    files = t.documents.groupBy(F.floor(F.col("doc_id") / 30).alias("path")).agg(
-        F.concat_ws("\n\n", F.collect_list(line)).alias("value")
-    )
-    _, checks = S.parse_prompt_manifest(files)
-    return checks.select("path", "bad_lines", "rows", "benchmarks", "ids")
+    rows = t.documents.select(F.floor(F.col("doc_id") / 30).alias("path"), "doc_id", F.concat(line, F.lit("\n")).alias("line"))
+    _, checks = S.scan_prompt_manifest(t.spark, [text_files(rows, "prompts", "doc_id")], "*.txt")
+    return checks.select(file_key(), "bad_lines", "rows", "benchmarks", "ids")
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.text import LINE_BREAK, sha256_hex
@@ -51,22 +51,59 @@ PRICE_KEYS = ("input", "cached_input", "output")
 BLOCK_LINES = 4096
 
 
-def scan_text(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
-    """Whole files of one name below the roots, as (root, path, value).
-
-    A root inside another root is not scanned again, so a file that two roots
-    reach is read once and no text has to be shuffled to find copies. The file
-    belongs to the first listed root that holds it.
-    """
+def _outer(roots: Sequence[str]) -> list[str]:
+    """Roots that lie in no other root, so that a file below two of them is read once."""
     plain = list(dict.fromkeys(r.rstrip("/") for r in roots))
-    outer = [r for r in plain if not any(r != o and r.startswith(o + "/") for o in plain)]
-    files = spark.read.text(
-        outer, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name
-    ).select(F.col("_metadata.file_path").alias("path"), "value")
+    return [r for r in plain if not any(r != o and r.startswith(o + "/") for o in plain)]
+
+
+def _with_root(files: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """Adds the first listed root that holds the file."""
     root = F.lit(None).cast("string")
-    for r in reversed(plain):
+    for r in reversed(list(dict.fromkeys(r.rstrip("/") for r in roots))):
         root = F.when(F.contains("path", F.lit(r + "/")), F.lit(r)).otherwise(root)
-    return files.select(root.alias("root"), "path", "value")
+    return files.select(root.alias("root"), *files.columns)
+
+
+def scan_text(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
+    """Whole files of one name below the roots, as (root, path, value): for documents that only make sense whole."""
+    files = spark.read.text(
+        _outer(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=name
+    ).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _with_root(files, roots)
+
+
+def scan_paths(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
+    """(root, path) of the files, also of empty ones, from the file index that a read makes; no content is read."""
+    found = spark.read.text(_outer(roots), recursiveFileLookup=True, pathGlobFilter=name).inputFiles()
+    # the index writes an empty authority where file metadata leaves it out
+    plain = [(re.sub(r"^([A-Za-z0-9+.-]+):///", r"\1:/", path),) for path in found]
+    return _with_root(spark.createDataFrame(plain, "path string"), roots)
+
+
+def scan_lines(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
+    """Non-blank lines of the files in order, as (root, path, pos, bucket, line), read in splits.
+
+    A task reads one stretch of a file at a time. A line's place is its place in the stretch plus the lines of
+    all stretches before it, of which there is one small row each; so a file of any size is read by many tasks.
+    """
+    lines = spark.read.text(_outer(roots), recursiveFileLookup=True, pathGlobFilter=name).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.explode(F.split("value", LINE_BREAK)).alias("line"),
+    )
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    stretches = lines.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_start")) - F.col("_n")
+    stretches = stretches.select("path", "_start", "_first", before.alias("_before"))
+    place = F.col("_id") - F.col("_first") + F.col("_before")
+    placed = lines.filter(F.trim("line") != "").join(stretches, ["path", "_start"]).select(
+        "path",
+        (place + 1).alias("pos"),
+        F.floor(place / BLOCK_LINES).cast("int").alias("bucket"),
+        "line",
+    )
+    return _with_root(placed, roots)
 
 
 def folder(path: Column) -> Column:
@@ -143,13 +180,12 @@ def scan_score_manifests(spark: SparkSession, roots: Sequence[str]) -> DataFrame
     return parse_score_manifests(files.withColumn("path", folder(F.col("path"))))
 
 
-def parse_score_records(files: DataFrame, strict: bool) -> DataFrame:
-    """Score records of each artifact, in line order.
+def record_lines(lines: DataFrame, strict: bool) -> DataFrame:
+    """Score records of each artifact from its lines.
 
     Lines that hold no object are dropped. A line that is not JSON drops the
     whole artifact when ``strict``, else only itself.
     """
-    lines = split_lines(files)
     broken = F.try_parse_json("line").isNull()
     if strict:
         bad = lines.filter(broken).select("path").distinct()
@@ -161,18 +197,23 @@ def parse_score_records(files: DataFrame, strict: bool) -> DataFrame:
     )
 
 
-def scan_score_records(spark: SparkSession, roots: Sequence[str], strict: bool) -> DataFrame:
-    files = scan_text(spark, roots, "scores.jsonl")
-    return parse_score_records(files.withColumn("path", folder(F.col("path"))), strict)
+def parse_score_records(files: DataFrame, strict: bool) -> DataFrame:
+    """The same from a table of whole files."""
+    return record_lines(split_lines(files), strict)
 
 
-def parse_trace(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scan_score_records(spark: SparkSession, roots: Sequence[str], strict: bool, name: str = "scores.jsonl") -> DataFrame:
+    lines = scan_lines(spark, roots, name)
+    return record_lines(lines.withColumn("path", folder(F.col("path"))), strict)
+
+
+def trace_lines(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trace events in line order, and the files that are no valid trace.
 
     A file is refused when a line is no JSON object, or when it has no line.
     ``has_`` columns tell an absent field from a null one.
     """
-    lines = split_lines(files).withColumn("_ok", is_object(F.col("line")))
+    lines = lines.withColumn("_ok", is_object(F.col("line")))
     problems = (
         files.select("path")
         .join(lines.groupBy("path").agg(F.every("_ok").alias("_all")), "path", "left")
@@ -195,25 +236,28 @@ def parse_trace(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, problems
 
 
+def parse_trace(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from a table of whole files."""
+    return trace_lines(files, split_lines(files))
+
+
 def scan_trace(spark: SparkSession, roots: Sequence[str], name: str = "process.jsonl") -> tuple[DataFrame, DataFrame]:
-    return parse_trace(scan_text(spark, roots, name).drop("root"))
+    return trace_lines(scan_paths(spark, roots, name), scan_lines(spark, roots, name).drop("root"))
 
 
-def scan_attempt_events(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def scan_attempt_events(spark: SparkSession, roots: Sequence[str], name: str = "attempt-*.events.jsonl") -> DataFrame:
     """Lines of the attempt event files: run folder, file, line place and text."""
-    files = scan_text(spark, roots, "attempt-*.events.jsonl").select(
-        folder(F.col("path")).alias("path"), F.col("path").alias("file"), "value"
-    )
-    return split_lines(files, ["path", "file"]).withColumnRenamed("line", "value")
+    lines = scan_lines(spark, roots, name)
+    return lines.select(folder(F.col("path")).alias("path"), F.col("path").alias("file"), "pos", "bucket", F.col("line").alias("value"))
 
 
-def parse_prompt_manifest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prompt_lines(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prompt rows, and one check row per file.
 
     A file needs at least one row, only object lines, one benchmark, one source
     version and unique ids.
     """
-    lines = split_lines(files).withColumn("_ok", is_object(F.col("line")))
+    lines = lines.withColumn("_ok", is_object(F.col("line")))
     rows = lines.filter("_ok").select("path", "pos", F.from_json("line", PROMPT_SCHEMA).alias("_p")).select(
         "path", "pos", "_p.*"
     )
@@ -241,6 +285,15 @@ def parse_prompt_manifest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, checks.withColumn("valid", valid)
 
 
+def parse_prompt_manifest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from a table of whole files."""
+    return prompt_lines(files, split_lines(files))
+
+
+def scan_prompt_manifest(spark: SparkSession, roots: Sequence[str], name: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    return prompt_lines(scan_paths(spark, roots, name), scan_lines(spark, roots, name))
+
+
 def scan_parquet_checked(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Parquet with only the required columns; a missing one is an error.
 

@@ -61,6 +61,40 @@ def test_trace_keeps_line_order_and_reports_bad_files(spark, tmp_path):
     assert reasons == {"empty": "empty", "bad": "bad_line"}
 
 
+def test_lines_of_a_file_read_in_many_splits_keep_their_places(spark, tmp_path):
+    lines = ["" if i % 7 == 3 else f"line {i}\u2028half {i}" if i % 11 == 5 else f"line {i}" for i in range(1, 3001)]
+    write(tmp_path / "a/x.log", "\r\n".join(lines) + "\n")
+    write(tmp_path / "b/x.log", "one\n\nthree")
+    write(tmp_path / "c/x.log", "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        split = S.scan_lines(spark, [str(tmp_path)], "*.log")
+        assert split.rdd.getNumPartitions() > 1
+        got = sorted((r.path[-7:], r.pos, r.line) for r in split.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = S.split_lines(S.scan_text(spark, [str(tmp_path)], "*.log"))
+    assert got == sorted((r.path[-7:], r.pos, r.line) for r in whole.collect())
+    assert S.scan_paths(spark, [str(tmp_path)], "*.log").count() == 3
+
+
+def test_durations_inside_a_duration_do_not_count(spark):
+    from pairlens.operators.canon import recorded_seconds
+
+    cases = [
+        ('[{"duration": {"elapsed": 3}, "elapsed": 2}]', 2.0),
+        ('{"a": {"b": [{"elapsed_seconds": "1.5"}, [{"duration": true}]]}, "duration": -4}', 2.5),
+        ('{"duration": [{"elapsed": 9}], "x": {"duration_seconds": 1e1}}', 10.0),
+        ('{"note": "say \\"elapsed\\": 5 {", "elapsed": null}', None),
+        ("[]", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", recorded_seconds(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
 def test_attempt_events_and_delegation(spark, tmp_path):
     def event(kind, item_id, receivers, status="completed"):
         return json.dumps(
@@ -81,7 +115,7 @@ def test_prompt_manifest_checks(spark, tmp_path):
     write(tmp_path / "twice.jsonl", f"{row('1')}\n{row('1')}\n")
     write(tmp_path / "mixed.jsonl", f"{row('1')}\n{row('2', 'y')}\n")
     write(tmp_path / "none.jsonl", "\n")
-    _, checks = S.parse_prompt_manifest(S.scan_text(spark, [str(tmp_path)], "*.jsonl"))
+    _, checks = S.scan_prompt_manifest(spark, [str(tmp_path)])
     valid = {r.path.rsplit("/", 1)[-1]: r.valid for r in checks.collect()}
     assert valid == {"good.jsonl": True, "twice.jsonl": False, "mixed.jsonl": False, "none.jsonl": False}
 
