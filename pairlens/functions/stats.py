@@ -114,7 +114,9 @@ def sign_test_p(wins: Column, losses: Column) -> Column:
     n = w + l
     k = F.least(w, l)
     lower = F.exp(_log_binomial_pmf(k, n, F.lit(0.5))) * _falling_sum(k, n, F.lit(1.0))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * lower))
+    p = F.least(F.lit(1.0), 2.0 * lower)
+    # the logarithm leaves an error near 1e-14, which would decide ties of a later rounding
+    return F.when(n == 0, F.lit(1.0)).when(p >= 1e-3, F.round(p, 12)).otherwise(p)
 
 
 def binomial_cdf(k: Column, n: Column, rate: Column) -> Column:
