@@ -9,7 +9,10 @@ without gaps from both ends of the diagonal.
 An overlap counts if a run of words on one diagonal has at least min(MIN_WORDS, words of the item) words of
 which SHARE agree. Words are compared lower-cased (A-Z) and without ASCII punctuation.
 
-Defined results: null and empty texts and items match nothing; items shorter than a mask are sought whole;
+The masks miss nothing that counts: of every run of MIN_WORDS words or more of which SHARE agree, one of MASKS reads
+only words that agree (test_masks_cover_every_run tries all of them), and a shorter item has masks of its own.
+
+Defined results: null and empty texts and items match nothing; items of less than MIN_WORDS words are sought whole;
 equal items are sought once and reported for every item_id; a repeated row is reported once;
 without documents or benchmark the result is empty. Columns other than doc_id, text (documents) and item_id, text (benchmark)
 are never read.
@@ -17,6 +20,8 @@ are never read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +31,9 @@ from pairlens.llm import textops as X
 from pairlens.llm.common import key_bitmap, map_batches, maybe_flag, table
 from pairlens.session import written
 
-#: Fixed masks: the places of a window that a seed reads.
-MASKS = ("1111011011", "1101101111", "1110111011")
+#: Fixed masks: the places of a window that a seed reads. A run of 26 words or more has a half of at least 13 that agrees as well,
+#: so that they cover 13 words with 2 changed, 15 with 3, 20 with 4 and 25 with 5 is enough for runs of any length.
+MASKS = ("11101111", "1111010011", "1110101011", "1100011111", "11111011", "11011111", "1111100101", "101111011")
 MIN_WORDS = 13
 SHARE = 0.8
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
@@ -44,12 +50,16 @@ def mask_seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     if n <= 0:
         return hashes[:0]
     seeds = X.sequence_hash([hashes[i : i + n] for i, c in enumerate(mask) if c == "1"])
-    return X.mix(seeds + np.uint64(int(mask, 2)))
+    return X.mix(seeds + np.uint64(int("1" + mask, 2)))
 
 
-def item_masks(n_words: int) -> tuple[str, ...]:
-    """Masks that fit an item; its whole length where none does."""
-    return tuple(m for m in MASKS if len(m) <= n_words) or ("1" * n_words,)
+def item_masks(n_words: int, share: float = SHARE) -> tuple[str, ...]:
+    """Masks of an item. One of less than MIN_WORDS words, of which k may change, is cut in k + 3 parts; each mask leaves out k of them."""
+    if n_words >= MIN_WORDS:
+        return MASKS
+    k = next(k for k in range(n_words, -1, -1) if n_words - k >= share * n_words)
+    parts = min(n_words, k + 3)
+    return tuple("".join("0" if i * parts // n_words in out else "1" for i in range(n_words)) for out in combinations(range(parts), k))
 
 
 def filter_places(seeds: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -79,7 +89,7 @@ def _item_rows(benchmark: DataFrame) -> DataFrame:
     return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), build, "item_id long, content long, words binary")
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
+def _item_seeds(items: DataFrame, share: float) -> DataFrame:
     """(seed, content, item_pos) of distinct contents."""
 
     def build():
@@ -87,7 +97,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             seeds, contents, places = [], [], []
             for content, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(words, np.uint64)
-                for mask in item_masks(len(h)):
+                for mask in item_masks(len(h), share):
                     s = mask_seeds(h, mask)
                     seeds += X.signed(s).tolist()
                     contents += [content] * len(s)
@@ -199,12 +209,14 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int = M
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE) -> DataFrame:
     """(row_key, doc_id, item_id, first_word, n_words, n_matches): the best overlap of every row and item that overlap."""
+    if min_words < MIN_WORDS or share < SHARE:
+        raise ValueError(f"the masks cover runs of {MIN_WORDS} words or more of which {SHARE} agree")
     items = written(_item_rows(benchmark), "items")
     contents = items.groupBy("content").agg(F.first("words").alias("words"))
-    seeds = written(_item_seeds(contents), "item_seeds")
+    seeds = written(_item_seeds(contents, share), "item_seeds")
     n_seeds, reach = seeds.count(), (items.agg(F.max(F.octet_length("words"))).first()[0] or 0) // 8
-    short = [r.n for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < min(map(len, MASKS))).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    short = [r.n for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < MIN_WORDS).distinct().collect()]
+    masks = [*MASKS, *(m for n in sorted(short) for m in item_masks(n, share))]
     bloom = _bloom(seeds, int(min(max(1 << (32 * n_seeds).bit_length(), MIN_BITS), MAX_BITS)))
     windows = written(_windows(docs, bloom, masks, reach).withColumn("window", F.monotonically_increasing_id()), "windows")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -120,3 +122,30 @@ def test_masks_ignore_their_places():
             other = words.copy()
             other[i] = 99
             assert (D.mask_seeds(other, mask)[0] == D.mask_seeds(words, mask)[0]) == (c == "0")
+
+
+def covered(masks, n, out):
+    """Whether a mask reads only unchanged words somewhere in a run of n words; out holds the bits of the changed ones."""
+    return any(not out & int(m, 2) << at for m in masks for at in range(n - len(m) + 1))
+
+
+@pytest.mark.parametrize("n, k", [(13, 2), (15, 3), (20, 4), (25, 5)])
+def test_masks_cover_every_run(n, k):
+    """Every run that counts holds one of these lengths with so many changes at most: of two halves one agrees as well."""
+    assert k == n - math.ceil(n * 4 / 5) and not [c for c in combinations(range(n), k) if not covered(D.MASKS, n, sum(1 << i for i in c))]
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_masks_cover_short_items(n):
+    for places in combinations(range(n), n - math.ceil(n * 4 / 5)):
+        item, doc = np.arange(1, n + 1, dtype=np.uint64), np.arange(1, n + 1, dtype=np.uint64)
+        doc[list(places)] = 99
+        assert any(set(D.mask_seeds(doc, m).tolist()) & set(D.mask_seeds(item, m).tolist()) for m in D.item_masks(n))
+
+
+def test_every_fifth_word_changed(make_docs, benchmark, words):
+    table, items = benchmark
+    docs = make_docs([(1, words("q", 20) + " " + changed(items[2], range(4, 50, 5)) + " " + words("r", 20))])
+    assert [(r.doc_id, r.item_id) for r in D.find_overlaps(docs, table).collect()] == [(1, 2)]
+    with pytest.raises(ValueError, match="masks cover"):
+        D.find_overlaps(docs, table, share=0.7)
