@@ -3,8 +3,8 @@
 A seed is the hash of the words that a fixed mask selects from a window, so a changed word at an ignored
 place leaves it equal. Seeds of the benchmark make a Bloom filter (at most MAX_BITS / 8 bytes, broadcast);
 a map over the documents keeps the windows around places whose seed the filter may hold. Only these are
-shuffled: seeds meet in an equi-join, and each (window, item, diagonal) is verified once by an extension
-without gaps from both ends of the diagonal.
+shuffled: seeds meet in an equi-join, and each (window, item, diagonal) is verified once: sums along the
+diagonal give its best run without gaps.
 
 An overlap counts if a run of words on one diagonal has at least min(MIN_WORDS, words of the item) words of
 which SHARE agree. Words are compared lower-cased (A-Z) and without ASCII punctuation.
@@ -20,6 +20,7 @@ are never read.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -39,8 +40,6 @@ SHARE = 0.8
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 #: Copies of the benchmark's seeds and items, so that one that a third of all documents holds is split.
 SALTS = 16
-#: A run ends when its score (1 for a match, -MISS for a mismatch) falls so far below the best.
-MISS, DROP = 2.0, 6.0
 _PLACES = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -180,31 +179,29 @@ def filter_places_one(seeds: np.ndarray, bits: int, k: int) -> np.ndarray:
     return (seeds * _PLACES[k]) >> np.uint64(64 - (bits.bit_length() - 1))
 
 
-def _best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the best scoring run of a diagonal; scores restart after a deep fall."""
-    best, found, score, low, start = 0.0, (0, 0, 0), 0.0, 0.0, 0
-    total = np.concatenate([[0], np.cumsum(same)])
-    top, top_at = 0.0, 0
-    for i, hit in enumerate(same.tolist()):
-        score += 1.0 if hit else -MISS
-        if score <= 0 or top - score > DROP:
-            score, top, start = 0.0, 0.0, i + 1
-        elif score > top:
-            top, top_at = score, i + 1
-            if top > best:
-                best, found = top, (start, top_at, int(total[top_at] - total[start]))
-    return found
+def _best_run(same: np.ndarray, min_words: int, share: float) -> tuple[int, int, int] | None:
+    """(start, end, matches) of the run of at least min_words of which share agree that has most matches above share; the longest of equals."""
+    n = len(same)
+    if n < min_words:
+        return None
+    part = Fraction(share).limit_denominator(1000)
+    total = np.concatenate([[0], np.cumsum(same, dtype=np.int64)])
+    above = total * part.denominator - np.arange(n + 1) * part.numerator
+    ranked = above * (n + 1) + np.arange(n + 1)
+    lowest = np.minimum.accumulate(ranked[: n + 1 - min_words])
+    end = int(np.argmax(ranked[min_words:] - lowest))
+    start = int(np.argmin(ranked[: end + 1]))
+    end += min_words
+    return (start, end, int(total[end] - total[start])) if above[end] >= above[start] else None
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int = MIN_WORDS, share: float = SHARE) -> tuple[int, int, int] | None:
-    """(start in doc, words, matches) of the best run with doc[i + diagonal] against item[i], if it counts."""
+    """(start in doc, words, matches) of the best run that counts with doc[i + diagonal] against item[i]."""
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if hi <= lo:
         return None
-    start, end, matches = _best_run(doc[lo + diagonal : hi + diagonal] == item[lo:hi])
-    if end - start < min(min_words, len(item)) or matches < share * (end - start):
-        return None
-    return lo + start + diagonal, end - start, matches
+    run = _best_run(doc[lo + diagonal : hi + diagonal] == item[lo:hi], min(min_words, len(item)), share)
+    return (lo + run[0] + diagonal, run[1] - run[0], run[2]) if run else None
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE) -> DataFrame:

@@ -149,3 +149,27 @@ def test_every_fifth_word_changed(make_docs, benchmark, words):
     assert [(r.doc_id, r.item_id) for r in D.find_overlaps(docs, table).collect()] == [(1, 2)]
     with pytest.raises(ValueError, match="masks cover"):
         D.find_overlaps(docs, table, share=0.7)
+
+
+def test_overlap_accepts_any_run_that_counts():
+    """Against all runs of the diagonal: found when one counts, and then the one with most matches above the share."""
+    rng = np.random.default_rng(5)
+    cases = [np.arange(15) != 2, np.arange(15) != 12, *[np.arange(n) != i for n in range(5, 14) for i in range(n)]]
+    cases += [rng.random(int(rng.integers(1, 45))) < p for p in (0.6, 0.75, 0.85) for _ in range(150)]
+    for same in cases:
+        n, least = len(same), min(D.MIN_WORDS, len(same))
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        runs = [(i, j, int(same[i:j].sum())) for i in range(n) for j in range(i + least, n + 1)]
+        good = [(5 * m - 4 * (j - i), j - i) for i, j, m in runs if 5 * m >= 4 * (j - i)]
+        found = D.overlap(np.concatenate([[0, 0], np.where(same, item, 0)]).astype(np.uint64), item, 2)
+        assert (found is not None) == bool(good)
+        if found:
+            start, words, matches = found
+            assert (5 * matches - 4 * words, words) == max(good) and matches == same[start - 2 : start - 2 + words].sum()
+
+
+def test_changes_near_the_ends_of_an_item(make_docs, spark, words):
+    item, short = words("s", 15), words("t", 11)
+    table = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    docs = make_docs([(i, words("u", 30) + " " + changed(t, [p]) + " " + words("v", 30)) for i, (t, p) in enumerate([(item, 2), (item, 12), (short, 0), (short, 10)])])
+    assert {(r.doc_id, r.item_id) for r in D.find_overlaps(docs, table).collect()} == {(0, 1), (1, 1), (2, 2), (3, 2)}
