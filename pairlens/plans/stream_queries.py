@@ -58,9 +58,8 @@ def stream_tokens(t: Tables) -> DataFrame:
 )
 def stream_transitions(t: Tables) -> DataFrame:
     """Transitions so far; the END rows of closed runs are left to the tests."""
-    rows = J.stream_transitions(stream(t).selectExpr(*EVENT_COLUMNS))
-    seen = J.drain(rows, scratch_path(t.spark, "transitions"), "append")
-    return seen.filter(F.col("target") != R.END).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    rows, late = J.drain_transitions(stream(t).selectExpr(*EVENT_COLUMNS), scratch_path(t.spark, "transitions"))
+    return J.settled(rows, late).filter(F.col("target") != R.END).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

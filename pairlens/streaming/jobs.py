@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairlens.operators.cost import PRICE_KEYS
-from pairlens.operators.traces import END, START, SWITCH
+from pairlens.operators.traces import END, START, SWITCH, ordered_switches
 
 LATENESS = "1 day"
 IDLE_MS = 24 * 3600 * 1000
@@ -32,14 +32,17 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def running_tokens(events: DataFrame, keys: list[str], window: str = "1 day") -> DataFrame:
-    """Running token sums per key and time window of completed turns."""
-    done = events.filter(F.col("type") == "turn.completed").withWatermark("ts", LATENESS)
+    """Running token sums per key and time window of completed turns.
+
+    No watermark: state is one row per window and key, and late turns count.
+    """
+    done = events.filter(F.col("type") == "turn.completed")
     return done.groupBy(F.window("ts", window).alias("window"), *keys).agg(
         F.count(F.lit(1)).alias("turns"), *[F.sum(k).alias(k) for k in PRICE_KEYS]
     ).select(F.col("window.start").alias("window_start"), *keys, "turns", *PRICE_KEYS)
 
 
-TRANSITION_SCHEMA = "run_id string, source string, target string"
+TRANSITION_SCHEMA = "run_id string, source string, target string, ts timestamp, event_id bigint"
 STATE_SCHEMA = "last string"
 
 
@@ -51,22 +54,27 @@ def _run_transitions(
     last = state.get[0] if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame({"run_id": [run], "source": [last or START], "target": [END]})
+        end = {"run_id": [run], "source": [last or START], "target": [END]}
+        yield pd.DataFrame({**end, "ts": pd.to_datetime([None]), "event_id": pd.array([None], "Int64")})
         return
     rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    named = rows[(rows["event_type"] == SWITCH) & rows["to_process"].notna()]["to_process"].tolist()
+    switches = rows[(rows["event_type"] == SWITCH) & rows["to_process"].notna()]
+    named = switches["to_process"].tolist()
     before = [last or START, *named[:-1]]
     latest = int(rows["ts"].max().timestamp() * 1000)
     state.update((named[-1] if named else last,))
     floor = state.getCurrentWatermarkMs()
     state.setTimeoutTimestamp(max(latest, floor) + IDLE_MS)
     if named:
-        yield pd.DataFrame({"run_id": run, "source": before, "target": named})
+        places = {"ts": switches["ts"].tolist(), "event_id": switches["event_id"].tolist()}
+        yield pd.DataFrame({"run_id": run, "source": before, "target": named, **places})
 
 
 def stream_transitions(trace: DataFrame) -> DataFrame:
     """Transition rows as they happen; END follows when a run stays silent.
 
+    The source is the switch seen last, and switches behind the watermark are
+    missing; ``drain_transitions`` keeps those and ``settled`` puts both right.
     State is one name per open run. A batch hands a run's new events to one
     call, so the number of files per trigger bounds what a call holds.
     """
@@ -84,6 +92,44 @@ def stream_transitions(trace: DataFrame) -> DataFrame:
     )
 
 
+PLACED = ["run_id", "ts", "event_id", "to_process"]
+
+
+def named_switches(trace: DataFrame) -> DataFrame:
+    return trace.filter((F.col("event_type") == SWITCH) & F.col("to_process").isNotNull()).select(
+        "run_id", "ts", F.col("event_id").cast("bigint").alias("event_id"), "to_process"
+    )
+
+
+def drain_transitions(trace: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Transition rows of the stream, and the side table of the switches that came too late for it.
+
+    A second stream without state writes every switch; what the first has not
+    written is late, and is written below ``late``.
+    """
+    rows = drain(stream_transitions(trace), f"{folder}/live", "append")
+    every = drain(named_switches(trace), f"{folder}/switches", "append")
+    taken = rows.filter(F.col("target") != END).withColumnRenamed("target", "to_process")
+    every.select(*PLACED).exceptAll(taken.select(*PLACED)).write.mode("overwrite").parquet(f"{folder}/late")
+    return rows, trace.sparkSession.read.parquet(f"{folder}/late")
+
+
+def settled(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """(run_id, source, target) in the order of the events, however they came; one END per closed run."""
+    taken = rows.filter(F.col("target") != END).withColumnRenamed("target", "to_process")
+    switches = taken.select(*PLACED).unionByName(late.select(*PLACED)).withColumns(
+        {"bucket": F.date_trunc("hour", "ts"), "event_type": F.lit(SWITCH)}
+    )
+    steps = ordered_switches(switches).select(
+        "run_id", F.coalesce("previous", F.lit(START)).alias("source"), F.col("to_process").alias("target")
+    )
+    last = switches.groupBy("run_id").agg(F.max_by("to_process", F.struct("ts", "event_id")).alias("_last"))
+    closed = rows.filter(F.col("target") == END).select("run_id").distinct().join(last, "run_id", "left")
+    return steps.unionByName(
+        closed.select("run_id", F.coalesce("_last", F.lit(START)).alias("source"), F.lit(END).alias("target"))
+    )
+
+
 QUALITY_SCHEMA = (
     "run_id string, events bigint, unparseable bigint, out_of_window bigint, non_monotonic bigint"
 )
@@ -157,7 +203,7 @@ def start_quarantine(
 
 
 def idle_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Activity sessions per run, closed after the gap."""
+    """Activity sessions per run, closed after the gap; as a stream it leaves out events behind the watermark."""
     return (
         events.withWatermark("ts", LATENESS)
         .groupBy(F.session_window("ts", gap).alias("session"), "run_id")

@@ -60,3 +60,30 @@ def test_token_totals_and_quarantine(spark, tmp_path):
     J.start_quarantine(stream, check, target).awaitTermination()
     assert spark.read.parquet(f"{target}/valid").count() == 2
     assert spark.read.parquet(f"{target}/rejected").count() == 2
+
+
+def test_shuffled_files_give_the_transitions_of_the_batch_twin(spark, tmp_path):
+    parts = [rows(1, "a", ["planning", "reviewing"]), rows(9, "z", ["planning"], 100), rows(20, "y", [], 200), rows(21, "y", ["planning"], 201)]
+    # "a" again after its end: between and behind its switches; "c" never on time; "y" out of order but not late
+    parts.append([("a", 0, dt.datetime(2024, 1, 1, 0, 0, 30), 60, R.SWITCH, "translating"), *rows(2, "c", ["planning", "planning"], 70)])
+    parts.append([("y", 0, dt.datetime(2024, 1, 20, 23), 300, R.SWITCH, "reviewing")])
+    folder = str(tmp_path / "in")
+    for part in filter(None, parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    everything = spark.read.parquet(folder)
+    live, late = J.drain_transitions(J.read_events(spark, folder, everything.schema, 1), str(tmp_path / "work"))
+    out = J.settled(live, late)
+    steps = lambda df: {(r.source, r.target): r.n for r in df.filter(F.col("target") != R.END).collect()}
+    assert steps(out.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))) == steps(R.transitions(everything))
+    assert {r.run_id for r in late.collect()} == {"a", "c"}
+    assert [(r.run_id, r.source) for r in out.filter((F.col("target") == R.END) & (F.col("run_id") == "a")).collect()] == [("a", "reviewing")]
+
+
+def test_late_turns_are_counted(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "key string, type string, ts timestamp, input bigint, cached_input bigint, output bigint"
+    for day in (1, 20, 1, 9, 20):
+        spark.createDataFrame([("k", "turn.completed", dt.datetime(2024, 1, day, 5), 1, 2, 3)], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = J.read_events(spark, folder, spark.read.parquet(folder).schema, 1)
+    out = J.latest(J.drain(J.running_tokens(stream, ["key"]), str(tmp_path / "tokens"), "update"), ["window_start", "key"])
+    assert sorted((r.window_start.day, r.turns) for r in out.collect()) == [(1, 2), (9, 1), (20, 2)]
