@@ -17,6 +17,7 @@ from pairlens.session import written
 HOT_KEYS = 1000
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+KEY_BITS, MAX_KEY_BITS = 16, 1 << 26
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
@@ -87,6 +88,30 @@ def maybe_flag(df: DataFrame, column: str, bitmap: DataFrame, bits: int = 1 << 2
     return found.withColumn("pairlens_maybe", F.coalesce(F.col("pairlens_mask").bitwiseAND(one) != 0, F.lit(False))).drop("pairlens_word", "pairlens_mask")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_by_keys(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key, rows that have none): df split by a bitmap of the long keys in the only column of `keys`.
+
+    Rows without a value have none. The bitmap has KEY_BITS bits a key up to MAX_KEY_BITS, so at most MAX_KEY_BITS / 64
+    rows are broadcast; a fuller one only puts more rows on the first side.
+    """
+    bits = 1 << max(16, min(KEY_BITS * keys.count(), MAX_KEY_BITS - 1).bit_length())
+    word, mask = free_name(df, "word"), free_name(df, "mask")
+    bitmap = key_bitmap(keys.toDF("key"), bits).toDF(word, mask)
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    marked = df.withColumn(word, F.floor(place / 64).cast("long")).join(F.broadcast(bitmap), word, "left")
+    maybe = F.coalesce((F.col(mask).bitwiseAND(one) != 0) & F.col(column).isNotNull(), F.lit(False))
+    return marked.where(maybe).select(*df.columns), marked.where(~maybe).select(*df.columns)
+
+
 class Forest:
     """Union-find over integers with the smallest member as root."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import chat, decontam, fingerprints, lines, mixing, ngram_join, pii, token_counts, toxicity, warc
+from pairlens.llm import alignment, chat, decontam, exact, fingerprints, lines, mixing, ngram_join, periodic, pii, token_counts, toxicity, warc
 
 #: Domains of the labelled rows and their shares of the mixed corpus's tokens.
 TARGETS = {"good": 0.9, "low": 0.09, "toxic": 0.01}
@@ -90,6 +90,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_copies(read(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_report(read(spark, folder, "documents"), planted=True)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment_report(read(spark, folder, "documents"), *paths)
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -101,6 +116,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,6 +157,15 @@ WITH lines AS (
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.k IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE s.k IS NULL), '')) AS kept_sha256
 FROM keyed l LEFT JOIN shared s ON s.k = l.k AND l.doc_id < s.keeper GROUP BY l.doc_id
+""",
+    "op11_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS c FROM documents
+), r AS (
+  SELECT doc_id, c, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY c) AS group_size
+  FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(c) AS text_sha256 FROM r
 """,
     "op4_warc": """
 WITH p AS (
