@@ -25,7 +25,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ from pairlens.session import written
 #: Rows of the table of frequent pairs, at most.
 HEAD = 1 << 18
 #: Units kept per task, and units that are encoded together.
-CACHE, CHUNK = 200_000, 2000
+CACHE, CHUNK = 200_000, 1000
 #: Bytes of text whose pairs are summed together.
-BLOCK = 1 << 19
+BLOCK = 1 << 21
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _models: dict[tuple[str, str], Aligner] = {}
@@ -54,14 +54,12 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def common_slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(end, first and end index in a, first and end index in b) of every group."""
+def common_slices(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The common ends in order, and for each the end of its group in a and in b."""
     at_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
     at_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        yield end, i, at_a[end], j, at_b[end]
-        i, j = at_a[end], at_b[end]
+    common = sorted(at_a.keys() & at_b.keys())
+    return common, list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
 class Aligner:
@@ -85,9 +83,10 @@ class Aligner:
         if len(self.b.encode("a  b")) < 3:
             raise ValueError(f"{path_b}: white space is not kept as it is")
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-        self.groups: dict[tuple, tuple[str, tuple[int, ...]]] = {}
+        # ids as they are listed: followed by "," inside a group, by "|" behind A's last, by ";" or a line feed behind B's last
+        self.listed = [str(i) + c for c, n in ((",", len(self.bytes_a)), ("|", len(self.bytes_a)), (",", len(self.bytes_b)), (";", len(self.bytes_b)), ("\n", len(self.bytes_b))) for i in range(n)]
+        self.kept: dict[str, tuple] = {}
+        self.fresh: dict[str, tuple] = {}
 
     def _piece(self, i: int, path: str) -> bytes:
         if self.b.is_byte(i):
@@ -97,50 +96,61 @@ class Aligner:
             raise ValueError(f"{path}: piece {piece!r} holds a space between other characters")
         return piece.replace(MARK, " ").encode()
 
-    def align(self, units: list[str]) -> list[tuple | None]:
-        """(tokens of A, of B, groups, group text, pairs) of every unit, as they stand in a text; None if bytes are not given back."""
+    def align(self, units: list[str]) -> list[tuple]:
+        """(numbers of A and B tokens, groups and links; pairs; group text) of every unit, as it stands in a text; () if its bytes are not given back.
+
+        Numbers and pairs are the bytes of 64-bit integers, so that many units are put together at once.
+        """
         text = " " + " ".join(units)
-        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-        raw = text.encode()
+        ids_a, ids_b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        parts = list(map(str.encode, units))
+        raw = b" " + b" ".join(parts)
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
-            return [None] if len(units) == 1 else [x for u in units for x in self.align([u])]
-        sizes = [len(u) + 1 for u in units] if text.isascii() else [len(u.encode()) + 1 for u in units]
-        ends_a, ends_b = (np.cumsum(n[ids]).tolist() for n, ids in ((self.lengths_a, ids_a), (self.lengths_b, ids_b)))
-        edges, known = accumulate(sizes), self.groups
-        out, groups, pairs, first_a, first_b, edge = [], [], [], 0, 0, next(edges)
-        for end, i, i2, j, j2 in common_slices(ends_a, ends_b):
-            key = (ids_a[i], ids_b[j]) if i2 - i == 1 == j2 - j else (*ids_a[i:i2], -1, *ids_b[j:j2])
-            group = known.get(key) or self._group(key, ids_a[i:i2], ids_b[j:j2])
-            groups.append(group[0])
-            pairs += group[1]
-            if end == edge:
-                out.append((i2 - first_a, j2 - first_b, len(groups), ";".join(groups), tuple(pairs)))
-                groups, pairs, first_a, first_b, edge = [], [], i2, j2, next(edges, None)
-        return out
-
-    def _group(self, key: tuple, a: list[int], b: list[int]) -> tuple[str, tuple[int, ...]]:
-        """Text and pairs of a group."""
-        if len(self.groups) >= CACHE:
-            self.groups.clear()
-        found = (",".join(map(str, a)) + "|" + ",".join(map(str, b)), tuple(x * len(self.bytes_b) + y for x in a for y in b))
-        if len(key) < 16:
-            self.groups[key] = found
-        return found
-
-    def known(self, units: list[str]) -> list[tuple | None]:
-        """The alignments of distinct units; those seen since the last CACHE / 2 new ones are kept."""
-        missing = [u for u in units if u not in self.young and u not in self.old]
+            return [()] if len(units) == 1 else [x for u in units for x in self.align([u])]
+        edges = np.cumsum(np.fromiter(map(len, parts), np.int64) + 1)
+        ids_a, ids_b = np.array(ids_a), np.array(ids_b)
+        common, ends_a, ends_b = common_slices(np.cumsum(self.lengths_a[ids_a]).tolist(), np.cumsum(self.lengths_b[ids_b]).tolist())
+        last = np.searchsorted(common, edges)  # the last group of every unit
+        n_a, n_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        first_a, first_b = np.array(ends_a) - n_a, np.array(ends_b) - n_b
+
+        links = n_a * n_b
+        ends = np.cumsum(links)
+        group = np.repeat(np.arange(len(links)), links)
+        place = np.arange(len(group)) - (ends - links)[group]
+        pairs = ids_a[first_a[group] + place // n_b[group]] * len(self.bytes_b) + ids_b[first_b[group] + place % n_b[group]]
+
+        closing = np.full(len(links), 3 * len(self.bytes_b))  # of the groups: ";", and a line feed behind a unit's last
+        closing[last] += len(self.bytes_b)
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+        a_last, b_last = np.array(ends_a) - 1, np.array(ends_b) - 1
+        listed_a, listed_b = ids_a.copy(), ids_b + 2 * len(self.bytes_a)
+        listed_a[a_last] += len(self.bytes_a)
+        listed_b[b_last] += closing - 2 * len(self.bytes_b)
+        codes[np.arange(len(ids_a)) + np.repeat(first_b, n_a)] = listed_a
+        codes[np.arange(len(ids_b)) + np.repeat(ends_a, n_b)] = listed_b
+        texts = "".join(map(self.listed.__getitem__, codes.tolist())).split("\n")
+
+        totals = np.stack([np.array(ends_a)[last], np.array(ends_b)[last], last + 1, ends[last]], axis=1)
+        numbers = np.diff(totals, axis=0, prepend=0).astype(np.int64).tobytes()
+        raw_pairs, cuts = pairs.astype(np.int64).tobytes(), [0, *(8 * ends[last]).tolist()]
+        return [(numbers[32 * k : 32 * k + 32], raw_pairs[cuts[k] : cuts[k + 1]], texts[k]) for k in range(len(units))]
+
+    def known(self, units: list[str]) -> list[tuple]:
+        """The alignments of distinct units. Up to CACHE units seen in several calls are kept, and as many seen in one."""
+        kept, fresh = self.kept, self.fresh
+        for some in (kept, fresh):
+            if len(some) > CACHE:
+                some.clear()
+        for u in [u for u in units if u in fresh]:
+            kept[u] = fresh.pop(u)
+        missing = [u for u in units if u not in kept]
         # white space at a unit's end would join the next unit's space
         alone = [u for u in missing if u[-1:].isspace()]
         joined = [u for u in missing if not u[-1:].isspace()] if alone else missing
-        new = {}
         for some in [joined[k : k + CHUNK] for k in range(0, len(joined), CHUNK)] + [[u] for u in alone]:
-            new.update(zip(some, self.align(some), strict=True))
-        found = [new[u] if u in new else self.young[u] if u in self.young else self.old[u] for u in units]
-        if len(self.young) > CACHE // 2:
-            self.young, self.old = {}, self.young
-        self.young.update(zip(units, found, strict=True))
-        return found
+            fresh.update(zip(some, self.align(some), strict=True))
+        return [kept[u] if u in kept else fresh[u] for u in units]
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -154,18 +164,20 @@ def _block(model: Aligner, texts: list[str]) -> Iterator[tuple]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of every text; the texts of one block share their sums."""
     units = [_CUT.split(t) if t else [] for t in texts]
     at = dict.fromkeys(chain.from_iterable(units))
-    found = dict(zip(at, model.known(list(at)), strict=True))
-    for i in range(len(units)) if None in found.values() else ():
-        if any(found[u] is None for u in units[i]):  # the whole text decides
-            whole = model.align([texts[i]])[0]
-            units[i] = [] if whole is None else [texts[i]]
-            if whole:
-                found[texts[i]] = whole
-    found = {u: f for u, f in found.items() if f}
-    at = dict(zip(found, range(len(found)), strict=True))
+    found = model.known(list(at))
+    at = dict(zip(at, range(len(at)), strict=True))
+    if () in found:  # for texts with such units the whole text decides
+        for i, us in enumerate(units):
+            if any(not found[at[u]] for u in us):
+                whole = model.align([texts[i]])
+                units[i] = [texts[i]] if whole[0] else []
+                at[texts[i]] = len(found)
+                found += whole
+    found = [f or (bytes(32), b"", "") for f in found]
     flat = np.fromiter(map(at.__getitem__, chain.from_iterable(units)), np.int64)
-    numbers = np.array([(f[0], f[1], f[2], len(f[4])) for f in found.values()], np.int64).reshape(-1, 4)
-    pairs = np.fromiter(chain.from_iterable(f[4] for f in found.values()), np.int64)
+    numbers = np.frombuffer(b"".join([f[0] for f in found]), np.int64).reshape(-1, 4)
+    pairs = np.frombuffer(b"".join([f[1] for f in found]), np.int64)
+    listed = [f[2] for f in found]
     cuts = np.concatenate([[0], np.cumsum([len(us) for us in units])])
     owner = np.repeat(np.arange(len(texts)), np.diff(cuts))
     total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[flat], axis=0)])
@@ -176,9 +188,10 @@ def _block(model: Aligner, texts: list[str]) -> Iterator[tuple]:
     span = int(pairs.max()) + 1 if len(pairs) else 1
     keys, times = np.unique(np.repeat(owner, counts) * span + pairs[place], return_counts=True)
     edges = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+    places = flat.tolist()
     for i, us in enumerate(units):
         part = slice(edges[i], edges[i + 1])
-        digest = hashlib.sha256(";".join([found[u][3] for u in us]).encode()).hexdigest() if us else ""
+        digest = hashlib.sha256(";".join([listed[k] for k in places[cuts[i] : cuts[i + 1]]]).encode()).hexdigest() if us else ""
         yield *total[i].tolist(), digest, keys[part] - i * span, times[part].astype(np.int32)
 
 
