@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import textops as X
-from pairlens.llm.common import key_bitmap, map_batches, maybe_flag, table
+from pairlens.llm.common import free_name, map_batches, split_by_keys, table
 from pairlens.session import written
 
 #: Fixed masks: the places of a window that a seed reads. A run of 26 words or more has a half of at least 13 that agrees as well,
@@ -242,7 +242,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE) -> DataFrame:
     """Rows of docs that overlap with no item, all columns unchanged."""
-    bad = written(find_overlaps(docs, benchmark, min_words, share).select(F.col("row_key").alias("pairlens_bad")).distinct(), "overlapping")
-    flagged = maybe_flag(docs.withColumn("pairlens_key", F.xxhash64("doc_id", "text")), "pairlens_key", key_bitmap(bad.select(F.col("pairlens_bad").alias("key"))))
-    doubtful = flagged.where("pairlens_maybe").join(bad, F.col("pairlens_key") == F.col("pairlens_bad"), "left_anti")
-    return flagged.where("NOT pairlens_maybe").unionByName(doubtful).drop("pairlens_key", "pairlens_maybe")
+    key, name = free_name(docs, "row_key"), free_name(docs, "overlapping")
+    bad = written(find_overlaps(docs, benchmark, min_words, share).select(F.col("row_key").alias(name)).distinct(), "overlapping")
+    doubtful, rest = split_by_keys(docs.withColumn(key, F.xxhash64("doc_id", "text")), key, bad)
+    return rest.unionByName(doubtful.join(bad, F.col(key) == F.col(name), "left_anti")).drop(key)

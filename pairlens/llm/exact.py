@@ -111,7 +111,8 @@ def exact_copies(docs: DataFrame, held_bytes: int = HELD_BYTES, salts: int = SAL
     found = usual.where("group_size IS NOT NULL").drop("head")
 
     clash = written(sizes.where("contents > 1").select("key"), "digest_clashes")
-    doubtful = heads.join(clash, "key", "left_semi").select("head", "key", "content")
+    doubtful, _ = split_by_keys(heads, "place", clash.select(F.xxhash64("key")))
+    doubtful = doubtful.join(clash, "key", "left_semi").select("head", "key", "content")
     own = doubtful.join(classes.withColumnRenamed("copies", "group_size"), ["key", "content"]).drop("key", "content")
     rest = usual.where("group_size IS NULL").drop("keep_id", "keep_row", "group_size").join(own, "head").drop("head")
 

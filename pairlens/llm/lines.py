@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import textops as X
-from pairlens.llm.common import arrow_map, join_hot, key_bitmap, map_batches, maybe_flag, table
+from pairlens.llm.common import arrow_map, free_name, join_hot, map_batches, split_by_keys, table
 from pairlens.session import written
 
 MIN_CHARS = 20
@@ -135,16 +135,17 @@ def suspects(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
 
 
 def with_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with `_drops`: the digests of the lines that the row loses (null if none)."""
+    """docs and a last column: the digests of the lines that the row loses (null if none)."""
     found = written(suspects(docs, min_chars, filter_bits(docs, max_bits)).distinct(), "suspect_lines")
     confirmed = written(
         found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "shared_lines"
     )
     lost = join_hot(found, confirmed, ["digest"], "n", "inner").where("doc_id < keeper")
-    drops = written(lost.groupBy(F.col("doc_id").alias("pairlens_id")).agg(F.collect_set("digest").alias("pairlens_drops")), "dropped_lines")
-    flagged = maybe_flag(docs, "doc_id", key_bitmap(drops.select(F.col("pairlens_id").alias("key"))))
-    touched = flagged.where("pairlens_maybe").drop("pairlens_maybe").join(drops, F.col("doc_id") == F.col("pairlens_id"), "left").drop("pairlens_id")
-    return touched.unionByName(flagged.where("NOT pairlens_maybe").drop("pairlens_maybe").withColumn("pairlens_drops", F.lit(None).cast("array<binary>")))
+    key, digests = free_name(docs, "line_doc"), free_name(docs, "line_digests")
+    drops = written(lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("digest").alias(digests)), "dropped_lines")
+    maybe, rest = split_by_keys(docs, "doc_id", drops.select(key))
+    touched = maybe.join(drops, F.col("doc_id") == F.col(key), "left").drop(key)
+    return touched.unionByName(rest.withColumn(digests, F.lit(None).cast("array<binary>")))
 
 
 def _kept(text: bytes, drops: list | None, min_chars: int) -> tuple[bytes, int, int]:

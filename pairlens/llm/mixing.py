@@ -243,7 +243,8 @@ def member_rates(mixture: Mixture) -> DataFrame:
 
 
 def document_rates(docs: DataFrame, mixture: Mixture, name: str = "rate") -> DataFrame:
-    """All columns of docs and a column `name` with the rate of the row; reads the texts once more."""
+    """All columns of docs and a last column `name` with the rate of the row, in place of one of that name; reads the texts once more."""
+    docs = docs.drop(name)
     history, step = mixture.history, mixture.step
     shared = docs.sparkSession.sparkContext.broadcast(mixture.classifier)
     at = docs.columns.index("text")

@@ -166,10 +166,9 @@ _BLANK = " \t\n\x0b\x0c\r"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|punto|point|punkt|\.)\s*{_CLOSE}\s*|[ _]+(?:dot|punto|point|punkt)[ _]+|\.)"
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DOT_UNIT = re.compile(_DOT, re.IGNORECASE)
-_NAME = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9._%+-]+)*$", re.IGNORECASE)
+# disguised dots, each tried from the first of its blanks only
+_NAME_DOT = re.compile(rf"(?<!\s)\s*{_OPEN}\s*(?:dot|punto|point|punkt|\.)\s*{_CLOSE}\s*|(?<![ _])[ _]+(?:dot|punto|point|punkt)[ _]+", re.IGNORECASE)
 _LABEL = re.compile(r"(?:[A-Za-z]{2,6})$")
-#: Characters before a disguised @ in which its name is sought.
-NAME_REACH = 80
 
 
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
@@ -187,9 +186,23 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _name_start(text: str, first: int, end: int, dots: dict[int, int]) -> int:
+    """Start of the name that ends at `end`: runs of local characters joined by disguised dots (end -> start), none before `first`."""
+    name = start = at = end
+    while True:
+        while at > first and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == start:  # nothing before the last dot
+            return name
+        name = start = at
+        if dots.get(at, -1) < first:
+            return name
+        start = at = dots[at]
+
+
 def _at_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits of disguised addresses: name, at, host. A bare word "at" needs a disguised dot or a name with a digit, dot or underscore."""
-    edits, last = [], 0
+    edits, last, all_dots = [], 0, None
     for at in _AT.finditer(text):
         start, end = at.span()
         bare = at[0][-1] in "tT"
@@ -201,13 +214,15 @@ def _at_edits(text: str) -> list[tuple[int, int, str]]:
         if start < last or at[0] == "@" and end - start == 1:
             continue
         host = _HOST.match(text, end)
-        name = _NAME.search(text, max(last, start - NAME_REACH), start) if host else None
-        if not name or not _LABEL.search(re.split("[^A-Za-z0-9]+", host[0])[-1]):
+        if not host or start == last or text[start - 1] not in _LOCAL or not _LABEL.search(re.split("[^A-Za-z0-9]+", host[0])[-1]):
             continue
+        if all_dots is None:
+            all_dots = {m.end(): m.start() for m in _NAME_DOT.finditer(text)}
+        name = _name_start(text, last, start, all_dots)
         dots = [m for m in _DOT_UNIT.finditer(host[0]) if m[0] != "."]
-        joins = [m for m in _DOT_UNIT.finditer(text, name.start(), start) if m[0] != "."]
+        joins = [m for m in _DOT_UNIT.finditer(text, name, start) if m[0] != "."]
         # a name of several words only if the host is disguised in the same way
-        first = name.start() if dots else max([name.start(), *(m.end() for m in joins)])
+        first = name if dots else max([name, *(m.end() for m in joins)])
         if bare and not dots and not re.search("[0-9._]", text[first:start]):
             continue
         edits += [(m.start(), m.end(), ".") for m in joins if m.start() >= first]

@@ -10,12 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Multiplier of the positional hash; odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled together: the arrays below are about twenty times this.
 BLOCK_BYTES = 1 << 18
 
+#: Spans up to this length are hashed in arrays.
+SHORT_BYTES = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,7 +58,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every [start, end); equal bytes have equal hashes anywhere."""
+    """A 64-bit hash of the bytes of every [start, end); equal bytes have equal hashes anywhere.
+
+    For features and seeds whose finds are verified: some different spans of 1024 bytes and more share a hash.
+    """
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
@@ -61,6 +69,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def strong_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every [start, end) without algebraic structure: the finaliser over steps of eight bytes, xxh3 for spans above SHORT_BYTES."""
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    steps = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(n.astype(np.uint64) * BASE)
+    for done in range(0, SHORT_BYTES, 8):
+        live = np.flatnonzero((n > done) & (n <= SHORT_BYTES))
+        if not len(live):
+            break
+        part = steps[starts[live] + done] & _LOW_BYTES[np.minimum(n[live] - done, 8)]
+        out[live] = mix((out[live] ^ part) + BASE)
+    for k in np.flatnonzero(n > SHORT_BYTES).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,7 +116,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 class Words:
     """Words of a block: byte bounds, hash, and the first word of every text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, hashes=None):
         data = _LOWER[data]
         inside = ~separators[data]
         begin = inside.copy()
@@ -107,7 +132,7 @@ class Words:
         self.data = data
         self.starts = np.flatnonzero(begin)
         self.ends = np.flatnonzero(stop)
-        self.hashes = span_hashes(data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.hashes = (hashes or span_hashes)(data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:

@@ -5,6 +5,7 @@ import sys
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -79,6 +80,24 @@ def test_pipeline(spark, con):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == set(rows)
 
 
+def test_stages_keep_columns_of_any_name(spark, make_docs, words, con):
+    """Columns named like the helpers and results of the stages; the last stage puts its rate in place of theirs."""
+    names = ["rate", "Word", "mask", "gone", "row_key", "overlapping", "line_doc", "line_digests", "domain", "label", "n_tokens", "posterior", "key", "head", "copies", "seeds"]
+    rows = [(i, words(("clash", i % 15), 40) + f"\nthis line stands in very many documents\n{i}") for i in range(30)]
+    docs = make_docs(rows).select("doc_id", "text", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        if name == "soft_mixing":
+            assert out.columns == [c for c in docs.columns if c != "rate"] + ["rate"]
+            assert dict(out.dtypes)["rate"] == "double"
+        else:
+            assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names if n != "rate" or name != "soft_mixing")
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert 0 < docs.count() <= 15
+
+
 def test_stages_take_empty_and_hard_tables(spark, make_docs, hard_rows, con):
     for rows in (hard_rows, []):
         docs = make_docs(rows).select("doc_id", "text", "lang", "source", "n_chars")

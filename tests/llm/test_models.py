@@ -113,6 +113,33 @@ def test_mixing_hard_rows(spark, make_docs, hard_rows):
         assert len(found) == len(rows) and all(r.posterior == [0.5, 0.5] and r.rate >= 0 for r in found)
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomial hashes modulo 2**64 confuse."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("hash_bits", [64, 9])
+def test_token_counts_of_strings_that_share_a_hash(make_docs, words, hash_bits):
+    import sentencepiece
+
+    texts = [*thue_morse(1024), *thue_morse(2048), *thue_morse(4096), words("clash", 300), "x  y\n\nz " + words("more", 40), "", None]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = T.token_counts(make_docs(list(enumerate(texts))).repartition(3), MODEL, 20, hash_bits).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {i: len(library.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_strong_hashes_differ():
+    from pairlens.llm import textops
+
+    spans = [*thue_morse(1024), *thue_morse(64), "", "a", "a\0", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "a" * 64, "a" * 65, "b" * 65, "é" * 40]
+    raw = [x.encode() for x in spans]
+    data = np.frombuffer(b"".join(raw) * 2, np.uint8)
+    ends = np.cumsum([len(x) for x in raw] * 2)
+    hashes = textops.strong_hashes(data, ends - [len(x) for x in raw] * 2, ends)
+    assert (hashes[: len(raw)] == hashes[len(raw) :]).all() and len(set(hashes.tolist())) == len(raw)
+
+
 def test_token_counts(make_docs, words, hard_rows):
     import sentencepiece
 

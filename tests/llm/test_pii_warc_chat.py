@@ -64,6 +64,16 @@ def test_clean_texts_stay(text):
     assert pii.find_spans(text) == []
 
 
+def test_long_disguised_name():
+    """The span starts at the first part, however far the at sign is."""
+    for parts in (3, 12, 400):
+        name = " [dot] ".join(f"part{k}x" for k in range(parts))
+        text = f"write to {name} [at] example [dot] com today"
+        found = [s for s in pii.find_spans(text) if s[0] == "email"]
+        assert found == [("email", 9, text.index(" today"), name.replace(" [dot] ", ".") + "@example.com", True)]
+    assert pii.find_spans("a dot " * 20_000 + "b" + " " * 50_000 + "x at y") == []
+
+
 def test_plain_ones_stay_beside_added():
     spans = pii.find_spans("a@b.com, c (at) d (dot) org, +1 743 555 3824")
     assert [(s[0], s[4]) for s in spans] == [("email", False), ("email", True), ("phone", False)]
