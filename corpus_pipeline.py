@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 A stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents, the
-last adds `rate`, the mixing rate of the document (documents of rate 0 go). Stages handle null texts, null
+last adds `rate`, the mixing rate of the document, in place of a column of that name (documents of rate 0 go). Stages handle null texts, null
 ids and repeated rows as their operators in pairlens.llm state.
 """
 
