@@ -24,7 +24,7 @@ from pairlens.functions.stats import (
     counter_draw,
     replicate_key,
 )
-from pairlens.session import spread
+from pairlens.session import spread, written
 
 BLOCK = 20_000
 REPLICATES_PER_ROW = 500
@@ -83,12 +83,22 @@ def _drawn_blocks(blocks: DataFrame, cell: Sequence[str], resamples: int, seed:
     )
 
 
-def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> Iterator[pd.DataFrame]:
-    """Sums of the units drawn from a block, with the draws of ``counter_draw``."""
+def _mix(x: np.ndarray, multiplier: int) -> np.ndarray:
+    return (x ^ (x >> 15)) * multiplier % DRAW_MODULUS
+
+
+def draws(seed: int, b: int, block: int, count: int, units: int) -> np.ndarray:
+    """Places of the units that replicate ``b`` draws from a block, as ``counter_draw`` has them."""
+    key = np.int64((seed + b * 40503 + block * BLOCK_STEP) % DRAW_MODULUS)
+    key = _mix(_mix(key, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
+    draw = (key + np.arange(count, dtype="int64") * 69069) % DRAW_MODULUS
+    for multiplier in DRAW_MULTIPLIERS:
+        draw = _mix(draw, multiplier)
+    return draw % units
 
-    def mix(x: np.ndarray, multiplier: int) -> np.ndarray:
-        return (x ^ (x >> 15)) * multiplier % DRAW_MODULUS
 
+def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> Iterator[pd.DataFrame]:
+    """Sums of the units drawn from a block."""
     for frame in frames:
         for row in frame.to_dict("records"):
             values = np.asarray(row["_values"], dtype="float64")
@@ -96,12 +106,7 @@ def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> I
             drawn = np.asarray(row["_drawn"], dtype="int64")
             totals = np.zeros(len(drawn), dtype="int64")
             for i, count in enumerate(drawn.tolist()):
-                key = np.int64((seed + (row["_first"] + i) * 40503 + row["_block"] * BLOCK_STEP) % DRAW_MODULUS)
-                key = mix(mix(key, DRAW_MULTIPLIERS[0]), DRAW_MULTIPLIERS[1])
-                draw = (key + np.arange(count, dtype="int64") * 69069) % DRAW_MODULUS
-                for multiplier in DRAW_MULTIPLIERS:
-                    draw = mix(draw, multiplier)
-                totals[i] = exact[draw % len(values)].sum()
+                totals[i] = exact[draws(seed, row["_first"] + i, row["_block"], count, len(values))].sum()
             b = np.arange(row["_first"], row["_first"] + len(drawn), dtype="int32")
             out = pd.DataFrame({"b": b, "total": totals, "drawn": drawn})
             for name in cell:
@@ -164,6 +169,29 @@ def resample_weights(
     )
 
 
+def drawn_points(
+    points: DataFrame, cell: Sequence[str], unit: Sequence[str], values: Sequence[str],
+    resamples: int, seed: int, block: int = BLOCK, slice_rows: int = BLOCK,
+) -> DataFrame:
+    """The points of every block of units beside the draws of a chunk of replicates; points are never multiplied.
+
+    A row has a slice of about ``slice_rows`` points as arrays: ``owner`` (place of the unit in its block) and the
+    ``values``. With ``draws`` of the ``_drawn`` units, every task finds the weights of its points in all
+    replicates ``_first`` + i. A unit with very many points is spread over slices. Points are read by several branches.
+    """
+    blocks = written(_blocks(points.select(*cell, *unit).distinct(), cell, unit, [], block), "unit_blocks")
+    placed = blocks.select(*cell, "_block", F.size("_units").alias("n_units"), F.posexplode("_units").alias("owner", "_u")).select(
+        *cell, "_block", "n_units", "owner", *[F.col(f"_u.{u}").alias(u) for u in unit]
+    )
+    placed = written(points.join(placed, [*cell, *unit]).select(*cell, "_block", "n_units", "owner", *values), "placed_points")
+    sizes = placed.groupBy(*cell, "_block").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("_slices"))
+    sliced = placed.join(sizes, [*cell, "_block"]).withColumn("_slice", F.pmod(F.xxhash64("owner", *values), F.col("_slices")))
+    names = ["owner", *values]
+    rows = sliced.groupBy(*cell, "_block", "n_units", "_slice").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_p"))
+    rows = rows.select(*cell, "_block", "n_units", "_slice", *[F.col(f"_p.{n}").alias(n) for n in names])
+    return written(rows.join(_drawn_blocks(blocks, cell, resamples, seed), [*cell, "_block"]), "drawn_points")
+
+
 def interpolated_interval(means: DataFrame, cell: Sequence[str], value: str = "mean") -> DataFrame:
     """2.5 and 97.5 % points by linear interpolation; a cell has one row per replicate."""
     ends = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))

@@ -343,9 +343,12 @@ def logistic_length(t: Tables) -> DataFrame:
     return rounded(M.fit_logistic(points, P.CONTRAST), "intercept", "slope")
 
 
+LOGISTIC_RESAMPLES = 2000
+
+
 @query("logistic_cluster_bootstrap")
 def logistic_cluster_bootstrap(t: Tables) -> DataFrame:
-    report = M.logistic_cluster_bootstrap(M.length_points(V.measured(t)), 40, SEED)
+    report = M.logistic_cluster_bootstrap(M.length_points(V.measured(t)), LOGISTIC_RESAMPLES, SEED)
     return rounded(report, *[n for n, kind in report.dtypes if kind == "double"])
 
 

@@ -168,3 +168,67 @@ def test_running_budget_fold_and_rounds_agree_with_brute_force(spark):
                 if used + u <= 50:
                     used, taken = used + u, taken + 1
             assert (r.used, r.accepted, r.stages) == (used, taken, len(runs[r.path]))
+
+
+def _newton(points):
+    """(status, intercept, slope) of a plain fit of (x, y, weight)."""
+    a = b = 0.0
+    for _ in range(50):
+        g0 = g1 = h00 = h01 = h11 = 0.0
+        for x, y, w in points:
+            p = 1 / (1 + math.exp(-(a + b * x)))
+            v = w * p * (1 - p)
+            g0, g1, h00, h01, h11 = g0 + w * (y - p), g1 + w * (y - p) * x, h00 + v, h01 + v * x, h11 + v * x * x
+        det = h00 * h11 - h01 * h01
+        if det <= 0:
+            return "singular", a, b
+        d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        a, b = a + d0, b + d1
+        if abs(d0) < 1e-10 and abs(d1) < 1e-10:
+            return "ok", a, b
+    return "running", a, b
+
+
+def test_replicates_are_fits_of_the_drawn_clusters(spark):
+    """Every replicate equals a plain fit of its weighted points, in one block and many, in one slice and many."""
+    from pairlens.operators import models as M
+
+    rng = random.Random(12)
+    rows = []
+    for p in range(30):
+        for _ in range(rng.randrange(1, 5)):
+            x = round(rng.gauss(0, 1), 1)
+            rows.append(("A", "B", "b", f"p{p}", x, float(rng.random() < 1 / (1 + math.exp(-0.5 - x))), float(rng.randrange(1, 3))))
+    rows += [("A", "C", "b", f"q{p}", 0.5, 1.0, 1.0) for p in range(4)]  # no spread of x: singular
+    schema = "left_condition string, right_condition string, benchmark string, prompt string, x double, y double, weight double"
+    df = spark.createDataFrame(rows, schema).groupBy("left_condition", "right_condition", "benchmark", "prompt", "x", "y").agg(F.sum("weight").alias("weight"))
+    unit = ["benchmark", "prompt"]
+    for block, slice_rows in ((20_000, 20_000), (7, 5)):
+        drawn = B.drawn_points(df, M.CONTRAST, unit, ["x", "y", "weight"], 25, 3, block, slice_rows)
+        found = {(r.right_condition, r.b): r for r in M.fit_replicates(drawn, M.CONTRAST, 25, 3).collect()}
+        weights = B.resample_weights(df.select(*M.CONTRAST, *unit).distinct(), M.CONTRAST, unit, 25, 3, block)
+        joined = weights.withColumnRenamed("weight", "times").join(df, [*M.CONTRAST, *unit]).collect()
+        samples = {}
+        for r in joined:
+            samples.setdefault((r.right_condition, r.b), []).append((r.x, r.y, r.times * r.weight))
+        assert len(found) == 50 and set(found) == set(samples)
+        for key, points in samples.items():
+            status, a, b = _newton(points)
+            assert found[key].status == status
+            if status == "ok":
+                assert (found[key].intercept, found[key].slope) == pytest.approx((a, b), abs=1e-7)
+
+
+def test_cluster_bootstrap_counts_its_replicates(spark):
+    from pairlens.operators import models as M
+
+    rng = random.Random(13)
+    rows = [("A", "B", "b", f"p{i}", x := rng.gauss(0, 1), float(rng.random() < 1 / (1 + math.exp(-x)))) for i in range(200)]
+    rows += [("A", "C", "b", f"q{i}", float(i), float(i > 1)) for i in range(4)]  # separated: some samples fail
+    df = spark.createDataFrame(rows, "left_condition string, right_condition string, benchmark string, prompt string, x double, y double")
+    report = {r.right_condition: r for r in M.logistic_cluster_bootstrap(df, 60, 5).collect()}
+    assert all(r.replicates + r.failed == 60 for r in report.values())
+    b = report["B"]
+    assert (b.status, b.failed, b.unsettled, b.decided_pairs, b.prompts) == ("ok", 0, 0, 200, 200)
+    assert b.slope_low < b.slope < b.slope_high and b.equal_length_preference_low < b.equal_length_preference < b.equal_length_preference_high
+    assert report["C"].failed > 0
