@@ -336,9 +336,19 @@ def prompt_level_rate(t: Tables) -> DataFrame:
     return rounded(report, "rate", "bootstrap_low", "bootstrap_high", "sign_test_p")
 
 
-@query("logistic_length")
+@query(
+    "logistic_length",
+    f"""WITH RECURSIVE {V.VERDICT_SQL}, pts AS MATERIALIZED (SELECT left_condition, right_condition, ln(left_length / CAST(right_length AS DOUBLE)) AS x,
+      CAST(verdict = 'left' AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM verdicts WHERE verdict <> 'tie' AND left_length > 0 AND right_length > 0 GROUP BY ALL),
+    fit AS (SELECT DISTINCT left_condition, right_condition, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 'running' AS status FROM pts
+      UNION ALL SELECT left_condition, right_condition, step + 1, CASE WHEN det > 0 THEN a + (h11 * g0 - h01 * g1) / det ELSE a END, CASE WHEN det > 0 THEN b + (h00 * g1 - h01 * g0) / det ELSE b END,
+        CASE WHEN det > 0 THEN CASE WHEN abs((h11 * g0 - h01 * g1) / det) < 1e-10 AND abs((h00 * g1 - h01 * g0) / det) < 1e-10 THEN 'ok' ELSE 'running' END ELSE 'singular' END
+      FROM (SELECT *, h00 * h11 - h01 * h01 AS det FROM (SELECT left_condition, right_condition, step, a, b, sum(w * (y - p)) AS g0, sum(w * (y - p) * x) AS g1, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) AS h11
+        FROM (SELECT f.*, x, y, w, 1 / (1 + exp(-(a + b * x))) AS p FROM fit f JOIN pts USING (left_condition, right_condition) WHERE f.status = 'running' AND f.step < 50) GROUP BY left_condition, right_condition, step, a, b)))
+    SELECT left_condition, right_condition, {r6('arg_max(a, step)')} AS intercept, {r6('arg_max(b, step)')} AS slope, arg_max(status, step) AS status FROM fit GROUP BY left_condition, right_condition""",
+)
 def logistic_length(t: Tables) -> DataFrame:
-    """Newton fit per contrast; no closed SQL form, covered by tests."""
+    """Newton fit per contrast; its SQL twin takes the steps in a recursive query."""
     points = M.length_points(V.measured(t)).withColumn("weight", F.lit(1.0))
     return rounded(M.fit_logistic(points, P.CONTRAST), "intercept", "slope")
 
@@ -352,14 +362,43 @@ def logistic_cluster_bootstrap(t: Tables) -> DataFrame:
     return rounded(report, *[n for n, kind in report.dtypes if kind == "double"])
 
 
-@query("bradley_terry")
+#: Games reduced to one matrix of meetings per group, then MM steps over lists in a recursive query.
+BT_SQL = f"""{V.VERDICT_SQL}, g AS (SELECT benchmark, platform, judge_id, least(left_condition, right_condition) AS low, greatest(left_condition, right_condition) AS high,
+  unnest([outcome_ab, outcome_ba]) AS outcome FROM verdicts WHERE left_condition <> right_condition),
+c AS (SELECT benchmark, platform, judge_id, low, high, count(*) AS played, sum(CASE WHEN outcome = 'tie' THEN 0.5 WHEN outcome = low THEN 1.0 ELSE 0.0 END) AS low_wins FROM g GROUP BY ALL),
+sides AS (SELECT benchmark, platform, judge_id, low AS name, high AS other, played, CAST(low_wins AS DOUBLE) AS won FROM c
+  UNION ALL SELECT benchmark, platform, judge_id, high, low, played, CAST(played - low_wins AS DOUBLE) FROM c),
+totals AS (SELECT benchmark, platform, judge_id, name, sum(won) AS won, sum(played - won) AS lost FROM sides GROUP BY ALL),
+met AS (SELECT x.benchmark, x.platform, x.judge_id, x.name, x.won, x.lost, list(CAST(coalesce(s.played, 0) AS DOUBLE) ORDER BY y.name) AS row_met
+  FROM totals x JOIN totals y USING (benchmark, platform, judge_id)
+  LEFT JOIN sides s ON s.benchmark = x.benchmark AND s.platform = x.platform AND s.judge_id = x.judge_id AND s.name = x.name AND s.other = y.name GROUP BY ALL),
+grp AS MATERIALIZED (SELECT benchmark, platform, judge_id, list(name ORDER BY name) AS names, list(won ORDER BY name) AS won, list(row_met ORDER BY name) AS met,
+  bool_and(won > 0 AND lost > 0) AS fits FROM met GROUP BY ALL),
+mm AS (SELECT benchmark, platform, judge_id, 0 AS step, list_transform(names, lambda x: CAST(1 AS DOUBLE)) AS s, NOT fits AS done FROM grp
+  UNION ALL SELECT benchmark, platform, judge_id, step + 1, fresh, list_max(list_transform(range(1, len(s) + 1), lambda i: abs(fresh[i] - s[i]))) < 1e-10
+  FROM (SELECT benchmark, platform, judge_id, step, s, list_transform(raw, lambda x: x / exp(list_avg(list_transform(raw, lambda y: ln(y))))) AS fresh
+    FROM (SELECT m.*, list_transform(range(1, len(m.s) + 1), lambda i: g.won[i] / list_sum(list_transform(range(1, len(m.s) + 1), lambda j: g.met[i][j] / (m.s[i] + m.s[j])))) AS raw
+      FROM mm m JOIN grp g USING (benchmark, platform, judge_id) WHERE NOT m.done AND m.step < 10000))),
+ends AS (SELECT benchmark, platform, judge_id, CAST(max(step) AS INTEGER) AS iterations, arg_max(s, step) AS s, arg_max(done, step) AS done FROM mm GROUP BY ALL),
+strengths AS (SELECT benchmark, platform, judge_id, CASE WHEN NOT fits THEN 'complete separation' WHEN done THEN 'ok' ELSE 'non-convergence' END AS status,
+  unnest(names) AS condition, unnest(CASE WHEN fits AND done THEN s ELSE list_transform(names, lambda x: NULL) END) AS strength, iterations FROM grp JOIN ends USING (benchmark, platform, judge_id))"""
+
+
+@query(
+    "bradley_terry",
+    f"""WITH RECURSIVE {BT_SQL} SELECT * REPLACE ({r6('strength')} AS strength) FROM strengths""",
+)
 def bradley_terry(t: Tables) -> DataFrame:
-    """Strengths per benchmark, platform and judge; iterative, covered by tests."""
+    """Strengths per benchmark, platform and judge."""
     games = P.games(V.verdicts(t))
     return rounded(M.bradley_terry(games, ["benchmark", "platform", "judge_id"]), "strength")
 
 
-@query("bradley_terry_mean")
+@query(
+    "bradley_terry_mean",
+    f"""WITH RECURSIVE {BT_SQL}, whole AS (SELECT benchmark, platform, bool_and(status = 'ok') AS ok FROM strengths GROUP BY ALL)
+    SELECT benchmark, platform, condition, CASE WHEN any_value(ok) THEN {r6('avg(strength)')} END AS strength FROM strengths JOIN whole USING (benchmark, platform) GROUP BY benchmark, platform, condition""",
+)
 def bradley_terry_mean(t: Tables) -> DataFrame:
     cell = ["benchmark", "platform"]
     fits = M.bradley_terry(P.games(V.verdicts(t)), [*cell, "judge_id"])

@@ -21,8 +21,8 @@ SAMPLE = (
 )
 
 
-#: Iterative fits that SQL does not express; test_pairs and test_control check them on known cases.
-NO_ORACLE = {"covariate_adjusted_fit", "logistic_length", "logistic_cluster_bootstrap", "bradley_terry", "bradley_terry_mean"}
+#: Fits that SQL does not express; test_control checks them on known cases.
+NO_ORACLE = {"covariate_adjusted_fit", "logistic_cluster_bootstrap"}
 
 
 @pytest.fixture(scope="module")
