@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import running_sum
-from pairlens.session import written
-
 PRICE_KEYS = ("input", "cached_input", "output")
 # The names under which a counter may be recorded, in order
 CACHED = ("cached_input_tokens", "cached_tokens", "cache_read_tokens")
@@ -146,95 +144,59 @@ def strict_token_usage(events: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-FOLD_LIMIT = 10_000
-BLOCK = 4096
+#: Stages of a run that are thinned out together before the rest of the run is looked at.
+BLOCK = 65_536
 
 
-def running_budget(stages: DataFrame, limit: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def running_budget(stages: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
     """Greedy output budget over the ordered stages ``(path, pos, units)`` of each run.
 
-    A stage that would overflow is rejected and uses nothing. Runs with up to
-    ``fold_limit`` stages are folded in one bounded array; longer runs go
-    through rounds of running sums that many tasks share.
+    A stage that would overflow is rejected and uses nothing. Units are not negative; a stage without units is rejected,
+    one of zero units always fits. If a stage is accepted, so were all equal ones before it, as there was room for each:
+    the stages that can be accepted are the first ``limit / units`` of each number of units. So blocks and then
+    runs are thinned out by rank, to at most ``limit * (1 + ln(limit))`` stages of a run of any length, and those are folded
+    as a sorted stream that carries one number.
     """
-    sizes = stages.groupBy("path").agg(F.count(F.lit(1)).alias("stages"))
-    short, long = F.col("stages") <= fold_limit, F.col("stages") > fold_limit
-    folded = _fold_budget(stages.join(sizes.filter(short), "path"), limit)
-    large = sizes.filter(long)
-    if large.isEmpty():
-        return folded
-    return folded.unionByName(_budget_rounds(stages.join(large.select("path"), "path"), large, limit))
-
-
-def _result(used: Column, taken: Column) -> list[Column]:
-    return [
-        F.col("path"),
-        F.col("stages"),
-        used.alias("used"),
+    size = F.col("units")
+    totals = stages.groupBy("path").agg(F.count(F.lit(1)).alias("stages"), F.count_if(size == 0).alias("_free"))
+    open_stages = stages.filter((size > 0) & (size <= limit)).select("path", "pos", size.cast("bigint").alias("units"))
+    fits = F.col("_rank") * size <= limit
+    in_block = Window.partitionBy("path", "units", F.floor(F.col("pos") / block)).orderBy("pos")
+    in_run = Window.partitionBy("path", "units").orderBy("pos")
+    for place in (in_block, in_run):
+        open_stages = open_stages.withColumn("_rank", F.row_number().over(place)).filter(fits).drop("_rank")
+    kind = stages.schema["path"].dataType.simpleString()
+    folded = open_stages.repartition("path").sortWithinPartitions("path", "pos").mapInArrow(
+        lambda batches: _fold(batches, limit), f"path {kind}, used bigint, _taken bigint"
+    )
+    taken = F.col("_free") + F.coalesce("_taken", F.lit(0))
+    return totals.join(folded, "path", "left").select(
+        "path",
+        "stages",
+        F.coalesce("used", F.lit(0)).cast("bigint").alias("used"),
         taken.alias("accepted"),
         (F.col("stages") - taken).alias("rejected"),
-    ]
-
-
-def _fold_budget(stages: DataFrame, limit: int) -> DataFrame:
-    per_run = stages.groupBy("path", "stages").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "units"))).alias("_ordered")
     )
-    step = lambda acc, s: F.when(
-        acc["used"] + s["units"] <= limit,
-        F.struct((acc["used"] + s["units"]).alias("used"), (acc["taken"] + 1).alias("taken")),
-    ).otherwise(acc)
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("taken"))
-    state = per_run.withColumn("_state", F.aggregate("_ordered", start, step))
-    return state.select(*_result(F.col("_state.used"), F.col("_state.taken")))
-
 
-def _budget_rounds(stages: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """Each round accepts the stages up to the first overflow of every run.
 
-    Later stages that no longer fit the rest are dropped at once; the first one
-    left always fits, so a run needs far fewer rounds than it has stages.
-    Stages of zero units always fit and are only counted.
-    """
-    free = stages.groupBy("path").agg(F.count_if(F.col("units") == 0).alias("_free"))
-    state = written(
-        sizes.join(free, "path").select(
-            "path",
-            "stages",
-            F.lit(0).cast("bigint").alias("used"),
-            F.col("_free").alias("taken"),
-            F.lit(-1).cast("bigint").alias("cut"),
-        ),
-        "budget",
-    )
-    open_stages = written(
-        stages.filter((F.col("units") > 0) & (F.col("units") <= limit)).select(
-            "path", F.floor(F.col("pos") / BLOCK).alias("bucket"), "pos", "units"
-        ),
-        "stages",
-    )
-    while not open_stages.isEmpty():
-        summed = running_sum(open_stages, ["path"], ["bucket"], ["pos"], F.col("units"), "_sum")
-        left = F.lit(limit) - F.col("used")
-        fits = F.col("_sum") <= left
-        taken = summed.join(state.select("path", "used"), "path").groupBy("path").agg(
-            F.max(F.when(fits, F.col("_sum"))).alias("_used"),
-            F.count_if(fits).alias("_taken"),
-            F.min(F.when(~fits, F.col("pos"))).alias("_cut"),
-        )
-        # a run without an overflow is finished: nothing lies behind its end
-        state = written(
-            state.join(taken, "path", "left").select(
-                "path",
-                "stages",
-                (F.col("used") + F.coalesce("_used", F.lit(0))).alias("used"),
-                (F.col("taken") + F.coalesce("_taken", F.lit(0))).alias("taken"),
-                F.coalesce("_cut", F.lit((1 << 63) - 1)).alias("cut"),
-            ),
-            "budget",
-        )
-        rest = open_stages.join(state.select("path", "used", "cut"), "path").filter(
-            (F.col("pos") > F.col("cut")) & (F.col("units") <= F.lit(limit) - F.col("used"))
-        )
-        open_stages = written(rest.select("path", "bucket", "pos", "units"), "stages")
-    return state.select(*_result(F.col("used"), F.col("taken")))
+def _fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """(path, used, accepted) from batches sorted by path and place; a run may go on in the next batch."""
+    path, used, taken = None, 0, 0
+    for batch in batches:
+        out = []
+        for name, units in zip(batch.column("path").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            if name != path:
+                if path is not None:
+                    out.append((path, used, taken))
+                path, used, taken = name, 0, 0
+            if used + units <= limit:
+                used, taken = used + units, taken + 1
+        yield _folded(out, batch.schema.field("path").type)
+        last = batch.schema.field("path").type
+    if path is not None:
+        yield _folded([(path, used, taken)], last)
+
+
+def _folded(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64()), strict=True)], names=["path", "used", "_taken"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.ordering import previous_value, row_index, running_count
 from pairlens.functions.stats import fisher_exact_p, win_rate, wilson_bounds
 from pairlens.functions.text import parse_offset_timestamp
+from pairlens.session import written
 
 ORDER = ["ts", "event_id"]
 # Event types, end markers and the fixed process order
@@ -25,8 +26,8 @@ EVENT_TYPES = (SWITCH, *GOAL_EVENTS)
 START, END = "START", "END"
 FIXED_ORDER = ("planning", "translating", "reviewing")
 REVIEW, TRANSLATE, TERMINATION = "reviewing", "translating", "termination"
-# Sequences are shown in full up to this length; longer ones show their digest
-SHOWN_LENGTH = 1000
+#: Targets in a block of a sequence; sequences of any length come whole, in blocks.
+SEQUENCE_BLOCK = 1000
 
 
 def blank_name(column: str) -> Column:
@@ -231,34 +232,57 @@ def run_details(
     )
 
 
-def process_sequences(
-    trace: DataFrame, attrs: Sequence[str] = (), shown: int = SHOWN_LENGTH
-) -> DataFrame:
-    """Sequence of targets per run.
+def sequence_blocks(trace: DataFrame, block: int = SEQUENCE_BLOCK) -> DataFrame:
+    """(run_id, block, steps, sequence) of every run with targets: the targets of a block in order, joined by ">"."""
+    rows = row_index(switches(trace), ["run_id"], ["bucket"], ORDER, "place")
+    number = F.floor((F.col("place") - 1) / block).cast("bigint").alias("block")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "to_process")))
+    return rows.groupBy("run_id", number).agg(
+        F.count(F.lit(1)).alias("steps"), F.array_join(F.transform(ordered, lambda x: x["to_process"]), ">").alias("sequence")
+    )
+
+
+def _whole(runs: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks beside their rows; rows without targets have one empty block."""
+    return runs.join(blocks, key, "left").withColumns(
+        {"block": F.coalesce("block", F.lit(0).cast("bigint")), "sequence": F.coalesce("sequence", F.lit(""))}
+    )
+
+
+def process_sequences(trace: DataFrame, attrs: Sequence[str] = (), block: int = SEQUENCE_BLOCK) -> DataFrame:
+    """Sequence of targets per run, whole, in blocks: (run_id, attrs, length, block, sequence)."""
+    blocks = sequence_blocks(trace, block)
+    length = F.coalesce(F.sum("steps").over(Window.partitionBy("run_id")), F.lit(0)).alias("length")
+    runs = trace.select("run_id", *attrs).distinct()
+    return _whole(runs, blocks, "run_id").select("run_id", *attrs, length, "block", "sequence")
+
+
+def sequence_lengths(trace: DataFrame, attrs: Sequence[str] = ()) -> DataFrame:
+    """Number of targets per run."""
+    counts = switches(trace).groupBy("run_id").agg(F.count(F.lit(1)).alias("length"))
+    return trace.select("run_id", *attrs).distinct().join(counts, "run_id", "left").fillna(0, ["length"])
+
 
-    Sequences up to ``shown`` targets are spelled out. A longer one shows its
-    start and a digest over all (position, target) pairs, summed in parallel,
-    so equal sequences still group together and no run fills one task.
+def sequence_counts(trace: DataFrame, attrs: Sequence[str], block: int = SEQUENCE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Distinct sequences by content: (attrs, length, digest, first, n, total, rate) and their blocks (digest, block, sequence).
+
+    Every block has two hashes of its place and text; a sequence's digest is their sums, so runs of any length meet as
+    one small row. ``first`` is the text of the first block.
     """
-    rows = row_index(switches(trace), ["run_id"], ["bucket"], ORDER, "place")
-    near = F.when(F.col("place") <= shown, F.struct("place", "to_process"))
-    digest = F.sum(F.xxhash64("place", "to_process").cast("decimal(38,0)"))
-    found = rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("_length"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(near)), lambda x: x["to_process"]), ">"
-        ).alias("_text"),
-        digest.alias("_digest"),
-    )
-    text = F.when(F.col("_length") <= shown, F.col("_text")).otherwise(
-        F.concat("_text", F.lit(">...#"), F.col("_digest").cast("string"))
-    )
-    return trace.select("run_id", *attrs).distinct().join(found, "run_id", "left").select(
-        "run_id",
-        *attrs,
-        F.coalesce("_length", F.lit(0)).alias("length"),
-        F.coalesce(text, F.lit("")).alias("sequence"),
+    blocks = written(sequence_blocks(trace, block), "sequence_blocks")
+
+    def total(salt: int) -> Column:
+        return F.sum(F.xxhash64(F.lit(salt), "block", "sequence").cast("decimal(38,0)")).cast("string")
+
+    runs = blocks.groupBy("run_id").agg(
+        F.sum("steps").alias("length"), F.concat_ws(":", total(1), total(2)).alias("digest"), F.max(F.when(F.col("block") == 0, F.col("sequence"))).alias("first")
+    )
+    found = written(
+        trace.select("run_id", *attrs).distinct().join(runs, "run_id", "left").fillna({"length": 0, "digest": "", "first": ""}), "run_digests"
     )
+    counts = found.groupBy(*attrs, "length", "digest", "first").agg(F.count(F.lit(1)).alias("n"))
+    shown = found.groupBy("digest").agg(F.min("run_id").alias("run_id"))
+    return with_rate(counts, attrs), blocks.join(shown, "run_id").select("digest", "block", "sequence")
 
 
 def with_rate(counts: DataFrame, attrs: Sequence[str], n: str = "n") -> DataFrame:
@@ -267,15 +291,29 @@ def with_rate(counts: DataFrame, attrs: Sequence[str], n: str = "n") -> DataFram
     return counts.join(totals, list(attrs)).withColumn("rate", F.col(n) / F.col("total"))
 
 
-def sequence_distribution(sequences: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    counts = sequences.groupBy(*attrs, "length", "sequence").agg(F.count(F.lit(1)).alias("n"))
-    return with_rate(counts, attrs)
+def sequence_distribution(trace: DataFrame, attrs: Sequence[str], block: int = SEQUENCE_BLOCK) -> DataFrame:
+    """How often each sequence occurs: (attrs, length, n, total, rate), one row per block of the sequence."""
+    counts, blocks = sequence_counts(trace, attrs, block)
+    return _whole(counts, blocks, "digest").select(*attrs, "length", "block", "sequence", "n", "total", "rate")
+
 
+def top_sequences(trace: DataFrame, attrs: Sequence[str], k: int = 5, block: int = SEQUENCE_BLOCK) -> DataFrame:
+    """The k most frequent sequences in blocks; ties by length, then sequence.
 
-def top_sequences(distribution: DataFrame, attrs: Sequence[str], k: int = 5) -> DataFrame:
-    """The k most frequent sequences; ties by length, then sequence."""
-    place = Window.partitionBy(*attrs).orderBy(F.desc("n"), "length", "sequence")
-    return distribution.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    First blocks leave few candidates; only those are compared whole.
+    """
+    counts, blocks = sequence_counts(trace, attrs, block)
+    near = Window.partitionBy(*attrs).orderBy(F.desc("n"), "length", "first")
+    candidates = counts.withColumn("_near", F.rank().over(near)).filter(F.col("_near") <= k).drop("_near")
+    texts = blocks.join(candidates.select("digest").distinct(), "digest").groupBy("digest").agg(
+        F.array_sort(F.collect_list(F.struct("block", "sequence"))).alias("_blocks")
+    )
+    place = Window.partitionBy(*attrs).orderBy(F.desc("n"), "length", "_blocks")
+    best = candidates.join(texts, "digest", "left").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("block"), F.lit("").alias("sequence")))
+    return best.select(*attrs, "length", "n", "total", "rate", "rank", F.explode(F.coalesce("_blocks", one)).alias("_b")).select(
+        *attrs, "length", F.col("_b.block").alias("block"), F.col("_b.sequence").alias("sequence"), "n", "total", "rate", "rank"
+    )
 
 
 def transition_matrix(

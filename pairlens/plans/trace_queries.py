@@ -85,10 +85,13 @@ def details(t: Tables) -> DataFrame:
     return R.run_details(trace(t), ATTRS, delegated(t))
 
 
+BLOCK_SQL = f"""sb AS (SELECT run_id, CAST((place - 1) // {R.SEQUENCE_BLOCK} AS BIGINT) AS block, string_agg(to_process, '>' ORDER BY place) AS sequence FROM sw GROUP BY ALL)"""
+
+
 @query(
     "process_sequence",
-    f"""WITH {EV_SQL}, {SW_SQL}, s AS (SELECT run_id, string_agg(to_process, '>' ORDER BY ts, event_id) AS sequence, count(*) AS length FROM sw GROUP BY run_id)
-    SELECT run_id, coalesce(length, 0) AS length, coalesce(sequence, '') AS sequence FROM ends LEFT JOIN s USING (run_id)""",
+    f"""WITH {EV_SQL}, {SW_SQL}, {BLOCK_SQL}, n AS (SELECT run_id, count(*) AS length FROM sw GROUP BY run_id)
+    SELECT run_id, coalesce(length, 0) AS length, coalesce(block, 0) AS block, coalesce(sequence, '') AS sequence FROM ends LEFT JOIN n USING (run_id) LEFT JOIN sb USING (run_id)""",
 )
 def process_sequence(t: Tables) -> DataFrame:
     return R.process_sequences(trace(t))
@@ -197,10 +200,18 @@ rated AS (SELECT *, CAST(sum(n) OVER (PARTITION BY condition) AS BIGINT) AS tota
 
 
 def distribution(t: Tables) -> DataFrame:
-    return R.sequence_distribution(R.process_sequences(trace(t), ATTRS).drop("run_set"), ["condition"])
+    return R.sequence_distribution(trace(t), ["condition"])
+
 
+#: The blocks of a sequence given as a list of its targets.
+CUT_SQL = f"""[struct_pack(block := CAST(i AS BIGINT), sequence := array_to_string(s[i * {R.SEQUENCE_BLOCK} + 1:(i + 1) * {R.SEQUENCE_BLOCK}], '>')) FOR i IN range(0, greatest(1, (len(s) + {R.SEQUENCE_BLOCK - 1}) // {R.SEQUENCE_BLOCK}))]"""
+WHOLE_SQL = f"""{DIST_SQL}, cut AS (SELECT *, unnest({CUT_SQL}) AS b FROM (SELECT *, CASE WHEN length = 0 THEN [] ELSE string_split(sequence, '>') END AS s FROM {{source}}))"""
 
-@query("sequence_distribution", f"WITH {DIST_SQL} SELECT * REPLACE ({r6('rate')} AS rate) FROM rated")
+
+@query(
+    "sequence_distribution",
+    f"""WITH {WHOLE_SQL.replace('{source}', 'rated')} SELECT condition, length, b.block AS block, b.sequence AS sequence, n, total, {r6('rate')} AS rate FROM cut""",
+)
 def sequence_distribution(t: Tables) -> DataFrame:
     return rounded(distribution(t), "rate")
 
@@ -210,7 +221,7 @@ def sequence_distribution(t: Tables) -> DataFrame:
     f"""WITH {DIST_SQL} SELECT condition, length, CAST(sum(n) AS BIGINT) AS n, any_value(total) AS total, {r6('sum(n) / any_value(total)')} AS rate FROM rated GROUP BY condition, length""",
 )
 def length_distribution(t: Tables) -> DataFrame:
-    counts = R.process_sequences(trace(t), ATTRS).groupBy("condition", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = R.sequence_lengths(trace(t), ATTRS).groupBy("condition", "length").agg(F.count(F.lit(1)).alias("n"))
     return rounded(R.with_rate(counts, ["condition"]), "rate")
 
 
@@ -224,11 +235,11 @@ def pass_distribution(t: Tables) -> DataFrame:
 
 @query(
     "top_sequences",
-    f"""WITH {DIST_SQL} SELECT condition, length, sequence, n, total, {r6('rate')} AS rate,
-      CAST(row_number() OVER (PARTITION BY condition ORDER BY n DESC, length, sequence) AS INTEGER) AS rank FROM rated QUALIFY rank <= 5""",
+    f"""WITH {WHOLE_SQL.replace('{source}', 'ranked').replace(', cut AS', ", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY condition ORDER BY n DESC, length, sequence) AS INTEGER) AS rank FROM rated QUALIFY rank <= 5), cut AS")}
+    SELECT condition, length, b.block AS block, b.sequence AS sequence, n, total, {r6('rate')} AS rate, rank FROM cut""",
 )
 def top_sequences(t: Tables) -> DataFrame:
-    return rounded(R.top_sequences(distribution(t), ["condition"]), "rate")
+    return rounded(R.top_sequences(trace(t), ["condition"]), "rate")
 
 
 @query(

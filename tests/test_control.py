@@ -154,20 +154,24 @@ def test_length_score(spark):
         assert r.got == pytest.approx(r.want)
 
 
-def test_running_budget_fold_and_rounds_agree_with_brute_force(spark):
+@pytest.mark.parametrize(("block", "limit"), [(65_536, 50), (4, 50), (1, 7), (3, 0)])
+def test_running_budget_agrees_with_brute_force(spark, block, limit):
     from pairlens.operators import cost as K
 
     rng = random.Random(9)
-    runs = {f"r{i}": [rng.choice([0, 1, 3, 7, 20, 60]) for _ in range(rng.randrange(1, 40))] for i in range(12)}
+    runs = {f"r{i}": [rng.choice([0, 1, 3, 7, 20, 60, None]) for _ in range(rng.randrange(1, 40))] for i in range(12)}
+    runs["long"] = [rng.choice([45, 44, 20, 2, 1, 3, 51]) for _ in range(12_000)]
+    runs["many"] = [rng.randrange(9, 60) for _ in range(9_000)] + [1] * 11_000
     rows = [(k, i, u) for k, us in runs.items() for i, u in enumerate(us)]
-    df = spark.createDataFrame(rows, "path string, pos bigint, units bigint")
-    for limit_rows in (10_000, 5):
-        for r in K.running_budget(df, 50, limit_rows).collect():
-            used = taken = 0
-            for u in runs[r.path]:
-                if used + u <= 50:
-                    used, taken = used + u, taken + 1
-            assert (r.used, r.accepted, r.stages) == (used, taken, len(runs[r.path]))
+    df = spark.createDataFrame(rows, "path string, pos bigint, units bigint").repartition(5)
+    found = K.running_budget(df, limit, block).collect()
+    assert len(found) == len(runs)
+    for r in found:
+        used = taken = 0
+        for u in runs[r.path]:
+            if u is not None and used + u <= limit:
+                used, taken = used + u, taken + 1
+        assert (r.used, r.accepted, r.stages, r.rejected) == (used, taken, len(runs[r.path]), len(runs[r.path]) - taken)
 
 
 def _newton(points):

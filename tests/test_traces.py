@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import agreement as A
@@ -69,11 +70,34 @@ def test_after_state(spark):
     assert got == {t: (1, 1), r: (1, 1), "termination": (2, 2)}
 
 
-def test_long_sequences_group_by_digest(spark):
+def whole(rows, *keys):
+    """Sequences put together from their blocks, by the given columns."""
+    out = {}
+    for r in sorted(rows, key=lambda r: r.block):
+        out.setdefault(tuple(r[k] for k in keys), []).append(r.sequence)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_long_sequences_come_whole(spark, block):
     long = ["planning", "translating"] * 20
-    df = trace(spark, {"a": long, "b": long, "c": long[:-1] + ["reviewing"]})
-    found = {x.run_id: x.sequence for x in R.process_sequences(df, shown=5).collect()}
-    assert found["a"] == found["b"] != found["c"]
+    runs = {"a": long, "b": long, "c": long[:-1] + ["reviewing"], "d": ["reviewing"], "e": ["!"], "f": long[:-1]}
+    df = trace(spark, runs).withColumn("condition", F.lit("x"))
+    found = whole(R.process_sequences(df, block=block).collect(), "run_id", "length")
+    assert {k: ">".join(v) for k, v in found.items()} == {(r, sum(x != "!" for x in s)): ">".join(x for x in s if x != "!") for r, s in runs.items()}
+    shares = R.sequence_distribution(df, ["condition"], block).collect()
+    parts = whole([r for r in shares if r.n == 2], "length", "n")
+    assert {k: ">".join(v) for k, v in parts.items()} == {(40, 2): ">".join(long)}
+    assert sum(r.n for r in shares if r.block == 0) == 6 and {r.total for r in shares} == {6}
+    top = R.top_sequences(df, ["condition"], 4, block).collect()
+    ranked = {k: ">".join(v) for k, v in whole(top, "rank").items()}
+    assert [ranked[(i,)] for i in range(1, 5)] == [">".join(long), "", "reviewing", ">".join(long[:-1])]
+
+
+def test_ties_beyond_the_first_block(spark):
+    runs = {f"r{i}": ["planning"] * 6 + [name] for i, name in enumerate(["s", "p", "q", "o"])}
+    top = R.top_sequences(trace(spark, runs).withColumn("condition", F.lit("x")), ["condition"], 2, 3).collect()
+    assert [(r.rank, r.sequence) for r in sorted(top, key=lambda r: (r.rank, r.block)) if r.block == 2] == [(1, "o"), (2, "p")]
 
 
 def test_timestamps(spark):
