@@ -7,10 +7,14 @@ checked through a variant, because a typed read would accept numbers as text.
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pairlens.functions.rows import once
 from pairlens.functions.text import strip
@@ -145,14 +149,42 @@ def validate_native_score(records: DataFrame) -> DataFrame:
     )
 
 
+def _plain(value):
+    """A Python literal as JSON has it; kinds that JSON lacks become objects that no contract accepts."""
+    if isinstance(value, dict):
+        return {k if isinstance(k, str) else repr((k,)): _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return value if value is None or isinstance(value, (str, int, float)) else {"literal": type(value).__name__}
+
+
+@F.pandas_udf(StringType())
+def literal_json(texts: pd.Series) -> pd.Series:
+    """JSON text of Python literals; null for null and for texts that are none."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(_plain(ast.literal_eval(text.strip())))
+        except (ValueError, SyntaxError, RecursionError, MemoryError):
+            return None
+
+    return texts.map(one)
+
+
 def parse_checklist(records: DataFrame) -> DataFrame:
     """Raw checklist answers to items: a list, or an object with one list value.
 
-    Digit-string ids and numeric-string scores become numbers. Lists written as
-    Python literals parse too where they differ from JSON only in their quotes;
-    other literals go to the rejects. Adds ``items`` and ``reject_reasons``.
+    Digit-string ids and numeric-string scores become numbers. Answers that are not JSON are read as Python literals
+    (only those go through Python); texts beyond the limit are not read. Adds ``items`` and ``reject_reasons``.
     """
-    value = F.trim(F.col("value"))
+    short = F.length("value") <= MAX_CHECKLIST_TEXT
+    is_json = F.try_parse_json("value").isNotNull()
+    records = once(records, "_json", is_json)
+    literal = literal_json(F.when(short & ~F.col("_json"), F.col("value")))
+    records = once(records, "_text", F.when(F.col("_json"), F.col("value")).otherwise(literal)).drop("_json")
+    value = F.trim(F.col("_text"))
     inner = F.from_json(value, "map<string,string>")
     body = F.when(value.startswith("["), value).when(
         F.size(inner) == 1, F.map_values(inner)[0]
@@ -177,7 +209,7 @@ def parse_checklist(records: DataFrame) -> DataFrame:
             F.coalesce(F.array_sort(F.map_keys(entry)) == keys, F.lit(False)).alias("exact"),
         )
 
-    parsed = once(fields, "items", F.transform("_p.maps", item)).drop("_p", "_body")
+    parsed = once(fields, "items", F.transform("_p.maps", item)).drop("_p", "_body", "_text")
     items = F.col("items")
     fails = lambda rule: ~F.coalesce(
         F.forall(items, lambda x: F.coalesce(rule(x), F.lit(False))), F.lit(True)

@@ -181,13 +181,63 @@ def retrieval_flags(lines: DataFrame, key: list[str], column: str = "value") ->
     return found.groupBy(*key).agg(F.min_by("marker", "place").alias("marker"))
 
 
-def final_message(events: DataFrame) -> DataFrame:
-    """Last assistant text of each run, in line order."""
-    item = F.col("item")
-    said = F.when(item["type"].isin("agent_message", "assistant_message"), item["text"])
-    text = F.coalesce("text", "result", said)
-    place = F.when(text.isNotNull(), F.col("pos"))
-    return events.groupBy("path").agg(F.max_by(text, place).alias("message"))
+#: Lines in a block of a raw text.
+TEXT_BLOCK = 1000
+MESSAGE_ITEMS = ("agent_message", "assistant_message")
+
+
+def _string_at(node: Column, path: str) -> Column:
+    """A JSON string at a path of a variant; null for other kinds."""
+    found = F.try_variant_get(node, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(node, path, "string"))
+
+
+def _whole_message(node: Column) -> Column:
+    """The text of an object that is the whole output."""
+    return F.coalesce(*[_string_at(node, f"$.{name}") for name in ("result", "text", "message")])
+
+
+def final_message(lines: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
+    """Final text of each run from its output lines ``(path, pos, value)``: (path, source, block, message).
+
+    An output that is one JSON object gives its ``result``, ``text`` or ``message`` (source ``document``). Else the last
+    text of an assistant item or of a ``result`` or ``text`` of an object line counts (``event``). Else the output
+    itself does (``raw``), whole, in blocks of ``block`` lines joined by line feeds. Lines that are not JSON objects and
+    null lines hold no text of an event. An output of several lines is only put together as a document
+    if its first line opens an object without closing it.
+    """
+    value = F.coalesce("value", F.lit(""))
+    node = once(lines.select("path", "pos", value.alias("value")), "_node", F.try_parse_json("value"))
+    item, said = F.col("_node"), F.when(_string_at(F.col("_node"), "$.item.type").isin(*MESSAGE_ITEMS), _string_at(F.col("_node"), "$.item.text"))
+    is_object = F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+    text = F.when(is_object, F.coalesce(_string_at(item, "$.text"), _string_at(item, "$.result"), said))
+    filled = strip(F.col("value")) != ""
+    place = F.when(filled, F.col("pos"))
+    runs = node.groupBy("path").agg(
+        F.count_if(filled).alias("_filled"),
+        F.min_by(is_object, place).alias("_first_whole"),
+        F.min_by(strip(F.col("value")).startswith("{"), place).alias("_opens"),
+        F.max_by(strip(F.col("value")).endswith("}"), place).alias("_closes"),
+        F.max(F.when(is_object, _whole_message(item))).alias("_line_document"),
+        F.max_by(text, F.when(text.isNotNull(), F.col("pos"))).alias("_event"),
+    )
+    spread_out = runs.filter("_filled > 1 AND _opens AND _closes AND NOT _first_whole").select("path")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    together = F.array_join(F.transform(ordered, lambda x: x["value"]), "\n")
+    documents = lines.select("path", "pos", value.alias("value")).join(spread_out, "path", "left_semi").groupBy("path").agg(together.alias("_text"))
+    documents = once(documents, "_node", F.try_parse_json("_text")).select("path", _whole_message(F.col("_node")).alias("_document"))
+    document = F.when(F.col("_filled") == 1, F.col("_line_document")).otherwise(F.col("_document"))
+    runs = runs.join(documents, "path", "left").select("path", document.alias("_document"), "_event")
+    parsed = runs.filter("_document IS NOT NULL OR _event IS NOT NULL").select(
+        "path",
+        F.when(F.col("_document").isNotNull(), "document").otherwise("event").alias("source"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.coalesce("_document", "_event").alias("message"),
+    )
+    rest = runs.filter("_document IS NULL AND _event IS NULL").select("path")
+    raw = lines.select("path", "pos", value.alias("value")).join(rest, "path", "left_semi")
+    raw = raw.groupBy("path", F.floor(F.col("pos") / block).cast("bigint").alias("block")).agg(together.alias("message"))
+    return parsed.unionByName(raw.select("path", F.lit("raw").alias("source"), "block", "message"))
 
 
 # Fixed value: the share of the draft the final text must reach

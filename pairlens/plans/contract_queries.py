@@ -208,11 +208,15 @@ CHECKLIST_TEXTS = {
     8: '[{"checklist_id": 0, "reason": "r", "evaluation_score": 0.3}, {"checklist_id": 1, "reason": "r", "evaluation_score": 1}]',
     9: '[{"checklist_id": 0, "reason": "r", "evaluation_score": 1}, {"checklist_id": 2, "reason": "r", "evaluation_score": 1}]',
     10: "[{'checklist_id': 0, 'reason': 'r', 'evaluation_score': 1}]",
+    11: "{'items': [{'checklist_id': 0, 'reason': \"it's \\\"so\\\" \\u00e9\", 'evaluation_score': 0.5}, {'checklist_id': '1', 'reason': 'a' 'b', 'evaluation_score': 1}]}",
+    12: "[{'checklist_id': 0, 'reason': 'r', 'evaluation_score': true}]",
+    13: "({'checklist_id': 0, 'reason': 'r', 'evaluation_score': 1},)",
 }
+CHECKLIST_SQL = f"l AS (SELECT l_orderkey, l_partkey % {len(CHECKLIST_TEXTS)} AS kind FROM lineitem)"
 
 
 def checklist_answers(t: Tables) -> DataFrame:
-    kind = F.col("l_partkey") % 11
+    kind = F.col("l_partkey") % len(CHECKLIST_TEXTS)
     text = F.lit(None).cast("string")
     for k, v in CHECKLIST_TEXTS.items():
         text = F.when(kind == k, v).otherwise(text)
@@ -221,10 +225,10 @@ def checklist_answers(t: Tables) -> DataFrame:
 
 @query(
     "parse_checklist",
-    f"WITH {LINE_KIND_SQL} "
+    f"WITH {CHECKLIST_SQL} "
     + reason_sql(
         "l",
-        {"not_a_list": "kind = 3", "item_fields": "kind IN (2, 4)", "checklist_id": "kind = 5", "evaluation_score": "kind IN (2, 6)", "reason": "kind IN (2, 7)"},
+        {"not_a_list": "kind IN (3, 12, 13)", "item_fields": "kind IN (2, 4)", "checklist_id": "kind = 5", "evaluation_score": "kind IN (2, 6)", "reason": "kind IN (2, 7)"},
     ),
 )
 def parse_checklist(t: Tables) -> DataFrame:
@@ -233,7 +237,7 @@ def parse_checklist(t: Tables) -> DataFrame:
 
 @query(
     "validate_checklist",
-    f"WITH {LINE_KIND_SQL}, v AS (SELECT * FROM l WHERE kind IN (0, 1, 8, 9, 10)) "
+    f"WITH {CHECKLIST_SQL}, v AS (SELECT * FROM l WHERE kind IN (0, 1, 8, 9, 10, 11)) "
     + reason_sql("v", {"item_count": "kind = 10", "checklist_ids": "kind IN (9, 10)", "score_domain": "kind = 8"}),
 )
 def validate_checklist(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as X
@@ -416,14 +416,38 @@ def delegation_check(t: Tables) -> DataFrame:
     return spawns(t).select("path", passed.cast("int").alias("passed"))
 
 
+#: Outputs by run: event lines, plain text, one pretty-printed object, one object on a line, an object that breaks off.
+OUTPUT_SQL = """placed AS (SELECT user_id AS path, event_id AS pos, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+outputs AS (SELECT path, pos, k, n, CAST(CASE path % 8 WHEN 1 THEN 'plain line ' || pos WHEN 2 THEN CASE WHEN k = 1 THEN '{' WHEN k = n THEN '"message": "told ' || path || '"}' ELSE '"k' || pos || '": 0,' END
+  WHEN 3 THEN CASE WHEN k = 1 THEN '{"message": "told \\"' || path || '\\"", "text": 5}' ELSE ' ' END WHEN 4 THEN CASE WHEN k = 1 THEN '{' ELSE '"k' || pos || '": 0,' END
+  ELSE CASE WHEN pos % 10 = 9 THEN '{broken' ELSE '{"type":"' || type || '","item":{"id":"' || item_id || '","type":"' || replace(item_type, 'Agent-Message', 'assistant_message') || '","tool":"spawn-agent","status":"' || item_status
+    || '","text":"said ' || pos || '","receiver_thread_ids":' || CASE WHEN receivers = 0 THEN '[]' ELSE '["t1"]' END || '}}' END END AS VARCHAR) AS made FROM placed JOIN lines USING (path, pos))"""
+
+
 @query(
     "final_message",
-    f"""WITH {LINE_SQL} SELECT path, 'said ' || max(pos) FILTER (item_type = 'assistant_message') AS message
-    FROM (SELECT path, pos, CASE WHEN item_type = 'Agent-Message' THEN 'assistant_message' ELSE item_type END AS item_type FROM lines WHERE pos % 10 <> 9) GROUP BY path""",
+    f"""WITH {LINE_SQL}, {OUTPUT_SQL}, events_said AS (SELECT path, 'said ' || max(pos) FILTER (item_type = 'assistant_message' AND pos % 10 <> 9) AS message
+      FROM (SELECT path, pos, CASE WHEN item_type = 'Agent-Message' THEN 'assistant_message' ELSE item_type END AS item_type FROM lines) GROUP BY path),
+    kinds AS (SELECT DISTINCT path, n, CASE WHEN path % 8 IN (1, 4) THEN 'raw' WHEN path % 8 = 2 THEN CASE WHEN n > 1 THEN 'document' ELSE 'raw' END WHEN path % 8 = 3 THEN 'document'
+      WHEN message IS NULL THEN 'raw' ELSE 'event' END AS source, message FROM placed JOIN events_said USING (path))
+    SELECT path, source, CAST(0 AS BIGINT) AS block, CASE WHEN source = 'event' THEN message WHEN path % 8 = 3 THEN 'told "' || path || '"' ELSE 'told ' || path END AS message FROM kinds WHERE source <> 'raw'
+    UNION ALL SELECT path, 'raw', CAST(floor(o.pos / 1000) AS BIGINT), string_agg(made, chr(10) ORDER BY o.pos) FROM outputs o JOIN kinds USING (path) WHERE source = 'raw' GROUP BY ALL""",
 )
 def final_message(t: Tables) -> DataFrame:
+    """Outputs of all kinds."""
     lines = transport_lines(t).withColumn("value", F.replace("value", F.lit("Agent-Message"), F.lit("assistant_message")))
-    return N.final_message(N.parse_lines(lines))
+    place = Window.partitionBy("path").orderBy("pos")
+    placed = lines.withColumns({"k": F.row_number().over(place), "n": F.count(F.lit(1)).over(Window.partitionBy("path"))})
+    kind, path, pos = F.col("path") % 8, F.col("path").cast("string"), F.col("pos").cast("string")
+    filler = F.concat(F.lit('"k'), pos, F.lit('": 0,'))
+    made = (
+        F.when(kind == 1, F.concat(F.lit("plain line "), pos))
+        .when(kind == 2, F.when(F.col("k") == 1, "{").when(F.col("k") == F.col("n"), F.concat(F.lit('"message": "told '), path, F.lit('"}'))).otherwise(filler))
+        .when(kind == 3, F.when(F.col("k") == 1, F.concat(F.lit('{"message": "told \\"'), path, F.lit('\\"", "text": 5}'))).otherwise(" "))
+        .when(kind == 4, F.when(F.col("k") == 1, "{").otherwise(filler))
+        .otherwise(F.col("value"))
+    )
+    return N.final_message(placed.select("path", "pos", made.alias("value")))
 
 
 NESTED_COLUMNS = [

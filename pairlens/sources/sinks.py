@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +63,55 @@ def complete_artifacts(records: DataFrame, key: Sequence[str], expected: str) ->
     return counts.filter(F.col("_all") & (F.col("_n") == F.col("_want"))).select(*key)
 
 
+def _version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and data folder of the newest manifest of a published table; (0, None) if it has none."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(jvm.org.apache.hadoop.fs.Path(target, "manifest-*")) or []
+    names = sorted(f.getPath().getName() for f in found)
+    if not names:
+        return 0, None
+    return int(names[-1].removeprefix("manifest-")), spark.read.text(f"{path}/{names[-1]}").first()[0]
+
+
+def _publish(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    """Make a data folder the newest version by moving a finished manifest to its place, which only one writer can."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(target, f"_draft-{folder}")
+    final = jvm.org.apache.hadoop.fs.Path(target, f"manifest-{number:010d}")
+    out = system.create(draft, False)
+    out.writeBytes(folder)
+    out.close()
+    if system.exists(final) or not system.rename(draft, final):
+        raise FileExistsError(f"another writer has published version {number} of {path}")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest published version; folders that no manifest names are never read."""
+    _, folder = _version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{folder}")
+
+
 def sink_score_atomic(
-    records: DataFrame, key: Sequence[str], expected: str, path: str
+    records: DataFrame, key: Sequence[str], expected: str, path: str, replace: bool = False
 ) -> DataFrame:
-    """Publish only complete artifacts; the commit protocol makes the folder appear at once.
+    """Publish only complete artifacts, all at once.
 
-    An existing folder is refused. Returns the published rows.
+    Rows go to a folder of their own; a manifest that names it appears last, and readers follow the newest manifest
+    (``read_published``). A writer that dies before leaves the published version as it was. A published table
+    is refused, or gets a new version with ``replace``. Returns the published rows.
     """
+    spark = records.sparkSession
+    number, folder = _version(spark, path)
+    if folder is not None and not replace:
+        raise FileExistsError(f"{path} is published already")
     whole = complete_artifacts(records, key, expected)
-    records.join(whole, list(key), "left_semi").write.mode("errorifexists").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    name = f"data-{uuid.uuid4().hex}"
+    records.join(whole, list(key), "left_semi").write.mode("errorifexists").parquet(f"{path}/{name}")
+    _publish(spark, path, number + 1, name)
+    return read_published(spark, path)

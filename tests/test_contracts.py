@@ -55,6 +55,32 @@ def test_pointwise_contract(spark):
     assert "fields" in got[11]
 
 
+def test_checklists_as_python_literals(spark):
+    item = {"checklist_id": 0, "reason": "it's \"so\" \\ [é]\n{x: 'y'}", "evaluation_score": 0.5}
+    good = [str([item]), str({"items": [item]}), repr([{**item, "checklist_id": "0"}]), "  [" + repr(item) + ",]  ", repr([{**item, "evaluation_score": "0.5"}])]
+    bad = {
+        str((item,)): "not_a_list",
+        str({"a": [item], "b": []}): "not_a_list",
+        "[" + str(item).replace("0.5", "true") + "]": "not_a_list",
+        "[" + str(item).replace("0.5", "open('x')") + "]": "not_a_list",
+        str([(1, 2)]): "item_fields",
+        str([{**item, "evaluation_score": True}]): "evaluation_score",
+        str([{**item, "checklist_id": True}]): "checklist_id",
+        str([{**item, "reason": None}]): "reason",
+        str([{**item, "reason": ("a",)}]): "reason",
+        str([{**item, 5: 1}]): "item_fields",
+        "[" * 5000: "not_a_list",
+    }
+    texts = [*good, *bad, str([item]) + " " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, value string")
+    rows = K.parse_checklist(df).orderBy("i").collect()
+    for r in rows[: len(good)]:
+        assert r.reject_reasons == [] and tuple(r["items"][0])[:3] == (0, item["reason"], 0.5)
+    for r, reason in zip(rows[len(good) : -1], bad.values()):
+        assert reason in r.reject_reasons, r
+    assert "too_long" in rows[-1].reject_reasons
+
+
 def test_checklist_forms(spark):
     item = {"checklist_id": 0, "reason": "r", "evaluation_score": 0.5}
     values = [

@@ -186,6 +186,65 @@ def test_sinks(spark, tmp_path):
     assert {r.artifact for r in stored.collect()} == {"a"}
 
 
+def test_readers_see_the_published_version_only(spark, tmp_path):
+    """A writer that dies half-way, or before its manifest, changes nothing for readers."""
+    schema, path = "artifact string, valid boolean, expected int", str(tmp_path / "scores")
+    first = spark.createDataFrame([("a", True, 1)], schema)
+    with pytest.raises(FileNotFoundError):
+        W.read_published(spark, path)
+    W.sink_score_atomic(first, ["artifact"], "expected", path)
+    with pytest.raises(FileExistsError):
+        W.sink_score_atomic(first, ["artifact"], "expected", path)
+
+    second = spark.createDataFrame([(x, True, 1) for x in "abcdefgh"], schema).repartition(8)
+    dies = second.withColumn("artifact", F.when(F.col("artifact") == "h", F.raise_error(F.lit("lost"))).otherwise(F.col("artifact")))
+    with pytest.raises(Exception, match="lost"):
+        W.sink_score_atomic(dies, ["artifact"], "expected", path, replace=True)
+    second.write.parquet(f"{path}/data-without-manifest")
+    (tmp_path / "scores" / "_draft-data-x").write_text("data-without-manifest")
+    assert [r.artifact for r in W.read_published(spark, path).collect()] == ["a"]
+    assert W.sink_score_atomic(second, ["artifact"], "expected", path, replace=True).count() == 8
+    assert W.read_published(spark, path).count() == 8
+    with pytest.raises(FileExistsError):
+        W._publish(spark, path, 2, "data-of-a-second-writer")
+    assert W.read_published(spark, path).count() == 8
+
+
+def test_final_message(spark):
+    said = {"type": "item.completed", "item": {"type": "agent_message", "text": "from item"}}
+    outputs = {
+        "plain": ["Dear reader,", "", "the end"],
+        "empty": [""],
+        "document": [json.dumps({"message": "m", "text": 5})],
+        "result first": [json.dumps({"message": "m", "text": "t", "result": "r"})],
+        "pretty": json.dumps({"note": [{"a": 1}], "message": "line\none"}, indent=1).split("\n"),
+        "pretty but broken": json.dumps({"message": "m"}, indent=1).split("\n")[:-1],
+        "events": [json.dumps(said), "not json", json.dumps({"result": "done"}), json.dumps({"usage": {}}), "7"],
+        "item last": [json.dumps({"text": "early"}), json.dumps(said), json.dumps({"item": {"type": "tool", "text": "no"}})],
+        "message key of a line is no event": [json.dumps({"message": "m"}), json.dumps({"message": "n"})],
+        "array": [json.dumps([{"text": "t"}])],
+        "number is no text": [json.dumps({"text": 5})],
+        "blank lines around": ["", json.dumps({"text": "t"}), " "],
+    }
+    rows = [(k, i, v) for k, lines in outputs.items() for i, v in enumerate(lines)] + [("null", 0, None)]
+    lines = spark.createDataFrame(rows, "path string, pos bigint, value string").repartition(4)
+    for block in (1000, 2):
+        found = {}
+        for r in sorted(N.final_message(lines, block).collect(), key=lambda r: r.block):
+            found.setdefault(r.path, [r.source, []])[1].append(r.message)
+        raw = {k: ["raw", "\n".join(outputs[k])] for k in ("plain", "empty", "pretty but broken", "message key of a line is no event", "array", "number is no text")}
+        assert {k: [source, "\n".join(parts)] for k, (source, parts) in found.items()} == {
+            **raw,
+            "null": ["raw", ""],
+            "document": ["document", "m"],
+            "result first": ["document", "r"],
+            "pretty": ["document", "line\none"],
+            "events": ["event", "done"],
+            "item last": ["event", "from item"],
+            "blank lines around": ["document", "t"],
+        }
+
+
 def test_retrieval_marker_depth_and_exclusions(spark):
     lines = {
         "direct": {"type": "web_search"},
