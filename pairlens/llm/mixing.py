@@ -3,13 +3,20 @@
 A multinomial classifier, fitted on a bounded sample of labelled rows (MAX_LABELLED, the smallest hashes of
 doc_id) in one task, gives every document a posterior over domains. Rates r >= 0 then minimise
 
-    1/2 sum_k ((sum_d r_d n_d p_dk) / N - t_k)**2 / s_k  +  ridge/2 sum_d n_d / N (r_d - 1)**2
+    1/2 (S - t)' M (S - t)  +  ridge/2 sum_d n_d / N (r_d - 1)**2,    S_k = (sum_d r_d n_d p_dk) / N
 
-with n the tokens of a document, p its posterior, N all tokens, t the target shares and s the shares at rate 1,
-by projected gradient in the metric of n / N: every step is r <- max(0, r - step * (sum_k p_k (S_k - t_k) / s_k + ridge (r - 1))).
-A document's rate depends on the past only through the residuals (S - t) / s of all steps, one number per
-domain and step. So nothing is stored per document and step: each pass over the written table of posteriors
-replays them and sums the next totals. The passes end at STEPS or when all totals are near.
+with n the tokens of a document, p its posterior, N all tokens and t the target shares. M is the inverse of
+G + SOFT diag(s), G the second moments of the posteriors and s the shares at rate 1: in this metric all domains
+can be moved equally well, so soft posteriors need few steps. The method is projected gradient in the metric of n / N
+with momentum that restarts when it leads uphill: with u = M (S(y) - t),
+
+    r <- max(0, y - step * (p.u + ridge * (y - 1))),    y <- r + momentum * (r - r before).
+
+A document's rate depends on the past only through u and the momentum of all steps, k + 1 numbers per step. So nothing
+is stored per document and step: each pass over the written table of posteriors replays them and sums the next totals.
+The same pass sums the dual bound of the last u, so the distance to the best objective is known: the passes end
+when this gap is at most GAP of the objective at rate 1, or after PASSES. A Mixture holds the gap and the totals reached;
+targets that no nonnegative rates reach show there.
 
 Defined results: null and empty texts have the posterior of the class shares (bias alone), no tokens and the rate that follows
 from that posterior; repeated rows count as often as they stand; without labelled rows every domain is equally likely;
@@ -33,9 +40,11 @@ from pairlens.session import written
 MAX_LABELLED = 10_000
 #: Hashed words of the classifier, besides the shape features.
 SLOTS = 1 << 14
-RIDGE = 1e-3
-STEPS = 60
-NEAR = 1e-4
+RIDGE = 1e-4
+SOFT = 1e-3
+#: Optimality gap at which the passes end, and the number of passes after which they end anyway; the gap is returned.
+GAP = 1e-5
+PASSES = 400
 SHAPES = 8
 
 
@@ -153,12 +162,19 @@ def memberships(docs: DataFrame, classifier: Classifier, carry: list[str]) -> Da
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "posterior")
 
 
+def path(posterior: np.ndarray, history: np.ndarray, step: float, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after the steps of history (rows: u, then the momentum), the rates before the last step, and the point it went out from."""
+    rates = before = start = point = np.ones(len(posterior))
+    for row in history:
+        before, start = rates, point
+        rates = np.maximum(0, start - step * (posterior @ row[:-1] + ridge * (start - 1)))
+        point = rates + row[-1] * (rates - before)
+    return rates, before, start
+
+
 def replay(posterior: np.ndarray, history: np.ndarray, step: float, ridge: float) -> np.ndarray:
-    """Rates after the projected steps whose residuals are the rows of history."""
-    rates = np.ones(len(posterior))
-    for residual in history:
-        rates = np.maximum(0, rates - step * (posterior @ residual + ridge * (rates - 1)))
-    return rates
+    """Rates after the steps of history."""
+    return path(posterior, history, step, ridge)[0]
 
 
 def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
@@ -166,17 +182,22 @@ def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, near: float = NEAR) -> tuple[np.ndarray, float]:
-    """(residuals of all steps, step size) for a table (n_tokens, posterior)."""
+@dataclass(frozen=True)
+class Rates:
+    """Fitted rates: u and momentum of all steps, step size, targets, totals at rate 1 and at the end, gap as a share of the objective at rate 1."""
+
+    history: np.ndarray
+    step: float
+    targets: np.ndarray
+    before: np.ndarray
+    totals: np.ndarray
+    gap: float
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, gap: float = GAP, passes: int = PASSES) -> Rates:
+    """Rates for a table (n_tokens, posterior)."""
     k, small = len(targets), members.select("n_tokens", "posterior")
     targets = targets / targets.sum()
-    spread = small.select("n_tokens", F.posexplode("posterior"))
-    all_tokens = small.agg(F.sum("n_tokens")).first()[0] or 0
-    if not all_tokens:
-        return np.zeros((0, k)), 1.0
-    sums = {r.pos: r.s for r in spread.groupBy("pos").agg(F.sum(F.col("n_tokens") * F.col("col")).alias("s")).collect()}
-    share = np.array([sums.get(i, 0.0) for i in range(k)]) / all_tokens
-    scale = np.maximum(share, 1e-9)
 
     def sum_of(value, width):
         """Sum of value(posterior, tokens) over all rows, by one partial sum per batch."""
@@ -193,34 +214,61 @@ def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, ste
             out[row.i] = row.v
         return out
 
-    gram = sum_of(lambda p, n: ((p * n[:, None]).T @ p).reshape(-1), k * k).reshape(k, k) / all_tokens
-    step = 1 / (ridge + float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).max()))
-    history, totals = [], share
-    for _ in range(steps):
-        if np.abs(totals - targets).max() <= near:
-            break
-        history.append((totals - targets) / scale)
-        past = np.array(history)
-        totals = sum_of(lambda p, n: (replay(p, past, step, ridge) * n) @ p, k) / all_tokens
-    return np.array(history).reshape(-1, k), step
+    sums = sum_of(lambda p, n: np.concatenate([((p * n[:, None]).T @ p).reshape(-1), n @ p, [n.sum()]]), k * k + k + 1)
+    if not sums[-1]:
+        return Rates(np.zeros((0, k + 1)), 1.0, targets, np.zeros(k), np.zeros(k), 0.0)
+    all_tokens = sums[-1]
+    gram, share = sums[: k * k].reshape(k, k) / all_tokens, sums[k * k : -1] / all_tokens
+    inverse = gram + SOFT * np.diag(np.maximum(share, 1e-9))
+    metric, step = np.linalg.inv(inverse), 1 / (1 + ridge)
+
+    def objective(totals, moved):
+        return (totals - targets) @ metric @ (totals - targets) / 2 + ridge / 2 * moved
+
+    rates, point, weight, history, bound = share, share, 1.0, [], -np.inf
+    first = left = objective(share, 0.0)
+    while left > gap * first and len(history) < passes:
+        u = metric @ (point - targets)
+        past = np.array([*history, [*u, 0.0]])
+
+        def pass_sums(p, n, past=past, u=u):
+            new, before, start = path(p, past, step, ridge)
+            pull = p @ u
+            best = np.maximum(0, 1 - pull / ridge)
+            dual = pull * best + ridge / 2 * (best - 1) ** 2
+            return np.concatenate([(new * n) @ p, [n @ (new - 1) ** 2, n @ ((start - new) * (new - before)), n @ dual]])
+
+        *totals, moved, uphill, dual = sum_of(pass_sums, k + 3) / all_tokens
+        totals = np.array(totals)
+        bound = max(bound, dual - u @ inverse @ u / 2 - u @ targets)
+        left = objective(totals, moved) - bound
+        weight = 1.0 if uphill > 0 else weight
+        after = (1 + np.sqrt(1 + 4 * weight**2)) / 2
+        momentum, weight = (weight - 1) / after, after
+        history.append([*u, momentum])
+        rates, point = totals, totals + momentum * (totals - rates)
+    return Rates(np.array(history).reshape(-1, k + 1), step, targets, share, rates, float(max(left, 0.0) / first) if first else 0.0)
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """A fitted mixture: classifier, residuals of all steps, step size, and the table it was fitted on."""
+    """A fitted mixture: classifier, rates, and the table they were fitted on."""
 
     classifier: Classifier
-    history: np.ndarray
-    step: float
+    rates: Rates
     members: DataFrame
 
+    def report(self) -> list[tuple[str, float, float, float]]:
+        """Per domain: name, target share, share at rate 1, and rated tokens as a share of all tokens."""
+        r = self.rates
+        return list(zip(self.classifier.domains, r.targets.tolist(), r.before.tolist(), r.totals.tolist(), strict=True))
+
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: tuple[str, ...] = (), max_labelled: int = MAX_LABELLED) -> Mixture:
     """Classifier and rates for docs; the table of memberships keeps the carry columns."""
     classifier = train(docs, labelled, tuple(targets), max_labelled)
     members = written(memberships(docs, classifier, list(carry)), "memberships")
-    history, step = fit_rates(members, np.array(list(targets.values()), float))
-    return Mixture(classifier, history, step, members)
+    return Mixture(classifier, fit_rates(members, np.array(list(targets.values()), float)), members)
 
 
 def _schema(df: DataFrame, more: str) -> str:
@@ -229,7 +277,7 @@ def _schema(df: DataFrame, more: str) -> str:
 
 def member_rates(mixture: Mixture) -> DataFrame:
     """The table of memberships with `rate`."""
-    history, step, members = mixture.history, mixture.step, mixture.members
+    history, step, members = mixture.rates.history, mixture.rates.step, mixture.members
     at = members.columns.index("posterior")
 
     def build():
@@ -245,7 +293,7 @@ def member_rates(mixture: Mixture) -> DataFrame:
 def document_rates(docs: DataFrame, mixture: Mixture, name: str = "rate") -> DataFrame:
     """All columns of docs and a last column `name` with the rate of the row, in place of one of that name; reads the texts once more."""
     docs = docs.drop(name)
-    history, step = mixture.history, mixture.step
+    history, step = mixture.rates.history, mixture.rates.step
     shared = docs.sparkSession.sparkContext.broadcast(mixture.classifier)
     at = docs.columns.index("text")
 

@@ -31,10 +31,10 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 
 def op1_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: n_tokens, the posterior of every domain, and its rate."""
+    """Per document: n_tokens, the posterior of every domain, its rate, and the optimality gap of all rates."""
     mixture = mixing.fit(read(spark, folder, "documents"), domains(read(spark, folder, "labels")), TARGETS, ("doc_id",))
     rows = mixing.member_rates(mixture)
-    return rows.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)], "rate")
+    return rows.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)], "rate", F.lit(mixture.rates.gap).alias("gap"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -82,6 +82,7 @@ def test_mixing_meets_targets(spark, make_docs, words):
     n = sum(r.n_tokens for r in found)
     totals = [sum(r.n_tokens * r.posterior[k] * r.rate for r in found) / n for k in range(2)]
     assert np.allclose(totals, [0.5, 0.5], atol=1e-3)
+    assert np.allclose(totals, [r[3] for r in mixture.report()]) and [r[:2] for r in mixture.report()] == [("a", 0.5), ("b", 0.5)]
     assert all(abs(r.posterior[0] - (1 if r.doc_id % 3 else 0)) < 0.3 for r in found)
     assert all(r.rate >= 0 for r in found) and len({round(r.rate, 9) for r in found}) > 2
     again = M.document_rates(make_docs(rows), mixture, "mixed")
@@ -90,21 +91,55 @@ def test_mixing_meets_targets(spark, make_docs, words):
     assert all(abs(r.mixed - rates[r.doc_id]) < 1e-9 for r in again.collect())
 
 
+def member_table(spark, n, p):
+    return spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+
+
 def test_rates_solve_the_problem(spark):
     """At the end no rate can change for the better: the gradient is 0 where a rate is positive, else not negative."""
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     n = rng.integers(0, 50, 200)
     targets = np.array([0.9, 0.1, 0.0])
-    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
-    history, step = M.fit_rates(members, targets, ridge=0.1, steps=150, near=1e-9)
-    rates = M.replay(p, history, step, 0.1)
+    found = M.fit_rates(member_table(spark, n, p), targets, ridge=0.1, gap=1e-9)
+    rates = M.replay(p, found.history, found.step, 0.1)
     weight, share = n / n.sum(), (n[:, None] * p).sum(axis=0) / n.sum()
-    gradient = p @ (((weight * rates) @ p - targets) / share) + 0.1 * (rates - 1)
+    metric = np.linalg.inv((p * weight[:, None]).T @ p + M.SOFT * np.diag(share))
+    gradient = p @ (metric @ ((weight * rates) @ p - targets)) + 0.1 * (rates - 1)
     assert np.abs(gradient[rates > 1e-6]).max() < 1e-3 and gradient[rates <= 1e-6].min() > -1e-3
     assert (rates >= 0).all() and (rates == 0).any() and (rates > 1).any()
 
 
+@pytest.mark.parametrize("shares", [[0.05, 0.5, 0.45], [0.02, 0.25, 0.73], [0.2, 2.5, 7.3]])
+def test_overlapping_domains_reach_their_targets(spark, shares):
+    """With the shipped settings: the smallest domain too, and the gap bounds the distance to a slow plain solver's objective."""
+    rng = np.random.default_rng(3)
+    p, n, targets = rng.dirichlet(shares, 1500), rng.integers(1, 90, 1500), np.array([0.01, 0.09, 0.9])
+    found = M.fit_rates(member_table(spark, n, p), targets)
+    rates, weight = M.replay(p, found.history, found.step, M.RIDGE), n / n.sum()
+    assert np.allclose((weight * rates) @ p, found.totals, atol=1e-9) and np.allclose(weight @ p, found.before)
+    assert found.gap <= M.GAP and np.abs(found.totals - targets).max() < 1e-3
+    metric = np.linalg.inv((p * weight[:, None]).T @ p + M.SOFT * np.diag(weight @ p))
+
+    def objective(r):
+        left = (weight * r) @ p - targets
+        return left @ metric @ left / 2 + M.RIDGE / 2 * weight @ (r - 1) ** 2
+
+    slow = np.ones(1500)
+    for _ in range(5000):
+        slow = np.maximum(0, slow - (p @ (metric @ ((weight * slow) @ p - targets)) + M.RIDGE * (slow - 1)) / (1 + M.RIDGE))
+    assert objective(rates) - objective(slow) <= found.gap * objective(np.ones(1500)) + 1e-12
+
+
+def test_targets_out_of_reach_show(spark):
+    """All posteriors alike: no rates move the shares apart, the totals say so; too few passes leave a gap."""
+    alike = M.fit_rates(member_table(spark, [5] * 40, [[0.5, 0.5]] * 40), np.array([1.0, 3.0]))
+    assert alike.gap <= M.GAP and abs(alike.totals[0] - alike.totals[1]) < 1e-9 and np.abs(alike.totals - [0.25, 0.75]).max() > 0.1
+    p = np.random.default_rng(4).dirichlet([1, 10, 20], 300)
+    short = M.fit_rates(member_table(spark, [7] * 300, p), np.array([0.3, 0.3, 0.4]), passes=3)
+    assert len(short.history) == 3 and short.gap > M.GAP
+
+
 def test_mixing_hard_rows(spark, make_docs, hard_rows):
     none = spark.createDataFrame([], "doc_id long, domain string")
     for rows in (hard_rows, [(1, None), (2, "")], []):
