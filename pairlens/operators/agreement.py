@@ -244,7 +244,7 @@ def join_human_key(answers: DataFrame, key: DataFrame, annotators: Sequence[str]
 def human_auto_agreement(
     rated: DataFrame, dimensions: Sequence[str], decisions: Sequence[str]
 ) -> DataFrame:
-    """Majority against each automatic decision, overall and per dimension.
+    """Majority against each automatic decision, overall and per dimension; a missing group is "unknown".
 
     ``rated`` has one row per rating, with the key's columns beside it.
     """
@@ -256,7 +256,7 @@ def human_auto_agreement(
         )
     )
     cut = lambda name, column: F.struct(
-        F.lit(name).alias("dimension"), column.cast("string").alias("group")
+        F.lit(name).alias("dimension"), F.coalesce(column.cast("string"), F.lit("unknown")).alias("group")
     )
     cuts = F.array(cut("overall", F.lit("all")), *[cut(d, F.col(d)) for d in dimensions])
     rows = (

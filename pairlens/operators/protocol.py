@@ -16,6 +16,16 @@ def length_deviation(requested: Column, produced: Column) -> Column:
     return F.when(requested > 0, F.abs(produced - requested) / requested)
 
 
+def length_compliance(rows: DataFrame, keys: Sequence[str], requested: Column, produced: Column, within: float = 0.20) -> DataFrame:
+    """Requests, mean deviation and the share of deviations of at most ``within`` per group; rows without a request count in none."""
+    d = length_deviation(requested, produced)
+    return rows.groupBy(*keys).agg(
+        F.count(d).alias("requested"),
+        F.avg(d).alias("mean_deviation"),
+        F.avg((d <= within).cast("double")).alias("compliance"),
+    )
+
+
 def length_score(requested: Column, produced: Column) -> Column:
     """0 to 100: falls to zero at four times the request, or a third of it."""
     over = 100 * F.greatest(F.lit(0.0), 1 - (produced / requested - 1) / 3)

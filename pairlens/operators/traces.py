@@ -451,6 +451,7 @@ def event_reasons(events: DataFrame, contracts: DataFrame) -> DataFrame:
 
     ``contracts(condition, processes, allowed, goal_policy, ...)`` is a few rows.
     Columns that hold JSON arrays come as arrays, null when absent or malformed.
+    ``artifacts`` may be absent: ``has_artifacts`` tells a malformed one from that.
     An event whose condition has no contract has that one reason.
     """
     known = contracts.withColumn("_known", F.lit(True))
@@ -475,6 +476,7 @@ def event_reasons(events: DataFrame, contracts: DataFrame) -> DataFrame:
         (~absent("process") & ~F.coalesce(listed("process"), F.lit(False)), "undeclared_process"),
         (F.col("evidence").isNull(), "evidence"),
         (F.col("open_uncertainty").isNull(), "open_uncertainty"),
+        (F.col("has_artifacts") & F.col("artifacts").isNull(), "artifacts"),
         (F.coalesce(bad_end("from_process"), F.lit(False)), "from_process"),
         (F.coalesce(bad_end("to_process"), F.lit(False)), "to_process"),
         (
@@ -533,18 +535,26 @@ def verdicts_with_trace(verdicts: DataFrame, details: DataFrame, key: Sequence[s
     return verdicts.join(details, list(key))
 
 
-def cycle_association(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Verdicts split by exact cycle, with Wilson intervals and a Fisher test."""
+def cycle_association(joined: DataFrame, keys: Sequence[str], run_set: str) -> DataFrame:
+    """Verdicts split by exact cycle, with Wilson intervals and a Fisher test, per run set and pooled.
+
+    The pooled rows are sums of the run sets' counts under the name "pooled" in the column
+    ``run_set``; verdicts without a run set count there alone.
+    """
     exact = F.col("single_cycle_exact")
     is_ = lambda v, e: F.count_if((F.col("verdict") == v) & (exact if e else ~exact))
-    cells = joined.groupBy(*keys).agg(
-        *[
-            is_(v, e).alias(f"{name}_{part}")
-            for part, e in (("exact", True), ("other", False))
-            for v, name in (("left", "wins"), ("right", "losses"), ("tie", "ties"))
-        ]
-    )
-    result = cells
+    counts = {
+        f"{name}_{part}": is_(v, e)
+        for part, e in (("exact", True), ("other", False))
+        for v, name in (("left", "wins"), ("right", "losses"), ("tie", "ties"))
+    }
+    cells = joined.groupBy(F.col(run_set).cast("string").alias("run_set"), *keys).agg(
+        *[c.alias(name) for name, c in counts.items()]
+    )
+    places = F.explode(F.array_compact(F.array(F.col("run_set"), F.lit("pooled"))))
+    result = cells.withColumn("run_set", places).groupBy("run_set", *keys).agg(
+        *[F.sum(name).alias(name) for name in counts]
+    )
     for part in ("exact", "other"):
         w, l = F.col(f"wins_{part}"), F.col(f"losses_{part}")
         low, high = wilson_bounds(w, l)

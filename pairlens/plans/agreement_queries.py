@@ -203,6 +203,8 @@ KEY_COLUMNS = [
     "o_orderpriority AS benchmark",
     "'A4' AS left_condition",
     "concat('A', CAST(1 + o_custkey % 3 AS VARCHAR(9))) AS right_condition",
+    "CASE WHEN o_totalprice < 100000 THEN 'short' WHEN o_totalprice < 200000 THEN 'middle' ELSE 'long' END AS output_length_gap",
+    "CASE o_custkey % 4 WHEN 0 THEN 'even' WHEN 1 THEN 'narrow' WHEN 2 THEN 'clear' END AS automatic_decision_margin",
     "CASE WHEN o_custkey % 2 = 0 THEN 'A4' ELSE concat('A', CAST(1 + o_custkey % 3 AS VARCHAR(9))) END AS condition_a_1",
     "CASE WHEN o_custkey % 5 < 2 THEN 'A4' ELSE concat('A', CAST(1 + o_custkey % 3 AS VARCHAR(9))) END AS condition_a_2",
     "CASE WHEN o_custkey % 7 < 3 THEN 'A4' ELSE concat('A', CAST(1 + o_custkey % 3 AS VARCHAR(9))) END AS condition_a_3",
@@ -211,6 +213,9 @@ KEY_COLUMNS = [
 ]
 
 
+HUMAN_DIMENSIONS = ["benchmark", "right_condition", "output_length_gap", "automatic_decision_margin"]
+
+
 def rated_answers(t: Tables) -> DataFrame:
     answers = P.first_by(
         t.lineitem.selectExpr(*ANSWER_COLUMNS), ["comparison_id", "annotator_id"], ["k1", "k2", "k3", "k4"], ["preference"]
@@ -244,18 +249,19 @@ def join_human_key(t: Tables) -> DataFrame:
 
 @query(
     "human_auto_agreement",
-    f"""WITH {HUMAN_SQL}, vc AS (SELECT comparison_id, benchmark, right_condition, same_family_decision, cross_family_decision, condition, count(*) AS c FROM human GROUP BY ALL),
+    f"""WITH {HUMAN_SQL}, vc AS (SELECT comparison_id, benchmark, right_condition, output_length_gap, automatic_decision_margin, same_family_decision, cross_family_decision, condition, count(*) AS c FROM human GROUP BY ALL),
     mx AS (SELECT comparison_id, max(c) AS top FROM vc GROUP BY ALL),
-    maj AS (SELECT comparison_id, any_value(benchmark) AS benchmark, any_value(right_condition) AS right_condition, any_value(same_family_decision) AS s, any_value(cross_family_decision) AS x,
+    maj AS (SELECT comparison_id, any_value(benchmark) AS benchmark, any_value(right_condition) AS right_condition, any_value(output_length_gap) AS gap, any_value(automatic_decision_margin) AS margin, any_value(same_family_decision) AS s, any_value(cross_family_decision) AS x,
       CASE WHEN count(*) = 1 THEN min(condition) ELSE 'tie' END AS majority FROM vc JOIN mx USING (comparison_id) WHERE c = top GROUP BY comparison_id),
     fam AS (SELECT *, 'same_family_decision' AS family, s AS decision FROM maj UNION ALL SELECT *, 'cross_family_decision', x FROM maj),
-    cut AS (SELECT 'overall' AS dimension, 'all' AS "group", * FROM fam UNION ALL SELECT 'benchmark', benchmark, * FROM fam UNION ALL SELECT 'right_condition', right_condition, * FROM fam)
+    cut AS (SELECT 'overall' AS dimension, 'all' AS "group", * FROM fam UNION ALL SELECT 'benchmark', benchmark, * FROM fam UNION ALL SELECT 'right_condition', right_condition, * FROM fam
+      UNION ALL SELECT 'output_length_gap', gap, * FROM fam UNION ALL SELECT 'automatic_decision_margin', coalesce(margin, 'unknown'), * FROM fam)
     SELECT dimension, "group", family, count(*) AS comparisons, count(*) FILTER (decision = majority) AS matches, {r6('avg(CAST(decision = majority AS INT))')} AS agreement
     FROM cut WHERE decision <> '' GROUP BY dimension, "group", family""",
 )
 def human_auto_agreement(t: Tables) -> DataFrame:
     report = A.human_auto_agreement(
-        rated_answers(t), ["benchmark", "right_condition"], ["same_family_decision", "cross_family_decision"]
+        rated_answers(t), HUMAN_DIMENSIONS, ["same_family_decision", "cross_family_decision"]
     )
     return rounded(report, "agreement")
 

@@ -460,6 +460,8 @@ def contract_columns(rows: DataFrame) -> DataFrame:
         F.when(n % 13 == 0, " ").otherwise("go on").alias("decision"),
         F.when(n % 17 != 0, F.array(F.lit("e"))).alias("evidence"),
         F.array().cast("array<string>").alias("open_uncertainty"),
+        F.when(n % 7 != 0, F.array(F.lit("draft"))).alias("artifacts"),
+        (n % 2 == 0).alias("has_artifacts"),
         F.lit(None).cast("string").alias("from_process"),
         F.lit(True).alias("has_from_process"),
         F.when(n % 19 == 0, "nowhere").otherwise("planning").alias("to_process"),
@@ -487,6 +489,7 @@ CONTRACT_CHECKS = {
     "decision": "event_id % 13 = 0",
     "undeclared_process": "condition = 'A6' AND process = 'idle'",
     "evidence": "event_id % 17 = 0",
+    "artifacts": "event_id % 2 = 0 AND event_id % 7 = 0",
     "to_process": "kind = 'process_switch' AND (event_id % 23 = 0 OR event_id % 19 = 0)",
     "forbidden_goal": "condition = 'A6' AND kind = 'goal_regenerated'",
     "goal_id": "kind = 'goal_regenerated' AND event_id % 3 <> 0",

@@ -568,13 +568,14 @@ def disagreement_groups(t: Tables) -> DataFrame:
 
 # --- length compliance against a request ---------------------------------------------
 
-REQUEST_SQL = f"""req AS (SELECT lang, source, CASE WHEN n_chars < 40 THEN NULL ELSE CAST(floor(n_chars / 8) AS DOUBLE) END AS x, CAST({UNITS_SQL} AS DOUBLE) AS y FROM documents)"""
+REQUEST_SQL = f"""req AS (SELECT lang, source, concat('A', CAST(1 + doc_id % 4 AS VARCHAR)) AS condition, CASE WHEN n_chars < 40 THEN NULL ELSE CAST(floor(n_chars / 8) AS DOUBLE) END AS x, CAST({UNITS_SQL} AS DOUBLE) AS y FROM documents)"""
 
 
 def requests(t: Tables) -> DataFrame:
     return t.documents.select(
         "lang",
         "source",
+        F.concat(F.lit("A"), (1 + F.col("doc_id") % 4).cast("string")).alias("condition"),
         F.when(F.col("n_chars") >= 40, F.floor(F.col("n_chars") / 8).cast("double")).alias("x"),
         X.output_units(F.col("text")).cast("double").alias("y"),
     )
@@ -582,19 +583,14 @@ def requests(t: Tables) -> DataFrame:
 
 @query(
     "length_compliance",
-    f"""WITH {REQUEST_SQL} SELECT lang, count(x) AS requested, {r6('avg(abs(y - x) / x)')} AS mean_deviation,
+    f"""WITH {REQUEST_SQL} SELECT condition, source AS benchmark, lang AS platform, count(x) AS requested, {r6('avg(abs(y - x) / x)')} AS mean_deviation,
       {r6('avg(CASE WHEN x IS NULL THEN NULL WHEN abs(y - x) / x <= 0.2 THEN 1 ELSE 0 END)')} AS compliance FROM req GROUP BY ALL""",
 )
 def length_compliance(t: Tables) -> DataFrame:
-    from pairlens.operators.protocol import length_deviation
+    from pairlens.operators.protocol import length_compliance as compliance
 
-    d = length_deviation(F.col("x"), F.col("y"))
-    report = requests(t).groupBy("lang").agg(
-        F.count("x").alias("requested"),
-        F.avg(d).alias("mean_deviation"),
-        F.avg((d <= 0.20).cast("double")).alias("compliance"),
-    )
-    return rounded(report, "mean_deviation", "compliance")
+    rows = requests(t).withColumnsRenamed({"source": "benchmark", "lang": "platform"})
+    return rounded(compliance(rows, ["condition", "benchmark", "platform"], F.col("x"), F.col("y")), "mean_deviation", "compliance")
 
 
 @query(

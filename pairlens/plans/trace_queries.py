@@ -352,10 +352,11 @@ def fisher_sql(a: str, b: str, c: str, d: str) -> str:
     )
 
 
-ASSOC_SQL = f"""{TRACED_SQL}, assoc AS (SELECT right_condition, count(*) FILTER (verdict = 'left' AND single_cycle_exact) AS wins_exact,
+ASSOC_SQL = f"""{TRACED_SQL}, placed AS (SELECT platform AS run_set, * FROM both_of UNION ALL SELECT 'pooled', * FROM both_of),
+assoc AS (SELECT run_set, right_condition, count(*) FILTER (verdict = 'left' AND single_cycle_exact) AS wins_exact,
   count(*) FILTER (verdict = 'right' AND single_cycle_exact) AS losses_exact, count(*) FILTER (verdict = 'tie' AND single_cycle_exact) AS ties_exact,
   count(*) FILTER (verdict = 'left' AND NOT single_cycle_exact) AS wins_other, count(*) FILTER (verdict = 'right' AND NOT single_cycle_exact) AS losses_other,
-  count(*) FILTER (verdict = 'tie' AND NOT single_cycle_exact) AS ties_other FROM both_of GROUP BY ALL)"""
+  count(*) FILTER (verdict = 'tie' AND NOT single_cycle_exact) AS ties_other FROM placed GROUP BY ALL)"""
 ASSOC_RATES = [f"{n}_{p}" for p in ("exact", "other") for n in ("win_rate", "wilson_low", "wilson_high")]
 
 
@@ -365,7 +366,7 @@ ASSOC_RATES = [f"{n}_{p}" for p in ("exact", "other") for n in ("win_rate", "wil
       {r6(fisher_sql('wins_exact', 'losses_exact', 'wins_other', 'losses_other'))} AS fisher_p FROM assoc""",
 )
 def cycle_association(t: Tables) -> DataFrame:
-    return rounded(R.cycle_association(traced_verdicts(t), ["right_condition"]), *ASSOC_RATES, "fisher_p")
+    return rounded(R.cycle_association(traced_verdicts(t), ["right_condition"], "platform"), *ASSOC_RATES, "fisher_p")
 
 
 @query(

@@ -43,6 +43,7 @@ TRACE_SCHEMA = (
     "evidence ARRAY<STRING>, open_uncertainty ARRAY<STRING>, from_process STRING, to_process STRING, "
     "goal_id STRING, parent_goal_id STRING, artifacts ARRAY<STRING>"
 )
+OPTIONAL_FIELDS = ("from_process", "to_process", "goal_id", "parent_goal_id", "artifacts")
 PROMPT_SCHEMA = (
     "prompt_id STRING, benchmark_name STRING, source_version STRING, prompt_text STRING, "
     "requested_output_constraints ARRAY<STRING>, native_payload STRING, supplied_context STRING, hash STRING"
@@ -222,16 +223,12 @@ def trace_lines(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFram
     )
     keys = F.json_object_keys("line")
     present = [
-        F.array_contains(keys, name).alias(f"has_{name}")
-        for name in ("from_process", "to_process", "goal_id", "parent_goal_id")
+        F.array_contains(keys, name).alias(f"has_{name}") for name in OPTIONAL_FIELDS
     ]
     events = (
         lines.join(problems.select("path"), "path", "left_anti")
         .select("path", "pos", "bucket", *present, F.from_json("line", TRACE_SCHEMA).alias("_e"))
-        .select(
-            "path", "pos", "bucket", "_e.*",
-            *[f"has_{n}" for n in ("from_process", "to_process", "goal_id", "parent_goal_id")],
-        )
+        .select("path", "pos", "bucket", "_e.*", *[f"has_{n}" for n in OPTIONAL_FIELDS])
     )
     return events, problems
 

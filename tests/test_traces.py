@@ -129,17 +129,20 @@ def test_exact_process_order(spark):
         before = [None, *targets[:-1]]
         return [(name, "A6", i + 1, b, x, x) for i, (b, x) in enumerate(zip(before, targets))]
 
-    rows = run("good", ORDER) + run("bad", [ORDER[1], ORDER[0], ORDER[2]]) + run("short", ORDER[:2])
+    rows = run("good", ORDER) + run("bad", [ORDER[1], ORDER[0], ORDER[2]]) + run("short", ORDER[:2]) + run("odd", ORDER)
     df = spark.createDataFrame(rows, "run_id string, condition string, pos int, from_process string, to_process string, process string")
     full = df.select(
         "*", F.lit("process_switch").alias("event_type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.lit("m").alias("responsible_agent"), F.lit("d").alias("decision"), F.array(F.lit("e")).alias("evidence"),
         F.array(F.lit("u")).alias("open_uncertainty"), F.lit(None).cast("string").alias("goal_id"),
         *[F.lit(v).alias(f"has_{n}") for n, v in (("from_process", True), ("to_process", True), ("goal_id", False), ("parent_goal_id", False))],
+        F.when(F.col("run_id") != "odd", F.array(F.lit("a"))).alias("artifacts"), (F.col("pos") == 2).alias("has_artifacts"),
     )
     got = {r.run_id: r.reject_reasons for r in R.trace_reasons(R.event_reasons(full, contract)).collect()}
     assert got["good"] == [] and got["bad"] == ["process_order"]
-    assert set(got["short"]) == {"too_few_events", "process_order"}
+    assert set(got["short"]) == {"too_few_events", "process_order"} and got["odd"] == ["bad_event"]
+    odd = {r.pos: r.reject_reasons for r in R.event_reasons(full, contract).filter("run_id = 'odd'").collect()}
+    assert odd == {1: [], 2: ["artifacts"], 3: []}
 
 
 def test_rater_coefficients(spark):
@@ -175,3 +178,14 @@ def test_cross_judge_golden(spark):
     row = A.cross_judge_metrics(df, [["left_condition", "right_condition"]]).first()
     assert (row.wins, row.losses, row.ties, row.commit_rate) == (2, 1, 1, 0.75)
     assert (row.presentation_agreement, row.presentation_total, row.collapsed_agreement, row.direction_conflicts) == (5, 8, 3, 1)
+
+
+def test_cycle_association_per_run_set_and_pooled(spark):
+    rows = [("x", "c", "left", True)] * 5 + [("x", "c", "right", False)] * 4 + [("y", "c", "left", False)] * 2 + [("y", "c", "tie", True), (None, "c", "right", True)]
+    df = spark.createDataFrame(rows, "root string, contrast string, verdict string, single_cycle_exact boolean")
+    got = {r.run_set: r for r in R.cycle_association(df, ["contrast"], "root").collect()}
+    cells = ("wins_exact", "losses_exact", "ties_exact", "wins_other", "losses_other", "ties_other")
+    assert {k: tuple(r[c] for c in cells) for k, r in got.items()} == {
+        "x": (5, 0, 0, 0, 4, 0), "y": (0, 0, 1, 2, 0, 0), "pooled": (5, 1, 1, 2, 4, 0),
+    }
+    assert abs(got["x"].fisher_p - 1 / 126) < 1e-9
