@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import previous_value, row_index, running_count
+from pairlens.functions.ordering import exact_quantiles, previous_value, row_index, running_count
 from pairlens.functions.stats import fisher_exact_p, win_rate, wilson_bounds
 from pairlens.functions.text import parse_offset_timestamp
 from pairlens.session import written
@@ -594,6 +594,19 @@ def goal_counts(goals: DataFrame) -> DataFrame:
     )
 
 
+def process_profile(
+    runs: DataFrame, keys: Sequence[str], means: Sequence[str], medians: Sequence[str]
+) -> DataFrame:
+    """Number of runs, means and exact medians of what each run recorded; runs without a value count in neither of its two."""
+    report = runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"), *[F.avg(c).alias(f"mean_{c}") for c in means]
+    )
+    for c in medians:
+        values = runs.select(*keys, F.col(c).cast("double").alias(c))
+        report = report.join(exact_quantiles(values, keys, c, {f"median_{c}": 0.5}), list(keys), "left")
+    return report
+
+
 def goal_pop_backs(goals: DataFrame) -> DataFrame:
     """Returns to the immediate parent after a child goal, and unresolved parents.
 

@@ -490,23 +490,34 @@ def within_process_ops(t: Tables) -> DataFrame:
     return goals(t).filter(F.col("event_type") != R.SWITCH).groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+RUN_COLUMNS = [
+    "concat(CAST(user_id AS VARCHAR(20)), '-', CAST(CAST(ts AS DATE) AS VARCHAR(20))) AS run_id",
+    "ts",
+    "CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS spawn",
+    "CAST(floor(value * 10) AS BIGINT) AS tokens",
+    "CASE WHEN event_type = 'purchase' THEN event_id % 50 END AS units",
+]
+PROFILE_MEANS = ["events", "sequence_length", "regenerations", *R.GOAL_EVENTS, "spawns", "tokens", "seconds"]
+PROFILE_MEDIANS = ["events", "output_units"]
+
+
 @query(
     "process_profile",
-    f"""WITH {DET_SQL} SELECT condition, count(*) AS runs, {r6('avg(regenerations)')} AS mean_regenerations, {r6('avg(events)')} AS mean_events,
-      {r6('quantile_cont(events, 0.5)')} AS median_events, {r6('avg(len(s))')} AS mean_switches FROM det GROUP BY ALL""",
+    f"""WITH {DET_SQL}, {GOAL_SQL}, g AS (SELECT run_id, {', '.join(f"count(*) FILTER (event_type = '{e}') AS {e}" for e in R.GOAL_EVENTS)} FROM goals GROUP BY run_id),
+    m AS (SELECT run_id, sum(spawn) AS spawns, sum(tokens) AS tokens, sum(units) AS output_units, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds
+      FROM (SELECT {', '.join(RUN_COLUMNS)} FROM events) GROUP BY run_id),
+    runs AS (SELECT run_id, condition, events, len(s) AS sequence_length, regenerations, g.* EXCLUDE (run_id), m.* EXCLUDE (run_id) FROM det JOIN g USING (run_id) JOIN m USING (run_id))
+    SELECT condition, count(*) AS runs, {', '.join(f"{r6(f'avg({c})')} AS mean_{c}" for c in PROFILE_MEANS)}, {', '.join(f"{r6(f'quantile_cont({c}, 0.5)')} AS median_{c}" for c in PROFILE_MEDIANS)}
+    FROM runs GROUP BY condition""",
 )
 def process_profile(t: Tables) -> DataFrame:
-    """Means and medians per condition of what each run recorded."""
-    from pairlens.functions.ordering import exact_quantiles
-
-    runs = details(t).withColumn("events", F.col("events").cast("double"))
-    means = runs.groupBy("condition").agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.avg("regenerations").alias("mean_regenerations"),
-        F.avg("events").alias("mean_events"),
-        F.avg("sequence_length").alias("mean_switches"),
-    )
-    medians = exact_quantiles(runs, ["condition"], "events", {"median_events": 0.5})
-    return rounded(
-        means.join(medians, "condition"), "mean_regenerations", "mean_events", "median_events", "mean_switches"
+    """Goal events by type, output units, spawns, tokens and seconds of the runs of each condition."""
+    recorded = t.events.selectExpr(*RUN_COLUMNS).groupBy("run_id").agg(
+        F.sum("spawn").alias("spawns"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("units").alias("output_units"),
+        (F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))") / 1e6).alias("seconds"),
     )
+    runs = details(t).join(R.goal_counts(goals(t)), "run_id").join(recorded, "run_id")
+    report = R.process_profile(runs, ["condition"], PROFILE_MEANS, PROFILE_MEDIANS)
+    return rounded(report, *[f"mean_{c}" for c in PROFILE_MEANS], *[f"median_{c}" for c in PROFILE_MEDIANS])

@@ -189,3 +189,10 @@ def test_cycle_association_per_run_set_and_pooled(spark):
         "x": (5, 0, 0, 0, 4, 0), "y": (0, 0, 1, 2, 0, 0), "pooled": (5, 1, 1, 2, 4, 0),
     }
     assert abs(got["x"].fisher_p - 1 / 126) < 1e-9
+
+
+def test_process_profile(spark):
+    rows = [("a", 1, 4), ("a", 2, None), ("a", 6, 10), ("b", None, None)]
+    df = spark.createDataFrame(rows, "condition string, spawns long, units long")
+    got = {r.condition: tuple(r)[1:] for r in R.process_profile(df, ["condition"], ["spawns"], ["spawns", "units"]).collect()}
+    assert got == {"a": (3, 3.0, 2.0, 7.0), "b": (1, None, None, None)}
