@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,19 +160,50 @@ def tertiles(
 
 
 def leak_scan(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Terms that still occur in a text or its path, with the line of the first hit.
+    """Terms that still occur in a text or its path: (path, term, line), with the line of the first hit.
 
     Text compares with ASCII case folded, as bytes do; a hit in the path alone
-    has line 0. The term list is a parameter.
+    has line 0. The term list is a parameter; a term listed twice counts twice. One automaton of all terms
+    reads each text once, where it lies; only hits leave the task. A null text or path holds nothing.
     """
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rows = files.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
-    needle = F.lower("term")
-    folded = F.translate("text", upper, lower)
-    at = F.expr("locate(lower(term), translate(text, '%s', '%s'))" % (upper, lower))
-    in_path = F.contains(F.lower("path"), needle)
-    line = F.when(at > 0, F.regexp_count(F.left(folded, at - 1), F.lit("\n")) + 1).otherwise(0)
-    return rows.filter((at > 0) | in_path).select("path", "term", line.cast("bigint").alias("line"))
+    needles: dict[str, list[str]] = {}
+    for term in terms:
+        needles.setdefault(term.lower(), []).append(term)
+    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = files.select("path", F.lower("path").alias("_path"), folded.alias("_text"))
+
+    def work(batches):
+        automaton = ahocorasick.Automaton()
+        for needle in filter(None, needles):
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+
+        def starts(text: str | None) -> dict[str, int]:
+            """First place of each needle."""
+            found = {"": 0} if text is not None and "" in needles else {}
+            for end, needle in automaton.iter(text or "") if len(automaton) else ():
+                if needle not in found:
+                    found[needle] = end + 1 - len(needle)
+                    if len(found) == len(needles):
+                        break
+            return found
+
+        for batch in batches:
+            hits = []
+            for path, lowered, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text, lines, line, seen = text.as_py(), {}, 1, 0
+                for needle, start in sorted(starts(text).items(), key=lambda hit: hit[1]):
+                    line += text.count("\n", seen, start)
+                    lines[needle], seen = line, start
+                places = {**dict.fromkeys(starts(lowered.as_py()), 0), **lines}
+                hits += [(path.as_py(), term, place) for needle, place in places.items() for term in needles[needle]]
+            columns = zip(*hits, strict=True) if hits else ([], [], [])
+            kinds = (batch.schema.field("path").type, pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["path", "term", "line"]
+            )
+
+    return rows.mapInArrow(work, "path string, term string, line bigint")
 
 
 def participant_order(ratings: DataFrame, keys: Sequence[str]) -> DataFrame:

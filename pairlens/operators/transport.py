@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.rows import once
 from pairlens.functions.text import event_name, strip
-from pairlens.session import written
 
 EVENT_SCHEMA = (
     "type STRING, event STRING, event_type STRING, usage STRING, result STRING, text STRING, "
@@ -87,98 +90,69 @@ NETWORK_COMMAND = (
     r"\b(?:git\s+clone|python\s+-m\s+http\.client)\b|"
     r"\b(?:urllib|requests\.get|socket\.create_connection)\b"
 )
-NODE_FIELDS = (
-    "type", "event", "event_type", "command", "cmd", "shell_command", "tool", "tool_name",
-    "name", "method", "item", "data", "payload",
-)
+KIND_FIELDS = ("type", "event", "event_type")
+TOOL_FIELDS = ("tool", "tool_name", "name", "method")
+COMMAND_FIELDS = ("command", "cmd", "shell_command")
 CONTAINERS = ("item", "data", "payload")
 
-
-def _text_of(name: str) -> Column:
-    """A field's value when it is a JSON string; containers read as raw text."""
-    return F.col(f"_node.{name}")
-
-
-NAMED_FIELDS = ("type", "event", "event_type", "tool", "tool_name", "name", "method")
-
-
-def _names() -> Column:
-    """Normalised names of a node's fields."""
-    return F.struct(*[event_name(_text_of(n)).alias(n) for n in NAMED_FIELDS])
-
-
-def _marker() -> Column:
-    """Retrieval marker of one node, looking at no nested value."""
-    name = lambda n: F.col(f"_names.{n}")
-
-    def listed(field: str) -> Column:
-        return F.when(name(field).isin(*RETRIEVAL_EVENTS), _text_of(field))
-
-    def network(field: str) -> Column:
-        hit = F.regexp_extract(_text_of(field), NETWORK_COMMAND, 0)
-        return F.when(hit != "", hit)
-
-    direct = F.coalesce(*[listed(n) for n in ("type", "event", "event_type")])
-    command = F.coalesce(*[network(n) for n in ("command", "cmd", "shell_command")])
-    tool = F.coalesce(*[listed(n) for n in ("tool", "tool_name", "name", "method")])
-    return (
-        F.when(direct.isNotNull(), direct)
-        .when(name("type").isin(*COMMAND_EVENTS), command)
-        .when(name("type").isin(*TOOL_EVENTS), tool)
-    )
-
-
-def _children(items: Column, container: int) -> Column:
-    """Nested texts with their place: container number, then list position."""
-    def child(text: Column, position: Column) -> Column:
-        place = F.concat("_place", F.array(F.lit(container), position))
-        return F.struct(text.alias("_text"), place.alias("_place"))
-
-    return F.transform(items, child)
+_NETWORK = re.compile(NETWORK_COMMAND)
+
+
+def _named(value: object) -> str | None:
+    """The value's name as ``event_name`` gives it; null when it is no string."""
+    return re.sub("[^a-z0-9]+", "_", value.lower()).strip("_") if isinstance(value, str) else None
+
+
+def _node_marker(node: dict) -> tuple[str | None, bool]:
+    """Marker of one object, and whether the objects in its containers are searched as well."""
+    if any(_named(v) in ERROR_EVENTS for k, v in node.items() if k.casefold() in KIND_FIELDS):
+        return None, False
+    kind = _named(node.get("type"))
+    fields = (*KIND_FIELDS, *TOOL_FIELDS) if kind in TOOL_EVENTS else KIND_FIELDS
+    for field in fields:
+        if _named(node.get(field)) in RETRIEVAL_EVENTS:
+            return node[field], False
+    if kind not in COMMAND_EVENTS:
+        return None, True
+    hits = [_NETWORK.search(node[f]) for f in COMMAND_FIELDS if isinstance(node.get(f), str)]
+    return next((hit.group(0) for hit in hits if hit), None), False
+
+
+def retrieval_marker(line: str | None) -> str | None:
+    """First retrieval marker of a JSON object line in reading order: an object before its containers."""
+    try:
+        value = json.loads(line or "")
+    except (ValueError, RecursionError):
+        return None
+    waiting = [value] if isinstance(value, dict) else []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            marker, inside = _node_marker(node)
+            if marker:
+                return marker
+            node = [node.get(name) for name in CONTAINERS] if inside else []
+        waiting.extend(x for x in reversed(node) if isinstance(x, (dict, list)))
+    return None
 
 
 def retrieval_flags(lines: DataFrame, key: list[str], column: str = "value") -> DataFrame:
-    """First retrieval marker of each line, following nested item, data and payload.
+    """Lines with a retrieval marker: their key columns and the first marker, at any depth of nesting.
 
-    Each level writes the nested texts the next one parses; the loop ends when
-    no line has a deeper container, so any depth is followed and no level is
-    parsed again. Error envelopes and command nodes are not searched further.
+    Follows objects and lists in ``item``, ``data`` and ``payload``, not texts that look like JSON. Error envelopes and
+    command nodes are not searched further. Lines that are null, no JSON object, or nested beyond what the JSON reader
+    follows (thousands of levels) have no marker. Every line is parsed once where it was read; nothing moves.
     """
-    schema = ", ".join(f"{n} STRING" for n in NODE_FIELDS)
-    level = lines.select(
-        *key, F.col(column).alias("_text"), F.array().cast("array<int>").alias("_place")
-    )
-    found = None
-    while True:
-        objects = level.filter(F.col("_text").startswith("{"))
-        nodes = once(objects, "_node", F.from_json("_text", schema)).filter("_node IS NOT NULL")
-        nodes = once(nodes, "_names", _names())
-        is_error = F.lit(False)
-        for name in ("type", "event", "event_type"):
-            is_error = is_error | F.coalesce(F.col(f"_names.{name}").isin(*ERROR_EVENTS), F.lit(False))
-        nodes = once(nodes.filter(~is_error), "_marker", _marker())
-        hits = nodes.filter(F.col("_marker").isNotNull()).select(
-            *key, F.col("_place").alias("place"), F.col("_marker").alias("marker")
-        )
-        found = hits if found is None else found.unionByName(hits)
-        open_node = F.col("_marker").isNull() & ~F.coalesce(
-            F.col("_names.type").isin(*COMMAND_EVENTS), F.lit(False)
-        )
-        inner = []
-        for i, name in enumerate(CONTAINERS):
-            text = F.trim(_text_of(name))
-            items = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(
-                text.startswith("{"), F.array(text)
-            )
-            inner.append(_children(items, i))
-        empty = F.array().cast("array<struct<_text:string,_place:array<int>>>")
-        nested = nodes.filter(open_node).select(
-            *key, F.explode(F.concat(*[F.coalesce(x, empty) for x in inner])).alias("_n")
-        )
-        level = written(nested.select(*key, "_n._text", "_n._place"), "nested")
-        if level.isEmpty():
-            break
-    return found.groupBy(*key).agg(F.min_by("marker", "place").alias("marker"))
+    rows = lines.select(*key, F.col(column).alias("_line"))
+    schema = rows.select(*key, F.lit(None).cast("string").alias("marker")).schema
+
+    def work(batches):
+        for batch in batches:
+            found = pa.array([retrieval_marker(line.as_py()) for line in batch.column("_line")], pa.string())
+            columns = [*(batch.column(i) for i in range(len(key))), found]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "marker"]).filter(found.is_valid())
+
+    return rows.mapInArrow(work, schema)
 
 
 #: Lines in a block of a raw text.

@@ -123,6 +123,26 @@ def test_leak_lines(spark):
     assert {(r.path, r.line) for r in T.leak_scan(df, ["secret"]).collect()} == {("p/a", 3), ("p/secret", 0)}
 
 
+def test_leak_scan_against_plain_search(spark):
+    texts = ["", "abcabc\n\nAB", "İstanbul\nß ab", "x\n" * 50 + "BCA", None, "a\n\nb c", "ab" * 2000 + "\nca"]
+    paths = ["p/AB", "q", None, "bca/ß", "r\n", "s", "İ/t"]
+    terms = ["AB", "bca", "ab", "ß", "İ", "\nca", "missing", "", "AB", "b c"]
+    df = spark.createDataFrame(list(zip(paths, texts)), "path string, text string").repartition(3)
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    want = []
+    for path, text in zip(paths, texts):
+        for term in terms:
+            at = -1 if text is None else text.translate(fold).find(term.lower())
+            if at >= 0:
+                want.append((str(path), term, text[:at].count("\n") + 1))
+            elif path is not None and term.lower() in path.lower():
+                want.append((str(path), term, 0))
+    got = sorted((str(r.path), r.term, r.line) for r in T.leak_scan(df, terms).collect())
+    assert got == sorted(want)
+    assert T.leak_scan(df, []).count() == 0 and T.leak_scan(df.limit(0), terms).count() == 0
+    assert T.leak_scan(df, [""]).filter("line = 1").count() == 6
+
+
 def test_quotas_and_pick(spark):
     rows = [("c", s, f"{s}{i}") for s, n in (("a", 50), ("b", 30), ("d", 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "cell string, s string, u string")
