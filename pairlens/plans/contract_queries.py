@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as X
@@ -16,6 +16,7 @@ from pairlens.plans import views as V
 from pairlens.plans.pairwise_queries import COLLAPSED, rounded
 from pairlens.plans.registry import Tables, query, r6
 from pairlens.plans.run_queries import PLAN_SQL, planned
+from pairlens.plans.views import document_files, file_key, text_files
 from pairlens.session import scratch_path
 from pairlens.sources import files as S
 from pairlens.sources import sinks as W
@@ -525,65 +526,66 @@ def trace_contract_runs(t: Tables) -> DataFrame:
     return reason_counts(R.trace_reasons(R.event_reasons(placed, contracts(t))), "condition")
 
 
-# --- sources: files made from the tables, and the parsers on such text ---------------------
+# --- sources: files made from the tables and the readers of such files ---------------------
 
 
-def text_files(rows: DataFrame, name: str, *order: str) -> str:
-    """Folder of text files, one folder ``path=<key>`` per key of the rows (path, line); the lines follow ``order``."""
-    folder = scratch_path(rows.sparkSession, name)
-    placed = rows.repartition("path").sortWithinPartitions("path", *order).select("path", "line")
-    placed.write.partitionBy("path").text(folder)
-    return folder
-
-
-def file_key() -> Column:
-    """The key that text_files put into the folder name."""
-    return F.regexp_extract("path", "path=([0-9]+)", 1).cast("bigint").alias("path")
+#: One manifest per customer and status of its orders.
+CUSTOMER_RUNS_SQL = """m AS (SELECT o_custkey * 2 + CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS run_no, min(o_orderpriority) AS benchmark,
+  CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS tokens FROM orders GROUP BY 1)"""
 
 
 @query(
     "scan_runs",
-    f"""WITH {V.RUNS_SQL} SELECT benchmark, CASE WHEN run_no % 3 = 0 THEN 'codex' ELSE platform END AS platform,
-      CASE WHEN run_no % 5 = 0 THEN 'unknown' ELSE status END AS status, count(*) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens
-    FROM runs WHERE run_no % 13 <> 0 AND run_no % 17 <> 0 GROUP BY ALL""",
+    f"""WITH {CUSTOMER_RUNS_SQL} SELECT benchmark, CASE WHEN run_no % 3 = 0 THEN 'codex' ELSE 'other' END AS platform,
+      CASE WHEN run_no % 5 = 0 THEN 'unknown' WHEN run_no % 2 = 1 THEN 'failed' ELSE 'completed' END AS status, count(*) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens
+    FROM m WHERE run_no % 13 <> 0 AND run_no % 17 <> 0 GROUP BY ALL""",
 )
 def scan_runs(t: Tables) -> DataFrame:
+    """A manifest file per run; some are no object, some lack an input."""
     no = F.col("run_no")
+    made = t.orders.groupBy((F.col("o_custkey") * 2 + (F.col("o_orderstatus") == "O").cast("int")).alias("run_no")).agg(
+        F.min("o_orderpriority").alias("benchmark"), F.sum(F.floor("o_totalprice")).cast("bigint").alias("tokens")
+    )
     manifest = F.to_json(
         F.struct(
             F.struct(
                 F.col("benchmark").alias("benchmark_name"),
-                F.col("condition").alias("condition_id"),
-                F.when(no % 17 != 0, F.col("prompt")).alias("prompt_id"),
-                F.when(no % 3 != 0, F.col("platform")).alias("platform"),
+                F.lit("A1").alias("condition_id"),
+                F.when(no % 17 != 0, no.cast("string")).alias("prompt_id"),
+                F.when(no % 3 != 0, "other").alias("platform"),
             ).alias("inputs"),
-            F.when(no % 5 != 0, F.col("status")).alias("status"),
+            F.when(no % 5 != 0, F.when(no % 2 == 1, "failed").otherwise("completed")).alias("status"),
             F.col("tokens").alias("budget_used_tokens"),
         )
     )
-    files = V.runs(t).select("path", F.when(no % 13 == 0, F.concat(F.lit("["), manifest)).otherwise(manifest).alias("value"))
-    return S.parse_runs(files).groupBy("benchmark", "platform", "status").agg(
+    folder = document_files(made.select(F.when(no % 13 == 0, F.concat(F.lit("["), manifest)).otherwise(manifest).alias("line")), "runs")
+    return S.scan_runs(t.spark, [folder], "*.txt").groupBy("benchmark", "platform", "status").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("budget_used_tokens").alias("tokens")
     )
 
 
 @query(
     "scan_score_manifests",
-    """SELECT CASE WHEN l_linestatus = 'F' THEN 'pairwise' ELSE 'pointwise' END AS task, 'judge-' || (l_suppkey % 2) AS judge_id, count(*) AS artifacts,
-      CAST(sum(CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END) AS BIGINT) AS sources FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL""",
+    """WITH m AS (SELECT l_suppkey, l_linenumber, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT CASE WHEN l_linestatus = 'F' THEN 'pairwise' ELSE 'pointwise' END AS task, 'judge-' || (l_suppkey % 2) AS judge_id, count(*) AS artifacts,
+      CAST(sum(CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END * n) AS BIGINT) AS sources FROM m WHERE l_linenumber <> 7 GROUP BY ALL""",
 )
 def scan_score_manifests(t: Tables) -> DataFrame:
+    """A manifest per supplier, line number and status that lists its items as sources; line 7 gives a list, not an object."""
     paired = F.col("l_linestatus") == "F"
     source = lambda k: F.struct(F.concat(F.lit("sha256:"), F.col("l_orderkey") + k).alias("run_manifest_sha256"))
+    made = t.lineitem.groupBy("l_suppkey", "l_linenumber", "l_linestatus").agg(
+        F.flatten(F.collect_list(F.when(paired, F.array(source(0), source(1))).otherwise(F.array(source(0))))).alias("sources")
+    )
     manifest = F.to_json(
         F.struct(
             F.when(paired, "pairwise").otherwise("pointwise").alias("task"),
             F.struct(F.concat(F.lit("judge-"), (F.col("l_suppkey") % 2).cast("string")).alias("judge_id")).alias("judge"),
-            F.when(paired, F.array(source(0), source(1))).otherwise(F.array(source(0))).alias("source_runs"),
+            F.col("sources").alias("source_runs"),
         )
     )
-    value = F.when(F.col("l_linenumber") == 7, '["not an object"]').otherwise(manifest)
-    parsed = S.parse_score_manifests(t.lineitem.select(F.col("l_orderkey").alias("path"), value.alias("value")))
+    line = F.when(F.col("l_linenumber") == 7, '["not an object"]').otherwise(manifest)
+    parsed = S.scan_score_manifests(t.spark, [document_files(made.select(line.alias("line")), "score_manifests")], "*.txt")
     return parsed.groupBy("task", F.col("judge.judge_id").alias("judge_id")).agg(
         F.count(F.lit(1)).alias("artifacts"), F.sum(F.size("source_runs").cast("bigint")).alias("sources")
     )
@@ -664,39 +666,47 @@ def scan_parquet_checked(t: Tables) -> DataFrame:
 
 @query(
     "scan_prices",
-    """SELECT p_type, count(*) AS documents, count(*) FILTER (p_partkey % 5 > 2) AS valid, CAST(sum(CASE WHEN p_partkey % 5 > 2 THEN p_size ELSE 0 END) AS BIGINT) AS input
+    """SELECT CASE WHEN p_partkey % 5 > 2 THEN CAST(p_size AS DOUBLE) END AS input, count(*) AS documents, count(*) FILTER (p_partkey % 5 > 2) AS valid
     FROM part GROUP BY ALL""",
 )
 def scan_prices(t: Tables) -> DataFrame:
-    """Price documents made from the parts; some lack a price or hold no number."""
+    """A price document per part; some lack a price, hold no number or a negative one."""
     kind = F.col("p_partkey") % 5
     text = F.concat(
         F.lit('{"input": '), F.col("p_size").cast("string"),
         F.when(kind == 0, "").when(kind == 1, ', "cached_input": true').otherwise(', "cached_input": 0.5'),
         F.lit(', "output": '), F.when(kind == 2, "-1").otherwise("10"), F.lit("}"),
     )
-    prices = S.parse_prices(t.part.select("p_type", text.alias("value")))
-    return prices.groupBy("p_type").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.count_if("valid").alias("valid"),
-        F.sum(F.when(F.col("valid"), F.col("input")).otherwise(0)).cast("bigint").alias("input"),
+    prices = S.scan_prices(t.spark, [document_files(t.part.select(text.alias("line")), "prices")], "*.txt")
+    return prices.groupBy(F.when(F.col("valid"), F.col("input")).alias("input")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if("valid").alias("valid")
     )
 
 
 @query(
     "verify_source_hashes",
-    "SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'mismatched' WHEN doc_id % 9 = 1 THEN 'unpinned' ELSE 'matched' END AS status, count(*) AS n FROM documents GROUP BY ALL",
+    """WITH f AS (SELECT doc_id // 20 AS file, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY 1)
+    SELECT CAST(file AS BIGINT) AS file, CASE WHEN file % 9 = 0 THEN 'mismatched' WHEN file % 9 = 1 THEN 'unpinned' ELSE 'matched' END AS status, digest AS observed FROM f
+    UNION ALL SELECT CAST(-1 - n_regionkey * 100 - n_nationkey AS BIGINT), 'absent', NULL FROM nation""",
 )
 def verify_source_hashes(t: Tables) -> DataFrame:
-    key = F.concat_ws("/", "lang", "doc_id").alias("path")
-    contents = t.documents.select(key, F.col("text").cast("binary").alias("content"))
-    kind = F.col("doc_id") % 9
-    pinned = t.documents.filter(kind != 1).select(
-        key, F.when(kind == 0, F.sha2(F.lit("other"), 256)).otherwise(X.sha256_hex(F.col("text"))).alias("expected")
-    )
-    return S.verify_hashes(contents, pinned).groupBy(F.split("path", "/")[0].alias("lang"), "status").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Text files of the documents against digests pinned from the table; some are pinned wrongly, not at all, or are no file."""
+    texts = t.documents.select(F.floor(F.col("doc_id") / 20).alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    folder = text_files(texts, "sources", "doc_id")
+    # a task of the writer holds whole keys, so each key has one file, which is pinned by its folder
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n")
+    kind = F.col("path") % 9
+    pinned = texts.groupBy("path").agg(X.sha256_hex(F.concat(whole, F.lit("\n"))).alias("digest")).filter(kind != 1).select(
+        "path", F.when(kind == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("digest")).alias("expected")
+    )
+    gone = t.nation.select((-1 - F.col("n_regionkey") * 100 - F.col("n_nationkey")).cast("bigint").alias("path"), F.lit("0").alias("expected"))
+    names = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder).select(
+        file_key(), F.regexp_extract(F.col("_metadata.file_path"), "(path=[^/]*/[^/]*)$", 1).alias("name")
+    )
+    listed = pinned.unionByName(gone).join(names, "path", "left")
+    named = listed.select(F.coalesce("name", F.concat(F.lit("path="), F.col("path").cast("string"))).alias("path"), "expected")
+    checked = S.verify_source_hashes(t.spark, folder, named, "*.txt")
+    return checked.select(F.regexp_extract("path", "path=(-?[0-9]+)", 1).cast("bigint").alias("file"), "status", "observed")
 
 
 # --- sinks ---------------------------------------------------------------------------------

@@ -12,6 +12,8 @@ from pairlens.operators import transport as N
 from pairlens.plans.pairwise_queries import rounded
 from pairlens.plans.quality_queries import UNITS_SQL
 from pairlens.plans.registry import Tables, query, r6
+from pairlens.plans.views import file_key, text_files
+from pairlens.sources import files as S
 
 SEED = 20260908
 PROMPT_COLUMNS = [
@@ -384,10 +386,14 @@ def transport_lines(t: Tables) -> DataFrame:
 
 @query(
     "scan_attempt_events",
-    f"WITH {LINE_SQL} SELECT type, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM lines WHERE pos % 10 <> 9 GROUP BY ALL",
+    f"""WITH {LINE_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) AS place FROM lines)
+    SELECT path, type, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM placed WHERE pos % 10 <> 9 GROUP BY ALL""",
 )
 def scan_attempt_events(t: Tables) -> DataFrame:
-    return N.parse_lines(transport_lines(t)).groupBy("type").agg(
+    """One attempt file per run, its events parsed behind the scan of its lines."""
+    rows = transport_lines(t).select("path", "pos", F.col("value").alias("line"))
+    lines = S.scan_attempt_events(t.spark, [text_files(rows, "attempts", "pos")], "*.txt")
+    return N.parse_lines(lines.select(file_key(), "pos", "value")).groupBy("path", "type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places")
     )
 

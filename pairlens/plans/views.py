@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import pairs as P
 from pairlens.plans.registry import Tables
+from pairlens.session import scratch_path, spread
 
 # The locked contrasts of the report, in order
 CONTRASTS = (("A4", "A1"), ("A4", "A2"), ("A4", "A3"))
@@ -212,3 +213,26 @@ def draw_ctes(seed: int, resamples: int, keys: str) -> str:
 slots AS (SELECT {keys}, b, n, (rkey + i * 69069) % 2147483647 AS y0 FROM placed, reps),
 draws AS (SELECT {keys}, b, {mix_sql('y2', m[2])} % n AS pick FROM (SELECT *, {mix_sql('y1', m[1])} AS y2
   FROM (SELECT *, {mix_sql('y0', m[0])} AS y1 FROM slots)))"""
+
+
+# --- files made from the tables ---------------------------------------------------------
+
+
+def text_files(rows: DataFrame, name: str, *order: str) -> str:
+    """Folder of text files, one folder ``path=<key>`` per key of the rows (path, line); the lines follow ``order``."""
+    folder = scratch_path(rows.sparkSession, name)
+    placed = spread(rows, "path").sortWithinPartitions("path", *order).select("path", "line")
+    placed.write.partitionBy("path").text(folder)
+    return folder
+
+
+def document_files(rows: DataFrame, name: str) -> str:
+    """Folder with a text file for every row (line)."""
+    folder = scratch_path(rows.sparkSession, name)
+    spread(rows.select("line"), "line").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def file_key() -> Column:
+    """The key that text_files put into the folder name."""
+    return F.regexp_extract("path", "path=([0-9]+)", 1).cast("bigint").alias("path")

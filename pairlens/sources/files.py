@@ -161,8 +161,8 @@ def parse_runs(files: DataFrame, default_platform: str = "codex") -> DataFrame:
     )
 
 
-def scan_runs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    files = scan_text(spark, roots, "run-manifest.json")
+def scan_runs(spark: SparkSession, roots: Sequence[str], name: str = "run-manifest.json") -> DataFrame:
+    files = scan_text(spark, roots, name)
     return parse_runs(files.withColumn("path", folder(F.col("path"))))
 
 
@@ -176,8 +176,8 @@ def parse_score_manifests(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_score_manifests(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    files = scan_text(spark, roots, "scores-manifest.json")
+def scan_score_manifests(spark: SparkSession, roots: Sequence[str], name: str = "scores-manifest.json") -> DataFrame:
+    files = scan_text(spark, roots, name)
     return parse_score_manifests(files.withColumn("path", folder(F.col("path"))))
 
 
@@ -341,6 +341,11 @@ def parse_prices(files: DataFrame) -> DataFrame:
     return rows.withColumn("valid", valid)
 
 
+def scan_prices(spark: SparkSession, roots: Sequence[str], name: str = "prices.json") -> DataFrame:
+    """Price documents below the roots, one a file: (root, path, prices, valid)."""
+    return parse_prices(scan_text(spark, roots, name))
+
+
 def verify_hashes(contents: DataFrame, pinned: DataFrame, key: str = "path") -> DataFrame:
     """Content digest beside the pinned one: matched, mismatched, unpinned or absent."""
     seen = contents.select(key, F.sha2(F.col("content").cast("binary"), 256).alias("observed"))
@@ -353,13 +358,14 @@ def verify_hashes(contents: DataFrame, pinned: DataFrame, key: str = "path") ->
     return seen.join(pinned, key, "full").withColumn("status", status)
 
 
-def verify_source_hashes(spark: SparkSession, path: str, pinned: DataFrame) -> DataFrame:
-    """The same for files below a folder, by their path relative to it."""
+def verify_source_hashes(spark: SparkSession, path: str, pinned: DataFrame, name: str = "*") -> DataFrame:
+    """The same for files of a name below a folder, by their path relative to it."""
     below = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/"
     relative = F.substring_index(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), below, -1)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", name)
         .load(path)
         .select(relative.alias("path"), "content")
     )

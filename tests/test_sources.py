@@ -258,3 +258,41 @@ def test_retrieval_marker_depth_and_exclusions(spark):
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in lines.items()], "k string, value string")
     got = {r.k: r.marker for r in N.retrieval_flags(df, ["k"]).collect()}
     assert got == {"direct": "web_search", "deep": "Web-Fetch", "tool": "browser", "command": "CURL"}
+
+
+def test_retrieval_marker_order_and_odd_lines(spark):
+    nested = {"type": "web_fetch"}
+    for _ in range(400):
+        nested = {"data": [nested]}
+    lines = {
+        "very deep": nested,
+        "item before payload": {"payload": {"type": "ssh"}, "item": [{"type": "x"}, {"data": {"type": "nc"}}]},
+        "outer before inner": {"type": "tool_call", "method": "wget", "item": {"type": "curl"}},
+        "later field": {"type": 5, "event": "quiet", "event_type": "Browser Call"},
+        "error by any case": {"Event_Type": "Turn-Failed", "item": {"type": "web_search"}},
+        "error inside": {"type": "x", "data": [{"event": "error", "item": {"type": "ssh"}}, {"type": "socat"}]},
+        "text like json": {"type": "x", "item": json.dumps({"type": "web_search"})},
+        "command as list": {"type": "command_execution", "command": ["curl"], "cmd": "git  clone x"},
+        "tool name of another kind": {"type": "x", "tool": "browser"},
+        "word inside": {"type": "command_execution", "command": "curls fetcher"},
+        "list line": [{"type": "web_search"}],
+    }
+    rows = [(k, 1, json.dumps(v)) for k, v in lines.items()] + [("null", 1, None), ("broken", 1, "{"), ("empty", 1, "")]
+    df = spark.createDataFrame(rows + rows[:1], "k string, marker_no int, _text string").repartition(3)
+    got = sorted((r.k, r.marker) for r in N.retrieval_flags(df, ["k", "marker_no"], "_text").collect())
+    assert got == sorted([
+        ("very deep", "web_fetch"), ("very deep", "web_fetch"), ("item before payload", "nc"), ("outer before inner", "wget"),
+        ("later field", "Browser Call"), ("error inside", "socat"), ("command as list", "git  clone"),
+    ])
+
+
+def test_scanned_prices_and_hashes(spark, tmp_path):
+    write(tmp_path / "a/prices.json", json.dumps({"input": 1, "cached_input": 0, "output": 2.5}))
+    write(tmp_path / "b/prices.json", json.dumps({"input": 1, "output": -1, "cached_input": 0}))
+    write(tmp_path / "c/prices.json", "{broken")
+    write(tmp_path / "c/other.json", json.dumps({"input": 1, "cached_input": 0, "output": 2}))
+    found = {r.path.split("/")[-2]: (r.valid, r.output) for r in S.scan_prices(spark, [str(tmp_path)]).collect()}
+    assert found == {"a": (True, 2.5), "b": (False, -1.0), "c": (False, None)}
+    pinned = spark.createDataFrame([("a/prices.json", "0"), ("gone", "0")], "path string, expected string")
+    status = {r.path: r.status for r in S.verify_source_hashes(spark, str(tmp_path), pinned, "prices.json").collect()}
+    assert status == {"a/prices.json": "mismatched", "b/prices.json": "unpinned", "c/prices.json": "unpinned", "gone": "absent"}
