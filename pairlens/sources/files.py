@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlens.functions.ordering import previous_value, running_count
+from pairlens.functions.rows import once
 from pairlens.functions.text import LINE_BREAK, sha256_hex
+from pairlens.session import written
 
 RUN_SCHEMA = (
     "inputs STRUCT<benchmark_name: STRING, condition_id: STRING, prompt_id: STRING, platform: STRING, "
@@ -93,18 +96,22 @@ def scan_lines(spark: SparkSession, roots: Sequence[str], name: str) -> DataFram
         F.col("_metadata.file_block_start").alias("_start"),
         F.explode(F.split("value", LINE_BREAK)).alias("line"),
     )
+    return _with_root(_placed(lines, F.trim("line") != ""), roots)
+
+
+def _placed(lines: DataFrame, kept: Column) -> DataFrame:
+    """(path, pos, bucket, line) of the kept lines from lines in reading order with the start of their stretch."""
     lines = lines.withColumn("_id", F.monotonically_increasing_id())
     stretches = lines.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("path").orderBy("_start")) - F.col("_n")
     stretches = stretches.select("path", "_start", "_first", before.alias("_before"))
     place = F.col("_id") - F.col("_first") + F.col("_before")
-    placed = lines.filter(F.trim("line") != "").join(stretches, ["path", "_start"]).select(
+    return lines.filter(kept).join(stretches, ["path", "_start"]).select(
         "path",
         (place + 1).alias("pos"),
         F.floor(place / BLOCK_LINES).cast("int").alias("bucket"),
         "line",
     )
-    return _with_root(placed, roots)
 
 
 def folder(path: Column) -> Column:
@@ -303,27 +310,96 @@ def scan_parquet_checked(spark: SparkSession, path: str, columns: Sequence[str])
     return table.select(*[F.col(f"`{c}`") for c in columns])
 
 
+OUTSIDE, INSIDE, CLOSED = 0, 1, 2
+CSV_FORM = {"escape": '"', "multiLine": "true"}
+
+
+def _ends_inside(line: Column, inside: bool) -> Column:
+    """1 if a quoted field is open behind the line, entered inside a quoted field or at the start of a record.
+
+    The line is cut at its quotes. A quote opens a field only where a field starts, and a quote behind one that
+    closed a field opens it again; other quotes are text.
+    """
+    parts = F.split(line, '"')
+
+    def behind(seen: Column, part: Column) -> Column:
+        state = seen["state"]
+        after = (
+            F.when(state == INSIDE, CLOSED)
+            .when(state == CLOSED, F.when((seen["before"] == "") | seen["before"].endswith(","), INSIDE).otherwise(OUTSIDE))
+            .otherwise(F.when(seen["before"].endswith(",") | (seen["first"] & (seen["before"] == "")), INSIDE).otherwise(OUTSIDE))
+        )
+        return F.struct(after.alias("state"), part.alias("before"), F.lit(False).alias("first"))
+
+    start = F.struct(
+        F.lit(INSIDE if inside else OUTSIDE).alias("state"), parts[0].alias("before"), F.lit(True).alias("first")
+    )
+    ended = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, behind, lambda seen: (seen["state"] == INSIDE).cast("int"))
+    return F.when(F.contains(line, F.lit('"')), ended).otherwise(int(inside))
+
+
+def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Texts of the records of CSV files as (path, pos, head, text), read in splits: the line a record starts on, and that of the file's first.
+
+    Whether a line starts inside a quoted field depends on all lines before it. Every line either keeps that state,
+    flips it, or sets it whatever it was; so the state is what the last setting line left, flipped once by each
+    flipping line since, and running values over blocks of lines give it. Lines that are a record of their own stay
+    where they are, only those of longer records are grouped. Blank lines between records are dropped.
+    """
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line")
+    )
+    place = (["path"], ["bucket"], ["pos"])
+    lines = _placed(lines, F.lit(True)).withColumn("line", F.when(F.col("pos") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    # read by several running values below, so it is computed and kept once
+    ends = _ends_inside(F.col("line"), False) + 2 * _ends_inside(F.col("line"), True)
+    lines = written(once(lines, "_ends", ends), "csv_lines")
+    empty = F.col("line").isin("", "\r")
+    # nothing is open before the first line that is not blank
+    heads = lines.filter(~empty).groupBy("path").agg(F.min("pos").alias("head"))
+    flips, sets = F.col("_ends") == 1, F.col("_ends").isin(0, 3)
+    lines = running_count(lines, *place, flips, "_flips")
+    left = F.when(sets, (F.when(F.col("_ends") == 3, 1).otherwise(0) + F.col("_flips")) % 2)
+    lines = previous_value(lines, *place, left, "_left")
+    inside = ((F.coalesce("_left", F.lit(0)) + F.col("_flips") - flips.cast("int")) % 2).cast("int")
+    after = F.when(F.col("_inside") == 1, F.floor(F.col("_ends") / 2)).otherwise(F.col("_ends") % 2)
+    lines = lines.withColumn("_inside", inside).withColumn("_open", after == 1)
+    blank = (F.col("_inside") == 0) & empty
+    alone = (F.col("_inside") == 0) & ~F.col("_open")
+    single = lines.filter(alone & ~blank).select("path", "pos", "line")
+    # lines of longer records follow each other: the record's start is the last one at or before the line
+    started = F.when(F.col("_inside") == 0, F.col("pos"))
+    several = previous_value(lines.filter(~alone).select("path", "bucket", "pos", "line", "_inside"), *place, started, "_begun")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    joined = several.groupBy("path", F.coalesce(started, "_begun").alias("_record")).agg(
+        F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("line")
+    )
+    records = single.unionByName(joined.withColumnRenamed("_record", "pos"))
+    return records.join(heads, "path").select("path", "pos", "head", F.regexp_replace("line", "\r$", "").alias("text"))
+
+
 def scan_csv_checked(
     spark: SparkSession, paths: Sequence[str], schema: str, required: Sequence[str]
 ) -> DataFrame:
-    """CSV with a header and a fixed schema; the header must name the required columns."""
-    header = spark.read.option("header", True).csv(list(paths)).columns
+    """CSV with a header and a fixed schema; the header must name the required columns.
+
+    Quotes inside a quoted field are doubled; such a field may hold line breaks. Files are read in splits. A value
+    that does not fit its type is null. A file whose first record is another header is an error when it is read.
+    """
+    header = spark.read.options(**CSV_FORM).option("header", True).csv(list(paths)).columns
     missing = [c for c in required if c not in header]
     if missing:
         raise ValueError("missing columns: " + ", ".join(missing))
-    # every file's header is held against these names; one with another order of columns is an error, not misread
-    named = ", ".join(f"`{c}` STRING" for c in header)
-    everything = (
-        spark.read.schema(named)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("multiLine", True)
-        .csv(list(paths))
-    )
+    named = ", ".join(f"`c{i}` STRING" for i in range(len(header)))
+    records = once(csv_records(spark, paths), "_r", F.from_csv("text", named, CSV_FORM))
+    names = F.array(*[F.col(f"_r.c{i}") for i in range(len(header))])
+    wrong = F.raise_error(F.concat(F.lit("the header of this file differs: "), "path")).cast("boolean")
+    is_row = F.when(F.col("pos") > F.col("head"), True).when(names == F.array(*map(F.lit, header)), False).otherwise(wrong)
+    rows = records.filter(is_row)
     wanted = spark.createDataFrame([], schema).schema
-    return everything.select(
+    return rows.select(
         *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+            (F.col(f"_r.c{header.index(f.name)}").try_cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in wanted.fields
         ]
     )

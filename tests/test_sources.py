@@ -296,3 +296,42 @@ def test_scanned_prices_and_hashes(spark, tmp_path):
     pinned = spark.createDataFrame([("a/prices.json", "0"), ("gone", "0")], "path string, expected string")
     status = {r.path: r.status for r in S.verify_source_hashes(spark, str(tmp_path), pinned, "prices.json").collect()}
     assert status == {"a/prices.json": "mismatched", "b/prices.json": "unpinned", "c/prices.json": "unpinned", "gone": "absent"}
+
+
+def test_csv_records_in_splits_equal_a_plain_reader(spark, tmp_path):
+    """Quoted line breaks, doubled and stray quotes, over many small splits and small blocks of lines."""
+    import csv
+    import io
+    import random
+
+    random.seed(5)
+    bits = ["a", "b c", "\n", '"', '""', ",", "\r\n", "x" * 40, "", "\n\n", '",', ',"', "é", "\\"]
+    for number in range(3):
+        rows = [("id", "said", "n")] + [(f"{number}-{i}", "".join(random.choices(bits, k=random.randint(0, 9))), str(i)) for i in range(400)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\r\n" if number == 1 else "\n").writerows(rows)
+        text = out.getvalue()
+        if number == 2:
+            text = "\ufeff" + text + '\n\n2-x,5" tall and "wide",7\n2-y,"open\nbut closed" tail,8\n2-z,""'
+        with open(tmp_path / f"{number}.csv", "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+    want = {}
+    for number in range(3):
+        with open(tmp_path / f"{number}.csv", encoding="utf-8-sig", newline="") as file:
+            read = [row for row in csv.reader(file) if row]
+        want.update({row[0]: row[1] for row in read[1:]})
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    blocks, S.BLOCK_LINES = S.BLOCK_LINES, 16
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        records = S.scan_csv_checked(spark, [str(tmp_path)], "id STRING, said STRING, n INT", ["id", "said"])
+        got = records.collect()
+        texts = {r.path[-5:] for r in S.csv_records(spark, [str(tmp_path)]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        S.BLOCK_LINES = blocks
+    assert texts == {"0.csv", "1.csv", "2.csv"} and len(got) == len(want) == 1203
+    odd = {"2-x", "2-y", "2-z"}
+    assert {r.id: r.said or "" for r in got if r.id not in odd} == {k: v for k, v in want.items() if k not in odd}
+    assert {r.id for r in got} == set(want)
+    assert all(r.n == int(r.id.split("-")[1]) for r in got if r.id not in odd)
