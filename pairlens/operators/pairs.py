@@ -304,6 +304,50 @@ def holm(
     return cells.withColumn("_step", step).withColumn(out, F.max("_step").over(running)).drop("_step")
 
 
+# Fixed value: independent run sets of the confirmatory family
+FAMILY_RUNS = 3
+
+
+def family_members(
+    run_sets: Sequence, contrasts: Sequence[tuple[str, str]], locked: Sequence[tuple[str, str]], current=None
+) -> list[tuple]:
+    """Members of the confirmatory family in order, as (run set, left, right, label).
+
+    The family is named before any result is seen: exactly FAMILY_RUNS different run sets, the current one among
+    them, and the locked contrasts in their order. Anything else is an error.
+    """
+    if len(set(run_sets)) != len(run_sets):
+        raise ValueError("a run set is in the family twice")
+    if len(run_sets) != FAMILY_RUNS:
+        raise ValueError(f"the family needs exactly {FAMILY_RUNS} run sets, not {len(run_sets)}")
+    if current is not None and current not in run_sets:
+        raise ValueError("the current run set is not in the family")
+    if list(map(tuple, contrasts)) != list(map(tuple, locked)):
+        raise ValueError("the contrasts of the family are not the locked ones")
+    return [
+        (run_set, left, right, f"run-{place}:{left}:{right}")
+        for place, run_set in enumerate(run_sets, start=1)
+        for left, right in contrasts
+    ]
+
+
+def holm_over_runs(cells: DataFrame, members: Sequence[tuple], family: Sequence[str], run_set: str = "run_set", p: str = "p_raw") -> DataFrame:
+    """Holm adjustment over the members of each family, which lie in several run sets.
+
+    Cells that are no member are left out and count for nothing. ``member`` is the label, ``family_size`` the members
+    that have a cell, and ``complete`` tells that all of them do.
+    """
+    kind = cells.schema[run_set].dataType.simpleString()
+    left, right = CONTRAST
+    table = cells.sparkSession.createDataFrame(
+        list(members), f"`{run_set}` {kind}, {left} string, {right} string, member string"
+    )
+    named = cells.join(F.broadcast(table), [run_set, left, right])
+    adjusted = holm(named, family, p, order=(run_set, left, right))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*family))
+    return adjusted.withColumn("family_size", size).withColumn("complete", F.col("family_size") == len(members))
+
+
 def pairwise_report(verdicts: DataFrame) -> DataFrame:
     """Both estimands with statistics and family-wise adjusted p-values."""
     cells = both_estimands(verdicts).select("*", *record_columns())

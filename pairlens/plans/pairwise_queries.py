@@ -367,16 +367,14 @@ fam AS (SELECT * EXCLUDE (rk, m), m AS family_size, max(least(1.0, (m - rk + 1)
 def holm_family(t: Tables) -> DataFrame:
     """One Holm family over all replications and contrasts of a benchmark."""
     cells = run_cells(t).withColumn("p_raw", S.sign_test_p(F.col("wins"), F.col("losses")))
-    family = ["benchmark", "platform"]
-    adjusted = P.holm(cells, family, order=("run_set", "left_condition", "right_condition"))
-    size = adjusted.groupBy(*family).agg(F.count(F.lit(1)).alias("family_size"))
-    return adjusted.join(size, family)
+    members = P.family_members((0, 1, 2), V.CONTRASTS, V.CONTRASTS)
+    return P.holm_over_runs(cells, members, ["benchmark", "platform"])
 
 
 @query(
     "holm_family_runs",
-    f"""WITH {FAMILY_SQL} SELECT run_set, {CELL}, wins, losses, ties, family_size,
-      {r6('p_raw')} AS p_raw, {r6('p_holm')} AS p_holm FROM fam""",
+    f"""WITH {FAMILY_SQL} SELECT run_set, {CELL}, wins, losses, ties, family_size, family_size = {3 * len(V.CONTRASTS)} AS complete,
+      'run-' || (run_set + 1) || ':' || left_condition || ':' || right_condition AS member, {r6('p_raw')} AS p_raw, {r6('p_holm')} AS p_holm FROM fam""",
 )
 def holm_family_runs(t: Tables) -> DataFrame:
     return rounded(holm_family(t).drop("disagreements", "prompts"), "p_raw", "p_holm")

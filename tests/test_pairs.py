@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import canon as C
@@ -178,3 +179,32 @@ def test_covariate_fit_recovers_a_linear_rule(spark):
     fit = X.covariate_adjusted_fit(spark.createDataFrame(rows, "y double, c string, x double"), "y", ["c"], ["x"])
     got = {r.term: round(r.coefficient, 6) for r in fit.collect()}
     assert got == {"intercept": 2.0, "c=a": 3.0, "x": 0.5}
+
+
+def test_family_over_run_sets(spark):
+    locked = [("A4", "A1"), ("A4", "A2")]
+    wrong = [
+        (("r1", "r2"), locked, None), (("r1", "r2", "r2"), locked, None), (("r1", "r2", "r3", "r4"), locked, None),
+        (("r1", "r2", "r3"), locked[::-1], None), (("r1", "r2", "r3"), locked[:1], None), (("r1", "r2", "r3"), locked, "r9"),
+    ]
+    for runs, contrasts, current in wrong:
+        with pytest.raises(ValueError):
+            P.family_members(runs, contrasts, locked, current)
+    members = P.family_members(("r1", "r2", "r3"), locked, locked, "r2")
+    assert [m[3] for m in members] == [f"run-{i}:A4:{c}" for i in (1, 2, 3) for c in ("A1", "A2")]
+    # a whole family, one that lacks a cell, and a cell of a run set outside
+    rows = [("full", r, "A4", c, 0.01 * (1 + 2 * i + j)) for i, r in enumerate(("r1", "r2", "r3")) for j, c in enumerate(("A1", "A2"))]
+    rows += [("part", "r1", "A4", "A1", 0.02), ("part", "r3", "A4", "A2", 0.5), ("part", "r9", "A4", "A1", 0.001)]
+    cells = spark.createDataFrame(rows, "benchmark string, run_set string, left_condition string, right_condition string, p_raw double")
+    got = {(r.benchmark, r.member): r for r in P.holm_over_runs(cells, members, ["benchmark"]).collect()}
+    assert len(got) == 8
+    full = [got["full", m[3]] for m in members]
+    assert all(r.complete and r.family_size == 6 for r in full)
+    running, want = 0.0, []
+    for place, r in enumerate(full):
+        running = max(running, min(1.0, (6 - place) * r.p_raw))
+        want.append(running)
+    assert [r.p_holm for r in full] == pytest.approx(want)
+    part = {m: got["part", m] for m in ("run-1:A4:A1", "run-3:A4:A2")}
+    assert not any(r.complete for r in part.values()) and {r.family_size for r in part.values()} == {2}
+    assert part["run-1:A4:A1"].p_holm == pytest.approx(0.04) and part["run-3:A4:A2"].p_holm == pytest.approx(0.5)
