@@ -250,3 +250,19 @@ def length_strata(pairs: DataFrame, keys: Sequence[str], minimum: int) -> DataFr
     ).withColumn("outcome", outcome_of(F.lit("left")))
     cells = summarize(rows, [*keys, "stratum"])
     return cells.filter((F.col("stratum") == "raw") | (F.col("pairs") >= minimum))
+
+
+def score_strata(
+    scores: DataFrame, keys: Sequence[str], values: Sequence[str], length: Column, requested: Column, minimum: int
+) -> DataFrame:
+    """Mean scores raw and by stratum of the output length against the requested one; small strata are left out.
+
+    The stratum is the frozen bin of the larger over the smaller of both lengths. Scores without two positive lengths
+    have no stratum and count in the raw means alone.
+    """
+    known = (length > 0) & (requested > 0)
+    ratio = F.when(known, F.greatest(length, requested) / F.least(length, requested).cast("double"))
+    cut = F.array_compact(F.array(F.lit("raw"), ratio_bin(ratio, LENGTH_BOUNDS, 1.0)))
+    rows = scores.select(*keys, *values, F.explode(cut).alias("stratum"))
+    cells = rows.groupBy(*keys, "stratum").agg(F.count(F.lit(1)).alias("scores"), *[F.avg(v).alias(v) for v in values])
+    return cells.filter((F.col("stratum") == "raw") | (F.col("scores") >= minimum))

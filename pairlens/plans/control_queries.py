@@ -10,9 +10,11 @@ from pairlens.functions.stats import round6, sign_test_p
 from pairlens.operators import control as L
 from pairlens.operators import models as M
 from pairlens.operators import pairs as P
+from pairlens.operators import quality as Q
 from pairlens.operators import resampling as B
 from pairlens.plans import views as V
 from pairlens.plans.pairwise_queries import rounded
+from pairlens.plans.quality_queries import DIM, POINT_SQL, pointwise
 from pairlens.plans.registry import Tables, query, r6
 from pairlens.session import written
 
@@ -418,3 +420,19 @@ STRATA_MIN = 20
 def length_stratified(t: Tables) -> DataFrame:
     report = L.length_strata(length_pairs(t), P.CONTRAST, STRATA_MIN).drop("equal_length_pairs")
     return rounded(report, *STATS)
+
+
+@query(
+    "length_stratified_scores",
+    f"""WITH {POINT_SQL}, l AS (SELECT *, CAST(l_q AS DOUBLE) AS len, CASE WHEN o3 % 4 <> 0 THEN 10 + o3 % 30 END AS req FROM (SELECT *, instruction_fulfillment AS l_q FROM valid)),
+    b AS (SELECT *, CASE WHEN len > 0 AND req > 0 THEN greatest(len, req) / CAST(least(len, req) AS DOUBLE) END AS ratio FROM l),
+    src AS (SELECT *, 'raw' AS stratum FROM b UNION ALL SELECT *, {bin_sql('ratio', L.LENGTH_BOUNDS, 1.0)} FROM b WHERE ratio IS NOT NULL)
+    SELECT benchmark, condition, stratum, count(*) AS scores, {', '.join(f"{r6(f'avg({d})')} AS {d}" for d in DIM)} FROM src
+    GROUP BY benchmark, condition, stratum HAVING stratum = 'raw' OR count(*) >= {STRATA_MIN}""",
+)
+def length_stratified_scores(t: Tables) -> DataFrame:
+    """Pointwise scores by output length against a requested one that a quarter of the records lack."""
+    requested = F.when(F.col("o3") % 4 != 0, 10 + F.col("o3") % 30)
+    valid = Q.pointwise_valid(pointwise(t))
+    report = L.score_strata(valid, ["benchmark", "condition"], DIM, F.col("instruction_fulfillment"), requested, STRATA_MIN)
+    return rounded(report, *DIM)

@@ -236,3 +236,10 @@ def test_cluster_bootstrap_counts_its_replicates(spark):
     assert (b.status, b.failed, b.unsettled, b.decided_pairs, b.prompts) == ("ok", 0, 0, 200, 200)
     assert b.slope_low < b.slope < b.slope_high and b.equal_length_preference_low < b.equal_length_preference < b.equal_length_preference_high
     assert report["C"].failed > 0
+
+
+def test_score_strata(spark):
+    rows = [("x", 1.0, 100, 100), ("x", 3.0, 100, 104), ("x", 5.0, 100, 105), ("x", 7.0, 250, 100), ("x", 9.0, 100, 250), ("x", 11.0, 0, 5), ("x", 13.0, 5, None), ("y", 2.0, None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, n int, want int")
+    got = {(r.k, r.stratum): (r.scores, r.v) for r in L.score_strata(df, ["k"], ["v"], F.col("n"), F.col("want"), 2).collect()}
+    assert got == {("x", "raw"): (7, 7.0), ("x", "1.00-1.05"): (2, 2.0), ("x", "2.00+"): (2, 8.0), ("y", "raw"): (1, 2.0)}
