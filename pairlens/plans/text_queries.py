@@ -12,7 +12,7 @@ from pairlens.operators import transport as N
 from pairlens.plans.pairwise_queries import rounded
 from pairlens.plans.quality_queries import UNITS_SQL
 from pairlens.plans.registry import Tables, query, r6
-from pairlens.plans.views import file_key, text_files
+from pairlens.plans.views import file_key, text_pack
 from pairlens.sources import files as S
 
 SEED = 20260908
@@ -392,7 +392,7 @@ def transport_lines(t: Tables) -> DataFrame:
 def scan_attempt_events(t: Tables) -> DataFrame:
     """One attempt file per run, its events parsed behind the scan of its lines."""
     rows = transport_lines(t).select("path", "pos", F.col("value").alias("line"))
-    lines = S.scan_attempt_events(t.spark, [text_files(rows, "attempts", "pos")], "*.txt")
+    lines = S.scan_attempt_events(t.spark, [], "*.txt", [text_pack(rows, "attempts", "pos")])
     return N.parse_lines(lines.select(file_key(), "pos", "value")).groupBy("path", "type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places")
     )

@@ -3,10 +3,16 @@
 Each reader has two parts: a file scan that yields text with its path, and a
 parser of such text as a DataFrame function, so the same parser serves tables
 that already hold the text.
+
+Scans read loose files below roots, and packs: Parquet folders that hold many
+small files as rows (path, value), as ``sinks.sink_pack`` writes them. A loose
+file costs a file creation, an entry of the driver's file index and an open;
+a packed one is a row, so millions of manifests are no more than a table.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections.abc import Sequence
 
@@ -69,34 +75,57 @@ def _with_root(files: DataFrame, roots: Sequence[str]) -> DataFrame:
     return files.select(root.alias("root"), *files.columns)
 
 
-def scan_text(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
-    """Whole files of one name below the roots, as (root, path, value): for documents that only make sense whole."""
-    files = spark.read.text(
-        _outer(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=name
-    ).select(F.col("_metadata.file_path").alias("path"), "value")
+def _packed(spark: SparkSession, packs: Sequence[str], name: str) -> DataFrame:
+    """(path, value) of the packed files of one name."""
+    files = spark.read.schema("path STRING, value STRING").parquet(*packs)
+    return files.filter(F.substring_index("path", "/", -1).rlike("^" + fnmatch.translate(name)))
+
+
+def _both(loose: DataFrame | None, packed: DataFrame | None, roots: Sequence[str]) -> DataFrame:
+    """Loose and packed files (one of them may be left out) with their roots; packed ones outside the roots have none."""
+    if loose is None and packed is None:
+        raise ValueError("neither roots nor packs are given")
+    files = packed if loose is None else loose if packed is None else loose.unionByName(packed)
     return _with_root(files, roots)
 
 
-def scan_paths(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
-    """(root, path) of the files, also of empty ones, from the file index that a read makes; no content is read."""
+def scan_text(spark: SparkSession, roots: Sequence[str], name: str, packs: Sequence[str] = ()) -> DataFrame:
+    """Whole files of one name below the roots or in packs, as (root, path, value): for documents that only make sense whole."""
+    loose = spark.read.text(_outer(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(
+        F.col("_metadata.file_path").alias("path"), "value"
+    ) if roots else None
+    return _both(loose, _packed(spark, packs, name) if packs else None, roots)
+
+
+def scan_paths(spark: SparkSession, roots: Sequence[str], name: str, packs: Sequence[str] = ()) -> DataFrame:
+    """(root, path) of the files, also of empty ones; loose ones come from the file index that a read makes, without content."""
+    loose = _loose_paths(spark, roots, name) if roots else None
+    return _both(loose, _packed(spark, packs, name).select("path") if packs else None, roots)
+
+
+def _loose_paths(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
     found = spark.read.text(_outer(roots), recursiveFileLookup=True, pathGlobFilter=name).inputFiles()
     # the index writes an empty authority where file metadata leaves it out
     plain = [(re.sub(r"^([A-Za-z0-9+.-]+):///", r"\1:/", path),) for path in found]
-    return _with_root(spark.createDataFrame(plain, "path string"), roots)
+    return spark.createDataFrame(plain, "path string")
 
 
-def scan_lines(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
-    """Non-blank lines of the files in order, as (root, path, pos, bucket, line), read in splits.
+def scan_lines(spark: SparkSession, roots: Sequence[str], name: str, packs: Sequence[str] = ()) -> DataFrame:
+    """Non-blank lines of the files in order, as (root, path, pos, bucket, line); loose files are read in splits.
 
-    A task reads one stretch of a file at a time. A line's place is its place in the stretch plus the lines of
+    A packed file is small and split where it is read. Of loose files, a task reads one stretch of a file at a time. A line's place is its place in the stretch plus the lines of
     all stretches before it, of which there is one small row each; so a file of any size is read by many tasks.
     """
-    lines = spark.read.text(_outer(roots), recursiveFileLookup=True, pathGlobFilter=name).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.explode(F.split("value", LINE_BREAK)).alias("line"),
-    )
-    return _with_root(_placed(lines, F.trim("line") != ""), roots)
+    loose = None
+    if roots:
+        lines = spark.read.text(_outer(roots), recursiveFileLookup=True, pathGlobFilter=name).select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.explode(F.split("value", LINE_BREAK)).alias("line"),
+        )
+        loose = _placed(lines, F.trim("line") != "")
+    packed = split_lines(_packed(spark, packs, name)).withColumn("pos", F.col("pos").cast("bigint")) if packs else None
+    return _both(loose, packed, roots)
 
 
 def _placed(lines: DataFrame, kept: Column) -> DataFrame:
@@ -168,8 +197,10 @@ def parse_runs(files: DataFrame, default_platform: str = "codex") -> DataFrame:
     )
 
 
-def scan_runs(spark: SparkSession, roots: Sequence[str], name: str = "run-manifest.json") -> DataFrame:
-    files = scan_text(spark, roots, name)
+def scan_runs(
+    spark: SparkSession, roots: Sequence[str], name: str = "run-manifest.json", packs: Sequence[str] = ()
+) -> DataFrame:
+    files = scan_text(spark, roots, name, packs)
     return parse_runs(files.withColumn("path", folder(F.col("path"))))
 
 
@@ -183,8 +214,10 @@ def parse_score_manifests(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_score_manifests(spark: SparkSession, roots: Sequence[str], name: str = "scores-manifest.json") -> DataFrame:
-    files = scan_text(spark, roots, name)
+def scan_score_manifests(
+    spark: SparkSession, roots: Sequence[str], name: str = "scores-manifest.json", packs: Sequence[str] = ()
+) -> DataFrame:
+    files = scan_text(spark, roots, name, packs)
     return parse_score_manifests(files.withColumn("path", folder(F.col("path"))))
 
 
@@ -210,8 +243,10 @@ def parse_score_records(files: DataFrame, strict: bool) -> DataFrame:
     return record_lines(split_lines(files), strict)
 
 
-def scan_score_records(spark: SparkSession, roots: Sequence[str], strict: bool, name: str = "scores.jsonl") -> DataFrame:
-    lines = scan_lines(spark, roots, name)
+def scan_score_records(
+    spark: SparkSession, roots: Sequence[str], strict: bool, name: str = "scores.jsonl", packs: Sequence[str] = ()
+) -> DataFrame:
+    lines = scan_lines(spark, roots, name, packs)
     return record_lines(lines.withColumn("path", folder(F.col("path"))), strict)
 
 
@@ -245,13 +280,17 @@ def parse_trace(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return trace_lines(files, split_lines(files))
 
 
-def scan_trace(spark: SparkSession, roots: Sequence[str], name: str = "process.jsonl") -> tuple[DataFrame, DataFrame]:
-    return trace_lines(scan_paths(spark, roots, name), scan_lines(spark, roots, name).drop("root"))
+def scan_trace(
+    spark: SparkSession, roots: Sequence[str], name: str = "process.jsonl", packs: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    return trace_lines(scan_paths(spark, roots, name, packs), scan_lines(spark, roots, name, packs).drop("root"))
 
 
-def scan_attempt_events(spark: SparkSession, roots: Sequence[str], name: str = "attempt-*.events.jsonl") -> DataFrame:
+def scan_attempt_events(
+    spark: SparkSession, roots: Sequence[str], name: str = "attempt-*.events.jsonl", packs: Sequence[str] = ()
+) -> DataFrame:
     """Lines of the attempt event files: run folder, file, line place and text."""
-    lines = scan_lines(spark, roots, name)
+    lines = scan_lines(spark, roots, name, packs)
     return lines.select(folder(F.col("path")).alias("path"), F.col("path").alias("file"), "pos", "bucket", F.col("line").alias("value"))
 
 
@@ -294,8 +333,10 @@ def parse_prompt_manifest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prompt_lines(files, split_lines(files))
 
 
-def scan_prompt_manifest(spark: SparkSession, roots: Sequence[str], name: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
-    return prompt_lines(scan_paths(spark, roots, name), scan_lines(spark, roots, name))
+def scan_prompt_manifest(
+    spark: SparkSession, roots: Sequence[str], name: str = "*.jsonl", packs: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    return prompt_lines(scan_paths(spark, roots, name, packs), scan_lines(spark, roots, name, packs))
 
 
 def scan_parquet_checked(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -417,9 +458,11 @@ def parse_prices(files: DataFrame) -> DataFrame:
     return rows.withColumn("valid", valid)
 
 
-def scan_prices(spark: SparkSession, roots: Sequence[str], name: str = "prices.json") -> DataFrame:
+def scan_prices(
+    spark: SparkSession, roots: Sequence[str], name: str = "prices.json", packs: Sequence[str] = ()
+) -> DataFrame:
     """Price documents below the roots, one a file: (root, path, prices, valid)."""
-    return parse_prices(scan_text(spark, roots, name))
+    return parse_prices(scan_text(spark, roots, name, packs))
 
 
 def verify_hashes(contents: DataFrame, pinned: DataFrame, key: str = "path") -> DataFrame:

@@ -16,6 +16,15 @@ def sink_report(report: DataFrame, path: str, form: str = "json") -> DataFrame:
     return ordered.sparkSession.read.schema(ordered.schema).format(form).load(path)
 
 
+def sink_pack(files: DataFrame, path: str) -> str:
+    """Write small text files (path, value) as rows of a pack, which the scans of ``files`` read; its folder.
+
+    A file is one row here; files too large for a row stay loose, where scans read their lines in splits.
+    """
+    files.select(F.col("path").cast("string"), F.col("value").cast("string")).write.mode("errorifexists").parquet(path)
+    return path
+
+
 def table_digest(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive digest of a table.
 

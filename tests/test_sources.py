@@ -335,3 +335,34 @@ def test_csv_records_in_splits_equal_a_plain_reader(spark, tmp_path):
     assert {r.id: r.said or "" for r in got if r.id not in odd} == {k: v for k, v in want.items() if k not in odd}
     assert {r.id for r in got} == set(want)
     assert all(r.n == int(r.id.split("-")[1]) for r in got if r.id not in odd)
+
+
+def test_packed_files_are_read_like_loose_ones(spark, tmp_path):
+    texts = {"a/process.jsonl": '\n{"event_type": "x"}\n\n{"event_type": "y"}\n', "b/process.jsonl": '{"event_type": "x"}\nnope', "c/process.jsonl": "\n \n", "d/process.jsonl.old": "{}"}
+    files = {**texts, "a/run-manifest.json": manifest("A1"), "b/run-manifest.json": "[", "a/prices.json": '{"input": 1, "cached_input": 0, "output": 2}', "b/prices.json": "{"}
+    for path, text in files.items():
+        write(tmp_path / "loose" / path, text)
+    rows = spark.createDataFrame([(f"pack:/{k}", v) for k, v in files.items()], "path string, value string")
+    pack = W.sink_pack(rows, str(tmp_path / "pack"))
+    loose = [str(tmp_path / "loose")]
+
+    def seen(df, *columns):
+        return sorted((r.path.rstrip("/").split("/")[-2:] if "." in r.path.split("/")[-1] else r.path.split("/")[-1:], *[r[c] for c in columns]) for r in df.collect())
+
+    for scan, columns in ((S.scan_runs, ["condition", "manifest_digest"]), (S.scan_prices, ["valid"])):
+        assert seen(scan(spark, [], packs=[pack]), *columns) == seen(scan(spark, loose), *columns) != []
+        assert scan(spark, loose, packs=[pack]).count() == 2 * scan(spark, loose).count()
+    (events, problems), (want, refused) = S.scan_trace(spark, [], packs=[pack]), S.scan_trace(spark, loose)
+    assert seen(events, "pos", "event_type") == seen(want, "pos", "event_type") != []
+    assert seen(problems, "reason") == seen(refused, "reason") != []
+
+
+def test_queries_over_small_files_create_no_file_per_document(spark, tmp_path, monkeypatch):
+    from pairlens.plans import contract_queries, views
+    from pairlens.plans.catalog import REGISTRY
+
+    for module in (contract_queries, views):
+        monkeypatch.setattr(module, "scratch_path", lambda _, name: str(tmp_path / name))
+    for name in ("scan_prices", "scan_score_records"):
+        REGISTRY[name](spark, "/root/testdata/sf0.001").collect()
+    assert 0 < sum(p.is_file() for p in tmp_path.rglob("*")) < 50
