@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -42,32 +42,61 @@ def running_tokens(events: DataFrame, keys: list[str], window: str = "1 day") ->
     ).select(F.col("window.start").alias("window_start"), *keys, "turns", *PRICE_KEYS)
 
 
+#: Groups of a stateful job. A call of Python costs milliseconds, so a group is a share of all runs, worked as columns.
+GROUPS = 4096
+
+
+def _grouped(events: DataFrame) -> GroupedData:
+    """Events by the hash of their run."""
+    return events.withColumn("_group", F.pmod(F.xxhash64("run_id"), F.lit(GROUPS)).cast("int")).groupBy("_group")
+
+
+def _coded(rows: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+    """Rows with ``_run``, the place of their run in the returned list of runs; null is a run as well."""
+    codes, runs = pd.factorize(rows["run_id"].astype(object), use_na_sentinel=False)
+    return rows.assign(_run=codes), [None if pd.isna(r) else r for r in runs]
+
+
 TRANSITION_SCHEMA = "run_id string, source string, target string, ts timestamp, event_id bigint"
-STATE_SCHEMA = "last string"
+STATE_SCHEMA = "runs array<string>, last array<string>, until array<bigint>"
 
 
 def _run_transitions(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Transitions of one run's new switches; END when the run has gone idle."""
-    run = key[0]
-    last = state.get[0] if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        end = {"run_id": [run], "source": [last or START], "target": [END]}
-        yield pd.DataFrame({**end, "ts": pd.to_datetime([None]), "event_id": pd.array([None], "Int64")})
-        return
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    switches = rows[(rows["event_type"] == SWITCH) & rows["to_process"].notna()]
-    named = switches["to_process"].tolist()
-    before = [last or START, *named[:-1]]
-    latest = int(rows["ts"].max().timestamp() * 1000)
-    state.update((named[-1] if named else last,))
+    """Transitions of the new switches of a group of runs; END for each run that has gone idle."""
+    held = {run: (last, until) for run, last, until in zip(*state.get, strict=True)} if state.exists else {}
     floor = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(latest, floor) + IDLE_MS)
-    if named:
-        places = {"ts": switches["ts"].tolist(), "event_id": switches["event_id"].tolist()}
-        yield pd.DataFrame({"run_id": run, "source": before, "target": named, **places})
+    fresh, out = {}, None
+    if not state.hasTimedOut:
+        rows, runs = _coded(pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"]))
+        named = rows[(rows["event_type"] == SWITCH) & rows["to_process"].notna()]
+        last = [held[run][0] if run in held else None for run in runs]
+        earlier = [last[c] or START for c in named["_run"]]
+        source = named.groupby("_run")["to_process"].shift().combine_first(pd.Series(earlier, index=named.index, dtype=object))
+        for code, name in named.groupby("_run")["to_process"].last().items():
+            last[code] = name
+        latest = rows.groupby("_run")["ts"].max()
+        for code, at in latest.items():
+            seen = floor if pd.isna(at) else max(int(at.timestamp() * 1000), floor)
+            fresh[runs[code]] = (last[code], seen + IDLE_MS)
+        if len(named):
+            out = pd.DataFrame(
+                {"run_id": named["run_id"], "source": source, "target": named["to_process"], "ts": named["ts"], "event_id": named["event_id"]}
+            )
+    # a run with new events is not idle, whatever its time was
+    idle = {run: last for run, (last, until) in held.items() if run not in fresh and until < floor}
+    held = {run: kept for run, kept in held.items() if run not in idle} | fresh
+    if held:
+        state.update(tuple(map(list, zip(*((run, last, until) for run, (last, until) in held.items()), strict=True))))
+        state.setTimeoutTimestamp(max(min(until for _, until in held.values()), floor + 1))
+    else:
+        state.remove()
+    if out is not None:
+        yield out
+    if idle:
+        end = {"run_id": list(idle), "source": [last or START for last in idle.values()], "target": END}
+        yield pd.DataFrame({**end, "ts": pd.to_datetime([None] * len(idle)), "event_id": pd.array([None] * len(idle), "Int64")})
 
 
 def stream_transitions(trace: DataFrame) -> DataFrame:
@@ -75,20 +104,17 @@ def stream_transitions(trace: DataFrame) -> DataFrame:
 
     The source is the switch seen last, and switches behind the watermark are
     missing; ``drain_transitions`` keeps those and ``settled`` puts both right.
-    State is one name per open run. A batch hands a run's new events to one
-    call, so the number of files per trigger bounds what a call holds.
+    State is one name and time per open run, in ``GROUPS`` groups. A batch hands
+    a group's new events to one call, so the number of files per trigger bounds
+    what a call holds.
     """
-    return (
-        trace.withWatermark("ts", LATENESS)
-        .select("run_id", "ts", "event_id", "event_type", "to_process")
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            _run_transitions,
-            TRANSITION_SCHEMA,
-            STATE_SCHEMA,
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    events = trace.withWatermark("ts", LATENESS).select("run_id", "ts", "event_id", "event_type", "to_process")
+    return _grouped(events).applyInPandasWithState(
+        _run_transitions,
+        TRANSITION_SCHEMA,
+        STATE_SCHEMA,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -133,47 +159,46 @@ def settled(rows: DataFrame, late: DataFrame) -> DataFrame:
 QUALITY_SCHEMA = (
     "run_id string, events bigint, unparseable bigint, out_of_window bigint, non_monotonic bigint"
 )
-QUALITY_STATE = (
-    "events bigint, unparseable bigint, out_of_window bigint, non_monotonic bigint, before double"
-)
+QUALITY_COUNTS = ["events", "unparseable", "out_of_window", "non_monotonic"]
+QUALITY_STATE = "runs array<string>, " + ", ".join(f"{c} array<bigint>" for c in QUALITY_COUNTS) + ", before array<double>"
 
 
 def _run_quality(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Updated timestamp counts of one run; late events are counted, not dropped."""
-    events, bad, outside, backward, before = state.get if state.exists else (0, 0, 0, 0, None)
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("pos")
-    at = rows["at"]
-    known = rows[at.notna()]
-    previous = known["at"].shift()
-    if len(known) and before is not None:
-        previous.iloc[0] = before
-    events += len(rows)
-    bad += int(at.isna().sum())
-    outside += int((~known["at"].between(known["low"], known["high"])).sum())
-    backward += int((known["at"] < previous).sum())
-    if len(known):
-        before = float(known["at"].iloc[-1])
-    state.update((events, bad, outside, backward, before))
-    yield pd.DataFrame(
+    """Updated timestamp counts of the runs of a group that have new events; late events are counted, not dropped."""
+    held = {run: values for run, *values in zip(*state.get, strict=True)} if state.exists else {}
+    rows, runs = _coded(pd.concat(list(frames), ignore_index=True).sort_values("pos"))
+    known = rows[rows["at"].notna()]
+    before = pd.Series([held[run][-1] if run in held else None for run in runs], dtype="float64")
+    previous = known.groupby("_run")["at"].shift()
+    previous = previous.fillna(known["_run"].map(before))
+    marks = pd.DataFrame(
         {
-            "run_id": [key[0]],
-            "events": [events],
-            "unparseable": [bad],
-            "out_of_window": [outside],
-            "non_monotonic": [backward],
+            "events": 1,
+            "unparseable": rows["at"].isna(),
+            "out_of_window": rows["at"].notna() & ~rows["at"].between(rows["low"], rows["high"]),
+            "non_monotonic": (known["at"] < previous).reindex(rows.index, fill_value=False),
         }
-    )
+    ).astype("int64")
+    added = marks.groupby(rows["_run"]).sum()
+    before = known.groupby("_run")["at"].last().reindex(added.index).fillna(before)
+    old = pd.DataFrame([held[runs[c]][:-1] if runs[c] in held else [0] * len(QUALITY_COUNTS) for c in added.index], index=added.index, columns=QUALITY_COUNTS)
+    total = (added + old).astype("int64")
+    for code, counts, at in zip(total.index, total.to_numpy().tolist(), before.tolist(), strict=True):
+        held[runs[code]] = [*counts, None if pd.isna(at) else at]
+    state.update(tuple(map(list, zip(*((run, *values) for run, values in held.items()), strict=True))))
+    yield total.assign(run_id=[runs[c] for c in total.index])[["run_id", *QUALITY_COUNTS]]
 
 
 def stream_trace_quality(events: DataFrame) -> DataFrame:
     """Timestamp quality per run, updated with every batch.
 
     ``events(run_id, pos, at, low, high)``: epoch seconds, ``at`` null when the
-    timestamp cannot be read; no watermark, so nothing is dropped.
+    timestamp cannot be read; no watermark, so nothing is dropped. State is one
+    row of counts per run, in ``GROUPS`` groups.
     """
-    return events.groupBy("run_id").applyInPandasWithState(
+    return _grouped(events).applyInPandasWithState(
         _run_quality, QUALITY_SCHEMA, QUALITY_STATE, "update", GroupStateTimeout.NoTimeout
     )
 

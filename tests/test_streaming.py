@@ -87,3 +87,39 @@ def test_late_turns_are_counted(spark, tmp_path):
     stream = J.read_events(spark, folder, spark.read.parquet(folder).schema, 1)
     out = J.latest(J.drain(J.running_tokens(stream, ["key"]), str(tmp_path / "tokens"), "update"), ["window_start", "key"])
     assert sorted((r.window_start.day, r.turns) for r in out.collect()) == [(1, 2), (9, 1), (20, 2)]
+
+
+def test_runs_share_calls_and_keep_their_own_state(spark, tmp_path, monkeypatch):
+    """One group holds all runs, a null one too: each has its own source, counts and end."""
+    monkeypatch.setattr(J, "GROUPS", 1)
+    names = ["a", "b", "c", None]
+    parts = [
+        [r for n in names for r in rows(1, n, ["planning", None])],
+        [r for n in names[:2] for r in [(n, 0, dt.datetime(2024, 1, 1, 2), 50, R.SWITCH, "reviewing")]],
+        rows(9, "z", ["planning"], 100),
+        rows(20, "y", [], 200) or [("y", 0, dt.datetime(2024, 1, 20), 200, R.SWITCH, None)],
+    ]
+    folder = str(tmp_path / "in")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = J.read_events(spark, folder, spark.read.parquet(folder).schema, 1)
+    out = J.drain(J.stream_transitions(stream), str(tmp_path / "work"), "append").collect()
+    ended = {(r.run_id, r.source) for r in out if r.target == R.END}
+    assert {("a", "reviewing"), ("b", "reviewing"), ("c", "planning"), (None, "planning")} <= ended
+    assert len([r for r in out if r.target == R.END]) == len(ended)
+    steps = sorted((str(r.run_id), r.source, r.target) for r in out if r.target != R.END)
+    assert steps == sorted([*[(str(n), R.START, "planning") for n in [*names, "z"]], ("a", "planning", "reviewing"), ("b", "planning", "reviewing")])
+
+    seen = stream.select("run_id", F.col("event_id").alias("pos"), (-F.col("event_id")).cast("double").alias("at"), F.lit(-1.0).alias("low"), F.lit(9.0).alias("high"))
+    counts = J.latest(J.drain(J.stream_trace_quality(seen), str(tmp_path / "quality"), "update"), ["run_id"]).collect()
+    got = {r.run_id: (r.events, r.unparseable, r.out_of_window, r.non_monotonic) for r in counts}
+    assert got == {"a": (3, 0, 1, 2), "b": (3, 0, 1, 2), "c": (2, 0, 0, 1), None: (2, 0, 0, 1), "z": (1, 0, 1, 0), "y": (1, 0, 1, 0)}
+
+
+def test_a_group_of_many_runs_takes_few_calls(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(20_000).selectExpr("concat('r', id) AS run_id", "id AS pos", "double(id) AS at", "0D AS low", "1e9 AS high").write.parquet(folder)
+    stream = J.read_events(spark, folder, spark.read.parquet(folder).schema)
+    groups = J._grouped(spark.read.parquet(folder)).count()
+    assert groups.count() <= J.GROUPS < 20_000
+    assert J.latest(J.drain(J.stream_trace_quality(stream), str(tmp_path / "work"), "update"), ["run_id"]).count() == 20_000
