@@ -17,6 +17,7 @@ text are never read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,9 @@ GEAR = (X.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
 RANGE_ROWS = 4000
 #: Ranges at most; a longer table has longer ranges, each read as a stream.
 MAX_RANGES = 20_000
+#: Documents, or code points of them, whose chunks a task holds at once; chunks take about ten times the memory of their text.
+SLICE_ROWS = 200
+SLICE_CHARS = 1 << 20
 _HEX = 12
 
 
@@ -142,50 +146,54 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     return keyed.withColumn("guest", F.lit(0)).unionByName(lent), max(len(filled), 1)
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows, parts = _ranges(docs)
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-    def run(batches):
-        held = None  # the row that waits for its follower
-        for batch in batches:
-            found = []
-            for doc_id, text, part, guest in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
+def _report(some: list) -> pa.RecordBatch:
+    """Report rows of (doc_id, text, part, following text)."""
+    changed = [edited(r[1], r[3]).encode() for r in some]
+    own = chunks([r[1].encode() for r in some])
+    after = chunks([some[-1][3].encode()])
+    new = chunks(changed)
+    following = [own[k + 1] if k + 1 < len(some) and some[k + 1][1] == r[3] else chunks([r[3].encode()])[0] if k + 1 < len(some) else after[0] for k, r in enumerate(some)]
+    columns = [
+        [r[0] for r in some],
+        [len(r[1]) for r in some],
+        [hashlib.sha256(c).hexdigest() for c in changed],
+        [render(c) for c in own],
+        [render(c) for c in new],
+        [likeness(a, b) for a, b in zip(own, new, strict=True)],
+        [likeness(a, b) for a, b in zip(own, following, strict=True)],
+    ]
+    return table(NAMES, columns, TYPES)
+
+
+def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Report rows of the ordered rows of ranges, in slices of bounded length."""
+    held = None  # the row that waits for its follower
+    found, size = [], 0
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(first, SLICE_ROWS)
+            for doc_id, text, part, guest in zip(*(some.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                 text = text or ""
                 if held and held[2] == part:
                     found.append((*held, text))
+                    size += len(held[1])
                 held = None if guest else (doc_id, text, part)
-            for i in range(0, len(found), 200):
-                some = found[i : i + 200]
-                changed = [edited(r[1], r[3]).encode() for r in some]
-                own = chunks([r[1].encode() for r in some])
-                after = chunks([some[-1][3].encode()])
-                new = chunks(changed)
-                following = [own[k + 1] if k + 1 < len(some) and some[k + 1][1] == r[3] else chunks([r[3].encode()])[0] if k + 1 < len(some) else after[0] for k, r in enumerate(some)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            [
-                                [r[0] for r in some],
-                                [len(r[1]) for r in some],
-                                [hashlib.sha256(c).hexdigest() for c in changed],
-                                [render(c) for c in own],
-                                [render(c) for c in new],
-                                [likeness(a, b) for a, b in zip(own, new, strict=True)],
-                                [likeness(a, b) for a, b in zip(own, following, strict=True)],
-                            ],
-                            types,
-                            strict=True,
-                        )
-                    ],
-                    names=names,
-                )
-
-    return arrow_map(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                if len(found) >= SLICE_ROWS or size >= SLICE_CHARS:
+                    yield _report(found)
+                    found, size = [], 0
+    if found:
+        yield _report(found)
+
+
+def fingerprint_report(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    rows, parts = _ranges(docs)
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie")
+    return arrow_map(rows, reports, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

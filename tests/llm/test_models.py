@@ -250,3 +250,12 @@ def test_fingerprint_hard_rows(make_docs, hard_rows):
     assert len(single) == 1 and single[0].near_next == 1
     assert P.fingerprint_report(make_docs([])).count() == 0
     assert P.fingerprints(make_docs(hard_rows)).count() == len(hard_rows)
+
+
+def test_long_documents_are_reported_in_slices_of_bounded_length():
+    text = "lorem ipsum dolor sit amet " * 1500
+    rows = [(i, text + str(i), i, 0, 0) for i in range(120)]
+    batch = pa.table(dict(zip(["doc_id", "text", "tie", "part", "guest"], map(list, zip(*rows, strict=True)), strict=True))).to_batches()[0]
+    slices = [b.to_pydict() for b in P.reports([batch])]
+    assert [d for s in slices for d in s["doc_id"]] == list(range(119))
+    assert max(sum(s["n_chars"]) for s in slices) <= P.SLICE_CHARS + len(text) + 3 < 119 * len(text)
