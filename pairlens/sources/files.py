@@ -135,7 +135,8 @@ def _placed(lines: DataFrame, kept: Column) -> DataFrame:
     before = F.sum("_n").over(Window.partitionBy("path").orderBy("_start")) - F.col("_n")
     stretches = stretches.select("path", "_start", "_first", before.alias("_before"))
     place = F.col("_id") - F.col("_first") + F.col("_before")
-    return lines.filter(kept).join(stretches, ["path", "_start"]).select(
+    # a shuffle would put every line of a stretch into one task; stretches are as many as the tasks of the read
+    return lines.filter(kept).join(F.broadcast(stretches), ["path", "_start"]).select(
         "path",
         (place + 1).alias("pos"),
         F.floor(place / BLOCK_LINES).cast("int").alias("bucket"),

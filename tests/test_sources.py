@@ -366,3 +366,16 @@ def test_queries_over_small_files_create_no_file_per_document(spark, tmp_path, m
     for name in ("scan_prices", "scan_score_records"):
         REGISTRY[name](spark, "/root/testdata/sf0.001").collect()
     assert 0 < sum(p.is_file() for p in tmp_path.rglob("*")) < 50
+
+
+def test_lines_are_placed_where_they_are_read(spark, tmp_path):
+    write(tmp_path / "a/x.log", "one\n\nthree\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = S.scan_lines(spark, [str(tmp_path)], "*.log")
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.pos, r.line) for r in lines.collect()) == [(1, "one"), (3, "three")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
