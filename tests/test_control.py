@@ -243,3 +243,41 @@ def test_score_strata(spark):
     df = spark.createDataFrame(rows, "k string, v double, n int, want int")
     got = {(r.k, r.stratum): (r.scores, r.v) for r in L.score_strata(df, ["k"], ["v"], F.col("n"), F.col("want"), 2).collect()}
     assert got == {("x", "raw"): (7, 7.0), ("x", "1.00-1.05"): (2, 2.0), ("x", "2.00+"): (2, 8.0), ("y", "raw"): (1, 2.0)}
+
+
+def test_numbers_of_draws_are_shared_by_cells():
+    """The numbers do not name a cell: cells of one block and chunk get theirs from one calculation."""
+    import numpy as np
+    import pandas as pd
+
+    modulus, multipliers = 2147483647, (1103515245, 1664525, 22695477)
+
+    def mix(x, m):
+        return (x ^ (x >> 15)) * m % modulus
+
+    def number(seed, b, block, slot):
+        key = mix(mix((seed + b * 40503 + block * 15485863) % modulus, multipliers[0]), multipliers[1])
+        x = (key + slot * 69069) % modulus
+        for m in multipliers:
+            x = mix(x, m)
+        return x
+
+    for seed, block, first, count in ((20260908, 0, 0, 40), (2**33 + 1, 77, 5, B.TILE + 3)):
+        got = B.draw_numbers(seed, np.array([0, 9999]), block, first, count)
+        for i, b in enumerate((0, 9999)):
+            assert got[i].tolist() == [number(seed, b, block, first + slot) for slot in range(count)]
+    asked = []
+    made = B.draw_numbers
+    cells = [("x", 30), ("y", 25), ("z", 30)]
+    values = {k: [float(i * i) for i in range(n)] for k, n in cells}
+    rows = [{"k": k, "_block": 2, "_first": 500, "_drawn": [20, 0, n], "_values": values[k]} for k, n in cells]
+    try:
+        B.draw_numbers = lambda *args: asked.append(args) or made(*args)
+        found = pd.concat(B._block_sums(iter([pd.DataFrame(rows)]), ["k"], 7))
+    finally:
+        B.draw_numbers = made
+    assert len(asked) == 1
+    for row in found.itertuples():
+        n = len(values[row.k])
+        want = sum(values[row.k][number(7, row.b, 2, slot) % n] for slot in range(row.drawn))
+        assert row.total == want * B.SCALE
