@@ -146,10 +146,27 @@ def average_rank(
     """
     df = df.filter(F.col(value).isNotNull())
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    ranks = ranked_values(df, keys, value, out, rows, {}, bucket)
+    return _attach(df, ranks, [*keys, value], [out, out + "_ties"])
+
+
+def ranked_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str,
+    rows: Column,
+    sums: dict[str, Column],
+    bucket: Column | None = None,
+) -> DataFrame:
+    """One row per key and distinct value: its tie-averaged rank, its ties (counted by ``rows``) and further ``sums``.
+
+    Enough where only totals of the ranks are wanted: no row gets its rank back by a join.
+    """
     spread = bucket if bucket is not None else signed_bucket(F.col(value))
     counts = (
         df.groupBy(*keys, value)
-        .agg(rows.alias("_ties"))
+        .agg(rows.alias("_ties"), *[column.alias(name) for name, column in sums.items()])
         .withColumn("_bucket", spread)
     )
     group = [*keys, "_bucket"]
@@ -163,13 +180,13 @@ def average_rank(
         .select(*group, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     near = counts.withColumn("_near", F.coalesce(F.sum("_ties").over(local), F.lit(0)))
-    ranks = _attach(near, offsets, group, ["_offset"]).select(
+    return _attach(near, offsets, group, ["_offset"]).select(
         *keys,
         value,
         (F.col("_offset") + F.col("_near") + (F.col("_ties") + 1) / 2.0).alias(out),
         F.col("_ties").alias(out + "_ties"),
+        *sums,
     )
-    return _attach(df, ranks, [*keys, value], [out, out + "_ties"])
 
 
 def first_by(

@@ -76,20 +76,24 @@ def paired_rows(
 
     Each row is tagged with the contrast sides it belongs to and one aggregate
     brings the sides together: a single shuffle in place of a self join. A unit
-    stays only when both sides are present.
+    stays only when both sides are present. Conditions of contrasts are never
+    null; the null-safe join keeps Spark from adding a filter to these rows
+    alone, with which it could no longer share a shuffle of theirs with others.
     """
-    tagged = rows.join(F.broadcast(contrast_sides(contrasts)), "condition")
-    payload = F.struct(*values)
+    sides = contrast_sides(contrasts).withColumnRenamed("condition", "_condition")
+    tagged = rows.join(F.broadcast(sides), F.col("condition").eqNullSafe(F.col("_condition"))).drop("_condition")
+    # a single value fits a hash aggregate, a struct needs a sort
+    payload = F.col(values[0]) if len(values) == 1 else F.struct(*values)
     side = lambda s: F.max(F.when(F.col("side") == s, payload))
     both = tagged.groupBy(*unit, "left_condition", "right_condition").agg(
-        side("left").alias("_left"), side("right").alias("_right")
+        side("left").alias("_left"),
+        side("right").alias("_right"),
+        F.max(F.col("side") == "left").alias("_has_left"),
+        F.max(F.col("side") == "right").alias("_has_right"),
     )
-    return both.filter(F.col("_left").isNotNull() & F.col("_right").isNotNull()).select(
-        *unit,
-        "left_condition",
-        "right_condition",
-        *[F.col(f"_left.{v}").alias(f"left_{v}") for v in values],
-        *[F.col(f"_right.{v}").alias(f"right_{v}") for v in values],
+    of = lambda s, v: F.col(f"_{s}" if len(values) == 1 else f"_{s}.{v}").alias(f"{s}_{v}")
+    return both.filter(F.col("_has_left") & F.col("_has_right")).select(
+        *unit, "left_condition", "right_condition", *[of(s, v) for s in ("left", "right") for v in values]
     )
 
 

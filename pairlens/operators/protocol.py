@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import average_rank, exact_quantiles
+from pairlens.functions.ordering import average_rank, exact_quantiles, ranked_values
 from pairlens.functions.stats import normal_two_sided_p
+from pairlens.session import written
 
 
 def length_deviation(requested: Column, produced: Column) -> Column:
@@ -42,17 +43,18 @@ def wilcoxon_signed_rank(diffs: DataFrame, keys: Sequence[str], value: str = "di
     Equal differences are counted first; ranks come from those counts, bucket by
     bucket, so no contrast is ordered in one task.
     """
-    rows = diffs.filter(F.col(value) != 0).groupBy(
-        *keys, F.abs(F.col(value)).alias("_abs"), (F.col(value) > 0).alias("_up")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = average_rank(rows, keys, "_abs", "_rank", weight=F.col("_n"))
-    ties, w = F.col("_rank_ties").cast("double"), F.col("_n")
+    up = F.col(value) > 0
+    sizes = diffs.filter(F.col(value) != 0).select(*keys, F.abs(F.col(value)).alias("_abs"), up.cast("bigint").alias("_up"))
+    # the offsets of the ranks are a branch of their own
+    sizes = written(sizes, "sizes")
+    ranked = ranked_values(sizes, keys, "_abs", "_rank", F.count(F.lit(1)), {"_up": F.sum("_up")})
+    n, ties = F.col("_rank_ties"), F.col("_rank_ties").cast("double")
     cells = ranked.groupBy(*keys).agg(
-        F.sum(w).alias("n"),
-        F.sum(F.when(F.col("_up"), w * F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(~F.col("_up"), w * F.col("_rank")).otherwise(0.0)).alias("w_minus"),
-        # a group of t ties adds t^3 - t; each of its t rows adds t^2 - 1
-        F.sum(w * (ties * ties - 1)).alias("_ties"),
+        F.sum(n).alias("n"),
+        F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"),
+        F.sum((n - F.col("_up")) * F.col("_rank")).alias("w_minus"),
+        # a group of t ties adds t^3 - t
+        F.sum(ties * (ties * ties - 1)).alias("_ties"),
     )
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
@@ -64,7 +66,8 @@ def wilcoxon_signed_rank(diffs: DataFrame, keys: Sequence[str], value: str = "di
 
 
 def paired_summary(diffs: DataFrame, keys: Sequence[str], value: str = "diff") -> DataFrame:
-    """Mean and median difference and the standardised effect."""
+    """Mean and median difference and the standardised effect; several branches read the differences, so they are stored."""
+    diffs = written(diffs.select(*keys, value), "differences")
     cells = diffs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(value).alias("mean_difference"),

@@ -147,7 +147,7 @@ prompt_scores AS (SELECT benchmark, condition, prompt, avg(composite) AS score,
 
 
 def prompt_scores(t: Tables) -> DataFrame:
-    return Q.prompt_scores(Q.pointwise_valid(pointwise(t)), V.RECORD_ORDER)
+    return Q.prompt_scores(Q.pointwise_valid(pointwise(t)), V.record_place())
 
 
 @query(

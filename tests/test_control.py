@@ -281,3 +281,26 @@ def test_numbers_of_draws_are_shared_by_cells():
         n = len(values[row.k])
         want = sum(values[row.k][number(7, row.b, 2, slot) % n] for slot in range(row.drawn))
         assert row.total == want * B.SCALE
+
+
+def test_stored_records_feed_scores_and_pairs_once(spark):
+    """The records of a prompt are shuffled once for moments, scores and pairs; the first record of a run counts."""
+    from pairlens.operators import canon as C
+
+    rows = [(0, "b", c, p, *[float(x)] * 5, place) for c, p, x, place in (("A", "p", 1, 2), ("A", "p", 9, 3), ("B", "p", 3, 1), ("A", "q", 5, 1), ("B", "q", 4, 5), ("B", "q", 7, 4))]
+    schema = "run_set int, benchmark string, condition string, prompt string, " + ", ".join(f"{d} double" for d in Q.DIMENSIONS) + ", place long"
+    scores = Q.prompt_scores(spark.createDataFrame(rows, schema), F.col("place"))
+    contrasts = spark.createDataFrame([(0, "A", "B")], "ordinal int, left_condition string, right_condition string")
+    pairs = C.paired_rows(scores, contrasts, ["benchmark", "prompt"], ["score"])
+    mean, sd = 4.0, math.sqrt(5.0)
+    got = {r.prompt: (r.left_score, r.right_score) for r in pairs.collect()}
+    assert got["p"] == pytest.approx(((1 - mean) / sd, (3 - mean) / sd)) and got["q"] == pytest.approx(((5 - mean) / sd, (7 - mean) / sd))
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(benchmark") == plan.count("REPARTITION_BY_COL") and "SortAggregate" not in plan
+
+
+def test_ranked_values_have_one_row_per_value(spark):
+    values = [3.0, 1.0, 1.0, 2.0, 1.0, 3.0]
+    df = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "k string, v double, i int")
+    found = O.ranked_values(df, ["k"], "v", "rank", F.count(F.lit(1)), {"total": F.sum("i")}).collect()
+    assert {r.v: (r["rank"], r.rank_ties, r.total) for r in found} == {1.0: (2.0, 3, 7), 2.0: (4.0, 1, 3), 3.0: (5.5, 2, 5)}
