@@ -102,13 +102,16 @@ def covariate_adjusted_fit(rows: DataFrame, outcome: str, labels: Sequence[str],
     """Linear fit of an outcome on conditions and covariates.
 
     One-hot levels and the weighted least squares run in Spark ML; the result
-    has one row per coefficient.
+    has one row per coefficient. Every stage of the fit reads its input again,
+    so equal rows are merged into one with a weight and stored first.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    kept = rows.dropna(subset=[outcome, *labels, *numbers])
+    columns = [outcome, *labels, *numbers]
+    merged = rows.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    kept = written(merged, "fit_rows")
     stages = []
     for name in labels:
         stages.append(StringIndexer(inputCol=name, outputCol=f"_{name}_i", stringOrderType="alphabetAsc"))
@@ -117,7 +120,8 @@ def covariate_adjusted_fit(rows: DataFrame, outcome: str, labels: Sequence[str],
     stages.append(VectorAssembler(inputCols=features, outputCol="_features"))
     stages.append(
         GeneralizedLinearRegression(
-            family="gaussian", link="identity", featuresCol="_features", labelCol=outcome, regParam=0.0
+            family="gaussian", link="identity", featuresCol="_features", labelCol=outcome, weightCol="_weight",
+            regParam=0.0,
         )
     )
     model = Pipeline(stages=stages).fit(kept)
