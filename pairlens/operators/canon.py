@@ -128,6 +128,13 @@ def plan_native_jobs(canon: DataFrame, config: DataFrame) -> DataFrame:
     return runs.join(targets, "_target").drop("_target")
 
 
+def digest_key(digest: Column) -> Column:
+    """A digest as bytes, the same for equal digests only: lower-case hex in half its length, other text as it is."""
+    raw = F.unhex(digest)
+    tagged = lambda tag, value: F.concat(F.lit(tag), value)
+    return F.when(F.lower(F.hex(raw)) == digest, tagged(b"x", raw)).otherwise(tagged(b"t", F.encode(digest, "utf-8")))
+
+
 def join_scores_to_runs(
     artifacts: DataFrame, runs: DataFrame, key: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
@@ -135,11 +142,12 @@ def join_scores_to_runs(
 
     ``artifacts`` has ``source_digests`` in order; the result adds ``sources``,
     an array of run structs in that order. An artifact without sources is
-    dropped.
+    dropped. Digests are most of what this join shuffles, so they go as bytes.
     """
     exploded = artifacts.select(*key, F.posexplode("source_digests").alias("pos", "digest"))
+    exploded = exploded.withColumn("digest", digest_key(F.col("digest")))
     lookup = runs.select(
-        F.col("manifest_digest").alias("digest"),
+        digest_key(F.col("manifest_digest")).alias("digest"),
         (F.col("status") == "completed").alias("_done"),
         F.struct(*values).alias("_run"),
     )

@@ -136,7 +136,9 @@ def join_scores_to_runs(t: Tables) -> DataFrame:
             F.array(digest(first), digest(second))
         ),
     )
-    runs = canonical(t).withColumn("manifest_digest", digest(F.col("run_no")))
+    # a run is shuffled whole to find the latest one, so only what is read goes there
+    columns = V.runs(t).select(*C.RUN_KEY, "status", "started_at", "path", "run_no")
+    runs = C.canonical_runs(columns).withColumn("manifest_digest", digest(F.col("run_no")))
     joined = C.join_scores_to_runs(artifacts, runs, key, ["benchmark", "condition"])
     sources = F.col("sources")
     return joined.groupBy(

@@ -42,6 +42,19 @@ def test_scan_runs_and_join_scores(spark, tmp_path):
     assert {r.artifact: [s.condition for s in r.sources] for r in joined.collect()} == {"s1": ["A1"], "s2": ["A1", "A2"]}
 
 
+def test_digests_are_joined_as_bytes(spark):
+    hexed = "00ff" * 16
+    texts = [hexed, hexed.upper(), "sha256:none", "0f0", "", "\x00" + hexed, bytes.fromhex("41" * 32).decode(), "41" * 32]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, d string")
+    keys = [bytes(r.k) for r in df.select("i", C.digest_key(F.col("d")).alias("k")).orderBy("i").collect()]
+    assert len(set(keys)) == len(texts)
+    assert len(keys[0]) == 33
+    runs = df.select(F.col("d").alias("manifest_digest"), F.lit("completed").alias("status"), "i")
+    scores = df.select(F.col("i").alias("artifact"), F.array("d").alias("source_digests"))
+    joined = C.join_scores_to_runs(scores, runs, ["artifact"], ["i"]).collect()
+    assert sorted((r.artifact, [s.i for s in r.sources]) for r in joined) == [(i, [i]) for i in range(len(texts))]
+
+
 def test_score_records_strict_and_tolerant(spark, tmp_path):
     good = json.dumps({"presentation": "A|B", "winner": "A"})
     write(tmp_path / "x/scores.jsonl", f"{good}\n[1]\n{good}\n")
