@@ -11,6 +11,7 @@ import ast
 import json
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,17 +161,17 @@ def _plain(value):
 
 @F.pandas_udf(StringType())
 def literal_json(texts: pd.Series) -> pd.Series:
-    """JSON text of Python literals; null for null and for texts that are none."""
+    """JSON text of Python literals; null for null and for texts that are none. Equal texts of a batch are read once."""
 
     def one(text):
-        if text is None:
-            return None
         try:
             return json.dumps(_plain(ast.literal_eval(text.strip())))
         except (ValueError, SyntaxError, RecursionError, MemoryError):
             return None
 
-    return texts.map(one)
+    places, distinct = pd.factorize(texts)
+    # nulls have place -1, which is the last of the list
+    return pd.Series(np.array([*map(one, distinct), None], dtype=object)[places])
 
 
 def parse_checklist(records: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def parse_checklist(records: DataFrame) -> DataFrame:
             F.when(number.rlike(r"^-?\d+$"), number.try_cast("bigint")).alias("checklist_id"),
             F.when(quoted, entry["reason"]).alias("reason"),
             F.when(~score.isin("true", "false"), score.try_cast("double")).alias("evaluation_score"),
-            F.coalesce(F.array_sort(F.map_keys(entry)) == keys, F.lit(False)).alias("exact"),
+            F.coalesce(F.sort_array(F.map_keys(entry)) == keys, F.lit(False)).alias("exact"),
         )
 
     parsed = once(fields, "items", F.transform("_p.maps", item)).drop("_p", "_body", "_text")

@@ -178,3 +178,20 @@ def test_disagreement_groups(spark):
     assert [r.prompt_id for r in row] == ["habermas-q1-launch-1"]
     # raters in the order of their first rating
     assert row[0].supplied_context == "1. o5\n2. o4\n3. o3\n4. o2\n   more\n5. o1"
+
+
+def test_equal_literals_of_a_batch_are_read_once():
+    """Judges repeat short answers; nulls and texts that are no literal keep their places."""
+    import pandas as pd
+
+    texts = ["{'a': 1}", None, "[1, (2,)]", "{'a': 1}", "no literal", None, " {'a': 1}"] * 3
+    calls = []
+    read = K.ast.literal_eval
+    try:
+        K.ast.literal_eval = lambda text: calls.append(text) or read(text)
+        found = list(K.literal_json.func(pd.Series(texts, dtype=object)))
+        assert list(K.literal_json.func(pd.Series([None, None], dtype=object))) == [None, None]
+    finally:
+        K.ast.literal_eval = read
+    assert found == ['{"a": 1}', None, '[1, {"literal": "tuple"}]', '{"a": 1}', None, None, '{"a": 1}'] * 3
+    assert len(calls) == 4
