@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.stats import logistic
-from pairlens.operators.resampling import BLOCK, REPLICATES_PER_ROW, drawn_points, draws
+from pairlens.operators.resampling import BLOCK, REPLICATES_PER_ROW, DrawRoom, draw_numbers, drawn_points, places
 from pairlens.session import reliable_checkpoint, written
 
 
@@ -175,13 +175,15 @@ def _newton_sums(frames: Iterator[pd.DataFrame], keys: list[str], seed: int) ->
             owner = np.asarray(row["owner"], dtype="int64")
             b, intercept, slope = (np.asarray(row[c]) for c in ("_b", "_intercept", "_slope"))
             drawn = np.asarray(row["_drawn"], dtype="int64")
-            step = max(1, WEIGHTS // len(x))
+            step, room = max(1, WEIGHTS // len(x)), DrawRoom(int(drawn.max()))
             for first in range(0, len(b), step):
                 part = slice(first, first + step)
                 weights = np.empty((len(b[part]), len(x)))
-                for i, replicate in enumerate(b[part].tolist()):
-                    count = int(drawn[replicate - row["_first"]])
-                    times = np.bincount(draws(seed, replicate, row["_block"], count, row["n_units"]), minlength=row["n_units"])
+                counts = drawn[b[part] - row["_first"]]
+                numbers = draw_numbers(seed, b[part], row["_block"], 0, int(counts.max()))
+                for i, count in enumerate(counts.tolist()):
+                    whole, place, _ = room.of((count,))
+                    times = np.bincount(places(numbers[i, :count], row["n_units"], whole, place), minlength=row["n_units"])
                     weights[i] = times[owner] * w
                 with np.errstate(over="ignore"):
                     p = 1 / (1 + np.exp(-(intercept[part, None] + slope[part, None] * x)))

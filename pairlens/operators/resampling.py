@@ -123,7 +123,7 @@ def draw_numbers(seed: int, replicates: np.ndarray, block: int, first: int, coun
     return found
 
 
-class _Room:
+class DrawRoom:
     """Arrays that the steps of a draw write to, so that no step asks for memory."""
 
     def __init__(self, size: int):
@@ -146,7 +146,7 @@ def places(numbers: np.ndarray, units: int, whole: np.ndarray, place: np.ndarray
 
 def draws(seed: int, b: int, block: int, count: int, units: int) -> np.ndarray:
     """Places of the units that replicate ``b`` draws from a block."""
-    return places(draw_numbers(seed, np.array([b]), block, 0, count)[0], units, *_Room(count).of((count,))[:2])
+    return places(draw_numbers(seed, np.array([b]), block, 0, count)[0], units, *DrawRoom(count).of((count,))[:2])
 
 
 class _Numbers:
@@ -168,7 +168,7 @@ class _Numbers:
 
 def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> Iterator[pd.DataFrame]:
     """Sums of the units drawn from a block; the rows come by block and chunk."""
-    kept, room = _Numbers(seed), _Room(TILE)
+    kept, room = _Numbers(seed), DrawRoom(TILE)
     for frame in frames:
         for row in frame.to_dict("records"):
             values = np.asarray(row["_values"], dtype="float64")
@@ -178,7 +178,7 @@ def _block_sums(frames: Iterator[pd.DataFrame], cell: list[str], seed: int) -> I
             numbers = kept.get(row["_block"], row["_first"], len(drawn), count)
             totals = np.zeros(len(drawn), dtype="int64")
             if len(room.place) < count:
-                room = _Room(count)
+                room = DrawRoom(count)
             # replicates of as many draws go together, others one by one
             step = max(1, TILE // max(1, count)) if drawn.min() == count else 1
             for i in range(0, len(drawn), step):

@@ -304,3 +304,26 @@ def test_ranked_values_have_one_row_per_value(spark):
     df = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "k string, v double, i int")
     found = O.ranked_values(df, ["k"], "v", "rank", F.count(F.lit(1)), {"total": F.sum("i")}).collect()
     assert {r.v: (r["rank"], r.rank_ties, r.total) for r in found} == {1.0: (2.0, 3, 7), 2.0: (4.0, 1, 3), 3.0: (5.5, 2, 5)}
+
+
+def test_newton_sums_ask_for_many_replicates_at_once():
+    import numpy as np
+    import pandas as pd
+
+    from pairlens.operators import models as M
+
+    n = 40
+    x, y = np.linspace(-1, 1, n), np.arange(n) % 2 * 1.0
+    row = {"k": "a", "x": x, "y": y, "weight": np.ones(n), "owner": np.arange(n), "_b": np.arange(500, 520), "_intercept": np.full(20, 0.1),
+           "_slope": np.full(20, 0.2), "_drawn": np.arange(20) + 30, "_first": 500, "_block": 1, "n_units": n}
+    asked, made = [], M.draw_numbers
+    try:
+        M.draw_numbers = lambda *args: asked.append(args) or made(*args)
+        found = pd.concat(M._newton_sums(iter([pd.DataFrame([row])]), ["k"], 3))
+    finally:
+        M.draw_numbers = made
+    assert len(asked) == 1 and len(found) == 20  # one part holds all replicates
+    p = 1 / (1 + np.exp(-(0.1 + 0.2 * x)))
+    for i, r in enumerate(found.itertuples()):
+        times = np.bincount(B.draws(3, r.b, 1, 30 + i, n), minlength=n)
+        assert times.sum() == 30 + i and (r.g0, r.h01) == pytest.approx(((times * (y - p)).sum(), (times * p * (1 - p) * x).sum()))
